@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Callable
 
+import numpy as np
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sentencepiece_codec
 from .chat_format import Template, chat_format, read_loss, read_turns
 from .exact_dedup import exact_dedup
+from .fingerprint import fingerprint_stability
+from .language_id import language_id
 from .license_scan import COPYRIGHT_LINE, RESERVED_LINE, SPELLINGS, known_digests, license_scan
+from .packing import pack_documents
 from .url_filter import url_filter
 
 
@@ -21,6 +29,21 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_stability(table(spark, sf_dir, "documents"))
+
+
+def _piece_digests(ids: np.ndarray, bounds: np.ndarray, told: str, codec: sentencepiece_codec.Codec) -> tuple:
+    """Digests of a document's ids, of what they decode to, and of the pieces' bounds in the text."""
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    return len(ids), sha(told), sha(codec.decode(ids.tolist())), zlib.crc32(bounds.astype("<u4").tobytes())
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    columns = "n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_crc32 bigint"
+    return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), model_path or public_tokenizers.path("piece_bpe_32k.model"), derive=_piece_digests, columns=columns)
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The formatted conversations, read back into turns and loss text; the digests come from what was read."""
     told = "</s>[INST] ok [/INST]"
@@ -34,6 +57,14 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path or public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"))
 
@@ -44,7 +75,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_fingerprint": op4_fingerprint,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_chat_format": op6_chat_format,
+    "op7_packing": op7_packing,
+    "op8_language_id": op8_language_id,
     "op9_url_filter": op9_url_filter,
     "op10_license_scan": op10_license_scan,
 }
