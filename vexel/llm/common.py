@@ -41,16 +41,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/vexel-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes scratch tables that nothing reads any more."""
+    """Deletes scratch tables that nothing reads any more; others are left alone."""
     for table in tables:
-        files = {f.rsplit("/", 1)[0] for f in table.inputFiles()}
-        for entry in [m for m in _made if any(f.endswith(m[1].split(":")[-1]) for f in files)]:
-            _remove(*entry)
+        entry = (table.sparkSession, getattr(table, "scratch_path", None))
+        if entry in _made:
             _made.remove(entry)
+            _remove(*entry)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from . import sentencepiece_codec
 from .chat_format import Template, chat_format, read_loss, read_turns
+from .class_lm import class_lm
 from .exact_dedup import exact_dedup
 from .fingerprint import fingerprint_stability
 from .language_id import language_id
 from .license_scan import COPYRIGHT_LINE, RESERVED_LINE, SPELLINGS, known_digests, license_scan
+from .minhash_dedup import minhash_dedup
 from .packing import pack_documents
 from .url_filter import url_filter
 
@@ -25,6 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup(table(spark, sf_dir, "documents"))
+
+
+def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -74,6 +84,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_class_lm": op2_class_lm,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_fingerprint": op4_fingerprint,
     "op5_sentencepiece": op5_sentencepiece,
