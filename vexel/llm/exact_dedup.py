@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, pick, text_of
+from .common import WHITE, pick, stored, text_of
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = lambda c: F.unhex(F.md5(c))) -> DataFrame:
@@ -37,8 +37,6 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Removed ids leave by an anti join; their list is broadcast only if counted at `max_broadcast_ids` or less.
     """
-    from .common import stored
-
     gone = stored(exact_dedup(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")), "copies")
     few = gone.count() <= max_broadcast_ids
     return docs.join(F.broadcast(gone) if few else gone, docs[id_col] == gone["_gone"], "left_anti")

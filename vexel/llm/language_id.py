@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bucket_of, pick
+from .common import bucket_of, pick, stored
 
 LANE = 512  #: code points that are parsed in one go; a text is all its lanes
 
@@ -221,3 +221,13 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     model = fit(rows.filter(bucket_of(F.col("doc_id"), modulus) != held))
     out = identify(rows, model)
     return out.select("doc_id", (bucket_of(F.col("doc_id"), modulus) == held).alias("held_out"), "lang_pred", "score")
+
+
+def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_broadcast_ids: int = 1_000_000) -> DataFrame:
+    """The rows of `docs` whose language is found, all columns as they are: those of `und` go.
+
+    Rejected ids leave by an anti join; their list is broadcast only if counted at `max_broadcast_ids` or less.
+    """
+    gone = stored(language_id(docs, id_col, text_col, lang_col).filter("lang_pred = 'und' and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct(), "unidentified")
+    few = gone.count() <= max_broadcast_ids
+    return docs.join(F.broadcast(gone) if few else gone, docs[id_col] == gone["_gone"], "left_anti")

@@ -17,8 +17,8 @@ from .components import components
 WIDTH = 5  #: words in a shingle
 BANDS, ROWS = 25, 5  #: of a pair at similarity 0.85, all bands miss with probability (1 - 0.85**5)**25 < 5e-7
 BITS = 256  #: of an odd sketch
-#: Pairs whose odd sketches estimate less than the threshold by this much are no candidates (over 4 deviations of 125 samples).
-MARGIN = 0.17
+#: Pairs whose odd sketches estimate less than the threshold by this much are no candidates (5 deviations of both samplings).
+MARGIN = 0.25
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _TIMES = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
