@@ -1,10 +1,6 @@
-"""All queries of the vector operators by name."""
+"""All queries of the library by name."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from . import cluster_queries, image_queries, index_queries, io_queries, learn_queries, vector_queries  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
