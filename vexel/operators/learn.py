@@ -1,0 +1,402 @@
+"""Supervised learners over (m, v, label).
+
+Training that depends on the order of rows runs as one seeded group on an executor (or one group for each class), never
+on the driver; its sample is bounded by `max_rows`, a stated parameter. Prediction is a pandas UDF with the model
+broadcast, so it scales with the rows.
+"""
+
+from __future__ import annotations
+
+import pickle
+from collections.abc import Callable
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .cluster import apply_scores, assign, gaussians, kmeans, log_scores
+from .linalg import principal_components
+
+BATCH = 32
+
+
+def softmax(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+
+
+def _sample(df: DataFrame, max_rows: int, seed: int) -> DataFrame:
+    """All rows if they are few enough, else `max_rows` of them by a hash of m: the same ones in every run."""
+    if df.count() <= max_rows:
+        return df
+    return df.orderBy(F.xxhash64(F.lit(seed), "m"), "m").limit(max_rows)
+
+
+def _fit(df: DataFrame, train: Callable[[np.ndarray, np.ndarray], object], max_rows: int, seed: int):
+    """train(data, labels) on one executor, over rows in the order of m."""
+    rows = _sample(df.select("m", "v", "label"), max_rows, seed)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("m")
+        return pd.DataFrame({"model": [pickle.dumps(train(np.stack(frame["v"].to_numpy()).astype(float), frame["label"].to_numpy(int)))]})
+
+    got = rows.groupBy().applyInPandas(run, "model binary").collect()
+    return pickle.loads(bytes(got[0]["model"])) if got else None
+
+
+# Softmax regression.
+@dataclass(frozen=True)
+class SoftmaxParams:
+    max_epoch: int = 20
+    rate: float = 0.5
+    penalty: str = "none"  # none, l1 or l2
+    strength: float = 0.0
+    auto_balance: bool = True
+
+
+@dataclass
+class Softmax:
+    weights: np.ndarray  # classes x elements, no bias
+
+    def probabilities(self, data: np.ndarray) -> np.ndarray:
+        return softmax(data @ self.weights.T)
+
+    def scores(self, data: np.ndarray) -> np.ndarray:
+        return data @ self.weights.T
+
+
+def train_softmax(data: np.ndarray, labels: np.ndarray, k: int, params: SoftmaxParams, seed: int = 11) -> Softmax:
+    """Mini-batches drawn with replacement; rows that are sure already (0.99) do not pull; the rate falls when errors rise."""
+    rng, m = np.random.default_rng(seed), len(data)
+    w = np.zeros((k, data.shape[1]))
+    counts = np.bincount(labels, minlength=k)
+    balance = (np.log(3 + counts.max()) / np.log(3 + counts)) ** 2 if params.auto_balance else np.ones(k)
+    size, slow, last = (BATCH if m > BATCH else 1), 1.0, np.inf
+    for epoch in range(params.max_epoch):
+        error = 0.0
+        for _ in range(max(1, m // BATCH)):
+            at = rng.integers(0, m, size)
+            x, y = data[at], labels[at]
+            p = softmax(x @ w.T)
+            own = p[np.arange(size), y]
+            error -= np.log(np.maximum(own, 1e-12)).sum()
+            p[np.arange(size), y] -= 1
+            pull = p * (balance[y] * (own < 0.99))[:, None]
+            rate = params.rate / slow
+            w -= rate * (pull.T @ x) / size
+            if params.penalty == "l2":
+                w *= 1 - rate * params.strength
+            elif params.penalty == "l1":
+                w = np.sign(w) * np.maximum(np.abs(w) - rate * params.strength / (1 + epoch), 0)
+        if error > last:
+            slow += 1
+        if slow >= 50 or error < 1e-7:
+            break
+        last = error
+    return Softmax(w)
+
+
+def softmax_regression(df: DataFrame, k: int, params: SoftmaxParams = SoftmaxParams(), seed: int = 11, max_rows: int = 200_000) -> Softmax:
+    return _fit(df, lambda data, labels: train_softmax(data, labels, k, params, seed), max_rows, seed)
+
+
+def kmeans_regression(df: DataFrame, k: int, params: SoftmaxParams = SoftmaxParams(), max_epoch: int = 5, seed: int = 11, max_rows: int = 200_000) -> Softmax:
+    """Clusters by regressors: k-means labels to start with, then a regressor and its own labels in turn until 0.1 % move."""
+    if not df.head(1):
+        return Softmax(np.zeros((k, 0)))
+    labelled = assign(df.select("m", "v"), kmeans(df, k, 50, seed).means).withColumn("label", F.col("cluster"))
+    model = softmax_regression(labelled, k, SoftmaxParams(10, params.rate, params.penalty, params.strength, True), seed, max_rows)
+    for epoch in range(max_epoch):
+        again = apply_scores(labelled.drop("cluster"), model.scores)
+        moved = again.agg(F.avg((F.col("cluster") != F.col("label")).cast("double"))).first()[0]
+        labelled = again.withColumn("label", F.col("cluster"))
+        model = softmax_regression(labelled, k, params, seed, max_rows)
+        if epoch and moved < 0.001:
+            break
+    return model
+
+
+# Confidence-weighted linear models (AROW), one against the rest.
+@dataclass
+class Arow:
+    weights: np.ndarray
+    bias: np.ndarray
+
+    def scores(self, data: np.ndarray) -> np.ndarray:
+        s = data @ self.weights.T + self.bias
+        return np.concatenate([s, -s], axis=1) if len(self.weights) == 1 else s
+
+
+def train_arow(data: np.ndarray, labels: np.ndarray, positive: int, r: float, epochs: int, seed: int) -> tuple[np.ndarray, float]:
+    rng = np.random.default_rng(seed + positive)
+    w, cov, b, cov_b = np.zeros(data.shape[1]), np.ones(data.shape[1]), 0.0, 1.0
+    for at in rng.integers(0, len(data), epochs * len(data)):
+        x, y = data[at], 1.0 if labels[at] == positive else -1.0
+        margin = y * (w @ x + b)
+        if margin < 1:
+            beta = 1 / (x @ (cov * x) + cov_b + r)
+            alpha = (1 - margin) * beta * y
+            w, b = w + alpha * cov * x, b + alpha * cov_b
+            cov, cov_b = 1 / (1 / cov + x * x / r), 1 / (1 / cov_b + 1 / r)
+    return w, b
+
+
+def arow(df: DataFrame, k: int, r: float = 0.1, epochs: int = 5, seed: int = 11, max_rows: int = 200_000) -> Arow:
+    """The classes are trained in parallel, each in a group of its own; of two classes one weight vector is enough."""
+    rows = _sample(df.select("m", "v", "label"), max_rows, seed)
+    wanted = [0] if k == 2 else list(range(k))
+    copies = rows.withColumn("positive", F.explode(F.array(*map(F.lit, wanted))))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("m")
+        w, b = train_arow(np.stack(frame["v"].to_numpy()).astype(float), frame["label"].to_numpy(int), int(frame["positive"].iloc[0]), r, epochs, seed)
+        return pd.DataFrame({"positive": [int(frame["positive"].iloc[0])], "w": [w.tolist()], "b": [b]})
+
+    got = copies.groupBy("positive").applyInPandas(run, "positive int, w array<double>, b double").orderBy("positive").collect()
+    return Arow(np.array([g["w"] for g in got]), np.array([g["b"] for g in got]))
+
+
+# Gaussian Bayes.
+@dataclass
+class Bayes:
+    models: list
+    npca: int = 0
+
+    def scores(self, data: np.ndarray) -> np.ndarray:
+        return log_scores(self.models, data, self.npca)
+
+
+def naive_bayes(df: DataFrame, k: int, npca: int = 0) -> Bayes:
+    """One full-covariance Gaussian for each label, all from one pass over the rows."""
+    return Bayes(gaussians(df, "label", k), npca)
+
+
+# Perceptron with one hidden layer.
+@dataclass
+class Mlp:
+    w1: np.ndarray
+    b1: np.ndarray
+    w2: np.ndarray
+    b2: np.ndarray
+    dropout: float = 0.0
+    noise: float = 0.0
+
+    def hidden(self, data: np.ndarray) -> np.ndarray:
+        return sigmoid((1 - self.noise) * (data @ self.w1) + self.b1 / BATCH)
+
+    def scores(self, data: np.ndarray) -> np.ndarray:
+        return (1 - self.dropout) * (self.hidden(data) @ self.w2) + self.b2
+
+    def probabilities(self, data: np.ndarray) -> np.ndarray:
+        return softmax(self.scores(data))
+
+    def regression(self, data: np.ndarray) -> np.ndarray:
+        return sigmoid(data @ self.w1 + self.b1 / BATCH) @ self.w2 + self.b2
+
+
+def new_mlp(data: np.ndarray, hidden: int, k: int, rng: np.random.Generator, dropout: float = 0.0, noise: float = 0.0) -> Mlp:
+    scale = 1 / (max(np.linalg.norm(data, axis=1).mean(), 1e-6) * np.sqrt(0.8 * (hidden + 1)))
+    n = data.shape[1]
+    return Mlp(rng.uniform(-1, 1, (n, hidden)) * scale, np.zeros(hidden), rng.uniform(-1, 1, (hidden, k)) / np.sqrt(hidden + 1), np.zeros(k), dropout, noise)
+
+
+def gaussian_blobs(height: int, width: int, depth: int, hidden: int, variance: float, rng: np.random.Generator) -> np.ndarray:
+    """Input weights shaped as a random blob on a height x width grid for each hidden unit."""
+    y, x = np.mgrid[0:height, 0:width]
+    out = np.zeros((height * width * depth, hidden))
+    for j in range(hidden):
+        cy, cx = rng.uniform(0, height), rng.uniform(0, width)
+        blob = np.exp(-((y - cy) ** 2 + (x - cx) ** 2) / (2 * variance))
+        out[:, j] = (blob[:, :, None] * rng.uniform(-1, 1, depth)).ravel()
+    return out
+
+
+def train_mlp(net: Mlp, data: np.ndarray, targets: np.ndarray, epochs: int, rate: float, rng: np.random.Generator, linear: bool = False) -> Mlp:
+    """Shuffled batches of 32 with momentum 0.9 and decay on the output layer; the last rows that fill no batch wait for another epoch."""
+    v = [np.zeros_like(x) for x in (net.w1, net.b1, net.w2, net.b2)]
+    size = min(BATCH, len(data))
+    for _ in range(epochs):
+        order = rng.permutation(len(data))
+        for at in range(0, len(order) - size + 1, size):
+            x, t = data[order[at : at + size]], targets[order[at : at + size]]
+            x = x * (rng.random(x.shape) >= net.noise) if net.noise else x
+            h = sigmoid(x @ net.w1 + net.b1 / BATCH)
+            h = h * (rng.random(h.shape) >= net.dropout) if net.dropout else h
+            out = h @ net.w2 + net.b2
+            delta = (out if linear else softmax(out)) - t
+            back = (delta @ net.w2.T) * h * (1 - h)
+            grads = (x.T @ back / size, back.mean(axis=0) / BATCH, h.T @ delta / size + 5e-4 * net.w2, delta.mean(axis=0))
+            for i, (name, g) in enumerate(zip(("w1", "b1", "w2", "b2"), grads)):
+                v[i] = 0.9 * v[i] - rate * g
+                setattr(net, name, getattr(net, name) + v[i])
+    return net
+
+
+def one_hot(labels: np.ndarray, k: int) -> np.ndarray:
+    """A row of zeros for a negative label."""
+    out = np.zeros((len(labels), k))
+    have = labels >= 0
+    out[np.flatnonzero(have), labels[have]] = 1
+    return out
+
+
+def mlp(df: DataFrame, k: int, hidden: int = 64, epochs: int = 50, rate: float = 0.1, dropout: float = 0.0, noise: float = 0.0, seed: int = 11, max_rows: int = 200_000, encoder: Dae | None = None) -> Mlp:
+    """A perceptron of the labels; `encoder` lends its weights to the input layer."""
+
+    def train(data: np.ndarray, labels: np.ndarray) -> Mlp:
+        rng = np.random.default_rng(seed)
+        net = new_mlp(data, encoder.w.shape[1] if encoder else hidden, k, rng, dropout, noise)
+        if encoder:
+            net.w1, net.b1 = encoder.w.copy(), encoder.b * BATCH
+        return train_mlp(net, data, one_hot(labels, k), epochs, rate, rng)
+
+    return _fit(df, train, max_rows, seed)
+
+
+def mlp_regression(df: DataFrame, target: str, hidden: int = 32, epochs: int = 100, rate: float = 0.05, seed: int = 11, max_rows: int = 200_000) -> Mlp:
+    """A perceptron with linear outputs for the array column `target`."""
+    rows = _sample(df.select("m", "v", F.col(target).alias("t")), max_rows, seed)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame, rng = frame.sort_values("m"), np.random.default_rng(seed)
+        data, t = (np.stack(frame[c].to_numpy()).astype(float) for c in ("v", "t"))
+        return pd.DataFrame({"model": [pickle.dumps(train_mlp(new_mlp(data, hidden, t.shape[1], rng), data, t, epochs, rate, rng, linear=True))]})
+
+    return pickle.loads(bytes(rows.groupBy().applyInPandas(run, "model binary").collect()[0]["model"]))
+
+
+@dataclass
+class Bagging:
+    """Several perceptrons; probabilities are averaged."""
+
+    nets: list
+
+    def scores(self, data: np.ndarray) -> np.ndarray:
+        return np.mean([net.probabilities(data) for net in self.nets], axis=0)
+
+
+# Denoising autoencoder with tied weights.
+@dataclass
+class Dae:
+    w: np.ndarray
+    b: np.ndarray
+    c: np.ndarray
+    linear: bool = False
+
+    def encode(self, data: np.ndarray) -> np.ndarray:
+        return sigmoid(data @ self.w + self.b)
+
+    def decode(self, hidden: np.ndarray) -> np.ndarray:
+        out = hidden @ self.w.T + self.c
+        return out if self.linear else sigmoid(out)
+
+
+def train_dae(data: np.ndarray, hidden: int, epochs: int, rate: float, noise: float, sparsity: float, linear: bool, seed: int) -> Dae:
+    rng, n = np.random.default_rng(seed), data.shape[1]
+    scale = 1 / (max(np.linalg.norm(data, axis=1).mean(), 1e-6) * np.sqrt(0.8 * (hidden + 1)))
+    net = Dae(rng.uniform(-1, 1, (n, hidden)) * scale, np.zeros(hidden), np.zeros(n), linear)
+    active = np.full(hidden, max(sparsity, 1e-3))
+    size = min(BATCH, len(data))
+    for _ in range(epochs):
+        order = rng.permutation(len(data))
+        for at in range(0, len(order) - size + 1, size):
+            x = data[order[at : at + size]]
+            bad = x * (rng.random(x.shape) >= noise)
+            h = net.encode(bad)
+            y = net.decode(h)
+            out = (y - x) if linear else (y - x) * y * (1 - y)
+            back = out @ net.w
+            if sparsity > 0:
+                active = 0.99 * active + 0.01 * h.mean(axis=0)
+                back = back + 0.25 * ((1 - sparsity) / np.maximum(1 - active, 1e-3) - sparsity / np.maximum(active, 1e-3))
+            back = back * h * (1 - h)
+            net.w -= rate * ((bad.T @ back + out.T @ h) / size + (5e-4 * net.w if sparsity > 0 else 0))
+            net.b -= rate * back.mean(axis=0)
+            net.c -= rate * out.mean(axis=0)
+    return net
+
+
+def dae(df: DataFrame, hidden: int, epochs: int = 30, rate: float = 0.1, noise: float = 0.2, sparsity: float = 0.0, linear: bool = True, seed: int = 11, max_rows: int = 200_000) -> Dae:
+    rows = df.select("m", "v", F.lit(0).alias("label"))
+    return _fit(rows, lambda data, _: train_dae(data, hidden, epochs, rate, noise, sparsity, linear, seed), max_rows, seed)
+
+
+# Large-margin metric learning.
+@dataclass
+class Metric:
+    matrix: np.ndarray
+
+    def project(self, data: np.ndarray) -> np.ndarray:
+        return data @ self.matrix.T
+
+
+def train_lmca(start: np.ndarray, data: np.ndarray, labels: np.ndarray, k: int, k_near: int, margin: float, push: float, rate: float, rounds: int, diagonal: bool = False) -> Metric:
+    """Pull the nearest rows of the same label, push nearer rows of others out of the margin; momentum 0.5, falling rate."""
+    L, old = start.copy(), np.zeros_like(start)
+    d = ((data[:, None] - data[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    same = labels[:, None] == labels[None]
+    pull = np.argsort(np.where(same, d, np.inf), axis=1)[:, :k]
+    pairs = [(i, j) for i in range(len(data)) for j in pull[i] if same[i, j] and i != j]
+    for step in range(rounds):
+        z = data @ L.T
+        dz = ((z[:, None] - z[None]) ** 2).sum(axis=2)
+        np.fill_diagonal(dz, np.inf)
+        near = np.argsort(dz, axis=1)[:, :k_near]
+        T = np.zeros((data.shape[1], data.shape[1]))
+        for i, j in pairs:
+            u = data[i] - data[j]
+            T += (1 - push) * np.outer(u, u)
+            for l in near[i]:
+                if labels[l] != labels[i] and dz[i, j] + margin > dz[i, l]:
+                    w = data[i] - data[l]
+                    T += push * (np.outer(u, u) - np.outer(w, w))
+        g = L @ (np.diag(np.diag(T)) if diagonal else T)
+        g *= 0.5 / max(np.abs(g).max(), 1e-12)
+        old = 0.5 * old + (rate - 0.5 * rate * step / max(rounds, 1)) * g
+        L = L - old
+        L /= max(np.linalg.norm(L, axis=1).max(), 1e-12)
+    return Metric(L)
+
+
+def lmca(df: DataFrame, dims: int, k: int = 3, k_near: int = 10, margin: float = 0.5, push: float = 0.5, rate: float = 0.1, rounds: int = 10, start: str = "pca", diagonal: bool = False, seed: int = 11, max_rows: int = 2_000) -> Metric:
+    """Distances of all pairs of the training rows are needed, so these are a bounded sample of `max_rows`."""
+    first = df.select("v").first()
+    n = len(first["v"]) if first else 0
+    if start == "pca":
+        matrix = principal_components(df, dims).vectors
+    elif start == "cov":
+        cov = principal_components(df).cov
+        matrix = cov[np.argsort(-np.linalg.norm(cov, axis=1), kind="stable")[:dims]]
+    elif start == "random":
+        matrix = np.random.default_rng(seed).normal(size=(dims, n))
+        matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    else:
+        matrix = np.eye(dims, n)
+    return _fit(df, lambda data, labels: train_lmca(matrix, data, labels, k, k_near, margin, push, rate, rounds, diagonal), max_rows, seed)
+
+
+def predict(df: DataFrame, model, out: str = "predicted") -> DataFrame:
+    """`df` with the best class of model.scores for each row."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    return apply_scores(df, lambda data: shared.value.scores(data), out)
+
+
+def transform(df: DataFrame, function: Callable[[np.ndarray], np.ndarray], out: str = "v") -> DataFrame:
+    """`df` with function(rows) as a vector column: encodings, projections, probabilities, hidden layers."""
+
+    @F.pandas_udf("array<double>")
+    def run(v: pd.Series) -> pd.Series:
+        return pd.Series(list(function(np.stack(v.to_numpy()).astype(float))) if len(v) else [], dtype=object)
+
+    return df.withColumn(out, run("v"))
+
+
+def accuracy(df: DataFrame, predicted: str = "predicted", label: str = "label") -> float:
+    return float(df.agg(F.avg((F.col(predicted) == F.col(label)).cast("double"))).first()[0])

@@ -1 +1,151 @@
-"""Queries."""
+"""Queries of clustering and of hierarchical quantisers."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import vec
+from ..operators import cluster, learn, tree
+from .registry import query
+from .vector_queries import E, vectors
+
+K = 8
+_D2 = "list_sum(list_transform(range(1, 65), lambda i: (a.v[i] - c.v[i]) * (a.v[i] - c.v[i])))"
+_ASSIGNED = f"{E}, d as (select a.m, a.label, c.m as cluster, {_D2} as d2 from e a, e c where c.m < {K}), s as (select m, any_value(label) as label, arg_min(cluster, (d2, cluster))::int as cluster, min(d2) as d2 from d group by m)"
+
+
+def first_rows(df: DataFrame, k: int = K) -> np.ndarray:
+    return np.array([r["v"] for r in df.filter(F.col("m") < k).orderBy("m").collect()], float)
+
+
+def blobs(spark: SparkSession, k: int = 4, each: int = 200, n: int = 8) -> DataFrame:
+    """(m, v, label): well separated groups with a spread that is a fixed function of m and n."""
+    noise = lambda i: F.pmod(F.xxhash64(F.lit(3), F.col("id"), i), F.lit(10_001)).cast("double") / 10_000.0 - 0.5
+    label = (F.col("id") % k).cast("int")
+    return spark.range(k * each).select(F.col("id").alias("m"), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(i % k == F.col("id") % k, 2.0).otherwise(0.0) + noise(i)).alias("v"), label.alias("label"))
+
+
+def told(spark: SparkSession, got: cluster.Clusters) -> DataFrame:
+    rows = [(i, int(c), got.error, got.epochs, m.tolist()) for i, (c, m) in enumerate(zip(got.counts, got.means))]
+    return spark.createDataFrame(rows, "cluster int, count bigint, error double, epochs int, mean array<double>")
+
+
+@query(f"with {_ASSIGNED} select m, cluster, round(d2, 6) as d2 from s")
+def kmeans_assign(spark, sf_dir):
+    """Each vector's nearest of the first eight."""
+    rows = vectors(spark, sf_dir)
+    return cluster.assign(rows, first_rows(rows)).select("m", "cluster", F.round("d2", 6).alias("d2"))
+
+
+@query(f"with {_ASSIGNED} select cluster, n::int as n, count(*) as count, round(avg(v[n + 1]), 6) + 0.0 as mean from s join e using (m), range(64) t(n) group by cluster, n")
+def kmeans_one_step(spark, sf_dir):
+    """Means after one pass."""
+    rows = vectors(spark, sf_dir)
+    got = cluster.one_pass(rows, first_rows(rows))
+    cells = [(i, n, int(c), float(x / c)) for i, (c, s) in enumerate(zip(got.counts, got.sums)) if c for n, x in enumerate(s)]
+    return spark.createDataFrame(cells, "cluster int, n int, count bigint, mean double").withColumn("mean", F.round(F.col("mean") + 0.0, 6))
+
+
+@query(f"with {_ASSIGNED}, c as (select cluster, label, count(*) as c from s group by cluster, label) select round(sum(most) / sum(al), 6) as purity from (select max(c) as most, sum(c) as al from c group by cluster)")
+def kmeans_purity(spark, sf_dir):
+    from ..operators import agg
+
+    rows = vectors(spark, sf_dir)
+    return agg.purity(cluster.assign(rows, first_rows(rows))).select(F.round("purity", 6).alias("purity"))
+
+
+@query()
+def kmeans(spark, sf_dir):
+    return told(spark, cluster.kmeans(vectors(spark, sf_dir), 10, 20))
+
+
+@query()
+def kmeans_init_dist(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    return told(spark, cluster.lloyd(rows, cluster.seed_farthest(rows, 6), 10))
+
+
+@query()
+def kmeans_init_rand(spark, sf_dir):
+    return told(spark, cluster.lloyd(vectors(spark, sf_dir), cluster.seed_random(6, 64), 10))
+
+
+@query()
+def lbgu(spark, sf_dir):
+    return told(spark, cluster.lbgu(vectors(spark, sf_dir), 6, 10, 3))
+
+
+@query()
+def xmeans(spark, sf_dir):
+    return told(spark, cluster.xmeans(blobs(spark), 8, 10))
+
+
+@query()
+def knb(spark, sf_dir):
+    """Clusters of Gaussians."""
+    rows = blobs(spark)
+    models = cluster.gaussian_clusters(rows, 4)
+    return cluster.apply_scores(rows, lambda data: cluster.log_scores(models, data)).groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query()
+def klr(spark, sf_dir):
+    """Clusters of softmax regressors."""
+    rows = blobs(spark)
+    return cluster.apply_scores(rows, learn.kmeans_regression(rows, 4, max_epoch=2).scores).groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query()
+def som(spark, sf_dir):
+    units = cluster.som(vectors(spark, sf_dir), 3, 4, 6)
+    return spark.createDataFrame([(i // 4, i % 4, u.tolist()) for i, u in enumerate(units)], "row int, col int, v array<double>")
+
+
+@query()
+def plsi(spark, sf_dir):
+    """Two planted topics: words of a document's own half come far more often."""
+    counts = spark.range(40 * 30).select((F.col("id") / 30).cast("int").alias("d"), (F.col("id") % 30).cast("int").alias("w"))
+    counts = counts.withColumn("n", F.when((F.col("d") < 20) == (F.col("w") < 15), 5.0).otherwise(0.2))
+    got = cluster.plsi(counts, 2)
+    return spark.createDataFrame([(w, *map(float, row)) for w, row in enumerate(got.w)], "w int, z0 double, z1 double")
+
+
+def _leaves(df: DataFrame, own: tree.Tree) -> DataFrame:
+    return tree.label(df, own).groupBy("leaf").agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg("dist"), 6).alias("dist"))
+
+
+@query()
+def kmeans_tree(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    return _leaves(rows, tree.kmeans_tree(rows, [4, 2], 5))
+
+
+@query()
+def kmeans_tree_beam(spark, sf_dir):
+    """Leaves with the two best parents tried, in a tree that inherits its first level."""
+    rows = vectors(spark, sf_dir)
+    base = tree.kmeans_tree(rows, [3], 5)
+    own = tree.kmeans_tree(rows, [3, 2], 5, base=base)
+    return tree.label(rows, own, beam=2).select("m", "leaf", F.round("dist", 6).alias("dist"))
+
+
+@query()
+def pca_kmeans_tree(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    return _leaves(rows, tree.pca_kmeans_tree(rows, [3, 2], 8, 5))
+
+
+@query()
+def klr_tree(spark, sf_dir):
+    rows = blobs(spark)
+    own = tree.regression_tree(rows, [2, 2], learn.SoftmaxParams(5), 1)
+    return tree.label(rows, own).groupBy("leaf", "label").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("select i as m, i // 4 as parent, i % 4 as child, (i // 4) * 4 + i % 4 as leaf from range(16) t(i)")
+def tree_paths(spark, sf_dir):
+    """A leaf is its path in mixed radix."""
+    m = F.col("id")
+    return spark.range(16).select(m.alias("m"), vec.row_of(m, 4).alias("parent"), vec.col_of(m, 4).alias("child"), vec.index_of(vec.row_of(m, 4), vec.col_of(m, 4), 4).alias("leaf"))

@@ -1 +1,111 @@
-"""Queries."""
+"""Queries of the learners, on separated groups and on the embeddings table."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import vec
+from ..operators import cluster, learn
+from .cluster_queries import blobs
+from .registry import query
+from .vector_queries import E, vectors
+
+
+def _scored(rows: DataFrame, model) -> DataFrame:
+    """(label, predicted, rows)."""
+    return learn.predict(rows, model).groupBy("label", "predicted").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query(f"with {E} select label, count(*) as rows, round(ln(count(*) / sum(count(*)) over ()), 6) as log_prior from e group by label")
+def nb_priors(spark, sf_dir):
+    models = cluster.gaussians(vectors(spark, sf_dir), "label", 10)
+    total = sum(g.count for g in models if g)
+    return spark.createDataFrame([(i, g.count, round(float(np.log(g.count / total)), 6)) for i, g in enumerate(models) if g], "label int, rows bigint, log_prior double")
+
+
+@query(f"with {E} select label, n::int as n, round(avg(v[n + 1]), 6) + 0.0 as mean, round(var_samp(v[n + 1]), 6) as variance from e, range(64) t(n) group by label, n")
+def nb_class_stats(spark, sf_dir):
+    """Means and variances of each label, from one pass."""
+    models = cluster.gaussians(vectors(spark, sf_dir), "label", 10)
+    rows = [(i, n, float(u), float(s)) for i, g in enumerate(models) if g for n, (u, s) in enumerate(zip(g.mean, (g.vectors**2 * g.values[:, None]).sum(axis=0)))]
+    return spark.createDataFrame(rows, "label int, n int, mean double, variance double").select("label", "n", F.round(F.col("mean") + 0.0, 6).alias("mean"), F.round("variance", 6).alias("variance"))
+
+
+@query()
+def nb(spark, sf_dir):
+    rows = blobs(spark)
+    return _scored(rows, learn.naive_bayes(rows, 4, npca=8))
+
+
+@query()
+def gaussian_density(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    model = cluster.gaussians(rows, "label", 10)[0]
+    return learn.transform(rows, lambda data: model.log_density(data, 0, 16)[:, None], "log_density").select("m", F.round(F.col("log_density")[0], 6).alias("log_density"))
+
+
+@query()
+def lr(spark, sf_dir):
+    rows = blobs(spark)
+    return _scored(rows, learn.softmax_regression(rows, 4))
+
+
+@query()
+def lr_probability(spark, sf_dir):
+    rows = blobs(spark)
+    model = learn.softmax_regression(rows, 4, learn.SoftmaxParams(10, penalty="l2", strength=1e-4))
+    return learn.transform(rows, model.probabilities, "p").select("m", vec.argmax("p").alias("label"), F.round(vec.maximum("p"), 6).alias("p"))
+
+
+@query()
+def arow(spark, sf_dir):
+    rows = blobs(spark)
+    return _scored(rows, learn.arow(rows, 4))
+
+
+@query()
+def mlp(spark, sf_dir):
+    rows = blobs(spark)
+    return _scored(rows, learn.mlp(rows, 4, hidden=16, epochs=15, dropout=0.1, noise=0.1))
+
+
+@query()
+def mlp_bagging(spark, sf_dir):
+    rows = blobs(spark)
+    return _scored(rows, learn.Bagging([learn.mlp(rows, 4, hidden=8, epochs=8, seed=s) for s in (1, 2)]))
+
+
+@query()
+def mlp_hidden(spark, sf_dir):
+    rows = blobs(spark)
+    return learn.transform(rows, learn.mlp(rows, 4, hidden=8, epochs=5).hidden, "h").select("m", F.size("h").alias("n"), F.round(vec.total("h"), 6).alias("total"))
+
+
+@query()
+def mlp_regression(spark, sf_dir):
+    rows = blobs(spark).withColumn("t", F.array(vec.total("v"), vec.element("v", 0)))
+    model = learn.mlp_regression(rows, "t", hidden=16, epochs=30)
+    return learn.transform(rows, model.regression, "y").select("m", F.round(vec.euclidean("t", "y"), 6).alias("off"))
+
+
+@query()
+def dae(spark, sf_dir):
+    rows = blobs(spark)
+    model = learn.dae(rows, 6, epochs=20)
+    return learn.transform(rows, lambda data: model.decode(model.encode(data)), "y").select("m", F.round(vec.euclidean("v", "y"), 6).alias("off"))
+
+
+@query()
+def dae_mlp(spark, sf_dir):
+    """A perceptron whose input layer begins as an autoencoder's."""
+    rows = blobs(spark)
+    return _scored(rows, learn.mlp(rows, 4, epochs=15, encoder=learn.dae(rows, 12, epochs=10, sparsity=0.1)))
+
+
+@query()
+def lmca(spark, sf_dir):
+    rows = blobs(spark, each=40)
+    model = learn.lmca(rows, 3, rounds=4)
+    return learn.transform(rows, model.project).select("m", F.size("v").alias("n"), F.round(vec.norm("v"), 6).alias("norm"))
