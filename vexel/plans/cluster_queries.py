@@ -79,7 +79,7 @@ def lbgu(spark, sf_dir):
 
 @query()
 def xmeans(spark, sf_dir):
-    return told(spark, cluster.xmeans(blobs(spark), 8, 10))
+    return told(spark, cluster.xmeans(blobs(spark), 6, 5))
 
 
 @query()

@@ -1 +1,198 @@
-"""Queries."""
+"""Queries of image operators, on pixels of a fixed integer formula (the same in SQL)."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..operators import image, keypoint
+from ..streaming import background
+from .registry import QUERIES, SQL, query, table
+
+ROWS, COLS, IMAGES = 24, 32, 4
+P = f"p as (select i as image_id, y as row, x as col, ((y * 7 + x * 13 + i * 5) % 256)::double as b, ((y * 3 + x * 29 + i * 11) % 256)::double as g, ((y * 17 + x * 5 + i * 3) % 256)::double as r from range({IMAGES}) a(i), range({ROWS}) b(y), range({COLS}) c(x)), q as (select *, b * 0.11 + g * 0.59 + r * 0.30 as k from p)"
+
+
+def pixels(spark: SparkSession) -> DataFrame:
+    """(image_id, row, col, b, g, r)."""
+    i, y, x = (F.col("id") / (ROWS * COLS)).cast("bigint"), (F.col("id") % (ROWS * COLS) / COLS).cast("bigint"), F.col("id") % COLS
+    rows = spark.range(IMAGES * ROWS * COLS).select(i.alias("image_id"), y.alias("row"), x.alias("col"))
+    level = lambda a, b, c: ((F.col("row") * a + F.col("col") * b + F.col("image_id") * c) % 256).cast("double")
+    return rows.select("image_id", "row", "col", level(7, 13, 5).alias("b"), level(3, 29, 11).alias("g"), level(17, 5, 3).alias("r"))
+
+
+def images(spark: SparkSession) -> DataFrame:
+    return image.to_images(pixels(spark), ["b", "g", "r"])
+
+
+def cells(df: DataFrame) -> DataFrame:
+    out = image.to_pixels(df)
+    return out.select("image_id", F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"), F.col("channel").cast("bigint").alias("channel"), F.round(F.col("x") + 0.0, 6).alias("x"))
+
+
+def _kernel(name: str, kernel: Callable[[np.ndarray], np.ndarray], sql: str | None) -> None:
+    """`sql` gives (image_id, row, col, channel, x)."""
+    QUERIES[name] = lambda spark, sf_dir: cells(image.apply(images(spark), kernel))
+    if sql:
+        SQL[name] = f"with {P} select image_id, row, col, channel::bigint as channel, round(x, 6) + 0.0 as x from ({sql})"
+
+
+_three = "case ch when 0 then b when 1 then g else r end"
+
+
+def _around(value: str, reach: int, inside: str = "true", source: str = "q") -> str:
+    """Each pixel with those around it, inside the image."""
+    return f"select c.image_id, c.row, c.col, 0 as channel, {value} as x from {source} c join {source} o on o.image_id = c.image_id and abs(o.row - c.row) <= {reach} and abs(o.col - c.col) <= {reach} where {inside} group by c.image_id, c.row, c.col"
+
+
+_kernel("gray", image.gray, "select image_id, row, col, 0 as channel, k as x from q")
+_kernel("flip_x", image.flip_x, f"select image_id, {COLS - 1} - col as col, row, ch as channel, {_three} as x from p, range(3) t(ch)")
+_kernel("flip_y", image.flip_y, f"select image_id, {ROWS - 1} - row as row, col, ch as channel, {_three} as x from p, range(3) t(ch)")
+_kernel("crop", lambda a: image.crop(a, 16, 20, 12, 16), f"select i as image_id, y as row, x_ as col, ch as channel, coalesce({_three}, 0) as x from range({IMAGES}) a(i) cross join range(12) b(y) cross join range(16) c(x_) cross join range(3) t(ch) left join p on p.image_id = i and p.row = y + 16 and p.col = x_ + 20")
+_kernel("erode", lambda a: image.erode(image.gray(a)[:, :, None]), _around("min(o.k)", 1))
+_kernel("dilate", lambda a: image.dilate(image.gray(a)[:, :, None]), _around("max(o.k)", 1))
+_kernel("morph_open", lambda a: image.morph_open(image.gray(a)[:, :, None]), _around("max(o.x)", 1, source="(" + _around("min(o.k)", 1) + ")"))
+_kernel("morph_close", lambda a: image.morph_close(image.gray(a)[:, :, None]), _around("min(o.x)", 1, source="(" + _around("max(o.k)", 1) + ")"))
+_kernel("integral", lambda a: image.integral(image.gray(a)[:, :, None]), f"select i as image_id, y as row, x_ as col, 0 as channel, coalesce(sum(k), 0) as x from range({IMAGES}) a(i) cross join range({ROWS + 1}) b(y) cross join range({COLS + 1}) c(x_) left join q on q.image_id = i and q.row < y and q.col < x_ group by i, y, x_")
+_kernel("integral_tilted", lambda a: image.integral_tilted(image.gray(a)[:, :, None]), f"select i as image_id, y as row, x_ as col, 0 as channel, coalesce(sum(k), 0) as x from range({IMAGES}) a(i) cross join range({ROWS + 1}) b(y) cross join range({COLS + 1}) c(x_) left join q on q.image_id = i and q.row < y and q.col >= x_ - 1 - (y - 1 - q.row) and q.col < x_ + (y - 1 - q.row) group by i, y, x_")
+_pool = lambda f: f"select image_id, y as row, x_ as col, 0 as channel, {f} as x from q, range({ROWS // 4}) a(y), range({COLS // 4}) b(x_) where q.row between y * 4 and y * 4 + 5 and q.col between x_ * 4 and x_ * 4 + 5 group by image_id, y, x_"
+_kernel("max_pool", lambda a: image.max_pooling(image.gray(a)[:, :, None], 6, 4), _pool("greatest(max(k), 0)"))
+_kernel("avg_pool", lambda a: image.average_pooling(image.gray(a)[:, :, None], 6, 4), _pool("avg(k)"))
+_edge = f"c.row between 1 and {ROWS - 2} and c.col between 1 and {COLS - 2}"
+
+
+def _laplacian(name: str, kernel: np.ndarray, weight: str) -> None:
+    value = f"least(greatest(sum({weight} * o.k), 0) * 0.5, 255)"
+    whole = f"select q.image_id, q.row, q.col, 0 as channel, coalesce(e.x, 0) as x from q left join ({_around(value, 1, _edge)}) e using (image_id, row, col)"
+    _kernel(name, lambda a: image.laplacian(a, kernel, 0.5), whole)
+
+
+_laplacian("laplacian1", image.LAPLACIAN4, "(case when o.row = c.row and o.col = c.col then -4 when o.row = c.row or o.col = c.col then 1 else 0 end)")
+_laplacian("laplacian2", image.LAPLACIAN8, "(case when o.row = c.row and o.col = c.col then -8 else 1 end)")
+_laplacian("laplacian3", image.LAPLACIAN_DIAGONAL, "(case when o.row = c.row and o.col = c.col then -4 when o.row = c.row or o.col = c.col then 2 else -1 end)")
+_inner = f"c.row between 2 and {ROWS - 3} and c.col between 2 and {COLS - 3}"
+_weights = "exp(-((o.row - c.row) * (o.row - c.row) + (o.col - c.col) * (o.col - c.col)) / 2.0)"
+_kernel("gauss5x5", lambda a: image.gaussian5x5(image.gray(a)[:, :, None]), f"select q.image_id, q.row, q.col, 0 as channel, coalesce(e.x, k) as x from q left join ({_around(f'sum({_weights} * o.k) / sum({_weights})', 2, _inner)}) e using (image_id, row, col)")
+_kernel("resize", lambda a: image.resize(a, 12, 16), f"select image_id, row / 2 as row, col / 2 as col, ch as channel, {_three} as x from p, range(3) t(ch) where row % 2 = 0 and col % 2 = 0".replace("row / 2", "row // 2").replace("col / 2", "col // 2"))
+_kernel("hist_eq", lambda a: image.equalize(a, 1), "select image_id, row, col, 0 as channel, least(greatest((share - low) * 255 / (1 - low), 0), 255) as x from (select *, count(*) over (partition by image_id order by floor(g))::double / count(*) over (partition by image_id) as share, first_value(n0) over (partition by image_id order by floor(g)) as low from (select *, count(*) over (partition by image_id, floor(g))::double / count(*) over (partition by image_id) as n0 from p))")
+_kernel("contrast_sigmoid", lambda a: image.contrast_sigmoid(a, 0.5, 2), None)
+_kernel("laplacian_binary", lambda a: image.laplacian(a, image.LAPLACIAN8, 0.0), None)
+_kernel("crop_resize", lambda a: image.crop_resize(a, 4, 4, 12, 12, 20, 20), None)
+
+
+# Relational forms.
+@query(f"with {P}, w as (select image_id, row, col, k, sum(k) over (partition by image_id, row order by col) as s from q) select image_id, row, col, round(sum(s) over (partition by image_id, col order by row), 6) as x from w")
+def integral_windows(spark, sf_dir):
+    """Summed areas by two running sums: windows of a row, then of a column."""
+    k = image.gray_of(F.col("b"), F.col("g"), F.col("r"))
+    across, down = Window.partitionBy("image_id", "row").orderBy("col"), Window.partitionBy("image_id", "col").orderBy("row")
+    out = pixels(spark).withColumn("s", F.sum(k).over(across))
+    return out.select("image_id", "row", "col", F.round(F.sum("s").over(down), 6).alias("x"))
+
+
+_HSV = f"with {P}, m as (select *, greatest(b, g, r) as hi, least(b, g, r) as lo from p), h as (select *, hi - lo as w, case when hi = lo then 0 when hi = r then (g - b) / (hi - lo) * 60 when hi = g then (b - r) / (hi - lo) * 60 + 120 else (r - g) / (hi - lo) * 60 + 240 end as hue from m) select image_id, row, col, round(case when hue < 0 then hue + 360 else hue end, 6) as h, round(case when hi = 0 then 0 else w / hi * 255 end, 6) as s, round(hi, 6) as v from h"
+
+
+@query(_HSV)
+def hsv(spark, sf_dir):
+    out = pixels(spark).withColumn("p", image.hsv_of(F.col("b"), F.col("g"), F.col("r")))
+    return out.select("image_id", "row", "col", *(F.round(F.col(f"p.{c}") + 0.0, 6).alias(c) for c in "hsv"))
+
+
+@query(f"with {P} select image_id, row, col, round(b, 4) as b, round(g, 4) as g, round(r, 4) as r from p")
+def hsv_round_trip(spark, sf_dir):
+    out = pixels(spark).withColumn("p", image.hsv_of(F.col("b"), F.col("g"), F.col("r"))).withColumn("p", image.bgr_of(F.col("p.h"), F.col("p.s"), F.col("p.v")))
+    return out.select("image_id", "row", "col", *(F.round(F.abs(F.col(f"p.{c}")), 4).alias(c) for c in "bgr"))
+
+
+@query(f"with {P} select image_id, row, col, floor((r + g + b) / 3) as c1, floor((r + 255 - b) / 2) as c2, floor((r + 2 * (255 - g) + b) / 4) as c3 from p")
+def euclid_color(spark, sf_dir):
+    out = pixels(spark).withColumn("p", image.opponent_of(F.col("b"), F.col("g"), F.col("r")))
+    return out.select("image_id", "row", "col", "p.c1", "p.c2", "p.c3")
+
+
+@query(f"with {P} select count(*) as pixels, 0 as off from p")
+def euclid_color_round_trip(spark, sf_dir):
+    """How many pixels come back off by more than the rounding allows (9 levels)."""
+    out = pixels(spark).withColumn("p", image.opponent_of(F.col("b"), F.col("g"), F.col("r"))).withColumn("q", image.bgr_of_opponent(F.col("p.c1"), F.col("p.c2"), F.col("p.c3")))
+    off = F.greatest(*(F.abs(F.col(c) - F.col(f"q.{c}")) for c in "bgr")) > 9
+    return out.agg(F.count(F.lit(1)).alias("pixels"), F.sum(off.cast("int")).alias("off"))
+
+
+@query(f"with {P} select image_id, row, col, round(greatest(least(tan(radians(60)) * (floor(g) - 127) + 127, 255), 0), 6) as x from p")
+def contrast(spark, sf_dir):
+    return pixels(spark).select("image_id", "row", "col", F.round(image.contrast_of(F.col("g"), 60.0), 6).alias("x"))
+
+
+@query(f"with {P}, w as (select image_id, y, x_, i, j, ch from (select distinct image_id from p), range({ROWS - 8}) a(y), range({COLS - 8}) b(x_), range(8) c(i), range(8) d(j), range(3) t(ch)) select w.image_id, y as row, x_ as col, round(sum({_three}), 6) as total from w join p on p.image_id = w.image_id and p.row = y + i and p.col = x_ + j group by w.image_id, y, x_")
+def patch_extract(spark, sf_dir):
+    from ..functions import vec
+
+    return image.patches(images(spark), 8).select("image_id", F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"), F.round(vec.total("v"), 6).alias("total"))
+
+
+@query()
+def ccv(spark, sf_dir):
+    """Colour coherence with four centroids."""
+    centroids = np.array([[0, 0, 0], [255, 0, 0], [0, 255, 0], [0, 0, 255]], float)
+    return image.vector_of(images(spark), lambda a: image.colour_coherence(a, centroids))
+
+
+@query()
+def rectangle_feature(spark, sf_dir):
+    return image.vector_of(images(spark), image.rectangle_feature).select("image_id", F.size("v").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+def blob_images(spark: SparkSession, size: int = 96) -> DataFrame:
+    """Bright and dark discs on gray."""
+    y, x = (F.col("id") % (size * size) / size).cast("int"), (F.col("id") % size).cast("int")
+    i = (F.col("id") / (size * size)).cast("int")
+    disc = lambda cy, cx, r: (y - cy) * (y - cy) + (x - cx) * (x - cx) <= r * r
+    level = F.when(disc(30, 30 + i * 6, 6), 255.0).when(disc(66, 62, 8), 0.0).when(disc(28, 70, 5), 230.0).otherwise(128.0)
+    rows = spark.range(2 * size * size).select(i.alias("image_id"), y.alias("row"), x.alias("col"), level.alias("k"))
+    return image.to_images(rows, ["k"])
+
+
+def _points(df: DataFrame) -> DataFrame:
+    return df.select("image_id", "k", "y", "x", "radius", "level", F.round("response", 6).alias("response"), F.round("orientation", 6).alias("orientation"), F.size("desc").alias("n"))
+
+
+@query()
+def keypoints(spark, sf_dir):
+    return _points(keypoint.keypoints(blob_images(spark)))
+
+
+@query()
+def keypoints_rectangle(spark, sf_dir):
+    return _points(keypoint.keypoints(blob_images(spark), keypoint.Params(descriptor="rectangle", min_radius=8.0)))
+
+
+@query()
+def keypoints_dense(spark, sf_dir):
+    return _points(keypoint.keypoints(blob_images(spark), grid=[(8.0, 4, 4), (16.0, 2, 2)]))
+
+
+@query()
+def keypoint_matches(spark, sf_dir):
+    """Keypoints of one image that another has as well."""
+    got = keypoint.keypoints(blob_images(spark)).withColumn("id", (F.col("image_id") * 10_000 + F.col("k")).cast("bigint"))
+    return keypoint.matches(got.filter("image_id = 1").select(F.col("id").alias("qid"), F.col("desc").alias("v")), got.filter("image_id = 0").select(F.col("id").alias("m"), F.col("desc").alias("v")))
+
+
+# Background model.
+@query("with f as (select user_id % 8 as camera_id, row_number() over (partition by user_id % 8 order by ts, event_id) - 1 as frame_no, value from events) select camera_id, round(avg(value), 6) as mean, round(avg(sqrt(2) * abs(value - m)), 6) as amplitude, count(*) as frames from (select *, avg(value) over (partition by camera_id) as m from f) group by camera_id")
+def bgseg_train(spark, sf_dir):
+    """Mean and amplitude of one-pixel frames."""
+    out = background.train(background.frames_of_events(table(spark, sf_dir, "events")))
+    return out.select("camera_id", F.round(F.col("mean")[0], 6).alias("mean"), F.round(F.col("amplitude")[0], 6).alias("amplitude"), "frames")
+
+
+@query()
+def bgseg_fold(spark, sf_dir):
+    """The model run over every camera's frames in order: how often a pixel was foreground."""
+    frames = background.frames_of_events(table(spark, sf_dir, "events"))
+    masks = background.segment(frames, background.train(frames))
+    return masks.groupBy("camera_id").agg(F.count(F.lit(1)).alias("frames"), F.sum(F.col("mask")[0]).alias("foreground"))

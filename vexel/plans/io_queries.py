@@ -1 +1,86 @@
-"""Queries."""
+"""Queries of the file formats: everything is written to the shared scratch folder and read back."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..functions import vec
+from ..operators import cluster, learn
+from ..scratch import scratch_dir
+from ..sources import matrix
+from .registry import query
+from .vector_queries import E, vectors
+
+_SUMS = f"with {E} select m, 64 as n, round(list_sum(v), 4) as total from e"
+
+
+def _place(spark, name: str) -> str:
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _sums(df):
+    return df.select("m", F.size("v").alias("n"), F.round(vec.total("v") + 0.0, 4).alias("total"))
+
+
+@query(f"with {E} select m, round(printf('%e', v[1])::double, 5) + 0.0 as first, round(printf('%e', v[64])::double, 5) + 0.0 as last from e")
+def matrix_text(spark, sf_dir):
+    path = _place(spark, "text")
+    matrix.write_text(vectors(spark, sf_dir), path)
+    return matrix.read_text(spark, path).select("m", F.round(vec.element("v", 0) + 0.0, 5).alias("first"), F.round(vec.element("v", 63) + 0.0, 5).alias("last"))
+
+
+@query("select 1::bigint as list, count(*) as m, 64::bigint as n, 1::bigint as rows, count(*) as cols from embeddings")
+def matrix_header(spark, sf_dir):
+    path = _place(spark, "header")
+    matrix.write_text(vectors(spark, sf_dir), path)
+    return matrix.read_header(spark, path)
+
+
+@query(f"with {E} select m, n::int as n, round(printf('%e', v[n + 1])::double, 5) + 0.0 as x from e, range(64) t(n) where m < 11")
+def matrix_string(spark, sf_dir):
+    """Eleven vectors as one string and back."""
+    back = matrix.deserialize(matrix.serialize(vectors(spark, sf_dir).filter("m < 11")))
+    return back.select("m", F.posexplode("v").alias("n", "x")).select("m", "n", F.round(F.col("x") + 0.0, 5).alias("x"))
+
+
+@query(f"with {E} select (m // 100)::int as array_index, m % 100 as m, round(v[3], 5) + 0.0 as x from e")
+def matrix_binary(spark, sf_dir):
+    """Arrays of a hundred vectors as bytes and back."""
+    rows = vectors(spark, sf_dir).select((F.col("m") / 100).cast("int").alias("array_index"), "m", "v")
+    made = matrix.binary_of(rows).select(F.col("array_index").cast("string").alias("path"), "content")
+    return matrix.parse_binary(made).select(F.col("path").cast("int").alias("array_index"), "m", F.round(vec.element("v", 2) + 0.0, 5).alias("x"))
+
+
+@query(f"with {E} select label, count(*) as rows, round(sum(v[1]), 3) + 0.0 as first from e group by label")
+def libsvm(spark, sf_dir):
+    path = _place(spark, "libsvm")
+    matrix.write_libsvm(vectors(spark, sf_dir), path)
+    return matrix.read_libsvm(spark, path).groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum(vec.element("v", 0)) + 0.0, 3).alias("first"))
+
+
+@query()
+def model_round_trip(spark, sf_dir):
+    """A trained model saved, loaded and asked again: how many rows get another answer."""
+    from .cluster_queries import blobs
+
+    rows, path = blobs(spark), _place(spark, "model")
+    model = learn.softmax_regression(rows, 4)
+    matrix.save_model(spark, model, path)
+    again = matrix.load_model(spark, learn.Softmax, path)
+    both = learn.predict(learn.predict(rows, model, "a"), again, "b")
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.sum((F.col("a") != F.col("b")).cast("int")).alias("other"))
+
+
+@query()
+def model_parts(spark, sf_dir):
+    """The rows that a mixture of Gaussians is saved as."""
+    path = _place(spark, "gaussians")
+    matrix.save_model(spark, learn.Bayes(cluster.gaussians(vectors(spark, sf_dir), "label", 10)), path)
+    return spark.read.parquet(path)
+
+
+@query(f"with {E} select count(*) as lines, count(*) filter (m >= 0) as vectors from (select m from e union all select -1)")
+def stream_lines(spark, sf_dir):
+    return matrix.stream_lines(vectors(spark, sf_dir)).agg(F.count(F.lit(1)).alias("lines"), F.sum((F.col("line_no") >= 0).cast("bigint")).alias("vectors"))
