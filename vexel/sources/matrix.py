@@ -62,7 +62,7 @@ def serialize(df: DataFrame) -> DataFrame:
 def deserialize(df: DataFrame, s: str = "s") -> DataFrame:
     """(m, v) of each such string; of a malformed one no row."""
     pattern = r"^\s*<\s*(\d+)\s+(\d+)\s+(\d+)\s+(\d+)\s+(\d+)\s*:\s*(.*?)\s*>\s*$"
-    parsed = df.select(F.col(s).alias("s")).filter(F.col("s").rlike(pattern)).select(*(F.regexp_extract("s", pattern, i).cast("int").alias(name) for i, name in ((2, "m_"), (3, "n_"))), F.split(F.regexp_extract("s", pattern, 6), r"\s+").alias("x"))
+    parsed = df.select(F.col(s).alias("s")).filter(F.col("s").rlike(pattern)).select(*(F.regexp_extract("s", pattern, i).try_cast("int").alias(name) for i, name in ((2, "m_"), (3, "n_"))), F.split(F.regexp_extract("s", pattern, 6), r"\s+").alias("x"))
     parsed = parsed.withColumn("x", F.transform("x", lambda x: x.try_cast("double"))).filter((F.size("x") == F.col("m_") * F.col("n_")) & ~F.exists("x", lambda x: x.isNull()))
     return parsed.filter("m_ > 0").select(F.posexplode(F.transform(F.sequence(F.lit(0), F.col("m_") - 1), lambda i: F.slice("x", i * F.col("n_") + 1, F.col("n_")))).alias("m", "v")).select(F.col("m").cast("bigint").alias("m"), "v")
 
