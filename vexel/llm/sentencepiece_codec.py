@@ -121,11 +121,12 @@ def normalise(text: bytes, charmap: CharacterMap, dummy_prefix: bool, squeeze: b
 
 @dataclass
 class Codec:
-    """A BPE model with its own normaliser, merges and byte fallback.
+    """A BPE model with its own normaliser and record of sources, merges and byte fallback.
 
-    No piece has a U+2581 behind another character, so no merge crosses such a place; text is cut there and each
-    distinct segment is merged once (`max_cached` of them are remembered, then the memory starts anew). Models that
-    break that rule are encoded uncut.
+    Where the model rewrites nothing but spaces, the library's ids are those of the recorded normal form, and the bytes
+    of each piece say where it stands in it. With a character map the normal form is merged here: no piece has a U+2581
+    behind another character, so no merge crosses such a place, text is cut there, and each distinct segment is merged
+    once (`max_cached` of them are remembered, then the memory starts anew).
     """
 
     path: str
@@ -155,9 +156,9 @@ class Codec:
         self.byte_ids = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(self.pieces, self.types)) if t == BYTE}
         self.unknown = self.types.index(UNKNOWN) if UNKNOWN in self.types else 0
         self.cut = not any(SPACE in p.lstrip(SPACE) for p in self.known)
-        # With only spaces to rewrite, a segment is what the library itself encodes for it.
-        self.plain = not self.charmap and not self.squeeze and self.dummy_prefix and self.cut
-        self.cache: dict[str, tuple[bytes, bytes, str]] = {}
+        self.plain = not self.charmap and not self.squeeze and self.dummy_prefix
+        self.sizes = np.array([1 if t == BYTE else len(p.encode()) for p, t in zip(self.pieces, self.types)])
+        self.cache: dict[str, list[tuple[int, int]]] = {}
 
     def merge(self, segment: str) -> list[tuple[int, int]]:
         """(id, bytes of the segment) of each piece: the best-scored neighbours join first, the left ones in a tie."""
@@ -195,44 +196,31 @@ class Codec:
                 out.append((self.unknown, len(raw)))
         return out
 
-    def _learn(self, segments: list[str]) -> dict[str, tuple[bytes, bytes, str]]:
-        """Encodes distinct segments (each without its first U+2581, which all have)."""
-        if len(self.cache) + len(segments) > self.max_cached:
-            self.cache.clear()
-        if self.plain:
-            sizes = self.__dict__.setdefault("sizes", [1 if t == BYTE else len(p.encode()) for p, t in zip(self.pieces, self.types)])
-            pairs = [(ids, [sizes[i] for i in ids]) for ids in self.library.encode([s.replace(SPACE, " ") for s in segments], num_threads=1)]
-        else:
-            pairs = [tuple(zip(*self.merge(SPACE + s))) for s in segments]
-        if "" in segments:  # of an empty text the library makes nothing
-            pairs[segments.index("")] = tuple(zip(*self.merge(SPACE)))
-        return {s: (np.array(ids, "<u4").tobytes(), np.array(sizes, "<u4").tobytes(), ",".join(map(str, ids))) for s, (ids, sizes) in zip(segments, pairs)}
-
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, str]:
-        """(ids, bounds, the ids as decimal text): piece i spans the original bytes bounds[i] to bounds[i+1]."""
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds): piece i spans the original bytes bounds[i] to bounds[i + 1]."""
         form, source = normalise(text.encode(), self.charmap, self.dummy_prefix, self.squeeze)
         if not form:
-            return np.zeros(0, "<u4"), np.zeros(1, np.int64), ""
-        norm = form.decode()
-        if not self.cut or norm[0] != SPACE:
-            ids, sizes = zip(*self.merge(norm))
-            told, ids, sizes = ",".join(map(str, ids)), np.array(ids, "<u4"), np.array(sizes)
-        else:
-            segments = norm[1:].split(SPACE)
-            if "" in segments:
-                segments = [s[1:] for s in re.findall(f"{SPACE}+[^{SPACE}]*", norm)]
-            get = self.cache.get
-            found = [get(s) for s in segments]
-            if None in found:
-                new = self._learn(list(dict.fromkeys(s for s in segments if s not in self.cache)))
-                self.cache |= new
-                if any(s not in self.cache for s in segments):  # the memory was cleared meanwhile
-                    self.cache |= self._learn(list(dict.fromkeys(s for s in segments if s not in self.cache)))
-                found = [self.cache[s] for s in segments]
-            parts = list(zip(*found))
-            ids, sizes, told = np.frombuffer(b"".join(parts[0]), "<u4"), np.frombuffer(b"".join(parts[1]), "<u4"), ",".join(parts[2])
-        ends = np.cumsum(sizes, dtype=np.int64)
-        return ids, source[np.concatenate([[0], ends])], told
+            return np.zeros(0, np.int64), np.zeros(1, np.int64)
+        if self.plain:
+            ids = np.array(self.library.encode(text), np.int64)
+            ends = np.cumsum(self.sizes[ids])
+            if ends[-1] == len(form) and not (ids == self.unknown).any():
+                return ids, source[np.concatenate([[0], ends])]
+        ids, sizes = zip(*self._pieces(form.decode()))
+        return np.array(ids), source[np.concatenate([[0], np.cumsum(sizes)])]
+
+    def _pieces(self, norm: str) -> list[tuple[int, int]]:
+        if not self.cut:
+            return self.merge(norm)
+        out: list[tuple[int, int]] = []
+        for segment in re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", norm):
+            found = self.cache.get(segment)
+            if found is None:
+                if len(self.cache) >= self.max_cached:
+                    self.cache.clear()
+                found = self.cache[segment] = self.merge(segment)
+            out += found
+        return out
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
@@ -248,11 +236,11 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-#: From a document's ids, bounds, decimal ids and codec to the values of the columns wanted.
-Derive = Callable[[np.ndarray, np.ndarray, str, Codec], tuple]
+#: From a document's ids, bounds and codec to the values of the columns wanted.
+Derive = Callable[[np.ndarray, np.ndarray, Codec], tuple]
 
 
-def _pieces(ids: np.ndarray, bounds: np.ndarray, told: str, own: Codec) -> tuple:
+def _pieces(ids: np.ndarray, bounds: np.ndarray, own: Codec) -> tuple:
     return ids.astype(np.int32), bounds[:-1], bounds[1:]
 
 
