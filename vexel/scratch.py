@@ -18,17 +18,33 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """`df` written once as Parquet and read again: lineage is cut, lost executors cost nothing."""
-    path = f"{scratch_dir(df.sparkSession)}/vexel-{label}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/vexel-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _made.append((df.sparkSession, path))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _made.append((spark, path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes scratch tables that nothing reads any more; other tables are left alone."""
+    for table in tables:
+        entry = (table.sparkSession, getattr(table, "scratch_path", None))
+        if entry in _made:
+            _made.remove(entry)
+            _remove(*entry)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001  the session may have ended; scratch files are then left to the folder's owner
+        pass
 
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _made:
-        try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  the session may have ended; the folder's owner removes what is left
-            pass
+    while _made:
+        _remove(*_made.pop())
