@@ -1,18 +1,15 @@
-"""What the corpus operators share: column access, scratch tables, training splits."""
+"""What the corpus operators share: column access, training splits, scratch tables."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import discard, stored  # noqa: F401
+
 #: The white space of the word and equality rules: space and U+0009 to U+000D.
 WHITE = " \t\n\x0b\x0c\r"
 
-_made: list[tuple[SparkSession, str]] = []
-
 
 def pick(df: DataFrame, *cols: tuple[str, str]) -> DataFrame:
     """Only the named columns under the operator's own names, so other columns can never clash."""
@@ -27,43 +24,3 @@ def text_of(col: Column) -> Column:
 def bucket_of(id_col: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo `modulus`; -1 for a null id."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % modulus, F.lit(-1))
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a folder of the warehouse."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    return where.rstrip("/") if where else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """`df` written once as Parquet to the shared folder and read again: lineage is cut, lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/vexel-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _made.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes scratch tables that nothing reads any more; others are left alone."""
-    for table in tables:
-        entry = (table.sparkSession, getattr(table, "scratch_path", None))
-        if entry in _made:
-            _made.remove(entry)
-            _remove(*entry)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001  the session may have ended; scratch files are then left to the folder's owner
-        pass
-
-
-@atexit.register
-def _clean() -> None:
-    while _made:
-        _remove(*_made.pop())
