@@ -4,51 +4,107 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pick, stored
+from .text_hash import chunks
 
 
 class WordEncoder:
-    """Ids of the tokenizers library, word by word.
+    """Ids of the tokenizers library, put together from remembered words.
 
-    The vocabulary's pre-tokenizer never joins across white space, so text is cut at ASCII white space and each distinct
-    word is encoded once (`max_cached` words are remembered, then the memory starts anew). A-Z are lowered before the
-    lookup, as the normaliser does it anyway, except where that could change a result: texts that may hold a
-    special token, and letters before a combining mark.
+    The vocabulary's pre-tokenizer never joins across white space, so text is cut at ASCII white space and a word that
+    was met before needs no encoding (`max_cached` words are remembered, then the memory starts anew). New words are cut
+    at the pre-tokenizer's own pattern, and all new parts of a text are encoded at once: each ends with a token that
+    closes a word. A-Z are lowered before the lookup, as the normaliser does it anyway, except where that could
+    change a result. Words of other scripts than Latin, and such that may hold a special token, go whole.
     """
 
-    _unsafe = re.compile("[A-Z](?=[^\x00-˿])")
+    #: Fixed value: the pattern of the vocabulary's pre-tokenizer.
+    _parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    _unsafe = re.compile("[A-Z](?=[^\x00-\u02ff])")
+    _latin = re.compile("[\x21-\x3b\x3d-\x7e\xa1-\u017f]+")
 
-    def __init__(self, path: str, max_cached: int = 300_000):
+    def __init__(self, path: str, max_cached: int = 1_400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.max_cached, self.cache = max_cached, {}
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian 32-bit numbers."""
-        raw = text.encode()
-        if "<|" not in text and (raw.isascii() or not self._unsafe.search(text)):
-            raw = raw.lower()
-        words = raw.split()
-        get = self.cache.get
-        found = [get(w) for w in words]
-        if None in found:
-            if len(self.cache) > self.max_cached:
-                self.cache.clear()
-            new = list(dict.fromkeys(w for w in words if w not in self.cache))
-            for word, got in zip(new, self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-                self.cache[word] = np.array(got.ids, "<u4").tobytes()
-            found = [self.cache[w] for w in words]
-        return b"".join(found)
+        self.max_cached, self.cache, self.parts = max_cached, {}, {}
+        vocabulary = self.library.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, words: set[bytes]) -> bool:
+        """Whether the memory had to start anew, so that words known before may be gone."""
+        full = len(self.cache) + len(self.parts) > self.max_cached
+        if full:
+            self.cache.clear()
+            self.parts.clear()
+        cut: dict[bytes, list[str]] = {}
+        new: dict[str, None] = {}
+        parts = self.parts
+        for word in words:
+            text = word.decode()
+            if not text.isascii():
+                text = unicodedata.normalize("NFC", text).lower()
+                if not self._latin.fullmatch(text):
+                    self.cache[word] = self._whole(word.decode())
+                    continue
+            elif "<|" in text:
+                self.cache[word] = self._whole(text)
+                continue
+            else:
+                text = text.lower()
+            cut[word] = own = [text] if text.isalpha() else self._parts.findall(text)
+            for part in own:
+                if part not in parts:
+                    new[part] = None
+        if new:
+            names = list(new)
+            ids = np.array(self.library.encode_batch_fast([" ".join(names)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(names):
+                raw, at = ids.tobytes(), 0
+                for name, end in zip(names, (4 * ends).tolist()):
+                    self.parts[name] = raw[at:end]
+                    at = end
+            else:
+                for name in names:
+                    self.parts[name] = self._whole(name)
+        for word, own in cut.items():
+            self.cache[word] = parts[own[0]] if len(own) == 1 else b"".join([parts[p] for p in own])
+        return full
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit numbers."""
+        words: list[bytes] = []
+        ends = []
+        for text in texts:
+            raw = text.encode()
+            if "<|" not in text and (raw.isascii() or not self._unsafe.search(text)):
+                raw = raw.lower()
+            words += raw.split()
+            ends.append(len(words))
+        cache = self.cache
+        found = list(map(cache.get, words))
+        missing = [i for i, x in enumerate(found) if x is None]
+        if missing and self._learn({words[i] for i in missing}):
+            self._learn({w for w in words if w not in cache})
+        for i in missing:
+            found[i] = cache[words[i]]
+        return [b"".join(found[a:b]) for a, b in zip([0, *ends], ends)]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -69,8 +125,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id:
         _encoders[tokenizer_path] = own
         for batch in batches:
             at, out = [], []
-            for i, text in enumerate(batch["text"]):
-                ids = (own.encode(text) if isinstance(text, str) else b"") + end
+            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
+            encoded = (ids for a, b in chunks(texts) for ids in own.encode(texts[a:b]))
+            for i, ids in enumerate(encoded):
+                ids += end
                 for k, start in enumerate(range(0, len(ids), 4 * size)):
                     piece = ids[start : start + 4 * size]
                     at.append(i)

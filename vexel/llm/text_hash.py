@@ -41,8 +41,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def chunks(texts: list[bytes], size: int = 1 << 18) -> Iterator[tuple[int, int]]:
-    """Ranges of consecutive texts of about `size` bytes, one text at least."""
+def chunks(texts: list[bytes] | list[str], size: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive texts of about `size` bytes (characters), one text at least."""
     first = total = 0
     for i, text in enumerate(texts):
         if i > first and total + len(text) > size:
