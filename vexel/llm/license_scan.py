@@ -49,7 +49,7 @@ KNOWN: tuple[tuple[str, str, str], ...] = (
 
 #: Spellings that count as one, pattern then the form kept (in lower-case text without punctuation).
 SPELLINGS: tuple[tuple[str, str], ...] = (
-    (r"\blicence", "license"),
+    (r"licence", "license"),
     (r"\bsub licens", "sublicens"),
     (r"\bnon commercial\b", "noncommercial"),
     (r"\bnon infringement\b", "noninfringement"),
