@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text_hash
@@ -35,7 +35,7 @@ def shingle_sets(texts: list[bytes], width: int = WIDTH) -> Iterator[np.ndarray]
             yield np.unique(found[bounds[i] : bounds[i + 1]])
 
 
-def minhashes(own: np.ndarray, block: int = 4096) -> np.ndarray:
+def minhashes(own: np.ndarray, block: int = 512) -> np.ndarray:
     """The smallest of all shingle hashes under each of the hash functions."""
     out = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(own), block):
@@ -106,69 +106,126 @@ def full_sets(docs: DataFrame, wanted: DataFrame, few: bool, id_col: str, text_c
     return rows.mapInPandas(run, f"doc_id {kind}, fp binary, shingles array<bigint>").dropDuplicates(["doc_id", "fp"])
 
 
+class _Confirm:
+    """Decides pairs of nodes on their full sets; `links` has those that are linked so far."""
+
+    def __init__(self, docs: DataFrame, marks: DataFrame, numerator: int, denominator: int, id_col: str, text_col: str, width: int, max_broadcast_ids: int):
+        self.docs, self.marks, self.numerator, self.denominator = docs, marks, numerator, denominator
+        self.id_col, self.text_col, self.width, self.max_broadcast_ids = id_col, text_col, width, max_broadcast_ids
+        self.most = most_odd_bits(max(0.0, numerator / denominator - MARGIN))
+        self.links: list[DataFrame] = []
+
+    def sizes_allow(self, n: Column, m: Column) -> Column:
+        return F.least(n, m) * self.denominator >= F.greatest(n, m) * self.numerator
+
+    def sets(self, nodes: DataFrame, number: int) -> DataFrame:
+        """(doc_id, fp, shingles) of at most `number` nodes."""
+        return stored(full_sets(self.docs, nodes.distinct(), number <= self.max_broadcast_ids, self.id_col, self.text_col, self.width), "sets")
+
+    def pairs(self, pairs: DataFrame) -> None:
+        """Pairs (a, b), a < b: odd sketches rule out most that are not similar, full sets decide on the rest."""
+        one, two = (self.marks.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}"), F.col("n").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}")) for x in "ab")
+        differ = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        likely = stored(pairs.join(one, "a").join(two, "b").filter(differ <= self.most).select("a", "b", "fp_a", "fp_b", "n_a", "n_b"), "pairs")
+        number = likely.count()
+        if number:
+            sets = self.sets(likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))), 2 * number)
+            left, right = (sets.select(F.col("doc_id").alias(x), F.col("fp").alias(f"fp_{x}"), F.col("shingles").alias(f"set_{x}")) for x in "ab")
+            common = F.size(F.array_intersect("set_a", "set_b")).cast("long")
+            sure = likely.join(right, ["b", "fp_b"]).join(left, ["a", "fp_a"]).withColumn("common", common)
+            sure = sure.filter(F.col("common") * self.denominator >= (F.col("n_a") + F.col("n_b") - F.col("common")) * self.numerator)
+            self.links.append(stored(sure.select("a", "b"), "links"))
+            discard(sets)
+        discard(likely)
+
+    def components(self) -> DataFrame | None:
+        """(node, component) of the linked nodes, None if there are no links."""
+        if not self.links:
+            return None
+        found = self.links[0]
+        for more in self.links[1:]:
+            found = found.unionByName(more)
+        return stored(components(found), "components")
+
+
+def _candidates(spokes: DataFrame, confirm: _Confirm) -> DataFrame:
+    """Pairs (a, b) of nodes of one pivot and different components that can be linked, as their gaps tell.
+
+    The gap of a node is the symmetric difference of its set and its pivot's; that of two nodes is the one of their
+    gaps. Linked sets differ in at most T = n * (1 - t) / t elements, so of a gap of more than T elements any T + 1
+    hold one that the other's gap has too: its T + 1 rarest do, and are compared with the other's T + 1 rarest. Nodes with
+    smaller gaps have all of their gap and one mark in common. Elements that no other gap of the pivot has lead nowhere.
+    Gaps of g and h elements must share (g + h - most that linked sets of these sizes differ in) / 2; from the first
+    shared one on, at places i and j, they can share 1 + min(g - i, h - j). Pairs that can't reach it are not made, and
+    pairs without a shared element only where the gaps together are small enough.
+    """
+    number = 2 * spokes.count()
+    nodes = spokes.select("node").unionByName(spokes.select(F.col("pivot").alias("node")))
+    sets = confirm.sets(nodes, number)
+    fps = confirm.marks.select("node", "fp")
+    own = fps.join(sets.select(F.col("doc_id").alias("node"), "fp", "shingles"), ["node", "fp"]).select("node", "shingles")
+    wide = spokes.join(own, "node").join(own.select(F.col("node").alias("pivot"), F.col("shingles").alias("base")), "pivot")
+    gap = F.concat(F.array_except("shingles", "base"), F.array_except("base", "shingles"))
+    most = F.floor(F.col("n") * (confirm.denominator - confirm.numerator) / confirm.numerator)
+    gaps = stored(wide.select("pivot", "node", "n", "component", most.alias("most"), gap.alias("gap")), "gaps")
+    discard(sets)
+    cells = gaps.select("pivot", "node", "n", "component", "most", F.size("gap").cast("long").alias("size"), F.explode("gap").alias("token"))
+    counts = cells.groupBy("pivot", "token").agg(F.count(F.lit(1)).alias("found"))
+    place = F.row_number().over(Window.partitionBy("pivot", "node").orderBy("found", "token"))
+    rare = cells.join(counts, ["pivot", "token"]).withColumn("place", place).filter((F.col("place") <= F.col("most") + 1) & (F.col("found") > 1))
+    near = gaps.filter(F.size("gap") <= F.col("most")).select("pivot", F.lit(None).cast("bigint").alias("token"), "node", "n", "component", F.size("gap").cast("long").alias("size"), F.lit(None).cast("int").alias("place"))
+    kept = stored(rare.select("pivot", "token", "node", "n", "component", "size", "place").unionByName(near), "rarest")
+    x, y = (kept.select("pivot", "token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "component", "size", "place"))) for s in "ab")
+    shared = F.coalesce(F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) + 1, F.lit(0))
+    differ = (F.col("size_a") + F.col("size_b") - shared * 2) * (confirm.denominator + confirm.numerator)
+    enough = differ <= (F.col("n_a") + F.col("n_b")) * (confirm.denominator - confirm.numerator)
+    allowed = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & enough
+    met = x.alias("x").join(y.alias("y"), (F.col("x.pivot") == F.col("y.pivot")) & F.col("x.token").eqNullSafe(F.col("y.token")) & allowed)
+    out = stored(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "candidates")
+    discard(gaps, kept)
+    return out
+
+
 def minhash_dedup(docs: DataFrame, numerator: int = 85, denominator: int = 100, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, max_broadcast_ids: int = 1_000_000) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     A text's set has its distinct shingles of `width` words (A-Z lowered, words parted by white space); a text with
     fewer words is one shingle; one without words, or null, has none and is linked with nothing. Two documents are
-    linked if denominator * intersection >= numerator * union; component_id is the smallest doc_id that links
-    reach, kept means doc_id = component_id.
+    linked if denominator * intersection >= numerator * union (a half at least); component_id is the smallest doc_id
+    that links reach, kept means doc_id = component_id.
 
     Texts of equal sets are one node from the start, so copies of any number cost one row each. Nodes that share a band
-    of MinHash samples form a bucket. In each round the nodes of a bucket that lie in different components meet a
-    few chosen ones of it, twice as many as the round before; pairs that sizes or odd sketches rule out go, full sets
-    decide on the rest, and the chosen ones leave their bucket, as all their pairs in it are settled. Rounds end when
-    no bucket has two components, so no link that a bucket holds is lost, and a large group of near copies, which
-    its first chosen member joins, takes pairs in proportion to its rows. Nothing is capped.
+    of MinHash samples form a bucket. First all nodes of a bucket are held against its pivot, the smallest one: as many
+    pairs as rows. Buckets whose nodes are then of one component are done. In the others, nodes of different
+    components are paired where the rarest elements of their gaps to the pivot agree (`_candidates`), which loses no
+    link and makes few pairs even of thousands of texts that all resemble the pivot but not each other. Sizes and odd
+    sketches thin out pairs, full sets decide. Nothing is capped and no bucket is gathered in one task.
 
     A doc_id that occurs with two texts counts as two documents of the same id. A null id has component null and is
     not kept. Repeated rows and ties need no rule; an empty table gives an empty one.
     """
-    most = most_odd_bits(max(0.0, numerator / denominator - MARGIN))
     sigs = stored(signatures(docs, id_col, text_col, width), "signatures")
     first = F.min(F.struct(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bands", "odd")).alias("first")
     nodes = stored(sigs.filter("n_shingles > 0 and doc_id is not null").groupBy("fp").agg(first).select("fp", "first.*"), "nodes")
-    classes = nodes.select("fp", "node")
+    confirm = _Confirm(docs, nodes.select("node", "fp", "n", "odd"), numerator, denominator, id_col, text_col, width, max_broadcast_ids)
     members = nodes.select("node", "n", F.explode("bands").alias("key"))
-    crowded = members.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("key")
-    members = stored(members.join(crowded, "key"), "members")
-    marks = nodes.select("node", "fp", "n", "odd")
-    edges: list[DataFrame] = []
-    linked = None
-    chosen_each = 1
-    while True:
-        part = members if linked is None else members.join(linked, "node", "left")
-        part = part.withColumn("component", F.col("node") if linked is None else F.coalesce("component", "node"))
-        mixed = part.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-        part = stored(part.join(mixed, "key", "left_semi"), "part")
-        if part.isEmpty():
-            discard(part)
-            break
-        chosen = part.groupBy("key", F.pmod(F.xxhash64("node", F.lit(chosen_each)), F.lit(chosen_each)).alias("share")).agg(F.min(F.struct("node", "n", "component")).alias("c"))
-        chosen = chosen.select("key", F.col("c.node").alias("c_node"), F.col("c.n").alias("c_n"), F.col("c.component").alias("c_component"))
-        met = part.join(chosen, "key").filter("component <> c_component").filter(F.least("n", "c_n") * denominator >= F.greatest("n", "c_n") * numerator)
-        pairs = met.select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")).distinct()
-        one, two = (marks.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}"), F.col("n").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}")) for x in "ab")
-        differ = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        pairs = stored(pairs.join(one, "a").join(two, "b").filter(differ <= most).select("a", "b", "fp_a", "fp_b", "n_a", "n_b"), "pairs")
-        number = pairs.count()
-        if number:
-            wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-            sets = stored(full_sets(docs, wanted, 2 * number <= max_broadcast_ids, id_col, text_col, width), "sets")
-            left, right = (sets.select(F.col("doc_id").alias(x), F.col("fp").alias(f"fp_{x}"), F.col("shingles").alias(f"set_{x}")) for x in "ab")
-            common = F.size(F.array_intersect("set_a", "set_b")).cast("long")
-            sure = pairs.join(right, ["b", "fp_b"]).join(left, ["a", "fp_a"]).withColumn("common", common)
-            edges.append(stored(sure.filter(F.col("common") * denominator >= (F.col("n_a") + F.col("n_b") - F.col("common")) * numerator).select("a", "b"), "links"))
-            discard(sets)
-            found = edges[0]
-            for more in edges[1:]:
-                found = found.unionByName(more)
-            linked = stored(components(found), "components")
-        settled = chosen.select("key", F.col("c_node").alias("node"))
-        members = stored(part.select("key", "node", "n").join(settled, ["key", "node"], "left_anti"), "members")
-        discard(part, pairs)
-        chosen_each *= 2
-    rows = sigs.select("doc_id", "n_shingles", "fp").join(classes, "fp", "left")
+    pivots = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("p"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    members = stored(members.join(pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")), "key"), "members")
+    rays = members.filter((F.col("node") != F.col("pivot")) & confirm.sizes_allow(F.col("n"), F.col("pivot_n")))
+    confirm.pairs(rays.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
+    linked = confirm.components()
+    part = members if linked is None else members.join(linked, "node", "left")
+    part = part.withColumn("component", F.col("node") if linked is None else F.coalesce("component", "node"))
+    mixed = part.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("rows")).filter("low <> high and rows > 2").select("key")
+    spokes = stored(part.join(mixed, "key", "left_semi").filter("node <> pivot").select("pivot", "node", "n", "component").distinct(), "spokes")
+    if not spokes.isEmpty():
+        found = _candidates(spokes, confirm)
+        if not found.isEmpty():
+            confirm.pairs(found)
+            linked = confirm.components()
+        discard(found)
+    discard(members, spokes)
+    rows = sigs.select("doc_id", "n_shingles", "fp").join(nodes.select("fp", "node"), "fp", "left")
     if linked is None:
         rows = rows.withColumn("component", F.lit(None).cast(rows.schema["node"].dataType))
     else:
