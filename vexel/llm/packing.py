@@ -125,7 +125,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id:
         if tokenizer_path not in _encoders:
             _encoders[tokenizer_path] = WordEncoder(tokenizer_path)
         own = _encoders[tokenizer_path]
-        gc.disable()  # lists of words are long and hold no cycles; walking them takes a fifth of the time
+        gc.disable()  # lists of words are long and hold no cycles
         for batch in batches:
             at, out = [], []
             texts = [t if isinstance(t, str) else "" for t in batch["text"]]
