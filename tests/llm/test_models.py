@@ -249,6 +249,16 @@ def test_packing_ids_and_places(spark, words):
     assert B.pack_documents(frame(spark, []), VOCABULARY).count() == 0
 
 
+def test_packing_of_more_long_pieces_than_open_bins(spark):
+    rng = random.Random(8)
+    lengths = [rng.randint(1025, 1500) for _ in range(6000)] + [rng.randint(100, 900) for _ in range(9000)]
+    pieces = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    got = B.pack(pieces).toPandas()
+    assert sorted(got.doc_id) == list(range(len(lengths))) and got.groupby("sequence_id").length.sum().max() <= 2048
+    sorted_free = max(B.best_fit(sorted(lengths, reverse=True), 2048, len(lengths))[0]) + 1
+    assert got.sequence_id.nunique() <= sorted_free * 1.002 + 1
+
+
 def test_best_fit_by_brute_force():
     rng = random.Random(3)
     for limit in (1, 2, 5, 1000):

@@ -178,12 +178,22 @@ def best_fit(lengths: list[int], size: int, open_bins: int) -> tuple[list[int],
     return bins, offsets
 
 
+def mixed_order(rows: int, open_bins: int) -> np.ndarray:
+    """Positions of `rows` sorted items, dealt in turn into parts of at most half of `open_bins`, one part after the other.
+
+    Each part is sorted and has the lengths of the whole. A part opens no more bins than it has items, so long items
+    never take all open bins before short ones arrive.
+    """
+    parts = max(1, -(-rows // max(1, open_bins // 2)))
+    return np.concatenate([np.arange(k, rows, parts) for k in range(parts)])
+
+
 def pack(pieces: DataFrame, size: int = 2048, open_bins: int = 4096, group_rows: int = 100_000) -> DataFrame:
     """The columns of `pieces` with sequence_id and offset: pieces of at most `size` tokens share sequences.
 
-    Pieces are dealt by hash into groups of about `group_rows`, and each group goes by falling length through best-fit
-    with `open_bins` open bins. Groups are independent, so the work grows evenly, and each leaves at most its
-    last few bins unfilled. Order is fixed by length, doc_id, piece and digest: a task that is run again deals the same.
+    Pieces are dealt by hash into groups of about `group_rows`, and each group goes through best-fit with `open_bins`
+    open bins in the order of `mixed_order`. Groups are independent, so the work grows evenly, and each leaves at most
+    its last few bins unfilled. Order is fixed by length, doc_id, piece and digest: a task that is run again deals the same.
     """
     groups = max(1, -(-pieces.count() // group_rows))
     dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
@@ -191,6 +201,7 @@ def pack(pieces: DataFrame, size: int = 2048, open_bins: int = 4096, group_rows:
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
+        frame = frame.iloc[mixed_order(len(frame), open_bins)].reset_index(drop=True)
         bins, offsets = best_fit(frame["length"].tolist(), size, open_bins)
         frame["sequence_id"] = np.array(bins, np.int64) + (int(frame["_group"].iloc[0]) << 32)
         frame["offset"] = np.array(offsets, np.int64)
