@@ -28,3 +28,10 @@ def test_entry_and_registry(spark):
     assert entry.entry(spark).count() == 50
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(catalog.QUERIES) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name, column", [("dae", None), ("lmca", None), ("xmeans", "count"), ("knb", "rows"), ("klr", "rows"), ("klr_tree", "rows")])
+def test_learners_answer_for_every_row_of_the_table(spark, name, column):
+    got = catalog.QUERIES[name](spark, SF).toPandas()
+    want = spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    assert (got[column].sum() if column else len(got)) == want

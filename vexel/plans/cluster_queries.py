@@ -79,13 +79,13 @@ def lbgu(spark, sf_dir):
 
 @query()
 def xmeans(spark, sf_dir):
-    return told(spark, cluster.xmeans(blobs(spark), 6, 5))
+    return told(spark, cluster.xmeans(vectors(spark, sf_dir), 6, 5))
 
 
 @query()
 def knb(spark, sf_dir):
     """Clusters of Gaussians."""
-    rows = blobs(spark)
+    rows = vectors(spark, sf_dir)
     models = cluster.gaussian_clusters(rows, 4)
     return cluster.apply_scores(rows, lambda data: cluster.log_scores(models, data)).groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("rows"))
 
@@ -93,7 +93,7 @@ def knb(spark, sf_dir):
 @query()
 def klr(spark, sf_dir):
     """Clusters of softmax regressors."""
-    rows = blobs(spark)
+    rows = vectors(spark, sf_dir)
     return cluster.apply_scores(rows, learn.kmeans_regression(rows, 4, max_epoch=2).scores).groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -139,7 +139,7 @@ def pca_kmeans_tree(spark, sf_dir):
 
 @query()
 def klr_tree(spark, sf_dir):
-    rows = blobs(spark)
+    rows = vectors(spark, sf_dir)
     own = tree.regression_tree(rows, [2, 2], learn.SoftmaxParams(5), 1)
     return tree.label(rows, own).groupBy("leaf", "label").agg(F.count(F.lit(1)).alias("rows"))
 
