@@ -125,6 +125,18 @@ def test_distrust_runs_against_links(spark):
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
 
 
+@pytest.mark.parametrize("farms", [1, 2, 10])
+def test_all_hosts_that_link_to_a_blocked_host_are_blocked(spark, farms):
+    """bad.net is blocked by all its ruled pages; a page of it without a rule, and all its farms', are told by links."""
+    link = lambda h: f'<a href="https://{h}/p">x</a>'
+    rows = [(k, f"http://bad.net/es/{k}", "") for k in range(9)] + [(9, "http://bad.net/other", "")]
+    rows += [(100 + k, f"http://farm{k}.org/", link("bad.net")) for k in range(farms)]
+    rows += [(200, "http://shop.com/", link("fine.org")), (201, "http://fine.org/", ""), (202, "http://a.net/es/", ""), (203, "http://a.net/x", ""), (204, "http://a.net/y", "")]
+    got = {r["page_id"]: r["verdict"] for r in U.url_filter(pages(spark, rows)).collect()}
+    assert got[9] == "block" and {got[100 + k] for k in range(farms)} == {"block"}
+    assert got[201] == "allow" and got[202] == "block" and got[203] == got[204] == "allow"  # a third of a.net is blocked, and nobody links
+
+
 def test_pagerank_by_brute_force(spark):
     edges = [("a", "b"), ("a", "c"), ("b", "c"), ("c", "a"), ("d", "c")]
     seeds = {"a": 1.0, "d": 0.5}

@@ -75,13 +75,23 @@ def spread(seeds: DataFrame, edges: DataFrame, damping: float, rounds: int) -> D
     return scores
 
 
+def received(scores: DataFrame, edges: DataFrame) -> DataFrame:
+    """(host, part): what each host gets along (src, dst) when every host gives its score away in equal shares."""
+    out_degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
+    given = scores.join(out_degree, scores["host"] == out_degree["src"]).select("src", (F.col("score") / F.col("degree")).alias("part"))
+    return edges.join(given, "src").groupBy(F.col("dst").alias("host")).agg(F.sum("part").alias("part"))
+
+
 def url_filter(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", damping: float = 0.85, rounds: int = 12, threshold: float = 0.5) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict.
 
     A rule fits its host and all its subdomains where the path starts with the rule's; the longest decides. Where none
     fits, the host does: each host's seed of trust (distrust) is the share of its pages that rules allow (block).
-    Trust runs along the links between hosts, distrust against them, by personalised PageRank of `rounds` rounds. A host
-    whose distrust is above its trust by `threshold` or more is blocked, any other allowed.
+    Trust runs along the links between hosts, distrust against them, by personalised PageRank of `rounds` rounds. What a
+    host gets of both from other hosts is compared as (distrust - trust) / (distrust + trust), so it does not matter
+    among how many hosts a score is divided. This stands for the pages that no rule fits: it is weighted by their share and
+    added to the seeds' difference, which it can only raise. A host where the sum is `threshold` or more is blocked, any
+    other allowed; one that gets nothing is judged by its seeds.
 
     Null urls and such without `://` have an empty host and path, fit no rule and are allowed, as hosts are judged only
     by name. Null html has no links. Repeated pages count as often as they stand there. Links are counted for
@@ -94,14 +104,15 @@ def url_filter(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     share = lambda verdict: F.avg(F.coalesce((F.col("fit.verdict") == verdict).cast("double"), F.lit(0.0)))
     hosts = stored(judged.filter("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust")), "hosts")
     edges = stored(host_edges(rows), "edges")
-    trust = hosts.filter("trust > 0").select("host", F.col("trust").alias("seed"))
-    distrust = hosts.filter("distrust > 0").select("host", F.col("distrust").alias("seed"))
-    if not edges.isEmpty():
-        trust = spread(trust, edges.select("src", "dst"), damping, rounds)
-        distrust = spread(distrust, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), damping, rounds)
-    else:  # without links every host keeps its seed
-        trust, distrust = (x.select("host", F.col("seed").alias("score")) for x in (trust, distrust))
-    worse = distrust.select("host", F.col("score").alias("bad")).join(trust.select("host", F.col("score").alias("good")), "host", "left")
-    blocked = worse.filter(F.col("bad") - F.coalesce("good", F.lit(0.0)) >= threshold).select("host", F.lit("block").alias("by_links"))
+    worse = F.col("distrust") - F.col("trust")
+    if not edges.isEmpty():  # without links every host keeps its seed
+        along, against = edges.select("src", "dst"), edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        for seed, part, links in (("trust", "good", along), ("distrust", "bad", against)):
+            scores = spread(hosts.filter(F.col(seed) > 0).select("host", F.col(seed).alias("seed")), links, damping, rounds)
+            hosts = hosts.join(received(scores, links).withColumnRenamed("part", part), "host", "left")
+        good, bad = F.coalesce("good", F.lit(0.0)), F.coalesce("bad", F.lit(0.0))
+        others = F.when(bad > good, (bad - good) / (bad + good)).otherwise(0.0)
+        worse = worse + (1 - F.col("trust") - F.col("distrust")) * others
+    blocked = hosts.filter(worse >= threshold).select("host", F.lit("block").alias("by_links"))
     out = judged.join(blocked, "host", "left")
     return out.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(F.col("fit.verdict"), F.col("by_links"), F.lit("allow")).alias("verdict"))
