@@ -63,6 +63,16 @@ def test_exact_dedup_of_empty_table_repeated_rows_and_long_text(spark):
     assert got == {(1, 1, 3, True), (None, 1, 3, False), (2, 2, 2, True), (3, 2, 2, False)}
 
 
+def test_entire_license_texts(spark):
+    whole = {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "Unlicense": "Unlicense"}
+    texts = [(i, L._text(name)) for name, i in whole.items()]
+    texts += [("BSD-2-Clause", "Copyright (c) 2020, A. Person\nAll rights reserved.\n\n" + L._BSD_2), ("BSD-3-Clause", L._BSD_3.replace("3. ", "* ").replace("2. ", "* ").replace("1. ", "* "))]
+    texts += [("Zlib", L._ZLIB), ("GPL-3.0", "\n".join(f"# {x}" for x in L._GPL_HEADER.replace("https", "http").split("\n"))), ("Apache-2.0", "/*\n" + L._APACHE_HEADER + "\n*/"), ("Unlicense", L._text("Unlicense").upper())]
+    texts += [(None, L._BSD_3 + " Or not."), (None, L._text("GPL-3")[:20_000])]
+    got = {r["doc_id"]: r["license_id"] for r in L.license_scan(frame(spark, [(k, t) for k, (_, t) in enumerate(texts)])).collect()}
+    assert [got[k] for k in range(len(texts))] == [i for i, _ in texts]
+
+
 @pytest.mark.parametrize("limit", [0, 1_000_000])
 def test_drop_exact_copies_with_and_without_broadcast(spark, limit):
     docs = frame(spark, [(1, "a b"), (2, "ab"), (3, "c"), (4, None)], "_gone")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,101 @@ _ISC = """Permission to use, copy, modify, and/or distribute this software for a
 
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
 
-#: Licence id, category, and a text that states it (whole licence or the usual notice).
+_BSD_2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_BSD_3 = _BSD_2.replace("\n\nTHIS", """
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS""")
+_ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software. If you use this software
+   in a product, an acknowledgment in the product documentation would be
+   appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be
+   misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
+_APACHE_HEADER = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+_GPL_HEADER = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+_MPL_HEADER = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+
+def _text(name: str) -> str:
+    return (Path(__file__).parent / "license_texts" / f"{name}.txt").read_text(encoding="utf-8")
+
+
+def _variants(text: str) -> list[str]:
+    """The usual forms of one text: links with http or https, and list items with or without numbers."""
+    out = [text, text.replace("https://", "http://"), text.replace("http://", "https://")]
+    return list(dict.fromkeys(out + [re.sub(r"(?m)^[1-9]\. ", "* ", t) for t in out]))
+
+
+def _whole() -> list[tuple[str, str, str]]:
+    """Entire licence texts and the entire headers of files."""
+    texts = [("BSD-3-Clause", "permissive", t + _BSD_3) for t in ("", "BSD 3-Clause License\n\n")] + [("BSD-2-Clause", "permissive", t + _BSD_2) for t in ("", "BSD 2-Clause License\n\n")]
+    texts += [("Zlib", "permissive", t + _ZLIB) for t in ("", "zlib License\n\n")] + [("Apache-2.0", "permissive", _APACHE_HEADER), ("MPL-2.0", "weak copyleft", _MPL_HEADER)]
+    for name, category, kind in (("GPL", "copyleft", "GNU General"), ("LGPL", "weak copyleft", "GNU Lesser General"), ("AGPL", "copyleft", "GNU Affero General")):
+        own = _GPL_HEADER.replace("GNU General", kind)
+        texts.append((f"{name}-3.0", category, own))
+        if name == "GPL":
+            texts.append(("GPL-2.0", category, own.replace("version 3", "version 2")))
+    files = (("Apache-2.0", "permissive", "Apache-2.0"), ("BSD-3-Clause", "permissive", "BSD"), ("CC0-1.0", "permissive", "CC0-1.0"), ("GPL-2.0", "copyleft", "GPL-2"), ("GPL-3.0", "copyleft", "GPL-3"), ("LGPL-2.1", "weak copyleft", "LGPL-2.1"), ("LGPL-3.0", "weak copyleft", "LGPL-3"), ("MPL-2.0", "weak copyleft", "MPL-2.0"), ("Unlicense", "permissive", "Unlicense"))
+    texts += [(i, c, _text(name)) for i, c, name in files]
+    return [(i, c, t) for i, c, text in texts for t in _variants(text)]
+
+
+#: Licence id, category, and a text that states it (whole licence, file header or the usual notice).
 KNOWN: tuple[tuple[str, str, str], ...] = (
     ("MIT", "permissive", "MIT License\n\n" + _MIT),
     ("MIT", "permissive", _MIT),
@@ -45,6 +140,7 @@ KNOWN: tuple[tuple[str, str, str], ...] = (
     ("CC-BY-NC-4.0", "noncommercial", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-SA-4.0", "noncommercial", "Licensed under CC BY-NC-SA 4.0."),
     ("CC0-1.0", "permissive", "This work is dedicated to the public domain under CC0 1.0."),
+    *_whole(),
 )
 
 #: Spellings that count as one, pattern then the form kept (in lower-case text without punctuation).
@@ -82,23 +178,24 @@ def _forms(col: Column) -> Column:
 
 
 def _form(text: str) -> str:
-    """The canonical form of one of the few known texts, on the driver."""
+    """The canonical form of one of the few known texts, on the driver; spellings do not reach across line ends, as in `_forms`."""
     low = text.lower()
     for pattern in (COPYRIGHT_LINE, RESERVED_LINE):
         low = re.sub(pattern, "", low)
-    low = re.sub(r"[\W_]+", " ", low)
+    low = re.sub(r"[^\w\n]+|_+", " ", low)
+    low = re.sub(r" +", " ", low)
     for pattern, kept in SPELLINGS:
         low = re.sub(pattern, kept.replace("$", "\\"), low)
-    return low.strip()
+    return re.sub(r" *\n[ \n]*", " ", low).strip()
 
 
 def known_digests(known: tuple[tuple[str, str, str], ...] = KNOWN) -> list[tuple[str, str, str, int]]:
     """(digest, licence id, category, length of the form) of each known text; the first of equal forms counts."""
     out: dict[str, tuple[str, str, str, int]] = {}
     for name, category, text in known:
-        form = _form(text)
-        key = hashlib.md5(form.encode()).hexdigest()
-        out.setdefault(key, (key, name, category, len(form)))
+        for form in (_form(text), _form(re.sub(r"(?<=\S) *\n *(?=\S)", " ", text))):  # as it stands, and paragraphs on one line
+            key = hashlib.md5(form.encode()).hexdigest()
+            out.setdefault(key, (key, name, category, len(form)))
     return list(out.values())
 
 
