@@ -282,25 +282,63 @@ def test_best_fit_by_brute_force():
             opened += 1
 
 
-def test_language_phrases_by_brute_force():
+def phrases_by_hand(text, sample):
+    n = at = 0
+    while at < len(text):
+        size = 0
+        while at + size < len(text) and text[at : at + size + 1] in sample:
+            size += 1
+        at, n = at + max(size, 1), n + 1
+    return n
+
+
+@pytest.mark.parametrize("together", [1, 10, 48])
+def test_language_phrases_by_brute_force(together, monkeypatch):
+    monkeypatch.setattr(I, "TOGETHER", together)
     rng = random.Random(1)
     sample = "".join(rng.choice("abc") for _ in range(200))
-    alphabet = np.array([97, 98, 99], np.uint32)
-    model = I.Model(["x"], alphabet, [I.automaton(I._coded(sample, alphabet), 5)], [200])
-
-    def phrases(text):
-        n = at = 0
-        while at < len(text):
-            size = 0
-            while at + size < len(text) and text[at : at + size + 1] in sample:
-                size += 1
-            at, n = at + max(size, 1), n + 1
-        return n
-
+    alphabet = I.Alphabet(np.array([97, 98, 99], np.uint32), np.zeros(0, np.uint32))
+    model = I.Model(["x"], alphabet, [I.automaton(alphabet.coded(sample), 5)], [200])
     texts = [" ".join("".join(rng.choice("abcd ") for _ in range(rng.randint(0, 60))).split()) for _ in range(60)]
-    assert model.phrases(texts)[:, 0].tolist() == [phrases(t) for t in texts]
-    long = "".join(rng.choice("abcd") for _ in range(3 * I.LANE + 7))
-    assert model.phrases([long])[0, 0] == sum(phrases(long[i : i + I.LANE]) for i in range(0, len(long), I.LANE))
+    texts.append(" ".join("".join(rng.choice("abcd") for _ in range(5)) for _ in range(25_000)))  # over 20,000 words
+    assert model.phrases(texts)[:, 0].tolist() == [phrases_by_hand(t, sample) for t in texts]
+
+
+def test_letters_beyond_the_single_symbols_stay_apart():
+    alphabet = I.choose_alphabet(["aaaa bbb", "".join(chr(0x4E00 + i) for i in range(300)) + "жж"], 4)
+    codes = {c: tuple(alphabet.coded(c).tolist()) for c in ["a", "b", *(chr(0x4E00 + i) for i in range(300)), "ж", "q", "1"]}
+    assert len(set(codes.values())) == len(codes) and codes["q"] == (0,) and codes["1"] == (1,)
+    mixed = "a" + chr(0x4E05) + " " + chr(0x4E07)
+    assert alphabet.coded(mixed).tolist() == [*codes["a"], *codes[chr(0x4E05)], 1, *codes[chr(0x4E07)]]
+
+
+def test_language_query_by_brute_force(spark, tmp_path):
+    """The registered query over one text of each language, so that the order of the samples cannot matter."""
+    rng = random.Random(4)
+    vocabulary = {k: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(30)] for k, letters in (("aa", "abcde"), ("bb", "cdefg"), ("cc", "efghi"))}
+    rows, learnt = [], {}
+    for i in range(90):
+        lang = "abc"[i % 3] * 2
+        train = zlib.crc32(str(i).encode()) % 4 != 2
+        text = " ".join(rng.choices(vocabulary[lang], k=rng.choice([1, 3, 40])))
+        if train and lang not in learnt:
+            learnt[lang] = text = " ".join(rng.choices(vocabulary[lang], k=200))
+            rows.append((i, text, lang))
+        else:
+            rows.append((i, text, None if train else lang))
+    rows += [(200, "", None), (201, None, None), (202, "12 3", None), (203, rows[0][1], None), (203, rows[0][1], None), (204, " ".join(rng.choices(vocabulary["bb"], k=21_000)), None)]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = Q.QUERIES["op8_language_id"](spark, str(tmp_path)).collect()
+    text_of = {i: t for i, t, _ in rows}
+    assert len(got) == len(rows)
+    for r in got:
+        text = text_of[r["doc_id"]]
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        if not text or not any(map(str.isalpha, text)):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        cost = sorted((phrases_by_hand(text, own) * math.log2(len(own)), k) for k, own in learnt.items())
+        assert r["lang_pred"] == cost[0][1] and r["score"] == pytest.approx(cost[1][0] / (cost[0][0] + cost[1][0]))
 
 
 def test_language_held_out_accuracy(spark):
@@ -340,5 +378,28 @@ def test_pipeline_by_brute_force(spark, words, tmp_path):
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
 
 
+def test_drop_near_copies_by_row(spark):
+    """Repeated and null ids, equal rows and a unique text whose id also stands on a copy."""
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join([*base[:-1], "end"])
+    text = " ".join(base)
+    rows = [(3, text), (7, near), (7, "something else of seven words in all"), (3, text), (None, near), (None, "one of a kind"), (8, ""), (8, None), (9, "tiny"), (10, "tiny"), (2, text + " " + " ".join(f"x{i}" for i in range(30)))]
+    docs = frame(spark, rows, "kept component_id")
+    out = M.drop_near_copies(docs)
+    assert out.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr) == sorted([(3, text), (7, rows[2][1]), (None, "one of a kind"), (8, ""), (8, None), (9, "tiny"), (2, rows[-1][1])], key=repr)
+
+
+@pytest.mark.parametrize("rows", [[], [(1, "the end of it all", "en"), (1, "the end of it all", "en"), (None, "the end of it all", "en"), (None, None, None), (2, "", "en"), (3, "1 2 3", "en"), (4, "word " * 30_000, "en")]])
+def test_pipeline_of_odd_tables(spark, tmp_path, rows):
+    import corpus_pipeline
+
+    frame(spark, rows, "kept piece offset _row text_sha256").write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in got} == ({1, 4} if rows else set())
+    if rows:
+        assert sum(r["length"] for r in got if r["doc_id"] == 4) == 30_001 and sum(r["piece"] == 0 for r in got) == 2
+
+
 def test_registry_has_all_ten():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in Q.QUERIES) == list(range(1, 11))

@@ -75,9 +75,10 @@ def test_entire_license_texts(spark):
 
 @pytest.mark.parametrize("limit", [0, 1_000_000])
 def test_drop_exact_copies_with_and_without_broadcast(spark, limit):
-    docs = frame(spark, [(1, "a b"), (2, "ab"), (3, "c"), (4, None)], "_gone")
-    out = X.drop_exact_copies(docs, max_broadcast_ids=limit)
-    assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == [1, 3, 4]
+    docs = frame(spark, [(1, "a b"), (2, "ab"), (3, "c"), (4, None), (4, "ab"), (5, "z"), (5, "z"), (None, "c"), (None, "only"), (1, "other")], "_gone")
+    out = X.drop_exact_copies(docs, max_broadcast_rows=limit)
+    assert out.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr) == sorted([(1, "a b"), (1, "other"), (3, "c"), (4, None), (5, "z"), (None, "only")], key=repr)
 
 
 TURNS = "conv_id bigint, turn bigint, role string, text string, formatted string"

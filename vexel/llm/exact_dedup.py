@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, pick, stored, text_of
+from .common import ROW, WHITE, numbered, pick, text_of, without_rows
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = lambda c: F.unhex(F.md5(c))) -> DataFrame:
@@ -32,11 +32,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_broadcast_ids: int = 1_000_000) -> DataFrame:
-    """The rows of `docs` that stay, all columns as they are.
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The rows of `docs` of which one stays for each text, all columns as they are.
 
-    Removed ids leave by an anti join; their list is broadcast only if counted at `max_broadcast_ids` or less.
+    Of equal texts the longest stays, then the one of the smallest id (null last), then the first row: rows are told
+    apart by their number, so repeated ids, null ids and rows that are equal in all columns leave one row too, and no
+    other text of the same id goes. Null, empty and blank texts are one text. An empty table gives an empty one.
     """
-    gone = stored(exact_dedup(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")), "copies")
-    few = gone.count() <= max_broadcast_ids
-    return docs.join(F.broadcast(gone) if few else gone, docs[id_col] == gone["_gone"], "left_anti")
+    rows = numbered(docs, "numbered")
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(ROW).alias("row"))
+    told = exact_dedup(rows.select(order.alias("order"), F.col(text_col).alias("text")), "order", "text")
+    return without_rows(rows, told.filter(~F.col("kept")).select(F.col("doc_id.row").alias(ROW)), "copies", max_broadcast_rows)

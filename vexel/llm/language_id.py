@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bucket_of, pick, stored
+from .common import ROW, bucket_of, numbered, pick, without_rows
 
-LANE = 512  #: code points that are parsed in one go; a text is all its lanes
+#: So many texts at least step together as vectors; what is left of the longest ones is parsed symbol by symbol.
+TOGETHER = 48
+BASE = 16  #: letters without a symbol of their own are written in digits of this base
 
 
 def automaton(text: np.ndarray, symbols: int) -> np.ndarray:
@@ -50,51 +52,80 @@ def automaton(text: np.ndarray, symbols: int) -> np.ndarray:
 
 
 @dataclass
-class Model:
-    """languages, the alphabet (letters of symbols 2 and on; 0 is any other letter, 1 a run of anything else), a table for each language, sample sizes."""
+class Alphabet:
+    """Symbols of letters: 0 is a letter that no sample has, 1 a run of anything else, then `single` letters, one symbol
+    each, then the BASE digits that write the places of the letters in `rare`, all with the same number of digits."""
 
-    languages: list[str]
-    alphabet: np.ndarray
-    tables: list[np.ndarray]
-    sizes: list[int]
+    single: np.ndarray
+    rare: np.ndarray
+
+    @property
+    def size(self) -> int:
+        return 2 + len(self.single) + (BASE if len(self.rare) else 0)
 
     @property
-    def symbols(self) -> int:
-        return len(self.alphabet) + 2
+    def digits(self) -> int:
+        return max(1, math.ceil(math.log(max(2, len(self.rare)), BASE) - 1e-9))
 
     def coded(self, text: str) -> np.ndarray:
         """The symbols of the lower-cased text."""
-        return _coded(text, self.alphabet)
+        points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+        out = np.zeros(len(points), np.int32)
+        for letters, first in ((self.single, 2), (self.rare, 1 << 20)):
+            if len(letters) and len(points):
+                at = np.minimum(np.searchsorted(letters, points), len(letters) - 1).astype(np.int32)
+                hit = letters[at] == points
+                out[hit] = first + at[hit]
+        gap = ~_is_letter(points)
+        out[gap] = 1
+        out = out[~gap | np.concatenate([[True], ~gap[:-1]])[: len(gap)]]
+        if len(self.rare):
+            far = out >= 1 << 20
+            place = np.repeat(np.where(far, out - (1 << 20), 0), np.where(far, self.digits, 1))
+            wide = np.repeat(far, np.where(far, self.digits, 1))
+            nth = np.arange(len(place)) - np.repeat(np.cumsum(np.where(far, self.digits, 1)) - np.where(far, self.digits, 1), np.where(far, self.digits, 1))
+            digit = place // BASE ** (self.digits - 1 - nth) % BASE
+            out = np.where(wide, 2 + len(self.single) + digit, np.repeat(out, np.where(far, self.digits, 1)))
+        return out.astype(np.uint8 if self.size <= 256 else np.int32)
+
+
+@dataclass
+class Model:
+    """languages, the alphabet, a table for each language (from `automaton`), sample sizes in symbols."""
+
+    languages: list[str]
+    alphabet: Alphabet
+    tables: list[np.ndarray]
+    sizes: list[int]
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases of each text under each language, shape (texts, languages).
 
-        Each text is dealt into lanes of `LANE` symbols and all lanes step at once: a phrase is the longest match in
-        the language's sample from where the last one ended; a symbol that the sample lacks is a phrase of its own.
+        A phrase is the longest match in the language's sample from where the last one ended; a symbol that the sample
+        lacks is a phrase of its own. All texts step at once, the longest ones first, as long as `TOGETHER` of them are
+        left; the rest of each longer text goes on from the state it is in. No text is cut.
         """
-        coded = [self.coded(t) for t in texts]
-        lanes = [(i, s) for i, c in enumerate(coded) for s in range(0, len(c), LANE)]
+        coded = [self.alphabet.coded(t) for t in texts]
         out = np.zeros((len(texts), len(self.languages)), np.int64)
-        if not lanes:
-            return out
-        sizes = np.array([min(LANE, len(coded[i]) - s) for i, s in lanes])
+        sizes = np.array([len(c) for c in coded], np.int64)
         order = np.argsort(-sizes, kind="stable")
-        grid = np.zeros((LANE, len(lanes)), np.int32)  # a row for each step, the longest lanes first
-        for k, at in enumerate(order.tolist()):
-            i, s = lanes[at]
-            grid[: sizes[at], k] = coded[i][s : s + LANE]
-        live = np.searchsorted(-sizes[order], -np.arange(LANE), side="left")
-        owner = np.array([i for i, _ in lanes])[order]
-        width = self.symbols
+        order = order[sizes[order] > 0]
+        if not len(order):
+            return out
+        sizes = sizes[order]
+        together = int(sizes[TOGETHER - 1]) if len(order) >= TOGETHER else 0
+        live = np.searchsorted(-sizes, -np.arange(together), side="left")
+        data = np.concatenate([coded[i][:together] for i in order.tolist()])
+        starts = np.concatenate([[0], np.cumsum(np.minimum(sizes, together))[:-1]])
+        rests = [coded[i][together:].tolist() for i in order[: int(np.searchsorted(-sizes, -together, side="left"))].tolist()]
+        width = self.alphabet.size
         for j, table in enumerate(self.tables):
             flat = table.ravel()
-            state = np.zeros(len(lanes), np.int32)
-            count = np.ones(len(lanes), np.int64)  # the phrase that is open at the end
-            for step in range(LANE):
+            state = np.zeros(len(order), np.int32)
+            count = np.zeros(len(order), np.int64)
+            for step in range(together):
                 n = live[step]
-                if not n:
-                    break
-                c = grid[step, :n]
+                c = data[starts[:n] + step]
                 to = flat[state[:n] * width + c]
                 ended = np.flatnonzero(to < 0)
                 if len(ended):
@@ -104,8 +135,12 @@ class Model:
                     count[ended[again < 0]] += 1
                     to[ended] = np.maximum(again, 0)
                 state[:n] = to
-            count -= state == 0
-            np.add.at(out[:, j], owner, count)
+            if rests:
+                follow = array("q", np.where(flat < 0, -1, flat.astype(np.int64) * width).tobytes())
+                for i, rest in enumerate(rests):
+                    state[i], more = _go_on(rest, follow, int(state[i]) * width)
+                    count[i] += more
+            out[order, j] = count + (state > 0)  # the phrase that is open at the end
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -125,6 +160,22 @@ class Model:
         return out
 
 
+def _go_on(symbols: list[int], follow: array, at: int) -> tuple[int, int]:
+    """(whether a phrase is open at the end, phrases that ended) from the row `at` of the table on."""
+    count = 0
+    for c in symbols:
+        to = follow[at + c]
+        if to < 0:
+            if at:
+                count += 1
+            to = follow[c]
+            if to < 0:
+                count += 1
+                to = 0
+        at = to
+    return int(at > 0), count
+
+
 def _is_letter(points: np.ndarray) -> np.ndarray:
     if points.size and int(points.max()) >= len(_letters[0]):
         _letters[0] = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
@@ -134,60 +185,70 @@ def _is_letter(points: np.ndarray) -> np.ndarray:
 _letters = [np.fromiter((chr(i).isalpha() for i in range(0x3000)), bool, 0x3000)]
 
 
-def _coded(text: str, alphabet: np.ndarray) -> np.ndarray:
-    """Symbols of the lower-cased text: letters of the alphabet from 2 on, other letters 0, each run of anything else one 1."""
-    points = np.frombuffer(text.lower().encode("utf-32-le"), "<u4")
-    at = np.minimum(np.searchsorted(alphabet, points), len(alphabet) - 1) if len(alphabet) else np.zeros(len(points), np.int64)
-    out = np.where(alphabet[at] == points, at + 2, 0) if len(alphabet) else np.zeros(len(points), np.int64)
-    gap = ~_is_letter(points)
-    out[gap] = 1
-    return out[~gap | np.concatenate([[True], ~gap[:-1]])[: len(gap)]].astype(np.int32)
+def choose_alphabet(samples: list[str], max_single: int) -> Alphabet:
+    """All letters of the samples; those with the largest share in some language get a symbol of their own."""
+    shares: dict[int, float] = {}
+    for text in samples:
+        points, counts = np.unique(np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4"), return_counts=True)
+        letter = _is_letter(points)
+        for point, n in zip(points[letter].tolist(), (counts[letter] / max(1, counts[letter].sum())).tolist()):
+            shares[point] = max(shares.get(point, 0.0), n)
+    ranked = sorted(shares, key=lambda c: (-shares[c], c))
+    return Alphabet(np.array(sorted(ranked[:max_single]), np.uint32), np.array(sorted(ranked[max_single:]), np.uint32))
 
 
-def fit(docs: DataFrame, sample_docs: int = 200, sample_chars: int = 60_000, max_symbols: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model from labelled rows: for each language, whole texts in an order fixed by a hash until `sample_chars`.
+def fit(docs: DataFrame, sample_docs: int = 200, sample_chars: int = 60_000, max_single: int = 96, text_col: str = "text", lang_col: str = "lang") -> Model:
+    """A model from labelled rows: for each language, distinct texts in the order of a hash until `sample_chars`.
 
-    At most `sample_docs` distinct texts of a language are looked at; texts longer than a quarter of `sample_chars` are
-    left out. Both numbers bound what reaches the driver, whatever the size of the table. Rows whose text or lang is
-    null teach nothing. The alphabet is the `max_symbols` most frequent letters.
+    At most `sample_docs` texts of a language are looked at, and of a text longer than a quarter of `sample_chars` one
+    window of that length, at a place that its hash tells. Both numbers bound what reaches the driver, whatever the size
+    of the table: only hashes below a cut leave their task, and the cut is raised until it has enough distinct texts.
+    Rows whose text or lang is null teach nothing. All letters of the samples are in the alphabet; beyond `max_single`
+    of them letters are written in digits, so scripts of any size stay apart.
     """
-    rows = pick(docs, (id_col, "doc_id"), (text_col, "text"), (lang_col, "lang")).filter("text is not null and lang is not null and text <> ''")
-    rows = rows.filter(F.length("text") <= sample_chars // 4)
-    distinct = rows.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id"))
-    chosen = distinct.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("rank") <= sample_docs)
-    chosen = chosen.select(F.col("lang").alias("_lang"), F.col("h").alias("_h"), F.col("doc_id").alias("_id"))
-    keys = chosen.collect()  # languages x sample_docs rows
-    if not keys:
-        return Model([], np.zeros(0, np.uint32), [], [])
-    spark = docs.sparkSession
-    small = F.broadcast(spark.createDataFrame(keys, chosen.schema))
-    hit = rows.join(small, (rows["doc_id"] == small["_id"]) & (rows["lang"] == small["_lang"]) & (F.xxhash64("text") == small["_h"])).select("lang", "_h", "text")
-    texts: dict[str, dict[int, str]] = {}
-    for lang, h, text in hit.collect():
-        texts.setdefault(lang, {})[h] = text
-    samples: dict[str, str] = {}
-    for lang in sorted(texts):
-        own: list[str] = []
+    rows = pick(docs, (text_col, "text"), (lang_col, "lang")).filter("text is not null and lang is not null and text <> ''")
+    spark, window = docs.sparkSession, max(1, sample_chars // 4)
+    wanted = {r["lang"]: min(1.0, 2 * sample_docs / r["n"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    hashed = rows.select("lang", "text", F.xxhash64("text").alias("h"))
+    found: dict[str, list[tuple[int, int]]] = {}
+    while wanted:
+        cuts = spark.createDataFrame([(k, min((1 << 63) - 1, int(-(1 << 63) + share * (1 << 64)))) for k, share in wanted.items()], "_lang string, _cut bigint")
+        near = hashed.join(F.broadcast(cuts), (F.col("lang") == F.col("_lang")) & (F.col("h") <= F.col("_cut")))  # one row for each language
+        seen: dict[str, list[tuple[int, int]]] = {k: [] for k in wanted}
+        for r in near.groupBy("lang", "h").agg(F.min(F.length("text")).alias("n")).collect():
+            seen[r["lang"]].append((r["h"], r["n"]))
+        for lang, own in seen.items():
+            if len(own) >= sample_docs or wanted[lang] >= 1:
+                found[lang] = sorted(own)[:sample_docs]
+                del wanted[lang]
+            else:
+                wanted[lang] = min(1.0, 8 * wanted[lang])
+    keys = []
+    for lang, own in found.items():
         total = 0
-        for _, text in sorted(texts[lang].items()):
-            if total + len(text) <= sample_chars:
-                own.append(text)
-                total += len(text) + 1
-        samples[lang] = "\n".join(own)
-    counts: dict[int, int] = {}
-    for text in samples.values():
-        for point, n in zip(*(x.tolist() for x in np.unique(np.frombuffer(text.lower().encode("utf-32-le"), "<u4"), return_counts=True))):
-            if chr(point).isalpha():
-                counts[point] = counts.get(point, 0) + n
-    alphabet = np.array(sorted(sorted(counts, key=lambda c: (-counts[c], c))[:max_symbols]), np.uint32)
-    coded = [_coded(t, alphabet) for t in samples.values()]
-    return Model(list(samples), alphabet, [automaton(c, len(alphabet) + 2) for c in coded], [max(1, len(c)) for c in coded])
+        for h, n in own:
+            if total + min(n, window) <= sample_chars:
+                keys.append((lang, h))
+                total += min(n, window) + 1
+    if not keys:
+        return Model([], Alphabet(np.zeros(0, np.uint32), np.zeros(0, np.uint32)), [], [])
+    chosen = F.broadcast(spark.createDataFrame(keys, "_lang string, _h bigint"))  # languages x sample_docs rows
+    n = F.length("text")
+    piece = F.substr("text", (F.pmod(F.col("h"), F.greatest(n - window, F.lit(0)) + 1) + 1).cast("int"), F.lit(window))
+    hit = hashed.join(chosen, (F.col("lang") == F.col("_lang")) & (F.col("h") == F.col("_h"))).groupBy("lang", "h").agg(F.min(piece).alias("piece"))
+    texts: dict[str, list[tuple[int, str]]] = {}
+    for r in hit.collect():  # sample_chars of each language
+        texts.setdefault(r["lang"], []).append((r["h"], r["piece"]))
+    samples = {lang: "\n".join(t for _, t in sorted(own)) for lang, own in sorted(texts.items())}
+    alphabet = choose_alphabet(list(samples.values()), max_single)
+    coded = [alphabet.coded(t) for t in samples.values()]
+    return Model(list(samples), alphabet, [automaton(c, alphabet.size) for c in coded], [max(1, len(c)) for c in coded])
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, lang_pred, score (0 to 1; how clearly the second language needs more phrases).
 
-    Whole texts are parsed. `und` with score 0 stands for a null text, one without letters, or a model of no language.
+    Whole texts are parsed, of any length; equal costs give the name that sorts first. `und` with score 0 stands for a null text, one without letters, or a model of no language.
     The model is a few tables of bounded size and is broadcast; no row is shuffled.
     """
     rows = pick(docs, (id_col, "doc_id"), (text_col, "text"))
@@ -202,7 +263,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             first = total = 0
             for i, text in enumerate([*texts, None]):
                 size = len(text) if isinstance(text, str) else 0
-                if i == len(texts) or i > first and total + size > 1_000_000:
+                if i == len(texts) or i > first and total + size > 4_000_000:
                     found += own.predict(texts[first:i])
                     first, total = i, 0
                 total += size
@@ -223,11 +284,13 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select("doc_id", (bucket_of(F.col("doc_id"), modulus) == held).alias("held_out"), "lang_pred", "score")
 
 
-def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_broadcast_ids: int = 1_000_000) -> DataFrame:
+def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 4, held: int = 2, max_broadcast_rows: int = 1_000_000) -> DataFrame:
     """The rows of `docs` whose language is found, all columns as they are: those of `und` go.
 
-    Rejected ids leave by an anti join; their list is broadcast only if counted at `max_broadcast_ids` or less.
+    Rows are told apart by their number, so repeated and null ids are judged row by row. A table without any labelled row
+    has no language that could be found: nothing is kept then. An empty table gives an empty one.
     """
-    gone = stored(language_id(docs, id_col, text_col, lang_col).filter("lang_pred = 'und' and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct(), "unidentified")
-    few = gone.count() <= max_broadcast_ids
-    return docs.join(F.broadcast(gone) if few else gone, docs[id_col] == gone["_gone"], "left_anti")
+    rows = numbered(docs, "numbered")
+    model = fit(rows.filter(bucket_of(F.col(id_col), modulus) != held), text_col=text_col, lang_col=lang_col)
+    gone = identify(rows, model, ROW, text_col).filter("lang_pred = 'und'").select(F.col("doc_id").alias(ROW))
+    return without_rows(rows, gone, "unidentified", max_broadcast_rows)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import json
 import os
 import re
 import unicodedata
@@ -15,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, stored
+from .common import Recent, pick, stored
 from .text_hash import chunks
 
 
@@ -23,73 +24,89 @@ class WordEncoder:
     """Ids of the tokenizers library, put together from remembered words.
 
     The vocabulary's pre-tokenizer never joins across white space, so text is cut at ASCII white space and a word that
-    was met before needs no encoding (`max_cached` words are remembered, then the memory starts anew). New words are cut
-    at the pre-tokenizer's own pattern, and all new parts of a text are encoded at once: each ends with a token that
-    closes a word. A-Z are lowered before the lookup, as the normaliser does it anyway, except where that could
-    change a result. Words of other scripts than Latin, and such that may hold a special token, go whole.
+    was met lately needs no encoding (`Recent`; its bytes are bounded for each worker). New words are cut at the
+    pre-tokenizer's own pattern, and all new parts of a text are encoded at once: each ends with a token that closes a
+    word. A-Z are lowered before the lookup, as the normaliser does it anyway, except where that could change a result.
+    Words of other scripts than Latin, and such that may hold a special token, go whole. All this holds for a
+    vocabulary file whose normaliser, pre-tokenizer and model say so (`_cuts_at_white_space`); with any other file whole
+    texts go through the library.
     """
 
     #: Fixed value: the pattern of the vocabulary's pre-tokenizer.
-    _parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    _pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     _unsafe = re.compile("[A-Z](?=[^\x00-\u02ff])")
-    _latin = re.compile("[\x21-\x3b\x3d-\x7e\xa1-\u017f]+")
-
-    def __init__(self, path: str, max_cached: int = 2_000_000):
+    _latin = re.compile("[\x20-\x3b\x3d-\x7e\xa1-\u017f]+")
+    def __init__(self, path: str, max_bytes: int = 96_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.max_cached, self.cache, self.parts = max_cached, {}, {}
+        self.recent = Recent(max_bytes)
+        self.parts = regex.compile(self._pattern)
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.by_word = self._cuts_at_white_space(spec)
+        specials = [t["content"] for t in spec.get("added_tokens") or []]
+        self.by_word &= all(s.startswith("<|") for s in specials)
         vocabulary = self.library.get_vocab()
-        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
+    @classmethod
+    def _cuts_at_white_space(cls, spec: dict) -> bool:
+        """Whether the file's own rules are those that remembered words rely on."""
+        normaliser, cutter, model = (spec.get(k) or {} for k in ("normalizer", "pre_tokenizer", "model"))
+        steps = [x.get("type") for x in normaliser.get("normalizers", [])]
+        cuts = cutter.get("pretokenizers", [])
+        first = cuts[0] if cuts else {}
+        return (
+            steps == ["NFC", "Replace", "Lowercase"]
+            and [x.get("type") for x in cuts] == ["Split", "ByteLevel"]
+            and (first.get("pattern") or {}).get("Regex") == cls._pattern
+            and first.get("behavior") == "Removed"
+            and bool(first.get("invert"))
+            and not cuts[1].get("add_prefix_space")
+            and model.get("type") == "BPE"
+            and model.get("end_of_word_suffix") == "</w>"
+            and not model.get("dropout")
+        )
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: set[bytes]) -> bool:
-        """Whether the memory had to start anew, so that words known before may be gone."""
-        full = len(self.cache) + len(self.parts) > self.max_cached
-        if full:
-            self.cache.clear()
-            self.parts.clear()
-        cut: dict[bytes, list[str]] = {}
-        new: dict[str, None] = {}
-        parts = self.parts
-        for word in words:
-            text = word.decode()
-            if not text.isascii():
-                text = unicodedata.normalize("NFC", text).lower()
-                if not self._latin.fullmatch(text):
-                    self.cache[word] = self._whole(word.decode())
-                    continue
-            elif "<|" in text:
-                self.cache[word] = self._whole(text)
-                continue
-            else:
-                text = text.lower()
-            cut[word] = own = [text] if text.isalpha() else self._parts.findall(text)
-            for part in own:
-                if part not in parts:
-                    new[part] = None
-        if new:
-            names = list(new)
-            ids = np.array(self.library.encode_batch_fast([" ".join(names)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) == len(names):
-                raw, at = ids.tobytes(), 0
-                for name, end in zip(names, (4 * ends).tolist()):
-                    self.parts[name] = raw[at:end]
-                    at = end
+    def _encoded(self, names: list[str]) -> list[bytes]:
+        """The ids of parts that the pre-tokenizer leaves whole, all encoded as one text."""
+        if not names:
+            return []
+        ids = np.array(self.library.encode_batch_fast([" ".join(names)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(names):
+            return [self._whole(name) for name in names]
+        raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _learn(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of some words, parted by no white space."""
+        if not words:
+            return []
+        forms = unicodedata.normalize("NFC", b" ".join(words).decode()).lower()
+        latin = self._latin.fullmatch(forms) is not None and "<|" not in forms
+        out: list[bytes | list[str]] = []
+        names: dict[str, None] = {}
+        for word, form in zip(words, forms.split(" ")):
+            if not latin and ("<|" in form or not self._latin.fullmatch(form)):
+                out.append(self._whole(word.decode()))
             else:
-                for name in names:
-                    self.parts[name] = self._whole(name)
-        for word, own in cut.items():
-            self.cache[word] = parts[own[0]] if len(own) == 1 else b"".join([parts[p] for p in own])
-        return full
+                own = [form] if form.isalpha() else self.parts.findall(form)
+                names.update(dict.fromkeys(own))
+                out.append(own)
+        ids_of = dict(zip(names, self._encoded(list(names))))
+        return [x if isinstance(x, bytes) else ids_of[x[0]] if len(x) == 1 else b"".join([ids_of[p] for p in x]) for x in out]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
+        if not self.by_word:
+            return [self._whole(t) for t in texts]
         words: list[bytes] = []
         ends = []
         for text in texts:
@@ -98,13 +115,7 @@ class WordEncoder:
                 raw = raw.lower()
             words += raw.split()
             ends.append(len(words))
-        cache = self.cache
-        found = list(map(cache.get, words))
-        missing = [i for i, x in enumerate(found) if x is None]
-        if missing and self._learn({words[i] for i in missing}):
-            self._learn({w for w in words if w not in cache})
-        for i in missing:
-            found[i] = cache[words[i]]
+        found = self.recent.many(words, self._learn)
         return [b"".join(found[a:b]) for a, b in zip([0, *ends], ends)]
 
 
@@ -125,21 +136,28 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id:
         if tokenizer_path not in _encoders:
             _encoders[tokenizer_path] = WordEncoder(tokenizer_path)
         own = _encoders[tokenizer_path]
+        collecting = gc.isenabled()
         gc.disable()  # lists of words are long and hold no cycles
-        for batch in batches:
-            at, out = [], []
-            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-            encoded = (ids for a, b in chunks(texts, 1 << 19) for ids in own.encode(texts[a:b]))
-            for i, ids in enumerate(encoded):
-                ids += end
-                for k, start in enumerate(range(0, len(ids), 4 * size)):
-                    piece = ids[start : start + 4 * size]
-                    at.append(i)
-                    out.append((k, start // 4, len(piece) // 4, zlib.crc32(piece), *([np.frombuffer(piece, "<u4").astype(np.int32)] if with_ids else [])))
-            frame = pd.DataFrame(out, columns=names[1:])
-            frame.insert(0, "doc_id", batch["doc_id"].array[at])
-            yield frame
-        gc.enable()
+        try:
+            for batch in batches:
+                yield cut(batch, own)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def cut(batch: pd.DataFrame, own: WordEncoder) -> pd.DataFrame:
+        at, out = [], []
+        texts = [t if isinstance(t, str) else "" for t in batch["text"]]
+        encoded = (ids for a, b in chunks(texts, 1 << 19) for ids in own.encode(texts[a:b]))
+        for i, ids in enumerate(encoded):
+            ids += end
+            for k, start in enumerate(range(0, len(ids), 4 * size)):
+                piece = ids[start : start + 4 * size]
+                at.append(i)
+                out.append((k, start // 4, len(piece) // 4, zlib.crc32(piece), *([np.frombuffer(piece, "<u4").astype(np.int32)] if with_ids else [])))
+        frame = pd.DataFrame(out, columns=names[1:])
+        frame.insert(0, "doc_id", batch["doc_id"].array[at])
+        return frame
 
     return rows.mapInPandas(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
 
@@ -191,21 +209,24 @@ def mixed_order(rows: int, open_bins: int) -> np.ndarray:
 def pack(pieces: DataFrame, size: int = 2048, open_bins: int = 4096, group_rows: int = 100_000) -> DataFrame:
     """The columns of `pieces` with sequence_id and offset: pieces of at most `size` tokens share sequences.
 
-    Pieces are dealt by hash into groups of about `group_rows`, and each group goes through best-fit with `open_bins`
-    open bins in the order of `mixed_order`. Groups are independent, so the work grows evenly, and each leaves at most
-    its last few bins unfilled. Order is fixed by length, doc_id, piece and digest: a task that is run again deals the same.
+    `pieces` (doc_id, piece, start, length, ids_crc32 and any more columns) is a stored table. Its rows are dealt by a
+    hash of their number into groups of about `group_rows`, so that equal rows part too, and each group goes through
+    best-fit with `open_bins` open bins in the order of `mixed_order`. Groups are independent, so the work grows evenly,
+    and each leaves at most its last few bins unfilled. Order is fixed by length, doc_id (null last), piece, digest and
+    row number: a task that is run again deals the same. An empty table gives an empty one.
     """
     groups = max(1, -(-pieces.count() // group_rows))
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    dealt = pieces.withColumn("_row", F.monotonically_increasing_id())
+    dealt = dealt.withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups)))
     schema = pieces.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", sequence_id bigint, offset bigint"
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
+        frame = frame.sort_values(["length", "doc_id", "piece", "ids_crc32", "_row"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
         frame = frame.iloc[mixed_order(len(frame), open_bins)].reset_index(drop=True)
         bins, offsets = best_fit(frame["length"].tolist(), size, open_bins)
         frame["sequence_id"] = np.array(bins, np.int64) + (int(frame["_group"].iloc[0]) << 32)
         frame["offset"] = np.array(offsets, np.int64)
-        return frame.drop(columns="_group")
+        return frame.drop(columns=["_group", "_row"])
 
     return dealt.groupBy("_group").applyInPandas(run, schema)
 
@@ -214,6 +235,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 2048, id_co
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Only documents of more than `size` tokens are cut. Null and empty texts are one end id. Repeated rows are
-    packed as often as they stand there. An empty table gives an empty one.
+    packed as often as they stand there; rows of null ids are packed like any other. An empty table gives an empty one.
     """
-    return pack(stored(token_pieces(docs, tokenizer_path, size, id_col=id_col, text_col=text_col), "pieces"), size)
+    pieces = stored(token_pieces(docs, tokenizer_path, size, id_col=id_col, text_col=text_col), "pieces")
+    out = pack(pieces, size)
+    out.scratch = [pieces]
+    return out

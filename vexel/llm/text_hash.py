@@ -7,9 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
-#: A random 64-bit number for each byte, an odd multiplier, and one odd multiplier for each place in a shingle.
-_BYTE = _rng.integers(0, 1 << 64, 256, np.uint64)
-_STEP = np.uint64(int(_rng.integers(0, 1 << 63)) * 2 + 1)
+#: A random 64-bit number for each of 64 places in a word and each byte there, an odd multiplier for places further on, and one
+#: odd multiplier for each place in a shingle.
+_CELLS = _rng.integers(0, 1 << 64, 64 * 256, np.uint64)
+_TURN = np.uint64(int(_rng.integers(0, 1 << 63)) * 2 + 1)
 _PLACES = _rng.integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 _IS_WHITE = np.zeros(256, bool)
 _IS_WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -17,19 +18,6 @@ _IS_WHITE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers = {0: np.ones(1, np.uint64)}
-
-
-def _steps(n: int) -> np.ndarray:
-    """_STEP ** i for i below at least n; uint64 wraps."""
-    have = _powers[0]
-    if len(have) < n:
-        size = 1 << (n - 1).bit_length()
-        have = np.full(size, _STEP, np.uint64)
-        have[0] = 1
-        _powers[0] = have = np.multiply.accumulate(have)
-    return have[:n]
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads every bit of a 64-bit number over all of them (a bijection)."""
@@ -57,7 +45,8 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     """(hashes, first words of the texts and the end, starts, ends) of the words of `texts`, A-Z lowered.
 
     Words are runs of other bytes than space and U+0009 to U+000D. Starts and ends are places in b" ".join(texts).
-    The hash of a word is a polynomial of its random byte values, so one running sum over all bytes gives all of them.
+    A word's hash adds up a random number for each of its bytes at its place (tabulation; from place 64 on mixed with the
+    round), so no pattern of letters cancels out, and one running sum over all bytes gives all of them.
     """
     data = LOWER[np.frombuffer(b" ".join(texts), np.uint8)]
     white = _IS_WHITE[data]
@@ -67,28 +56,15 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     bounds = np.concatenate([[0], np.cumsum(sizes + 1)])
     firsts = np.searchsorted(starts, bounds)
-    # A word's value is the sum of value * STEP ** (place from its end), so it is the same wherever the word stands.
-    n = len(data)
-    power = _steps(n + 1)
-    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * power[n - 1 :: -1][:n] if n else _BYTE[data], dtype=np.uint64)])
-    total = run[ends] - run[starts]
-    # total = word value * STEP ** (n - end): taken out by the inverse power.
-    return mix(total * _inverse(n - ends) + (ends - starts).astype(np.uint64)), firsts, starts, ends
-
-
-_inverse_step = np.uint64(pow(int(_STEP), -1, 1 << 64))
-_inverses = {0: np.ones(1, np.uint64)}
-
-
-def _inverse(n: np.ndarray) -> np.ndarray:
-    most = int(n.max()) + 1 if len(n) else 1
-    have = _inverses[0]
-    if len(have) < most:
-        size = 1 << (most - 1).bit_length()
-        have = np.full(size, _inverse_step, np.uint64)
-        have[0] = 1
-        _inverses[0] = have = np.multiply.accumulate(have)
-    return have[n]
+    begin = np.zeros(len(data), np.int64)
+    begin[starts] = starts
+    place = np.arange(len(data)) - np.maximum.accumulate(begin)
+    value = _CELLS[((place & 63) << 8) | data]
+    far = np.flatnonzero((place > 63) & ~white)
+    if len(far):
+        value[far] = mix(value[far] + (place[far] >> 6).astype(np.uint64) * _TURN)
+    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
+    return mix(run[ends] - run[starts] + (ends - starts).astype(np.uint64)), firsts, starts, ends
 
 
 def shingles(hashes: np.ndarray, firsts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
