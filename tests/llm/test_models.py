@@ -215,10 +215,14 @@ def test_sentencepiece_equals_the_library(spark, words):
 
 def test_own_merges_equal_the_library(words):
     own, library = S.Codec(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
-    for text in [*words[:60], *ODD]:
-        form, _ = S.normalise((text or "").encode(), own.charmap, True, False)
-        if form:
-            assert [i for i, _ in own._pieces(form.decode())] == library.encode(text)
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyzABCE  .,-'\"()0123456789\n\täöüßéèçñ日本"
+    texts = [*words[:60], *ODD, *("".join(rng.choices(letters, k=rng.randint(0, 80))) for _ in range(500)), "y " * 20_000, "n" * 5000]
+    for text, (ids, _) in zip(texts, own.encode_all([t or "" for t in texts])):
+        assert ids.tolist() == library.encode(text or "")
+    small = S.Codec(MODEL, max_bytes=20_000)  # remembers next to nothing
+    for text in texts:
+        assert small.encode(text or "")[0].tolist() == library.encode(text or "")
 
 
 def test_character_map_equals_the_library():

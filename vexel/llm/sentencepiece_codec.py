@@ -12,7 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import pick
+from .common import Recent, pick
+from .text_hash import chunks
 
 SPACE = "▁"
 # Piece types of the model format.
@@ -121,16 +122,17 @@ def normalise(text: bytes, charmap: CharacterMap, dummy_prefix: bool, squeeze: b
 
 @dataclass
 class Codec:
-    """A BPE model with its own normaliser and record of sources, merges and byte fallback.
+    """A BPE model with its own normaliser, record of sources, merges and byte fallback.
 
-    Where the model rewrites nothing but spaces, the library's ids are those of the recorded normal form, and the bytes
-    of each piece say where it stands in it. With a character map the normal form is merged here: no piece has a U+2581
-    behind another character, so no merge crosses such a place, text is cut there, and each distinct segment is merged
-    once (`max_cached` of them are remembered, then the memory starts anew).
+    No piece has a U+2581 behind another character, and some characters are in no longer piece, so no merge crosses the
+    places before the one and around the others: the normal form is cut there and each segment merged on its own. What
+    was merged lately is remembered (`Recent`, bounded in bytes); all new segments of some texts are merged at once, as rows
+    of a matrix (`merge_all`).
     """
 
     path: str
-    max_cached: int = 300_000
+    max_bytes: int = 96_000_000
+    longest: int = 32  #: segments of more characters, or with characters that have no piece, are merged one by one
     pieces: list[str] = field(default_factory=list)
     scores: list[float] = field(default_factory=list)
     types: list[int] = field(default_factory=list)
@@ -138,7 +140,7 @@ class Codec:
     def __post_init__(self):
         import sentencepiece
 
-        self.library = sentencepiece.SentencePieceProcessor(model_file=self.path)
+        self.library = sentencepiece.SentencePieceProcessor(model_file=self.path)  # decodes
         charsmap, self.dummy_prefix, self.squeeze = b"", True, True
         for number, value in fields(self.library.serialized_model_proto()):
             if number == 1:
@@ -156,9 +158,76 @@ class Codec:
         self.byte_ids = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(self.pieces, self.types)) if t == BYTE}
         self.unknown = self.types.index(UNKNOWN) if UNKNOWN in self.types else 0
         self.cut = not any(SPACE in p.lstrip(SPACE) for p in self.known)
-        self.plain = not self.charmap and not self.squeeze and self.dummy_prefix
         self.sizes = np.array([1 if t == BYTE else len(p.encode()) for p, t in zip(self.pieces, self.types)])
-        self.cache: dict[str, list[tuple[int, int]]] = {}
+        inside = {c for p in self.known if len(p) > 1 for c in p}
+        hard = "".join(re.escape(c) for c in "\n\r\t" if c not in inside)
+        self.segments = re.compile(f"{SPACE}+[^{SPACE}{hard}]*|[^{SPACE}{hard}]+" + (f"|[{hard}]" if hard else ""))
+        self.recent = Recent(self.max_bytes)
+        # Tables of the merges: characters with a piece, and every pair of pieces that makes a piece.
+        single = sorted((ord(p), i) for p, i in self.known.items() if len(p) == 1)
+        self.points, self.point_ids = (np.array([x[k] for x in single], np.int64) for k in (0, 1))
+        pairs = {self.known[p[:k]] * len(self.pieces) + self.known[p[k:]]: i for p, i in self.known.items() for k in range(1, len(p)) if p[:k] in self.known and p[k:] in self.known}
+        self.pairs = np.array(sorted(pairs), np.int64)
+        self.joined = np.array([pairs[k] for k in self.pairs.tolist()], np.int64)
+        self.rank = np.array(self.scores, np.float32)
+
+    def _join(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the piece that two neighbours make, its score); -1 and -inf where they make none or one is missing (-1)."""
+        made = np.full(left.shape, -1, np.int64)
+        if len(self.pairs):
+            key = left * len(self.pieces) + right
+            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+            hit = (self.pairs[at] == key) & (left >= 0) & (right >= 0)
+            made[hit] = self.joined[at[hit]]
+        return made, np.where(made >= 0, self.rank[made], -np.inf).astype(np.float32)
+
+    def merge_all(self, segments: list[str]) -> list[bytes]:
+        """The ids of each segment as little-endian 32-bit numbers: merges of many segments step together.
+
+        A segment is a row of pieces, first its characters. In each step every row joins its best-scored neighbours, the
+        left ones in a tie, until no row has any that make a piece.
+        """
+        out: list[bytes] = [b""] * len(segments)
+        sizes = np.fromiter(map(len, segments), np.int64, len(segments))
+        points = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        at = np.minimum(np.searchsorted(self.points, points), max(0, len(self.points) - 1))
+        ids = np.where(self.points[at] == points, self.point_ids[at], -1) if len(self.points) else np.full(len(points), -1)
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        unknown = np.concatenate([[0], np.cumsum(ids < 0)])
+        alone = (sizes > self.longest) | (unknown[starts[1:]] > unknown[starts[:-1]])
+        for i in np.flatnonzero(alone).tolist():
+            out[i] = np.array([p for p, _ in self.merge(segments[i])], "<u4").tobytes()
+        for low, high in ((1, 4), (5, 8), (9, 14), (15, self.longest)):
+            group = np.flatnonzero(~alone & (sizes >= low) & (sizes <= high))
+            for first in range(0, len(group), 1 << 14):
+                rows = group[first : first + (1 << 14)]
+                col = np.arange(high)
+                have = col < sizes[rows][:, None]
+                grid = np.where(have, ids[np.minimum(starts[rows][:, None] + col, len(ids) - 1)], -1)
+                left = sizes[rows].copy()
+                made, score = self._join(grid[:, :-1], grid[:, 1:])
+                live = np.flatnonzero((made >= 0).any(axis=1))
+                while len(live):
+                    best = score[live].argmax(axis=1)
+                    grid[live, best] = made[live, best]
+                    left[live] -= 1
+                    # What is behind the joined pair moves up by one.
+                    tail = np.minimum(col + (col > best[:, None]), high - 1)
+                    grid[live] = np.take_along_axis(grid[live], tail, 1)
+                    grid[live, left[live]] = -1
+                    tail = tail[:, : high - 1].clip(max=high - 2)
+                    made[live], score[live] = np.take_along_axis(made[live], tail, 1), np.take_along_axis(score[live], tail, 1)
+                    made[live, high - 2], score[live, high - 2] = -1, -np.inf
+                    for side in (-1, 0):
+                        place = best + side
+                        ok = (place >= 0) & (place < high - 1)
+                        row, place = live[ok], place[ok]
+                        made[row, place], score[row, place] = self._join(grid[row, place], grid[row, place + 1])
+                    live = live[(made[live] >= 0).any(axis=1)]
+                flat = grid.astype("<u4")
+                for k, n in zip(range(len(rows)), left.tolist()):
+                    out[rows[k]] = flat[k, :n].tobytes()
+        return out
 
     def merge(self, segment: str) -> list[tuple[int, int]]:
         """(id, bytes of the segment) of each piece: the best-scored neighbours join first, the left ones in a tie."""
@@ -196,30 +265,34 @@ class Codec:
                 out.append((self.unknown, len(raw)))
         return out
 
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, bounds): piece i spans the original bytes bounds[i] to bounds[i + 1]."""
-        form, source = normalise(text.encode(), self.charmap, self.dummy_prefix, self.squeeze)
-        if not form:
-            return np.zeros(0, np.int64), np.zeros(1, np.int64)
-        if self.plain:
-            ids = np.array(self.library.encode(text), np.int64)
+    def encode_all(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids, bounds) of each text: piece i spans the original bytes bounds[i] to bounds[i + 1]."""
+        forms = [normalise(t.encode(), self.charmap, self.dummy_prefix, self.squeeze) for t in texts]
+        norms = [form.decode() for form, _ in forms]
+        cut = [self.segments.findall(n) if self.cut else [n] if n else [] for n in norms]
+        found = self.recent.many([x for own in cut for x in own], self.merge_all)
+        out, at = [], 0
+        for (form, source), norm, own in zip(forms, norms, cut):
+            ids = np.frombuffer(b"".join(found[at : at + len(own)]), "<u4").astype(np.int64)
+            at += len(own)
             ends = np.cumsum(self.sizes[ids])
-            if ends[-1] == len(form) and not (ids == self.unknown).any():
-                return ids, source[np.concatenate([[0], ends])]
-        ids, sizes = zip(*self._pieces(form.decode()))
-        return np.array(ids), source[np.concatenate([[0], np.cumsum(sizes)])]
-
-    def _pieces(self, norm: str) -> list[tuple[int, int]]:
-        if not self.cut:
-            return self.merge(norm)
+            if len(ids) and (not self.byte_ids and (ids == self.unknown).any() or ends[-1] != len(form)):
+                whole = self._pieces(own)  # an unknown piece does not tell its size
+                ids, ends = np.array([i for i, _ in whole]), np.cumsum([n for _, n in whole])
+            out.append((ids, source[np.concatenate([[0], ends]).astype(np.int64)] if len(ids) else np.zeros(1, np.int64)))
+        return out
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        return self.encode_all([text])[0]
+
+    def _pieces(self, segments: list[str]) -> list[tuple[int, int]]:
+        """(id, bytes) of the pieces of one text; neighbouring unknown ones are one."""
         out: list[tuple[int, int]] = []
-        for segment in re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", norm):
-            found = self.cache.get(segment)
-            if found is None:
-                if len(self.cache) >= self.max_cached:
-                    self.cache.clear()
-                found = self.cache[segment] = self.merge(segment)
-            out += found
+        for i, n in (x for s in segments for x in self.merge(s)):
+            if out and i == self.unknown == out[-1][0]:
+                out[-1] = (i, out[-1][1] + n)
+            else:
+                out.append((i, n))
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -251,6 +324,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     original UTF-8 text, projected through the normaliser's record of sources. The pieces of a character that has no
     piece of its own are its bytes. A null text is empty; an empty one has no pieces. `model_path` is opened on
     the executors, where the tokenizer files are installed. No row is shuffled; memory follows the longest text.
+    Repeated rows give repeated results, a null id is carried through, an empty table gives an empty one.
     """
     rows = pick(docs, (id_col, "doc_id"), (text_col, "text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -259,7 +333,8 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(model_path)
         for batch in batches:
-            done = [derive(*own.encode(t if isinstance(t, str) else ""), own) for t in batch["text"]]
+            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
+            done = [derive(*x, own) for a, b in chunks(texts, 1 << 19) for x in own.encode_all(texts[a:b])]
             out = pd.DataFrame({n: list(v) for n, v in zip(names[1:], zip(*done))} if done else {n: [] for n in names[1:]})
             out.insert(0, "doc_id", batch["doc_id"].array)
             yield out[names]
