@@ -104,6 +104,22 @@ def test_chat_round_trip_and_loss(spark):
     assert merged["formatted"] == "[INST]first[/INST]<s>one<<MORE>>two</s>[INST]u<<MORE>>u[/INST]" and len(merged["loss_spans"]) == 2
 
 
+def test_chat_of_many_turns_takes_time_by_their_number(spark):
+    import time
+
+    rows = [(1, n, ["user", "assistant"][n % 2], f"turn {n} é") for n in range(20_000)] + [(2, n, "assistant", f"part {n}") for n in range(5000)]
+    began = time.time()
+    out = {r["conv_id"]: r for r in chat_format(turns(spark, rows)).select("conv_id", F.size("loss_spans").alias("n"), read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()}
+    assert time.time() - began < 30
+    assert out[1]["n"] == 10_000 and out[1]["loss"] == "".join(x[3] for x in rows if x[0] == 1 and x[2] == "assistant")
+    assert out[2]["n"] == 5000 and out[2]["loss"] == "".join(x[3] for x in rows if x[0] == 2)
+
+
+def test_rows_without_a_conversation_stay_apart(spark):
+    got = sorted(r["formatted"] for r in chat_format(turns(spark, [(None, 0, "user", "a"), (None, 1, "user", "b"), (None, 1, "user", "b")])).collect())
+    assert got == ["[INST]a[/INST]", "[INST]b[/INST]", "[INST]b[/INST]"]
+
+
 def test_chat_of_nothing(spark):
     assert chat_format(turns(spark, [])).count() == 0
     assert chat_format(turns(spark, [(None, None, None, None)])).first()["formatted"] == "<<ROLE>><<SAYS>><</ROLE>>"
@@ -148,25 +164,133 @@ def test_all_hosts_that_link_to_a_blocked_host_are_blocked(spark, farms):
     assert got[201] == "allow" and got[202] == "block" and got[203] == got[204] == "allow"  # a third of a.net is blocked, and nobody links
 
 
-def test_pagerank_by_brute_force(spark):
-    edges = [("a", "b"), ("a", "c"), ("b", "c"), ("c", "a"), ("d", "c")]
-    seeds = {"a": 1.0, "d": 0.5}
-    got = {r["host"]: r["score"] for r in U.spread(spark.createDataFrame(list(seeds.items()), "host string, seed double"), spark.createDataFrame(edges, "src string, dst string"), 0.85, 6).collect()}
+def pagerank(seeds, edges, rounds=300):
     score = dict(seeds)
-    for _ in range(6):
+    for _ in range(rounds):
         new = {h: 0.15 * s for h, s in seeds.items()}
         for h, s in score.items():
-            out = [d for c, d in edges if c == h] or [h]
-            for d in out:
-                new[d] = new.get(d, 0) + 0.85 * s / len(out)
+            out = [(d, w) for (c, d), w in edges.items() if c == h] or [(h, 1)]
+            for d, w in out:
+                new[d] = new.get(d, 0) + 0.85 * s * w / sum(x for _, x in out)
         score = new
-    assert got.keys() == score.keys() and all(abs(got[h] - score[h]) < 1e-9 for h in got)
+    return score
+
+
+def test_pagerank_by_brute_force(spark):
+    edges = {("a", "b"): 3, ("a", "c"): 1, ("b", "c"): 1, ("c", "a"): 2, ("d", "c"): 5, ("c", "e"): 1}
+    seeds = {"a": 1.0, "d": 0.5}
+    links = spark.createDataFrame([(*k, w) for k, w in edges.items()], "src string, dst string, weight bigint")
+    got = {r["host"]: r["score"] for r in U.spread(spark.createDataFrame(list(seeds.items()), "host string, seed double"), links, 0.85, 1e-7, 12).collect()}
+    want = pagerank(seeds, edges)
+    assert {h for h, s in want.items() if s > 1e-9} <= got.keys() and all(abs(got[h] - want.get(h, 0)) < 1e-5 for h in got)
+
+
+def verdicts_by_hand(rows):
+    """The verdict of each page without a rule, from links between hosts: what op9 is to give."""
+    low = lambda h: "".join(c.lower() if "A" <= c <= "Z" else c for c in h)
+    parts = {i: re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", u or "") for i, u, _ in rows}
+    place = {i: (low(m[1]), m[2]) if m else ("", "") for i, m in parts.items()}
+
+    def rule(host, path):
+        fits = [r for r in U.RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        return max(fits, key=lambda r: len(r.name), default=None)
+
+    fit = {i: rule(*p) for i, p in place.items()}
+    own, edges = {}, {}
+    for i, _, html in rows:
+        host = place[i][0]
+        if host:
+            own.setdefault(host, []).append(fit[i].verdict if fit[i] else None)
+            for to in {low(h) for h in re.findall(r"""(?is)\bhref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)""", html or "")} - {host}:
+                edges[host, to] = edges.get((host, to), 0) + 1
+    seed = {v: {h: x.count(v) / len(x) for h, x in own.items()} for v in ("allow", "block")}
+    against = {(b, a): w for (a, b), w in edges.items()}
+    got = {}
+    for v, links in (("allow", edges), ("block", against)):
+        score = pagerank({h: s for h, s in seed[v].items() if s > 0}, links)
+        total = {}
+        for (a, _), w in links.items():
+            total[a] = total.get(a, 0) + w
+        got[v] = {}
+        for (a, b), w in links.items():
+            got[v][b] = got[v].get(b, 0) + score.get(a, 0) * w / total[a]
+    out = {}
+    for i, (host, path) in place.items():
+        verdict = fit[i].verdict if fit[i] else "allow"
+        if not fit[i] and host:
+            good, bad = got["allow"].get(host, 0), got["block"].get(host, 0)
+            trust, distrust = seed["allow"][host], seed["block"][host]
+            others = (bad - good) / (bad + good) if bad > good else 0
+            verdict = "block" if distrust - trust + (1 - trust - distrust) * others >= 0.5 else "allow"
+        out[i] = (host, path, fit[i].name if fit[i] else None, verdict)
+    return out
+
+
+def test_url_query_on_linked_hosts(spark, tmp_path):
+    """The registered query on pages that link to other hosts: verdicts by links alone go both ways, and weights count."""
+    import random
+
+    rng = random.Random(2)
+    names = [f"{n}.{d}" for d in ("com", "net", "org", "info") for n in ("a", "b", "c", "d", "e", "WWW.f")]
+    rows = []
+    for i in range(300):
+        host = rng.choice(names)
+        links = "".join(f"<a HREF='https://{rng.choice(names)}/x{k}'>y</a>" for k in range(rng.choice([0, 0, 1, 2, 4])))
+        rows.append((i, f"http://{host}/{rng.choice(['es', 'en', 'fr', 'de', ''])}/p{i}?q", rng.choice([links, links + '<a href="/own">z</a>', None])))
+    # two.org links once to a blocked host and trusted shop.com often to it; three.org the other way round.
+    rows += [(400, "http://bad.net/es/1", ""), (401, "http://two.org/", '<a href="http://bad.net/">x</a>'), (402, "http://three.org/", "")]
+    rows += [(410 + k, f"http://shop.com/{k}", '<a href="http://two.org/">x</a>' if k < 9 else '<a href="http://three.org/">x</a>') for k in range(10)]
+    rows += [(430 + k, f"http://three.org/{k}", '<a href="http://bad.net/">x</a>') for k in range(9)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in Q.QUERIES["op9_url_filter"](spark, str(tmp_path)).collect()}
+    want = verdicts_by_hand(rows)
+    assert got == want
+    without = {i: v for i, v in want.items() if v[2] is None}
+    assert {v[3] for v in without.values()} == {"allow", "block"} and want[401][3] != want[402][3]
+
+
+def test_urls_odd_rows(spark):
+    rows = [(None, "http://a.net/es/", ""), (1, "http://a.net/es/", ""), (1, "http://a.net/es/", ""), (2, "http://" + "x" * 50_000 + ".org/", "<a href='//a.net'>" * 5000)]
+    got = [(r["page_id"], r["verdict"]) for r in U.url_filter(pages(spark, rows)).collect()]
+    assert sorted(got, key=repr) == sorted([(None, "block"), (1, "block"), (1, "block"), (2, "block")], key=repr)
 
 
 def test_url_filter_of_nothing(spark):
     assert U.url_filter(pages(spark, [])).count() == 0
 
 
+def rewrapped(text, width):
+    import textwrap
+
+    return "\n\n".join(textwrap.fill(p, width, break_long_words=False) for p in re.split(r"\n[ \t\f]*\n", text))
+
+
+def test_known_texts_at_any_width(spark):
+    rows, want, known = [], [], L.by_form()
+    for name, _, text in L.KNOWN:
+        own = known[L._form(text)]
+        for width in range(40, 121, 1 if len(text) < 2500 else 27):
+            rows.append((len(rows), rewrapped(text, width)))
+            want.append(own)
+            if len(text) > 400 and "GNU" not in text and width % 8 == 0:
+                rows.append((len(rows), f"Copyright (c) 2019-2021 A. Person\n(c) 2018 Another\n\n{rows[-1][1]}"))
+                want.append(want[-1])
+    got = {r["doc_id"]: r["license_id"] for r in L.license_scan(frame(spark, rows)).select("doc_id", "license_id").collect()}
+    missed = [(i, w, rows[i][1][:200]) for i, w in enumerate(want) if got[i] != w]
+    assert len(want) > 4000 and not missed, missed[:3]
+
+
+def test_license_query_on_entire_texts(spark, tmp_path):
+    """The registered query and its SQL over whole texts, notices, odd rows."""
+    texts = [t for _, _, t in L.KNOWN] + ["Copyright 2001 X\n" + L._MIT, "The MIT License (MIT)\n\nCopyright (c) 2020 Y\nAll rights reserved.\n\n" + L._MIT, "\n" * 20_000 + "x", None, "", "copyright", "Copyright holders be liable\nfor nothing", "a version\n2 of it"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0])]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    n, bad = compare(spark, "op10", Q.QUERIES["op10_license_scan"], Q.SQL["op10_license_scan"], str(tmp_path))
+    assert n == len(rows) and not bad, bad[:2]
+    got = {r["doc_id"]: r["license_id"] for r in Q.QUERIES["op10_license_scan"](spark, str(tmp_path)).collect()}
+    assert all(got[i] for i in range(len(L.KNOWN) + 1))
+
+
 def test_licences_in_other_dress(spark):
     mit = next(t for n, _, t in L.KNOWN if n == "MIT" and len(t) > 900)
     dressed = "Copyright (c) 2020 Some One\nAll rights reserved.\n\n" + mit.upper().replace("LICENSE", "LICENCE").replace(",", " ;")

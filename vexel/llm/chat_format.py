@@ -50,13 +50,16 @@ def chat_format(turns: DataFrame, template: Template = Template(), conv_col: str
     row is kept. Neighbours of the same role share one block: its texts stand between the role's marks, parted by
     `more`. `loss_spans` covers each text of a trained role, in order, and nothing else. Spans are in the escaped text.
 
-    A null text is empty, a null role is the empty role, a null turn sorts first, rows of null conv_id are one
-    conversation. An empty table gives an empty one. A conversation is one output row, so it must fit in memory, as in
-    any form of this output; conversations are dealt by conv_id and nothing else is gathered.
+    A null text is empty, a null role is the empty role, a null turn sorts first, and a row of null conv_id belongs to
+    no other: it is a conversation of its own, so any number of them is never gathered. An empty table gives an empty
+    one. A conversation is one output row, so it must fit in memory, as in any form of this output; conversations are
+    dealt by conv_id and nothing else is gathered. Running sums are made once for a conversation and meet their blocks
+    and parts by `zip_with`, so the work follows the number of turns.
     """
     rows = pick(turns, (conv_col, "conv_id"), (turn_col, "turn"), (role_col, "role"), (text_col, "text"))
-    rows = rows.select("conv_id", "turn", text_of(F.col("role")).alias("role"), text_of(F.col("text")).alias("text"))
-    talks = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    own = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("own")
+    rows = rows.select("conv_id", own, "turn", text_of(F.col("role")).alias("role"), text_of(F.col("text")).alias("text"))
+    talks = rows.groupBy("conv_id", "own").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
 
     def mark(role: Column, at: int, other: Column) -> Column:
         out = other
@@ -76,17 +79,21 @@ def chat_format(turns: DataFrame, template: Template = Template(), conv_col: str
 
     whole = F.transform("blocks", lambda b: F.concat(opened(b["role"]), F.array_join(b["parts"], template.more), mark(b["role"], 1, F.lit(template.other_close))))
 
-    # Offsets: a running sum over blocks, then over the parts of trained blocks.
-    def spans_of(at: Column, b: Column) -> Column:
+    def running(sizes: Column) -> Column:
+        """What all earlier elements come to, for each element."""
+        zero = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("before"))
+        step = lambda acc, n: F.struct((acc["sum"] + n).alias("sum"), F.concat(acc["before"], F.array(acc["sum"])).alias("before"))
+        return F.aggregate(sizes, zero, step, lambda acc: acc["before"])
+
+    def spans_of(b: Column, at: Column) -> Column:
         first = at + F.length(opened(b["role"]))
-        gap = len(template.more)
-        return F.transform(b["parts"], lambda p, k: F.struct((first + F.aggregate(F.slice(b["parts"], 1, k), F.lit(0), lambda n, q: n + F.length(q) + gap)).cast("long").alias("start"), F.length(p).cast("long").alias("length")))
+        places = running(F.transform(b["parts"], lambda p: F.length(p) + len(template.more)))
+        return F.zip_with(b["parts"], places, lambda p, before: F.struct((first + before).cast("long").alias("start"), F.length(p).cast("long").alias("length")))
 
     talks = talks.withColumn("texts", whole)
-    ends = F.aggregate("texts", F.array(F.lit(0)), lambda acc, t: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(t))))
-    talks = talks.select("conv_id", "blocks", F.array_join("texts", "").alias("formatted"), ends.alias("ends"))
-    spans = F.transform("blocks", lambda b, k: F.when(b["role"].isin(*template.trained), spans_of(F.col("ends")[k], b)).otherwise(F.array().cast("array<struct<start:bigint,length:bigint>>")))
-    return talks.select("conv_id", "formatted", F.flatten(spans).alias("loss_spans"))
+    nothing = F.array().cast("array<struct<start:bigint,length:bigint>>")
+    spans = F.zip_with("blocks", running(F.transform("texts", F.length)), lambda b, at: F.when(b["role"].isin(*template.trained), spans_of(b, at)).otherwise(nothing))
+    return talks.select("conv_id", F.array_join("texts", "").alias("formatted"), F.flatten(spans).alias("loss_spans"))
 
 
 def read_turns(formatted: Column, template: Template = Template()) -> Column:
@@ -111,6 +118,19 @@ def read_turns(formatted: Column, template: Template = Template()) -> Column:
     return F.flatten(F.zip_with(marks, bodies, block))
 
 
-def read_loss(formatted: Column, spans: Column, template: Template = Template()) -> Column:
-    """All text under the loss mask, unescaped span by span and joined."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")), template)), "")
+def read_loss(formatted: Column, spans: Column, template: Template = Template(), step: int = 4096) -> Column:
+    """All text under the loss mask, unescaped span by span and joined.
+
+    The text is first cut every `step` code points, as finding a place in a string means to walk there; a span is read
+    from the cuts that it touches.
+    """
+    cuts = F.transform(F.sequence(F.lit(0), F.floor(F.length(formatted) / step).cast("int")), lambda k: F.substr(formatted, k * step + 1, F.lit(step)))
+    zero = F.struct(cuts.alias("cuts"), F.array().cast("array<string>").alias("out"))
+
+    def read(acc: Column, s: Column) -> Column:
+        first, last = F.floor(s["start"] / step).cast("int"), F.floor((s["start"] + s["length"]) / step).cast("int")
+        near = F.array_join(F.slice(acc["cuts"], first + 1, last - first + 1), "")
+        text = F.substr(near, (s["start"] % step + 1).cast("int"), s["length"].cast("int"))
+        return F.struct(acc["cuts"].alias("cuts"), F.concat(acc["out"], F.array(unescape(text, template))).alias("out"))
+
+    return F.aggregate(spans, zero, read, lambda acc: F.array_join(acc["out"], ""))

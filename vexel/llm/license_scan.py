@@ -6,6 +6,7 @@ import hashlib
 import re
 from pathlib import Path
 
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,29 +147,33 @@ KNOWN: tuple[tuple[str, str, str], ...] = (
 #: Spellings that count as one, pattern then the form kept (in lower-case text without punctuation).
 SPELLINGS: tuple[tuple[str, str], ...] = (
     (r"licence", "license"),
-    (r"\bsub licens", "sublicens"),
-    (r"\bnon commercial\b", "noncommercial"),
-    (r"\bnon infringement\b", "noninfringement"),
-    (r"\bcopyright owner", "copyright holder"),
-    (r"\bcreative commons attribution\b", "cc by"),
+    (r"\bsub[ \n]+licens", "sublicens"),
+    (r"\bnon[ \n]+commercial\b", "noncommercial"),
+    (r"\bnon[ \n]+infringement\b", "noninfringement"),
+    (r"\bcopyright[ \n]+owner", "copyright holder"),
+    (r"\bcreative[ \n]+commons[ \n]+attribution\b", "cc by"),
     (r"\bnoncommercial\b", "nc"),
-    (r"\bshare ?alike\b", "sa"),
-    (r"\bversion ([0-9])", "v$1"),
-    (r"\bv ?([0-9])", "$1"),
+    (r"\bshare[ \n]*alike\b", "sa"),
+    (r"\bversion[ \n]+([0-9])", "v$1"),
+    (r"\bv[ \n]*([0-9])", "$1"),
     (r"\backnowledgement", "acknowledgment"),
-    (r"\bper cent\b", "percent"),
+    (r"\bper[ \n]+cent\b", "percent"),
     (r"\bauthoris", "authoriz"),
     (r"\bfavour", "favor"),
     (r"\bwhilst\b", "while"),
 )
-COPYRIGHT_LINE = r"(?m)^[ \t#*/;.-]*(?:copyright\b|©|\(c\) ?[0-9])[^\n]*$"
-RESERVED_LINE = r"(?m)^[ \t#*/;.-]*all rights reserved[^\n]*$"
+#: The notice at the head of a text: an optional title line, kept, then up to eight lines that state a copyright or reserve rights; such a
+#: line goes with up to three that follow it where a blank line ends them, as a long notice may be wrapped.
+HEAD = (
+    r"\A([^\p{L}\p{N}]*[^\n]{0,50}licen[sc]e(?: \(mit\))?[^\p{L}\p{N}\n]*\n)?[^\p{L}\p{N}©(]*"
+    r"(?:(?:copyright\b|\(c\) ?[0-9]|©|all rights reserved)(?:[^\n]*(?:\n[^\n]{1,120}(?:\n[^\n]{1,120}(?:\n[^\n]{1,120})?)?)?\n[^\p{L}\p{N}\n]*\n|[^\n]*(?:\n|$))[^\p{L}\p{N}©(]*){1,8}"
+)
 
 
 def _forms(col: Column) -> Column:
-    """Lower case, without copyright lines, punctuation as single spaces, one spelling; line ends stay."""
+    """Lower case, without a copyright notice at the head, punctuation as single spaces, one spelling; line ends stay."""
     low = F.lower(col)
-    low = F.when(low.rlike("copyright|©|\\(c\\)|all rights reserved"), F.regexp_replace(F.regexp_replace(low, COPYRIGHT_LINE, ""), RESERVED_LINE, "")).otherwise(low)
+    low = F.when(low.rlike("copyright|©|\\(c\\)|all rights reserved"), F.regexp_replace(low, HEAD, "$1")).otherwise(low)
     words = F.regexp_replace(low, r"[^\p{L}\p{N}\n]+", " ")
     same = words
     for pattern, kept in SPELLINGS:
@@ -178,24 +183,29 @@ def _forms(col: Column) -> Column:
 
 
 def _form(text: str) -> str:
-    """The canonical form of one of the few known texts, on the driver; spellings do not reach across line ends, as in `_forms`."""
-    low = text.lower()
-    for pattern in (COPYRIGHT_LINE, RESERVED_LINE):
-        low = re.sub(pattern, "", low)
-    low = re.sub(r"[^\w\n]+|_+", " ", low)
-    low = re.sub(r" +", " ", low)
+    """The canonical form of one of the few known texts, on the driver, on one line."""
+    low = regex.sub(HEAD, lambda m: m[1] or "", text.lower())
+    low = regex.sub(r"[^\p{L}\p{N}\n]+", " ", low)
     for pattern, kept in SPELLINGS:
-        low = re.sub(pattern, kept.replace("$", "\\"), low)
-    return re.sub(r" *\n[ \n]*", " ", low).strip()
+        low = regex.sub(pattern, kept.replace("$", "\\"), low)
+    return regex.sub(r" *\n[ \n]*", " ", low).strip(" ")
+
+
+def by_form(known: tuple[tuple[str, str, str], ...] | None = None) -> dict[str, str]:
+    """The licence id of each known form; the first of equal ones counts."""
+    out: dict[str, str] = {}
+    for name, _, text in known or KNOWN:
+        out.setdefault(_form(text), name)
+    return out
 
 
 def known_digests(known: tuple[tuple[str, str, str], ...] = KNOWN) -> list[tuple[str, str, str, int]]:
     """(digest, licence id, category, length of the form) of each known text; the first of equal forms counts."""
     out: dict[str, tuple[str, str, str, int]] = {}
     for name, category, text in known:
-        for form in (_form(text), _form(re.sub(r"(?<=\S) *\n *(?=\S)", " ", text))):  # as it stands, and paragraphs on one line
-            key = hashlib.md5(form.encode()).hexdigest()
-            out.setdefault(key, (key, name, category, len(form)))
+        form = _form(text)
+        key = hashlib.md5(form.encode()).hexdigest()
+        out.setdefault(key, (key, name, category, len(form)))
     return list(out.values())
 
 
@@ -206,14 +216,16 @@ def known_table(spark: SparkSession, known: tuple[tuple[str, str, str], ...] = K
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: tuple[tuple[str, str, str], ...] = KNOWN) -> DataFrame:
     """One row per input row: doc_id, digest, license_id, category, notices, n_notices.
 
-    The whole text's canonical form (case, punctuation, copyright lines and equivalent spellings made one) is hashed
+    The whole text's canonical form (case, punctuation, line ends and equivalent spellings made one, without the copyright
+    notice at its head) is hashed
     and joined to the known digests: license_id and category are null where no known licence is the entire text. Each
     line is an entire text of its own too, as notices stand inside other prose: `notices` has the sorted distinct
     licence ids of such lines joined by commas (empty for none) and n_notices their number of lines. Only lines as
     long as a known form are hashed, which loses none. The known table is a constant of the program, so it is
     broadcast; no row is shuffled.
 
-    Null and empty texts have the digest of the empty form and match nothing; repeated rows give repeated results.
+    Null and empty texts have the digest of the empty form and match nothing; repeated rows give repeated results; a null
+    id is carried through; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     table = known_digests(known)

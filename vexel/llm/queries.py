@@ -17,7 +17,7 @@ from .class_lm import class_lm
 from .exact_dedup import exact_dedup
 from .fingerprint import fingerprint_stability
 from .language_id import language_id
-from .license_scan import COPYRIGHT_LINE, RESERVED_LINE, SPELLINGS, known_digests, license_scan
+from .license_scan import HEAD, SPELLINGS, known_digests, license_scan
 from .minhash_dedup import minhash_dedup
 from .packing import pack_documents
 from .url_filter import url_filter
@@ -116,14 +116,14 @@ def _op6_sql() -> str:
     escaped = lambda x: rf"regexp_replace({x}, '([<\[])(~*)({rests})', '\1~\2\3', 'g')"
     marks = "case role " + " ".join(f"when '{r}' then {len(a) + len(b)}" for r, a, b in t.roles) + f" else {len(t.other_open) + len(t.says) + len(t.other_close)} + length({escaped('role')}) end"
     return rf"""
-with r as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
-           union all select -7, i, case i when 0 then 'user' else 'assistant' end, '</s>[INST] ok [/INST]' from range(2) t(i)),
-s as (select *, lag(role) over (partition by conv_id order by turn, role, text) as before, length({escaped('text')}) as n from r)
+with r as (select conv_id, case when conv_id is null then row_number() over () end as own, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+           union all select -7, null, i, case i when 0 then 'user' else 'assistant' end, '</s>[INST] ok [/INST]' from range(2) t(i)),
+s as (select *, lag(role) over (partition by conv_id, own order by turn, role, text) as before, length({escaped('text')}) as n from r)
 select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
        coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
        sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
        sum(n + case when before is null or before <> role then {marks} else {len(t.more)} end)::bigint as formatted_chars
-from s group by conv_id"""
+from s group by conv_id, own"""
 
 
 def _op9_sql() -> str:
@@ -140,7 +140,7 @@ from j left join s on j.host = s.host"""
 
 
 def _op10_sql() -> str:
-    low = f"regexp_replace(regexp_replace(lower(coalesce(text, '')), {_quoted(COPYRIGHT_LINE)}, '', 'g'), {_quoted(RESERVED_LINE)}, '', 'g')"
+    low = f"regexp_replace(lower(coalesce(text, '')), {_quoted(HEAD)}, '{chr(92)}1')"
     form = rf"regexp_replace({low}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
     for pattern, kept in SPELLINGS:
         form = f"regexp_replace({form}, {_quoted(pattern)}, {_quoted(kept.replace('$', chr(92)))}, 'g')"

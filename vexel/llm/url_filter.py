@@ -53,49 +53,62 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return rows.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def spread(seeds: DataFrame, edges: DataFrame, damping: float, rounds: int) -> DataFrame:
-    """Personalised PageRank: (host, score) from (host, seed) over (src, dst).
+def shares_of(edges: DataFrame) -> DataFrame:
+    """(src, dst, share): what part of a host's score goes along each of its links, by their weights."""
+    total = edges.groupBy("src").agg(F.sum("weight").alias("total"))
+    return edges.join(total, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share"))
 
-    A host passes `damping` of its score on in equal shares; one without links keeps it. Scores start at and return to
-    the seeds, so a seed host without any links keeps its seed as score. Rounds are written to the shared folder.
+
+def spread(seeds: DataFrame, edges: DataFrame, damping: float, tolerance: float = 1e-4, together: int = 6, max_rounds: int = 400) -> DataFrame:
+    """Personalised PageRank: (host, score) from (host, seed) over (src, dst, weight).
+
+    A host passes `damping` of its score on along its links, in the shares of their weights; one without links keeps
+    it. Scores start at and return to the seeds, so a seed host without any links keeps its seed as score. `together`
+    rounds are one job, written to the shared folder; they end when the last of them moved no more than `tolerance`
+    of all score, which damping makes sure of.
     """
-    out_degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    shares = stored(edges.join(out_degree, "src").select("src", "dst", (F.lit(1.0) / F.col("degree")).alias("share")), "shares")
-    ends = stored(shares.select("src").distinct().withColumn("links", F.lit(True)), "ends")
-    scores, old = seeds.select("host", F.col("seed").alias("score")), None
-    for _ in range(rounds):
-        moved = scores.join(shares, scores["host"] == shares["src"]).select(F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("part"))
-        stays = scores.join(ends, scores["host"] == ends["src"], "left_anti").select("host", (F.col("score") * damping).alias("part"))
-        back = seeds.select("host", (F.col("seed") * (1 - damping)).alias("part"))
-        new = stored(moved.unionByName(stays).unionByName(back).groupBy("host").agg(F.sum("part").alias("score")).filter("score > 1e-12"), "scores")
-        if old is not None:
-            discard(old)
-        scores = old = new
-    discard(shares, ends)
+    shares = stored(shares_of(edges), "shares")
+    back = stored(seeds.select("host", (F.col("seed") * (1 - damping)).alias("part"), "seed"), "seeds")
+    scores, old = back.select("host", F.col("seed").alias("score")), None
+    for _ in range(0, max_rounds, together):
+        for _ in range(together):
+            before = scores
+            # A host without links meets none and passes to itself. Scores stand in one branch, so plans grow by the round, not double.
+            moved = before.join(shares, before["host"] == shares["src"], "left").select(F.coalesce("dst", "host").alias("host"), (F.col("score") * F.coalesce("share", F.lit(1.0)) * damping).alias("part"))
+            scores = moved.unionByName(back.select("host", "part")).groupBy("host").agg(F.sum("part").alias("score"))
+        last = before.select("host", F.lit(0.0).alias("score"), F.col("score").alias("was")).unionByName(scores.select("host", "score", F.lit(0.0).alias("was")))
+        both = stored(last.groupBy("host").agg(F.sum("score").alias("score"), F.sum("was").alias("was")), "scores")
+        discard(old)
+        scores, old = both.select("host", "score"), both
+        told = both.agg(F.sum(F.abs(F.col("score") - F.col("was"))).alias("moved"), F.sum("score").alias("all")).first()
+        if told["all"] is None or told["moved"] <= tolerance * told["all"]:
+            break
+    else:
+        raise RuntimeError(f"scores did not settle in {max_rounds} rounds")
+    discard(shares, back)
+    scores.scratch = [old]
     return scores
 
 
 def received(scores: DataFrame, edges: DataFrame) -> DataFrame:
-    """(host, part): what each host gets along (src, dst) when every host gives its score away in equal shares."""
-    out_degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    given = scores.join(out_degree, scores["host"] == out_degree["src"]).select("src", (F.col("score") / F.col("degree")).alias("part"))
-    return edges.join(given, "src").groupBy(F.col("dst").alias("host")).agg(F.sum("part").alias("part"))
+    """(host, part): what each host gets along (src, dst, weight) when every host gives its score away."""
+    return scores.join(shares_of(edges), scores["host"] == F.col("src")).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("share")).alias("part"))
 
 
-def url_filter(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", damping: float = 0.85, rounds: int = 12, threshold: float = 0.5) -> DataFrame:
+def url_filter(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", damping: float = 0.85, tolerance: float = 1e-4, threshold: float = 0.5) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict.
 
     A rule fits its host and all its subdomains where the path starts with the rule's; the longest decides. Where none
     fits, the host does: each host's seed of trust (distrust) is the share of its pages that rules allow (block).
-    Trust runs along the links between hosts, distrust against them, by personalised PageRank of `rounds` rounds. What a
-    host gets of both from other hosts is compared as (distrust - trust) / (distrust + trust), so it does not matter
-    among how many hosts a score is divided. This stands for the pages that no rule fits: it is weighted by their share and
+    Trust runs along the links between hosts, distrust against them, by personalised PageRank, weighted by the number of
+    linking pages, until no round moves more than `tolerance` of the score. What a host gets of both from other hosts is
+    compared as (distrust - trust) / (distrust + trust), so it does not matter among how many hosts a score is divided. This stands for the pages that no rule fits: it is weighted by their share and
     added to the seeds' difference, which it can only raise. A host where the sum is `threshold` or more is blocked, any
     other allowed; one that gets nothing is judged by its seeds.
 
     Null urls and such without `://` have an empty host and path, fit no rule and are allowed, as hosts are judged only
-    by name. Null html has no links. Repeated pages count as often as they stand there. Links are counted for
-    each pair of hosts before the shuffle and all page texts stay where they are; the verdicts of hosts join
+    by name. Null html has no links. A null page_id is carried through. Repeated pages count as often as they stand
+    there. Of rules of equal length the longer host decides, then the name. An empty table gives an empty one. Links are counted for each pair of hosts before the shuffle and all page texts stay where they are; the verdicts of hosts join
     pages by host, a join that adaptive execution splits for a hot host.
     """
     rows = pick(pages, (id_col, "page_id"), (url_col, "url"), (html_col, "html"))
@@ -105,14 +118,18 @@ def url_filter(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     hosts = stored(judged.filter("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust")), "hosts")
     edges = stored(host_edges(rows), "edges")
     worse = F.col("distrust") - F.col("trust")
+    told = hosts
     if not edges.isEmpty():  # without links every host keeps its seed
-        along, against = edges.select("src", "dst"), edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        along, against = edges, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
         for seed, part, links in (("trust", "good", along), ("distrust", "bad", against)):
-            scores = spread(hosts.filter(F.col(seed) > 0).select("host", F.col(seed).alias("seed")), links, damping, rounds)
-            hosts = hosts.join(received(scores, links).withColumnRenamed("part", part), "host", "left")
+            scores = spread(hosts.filter(F.col(seed) > 0).select("host", F.col(seed).alias("seed")), links, damping, tolerance)
+            got = stored(received(scores, links).withColumnRenamed("part", part), part)
+            discard(*scores.scratch)
+            told = told.join(got, "host", "left")
         good, bad = F.coalesce("good", F.lit(0.0)), F.coalesce("bad", F.lit(0.0))
         others = F.when(bad > good, (bad - good) / (bad + good)).otherwise(0.0)
         worse = worse + (1 - F.col("trust") - F.col("distrust")) * others
-    blocked = hosts.filter(worse >= threshold).select("host", F.lit("block").alias("by_links"))
+    blocked = stored(told.filter(worse >= threshold).select("host", F.lit("block").alias("by_links")), "blocked")
+    discard(hosts, edges)
     out = judged.join(blocked, "host", "left")
     return out.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(F.col("fit.verdict"), F.col("by_links"), F.lit("allow")).alias("verdict"))
