@@ -191,9 +191,64 @@ def test_fingerprint_single_empty_and_merge(spark):
     assert P.fingerprint_stability(frame(spark, [])).count() == 0
     r = P.fingerprint_stability(frame(spark, [(4, "one two three four five six")])).first()
     assert r["near_next"] == 1
-    a, b, both = P.sketches([" ".join(f"a{i}" for i in range(3000)), " ".join(f"b{i}" for i in range(300)), " ".join([*(f"a{i}" for i in range(3000)), *(f"b{i}" for i in range(300))])])
+    one, two = [f"a{i}" for i in range(3000)], [f"b{i}" for i in range(300)]
+    a, b, both = P.sketches([" ".join(one), " ".join(two), " ".join([*one, *two])])
     assert b.containment(both) > 0.95 and both.containment(b) < 0.2 and a.resemblance(b) == 0
-    assert len(np.setxor1d(a.merge(b).hashes, both.hashes)) < 10
+    assert len(np.setxor1d(a.merge(b).values, both.values)) < 10  # only shingles across the seam
+    for s in (a, b, *P.sketches(["", "tiny", "A few words only"])):
+        assert str(P.Sketch.parse(str(s))) == str(s)
+
+
+def values_by_hand(text):
+    """The retained values of a text, from the hashes of single shingles."""
+    own = set()
+    for shingle in shingle_set(text):
+        hashes, firsts, _, _ = text_hash.words([b" ".join(shingle)])
+        own.add(int(text_hash.shingles(hashes, firsts, 5)[0][0]))
+    return {h >> 14 for h in own if h < 1 << 62}, min(own, default=0)
+
+
+def test_fingerprint_query_by_brute_force(spark, words, tmp_path):
+    rows = [(i, t) for i, t in enumerate(words[:110])] + [(200, None), (201, "  "), (202, " ".join(f"w{i % 977}" for i in range(21_000)))]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in Q.QUERIES["op4_fingerprint"](spark, str(tmp_path)).collect()}
+    ids = sorted((i for i, _ in rows), reverse=True)
+    text = {i: t or "" for i, t in rows}
+    near = lambda x, y: len(x[0] & y[0]) / len(x[0]) if x[0] else float(x[1] == y[1])
+    for k, i in enumerate(ids):
+        own, after = text[i], text[ids[(k + 1) % len(ids)]]
+        half = len(own) // 2
+        mine, new, following = values_by_hand(own), values_by_hand(own[: len(own) - half] + after[:half]), values_by_hand(after)
+        assert set(P.Sketch.parse(got[i]["fingerprint"]).values.tolist()) == mine[0]
+        assert (got[i]["near_edited"], got[i]["near_next"]) == pytest.approx((near(mine, new), near(mine, following)))
+
+
+def test_stored_fingerprints_merge_and_contain(spark, words):
+    texts = [w or "" for w in words]
+    docs = frame(spark, list(enumerate(texts)))
+    prints = P.fingerprints(docs).withColumn("half", F.col("doc_id") % 2)
+    merged = {r["half"]: P.Sketch.parse(r["fingerprint"]) for r in P.merge(prints, "half").collect()}
+    for half in (0, 1):
+        own = P.sketches(texts[half::2])
+        want = own[0]
+        for s in own[1:]:
+            want = want.merge(s)
+        assert str(merged[half]) == str(want)
+    pairs = prints.alias("a").join(P.merge(prints, "half").withColumnRenamed("fingerprint", "all").alias("b"), "half")
+    assert pairs.select(P.containment(F.col("fingerprint"), F.col("all")).alias("c"), "fingerprint").filter("length(fingerprint) > 19 and c < 1").count() == 0
+    assert P.merge(P.fingerprints(frame(spark, [])).withColumn("g", F.lit(1)), "g").count() == 0
+
+
+@pytest.mark.parametrize("per_range", [3, 10_000])
+def test_fingerprints_of_string_ids_repeated_rows(spark, words, per_range, monkeypatch):
+    near = P.with_next.__defaults__
+    monkeypatch.setattr(P.with_next, "__defaults__", (per_range, *near[1:]))
+    rows = {i * 3 + 100: t for i, t in enumerate(words[:60])}
+    docs = frame(spark, list(rows.items())).withColumn("doc_id", F.col("doc_id").cast("string"))
+    got = {int(r["doc_id"]): (r["n_chars"], r["edited_sha256"]) for r in P.fingerprint_stability(docs).collect()}
+    assert got == fingerprints_by_hand(rows)
+    twice = P.fingerprint_stability(frame(spark, [(1, "a b c"), (1, "a b c"), (None, "z")])).collect()
+    assert sorted(r["n_chars"] for r in twice) == [1, 5, 5]
 
 
 ODD = ["▁", "▁▁a", " a", "a ", "  ", "a\n\n b", "\x00a\x00", "<s></s><unk> <0x0A>", "é", "日本語 テキスト 😀👩‍👩‍👧", "a▁b ▁ c", "　x y", "ﬁ", " " * 40 + "x" + " " * 17, "", None, "J̌ x", "<|endoftext|> A<|EndOfText|>B", "don't CAN'T we'll", "a\x1cb\x85c", "İstanbul ΑΣ", "x!!!y,,z  1234", "É" * 3000]
