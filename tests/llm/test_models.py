@@ -118,34 +118,78 @@ def test_components_of_chains_and_loops(spark):
     assert K.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
-def test_class_model_counts_by_brute_force(spark, words):
-    rows = list(enumerate(words))
-    small = C.Settings(frequent=10, groups=8, classes=5, table=30)  # most words then go through the join
-    got = {r["doc_id"]: r for r in C.class_lm(frame(spark, rows + [(3, words[3])], "row known score"), small).collect()}
-    rows.append((3, words[3]))
-    train, tokens = Counter(), {i: [*split(t), "END"] for i, t in rows}
-    n = 0
+def scores_by_hand(model, rows, train):
+    """Word by word from the model's tables: P(class | class before) * P(word | class), mixed with single words."""
+    out, w = {}, model.words
+    place = {h: k for k, h in enumerate(w.hashes.tolist())}
+    for i, text in rows:
+        before, total = C.END, 0.0
+        for word in [*split(text), None]:
+            if word is None:
+                item, n = C.END, model.ends
+            else:
+                hashes, tail, _ = C._tokens([word])
+                k = place.get(int(hashes[0]))
+                item = int(w.items[k]) if k is not None and w.items[k] else 1 + w.own + int(C._group(tail, w.groups)[0])
+                n = train[word]
+            a, b = model.of[before], model.of[item]
+            p = model.settings.mixed * model.transition[a, b] * (n + 1) * model.emit[b] + (1 - model.settings.mixed) * (n + 1) / (model.tokens + model.vocabulary + 1)
+            total, before = total + math.log10(p), item
+        out.setdefault(i, total)
+    return out
+
+
+def test_class_model_by_brute_force(spark, words):
+    """Counts, base scores and scores of all rows; probabilities of all words and the unknown one come to 1."""
+    rows = [*enumerate(words), (3, words[3]), (500, "new words never seen before"), (501, "aa " * 21_000)]
+    small = C.Settings(least=6, groups=8, classes=5, head=20, table=60)  # most words then go through the join
+    docs = frame(spark, rows, "row known score")
+    got = {r["doc_id"]: r for r in C.class_lm(docs, small).collect()}
+    learnt = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    train = Counter(w for _, t in learnt for w in [*split(t), "END"])
+    n = sum(train.values())
+    model, _ = C.fit(docs.filter(F.col("doc_id").isin([i for i, _ in learnt])).select("text"), small)
+    want = scores_by_hand(model, rows, train)
     for i, t in rows:
-        if zlib.crc32(str(i).encode()) % 7 != 2:
-            train.update([*split(t), "END"])
-            n += len(split(t)) + 1
-    for i, own in tokens.items():
-        r = got[i]
+        r, own = got[i], [*split(t), "END"]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(own), sum(train[w] > 0 for w in own), n, zlib.crc32(str(i).encode()) % 7 == 2)
         assert r["base_score"] == pytest.approx(sum(math.log10((train[w] + 1) / (n + len(train) + 1)) for w in own))
-        assert r["score"] < 0
+        assert r["score"] == pytest.approx(want[i], rel=1e-9)
+    assert np.allclose(model.transition.sum(axis=1), 1)
+    emitted = Counter()
+    for word, k in train.items():
+        if word != "END":
+            hashes, tail, _ = C._tokens([word])
+            emitted[int(model.of[model.words.look_up(hashes, tail)[0][0]])] += (k + 1) * model.emit[model.of[model.words.look_up(hashes, tail)[0][0]]]
+    emitted[int(model.of[C.END])] += (model.ends + 1) * model.emit[model.of[C.END]]
+    for c, p in emitted.items():  # what is left is the unknown word's
+        assert p + model.emit[c] == pytest.approx(1)
 
 
-def test_class_model_is_a_distribution_and_beats_single_words(spark):
+def test_class_model_beats_single_words(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    model, _ = C.fit(docs.filter("text is not null").select("text"))
-    assert np.allclose(model.transition.sum(axis=1), 1)
     got = C.class_lm(docs).filter("held_out").agg(F.sum("base_score").alias("base"), F.sum("score").alias("own")).first()
     assert got["own"] > got["base"]
     assert C.class_lm(frame(spark, [])).count() == 0
     assert C.class_lm(frame(spark, [(1, None), (None, "a")])).count() == 2
 
 
+def test_rounds_over_all_items_raise_the_likelihood(spark):
+    """Items of two kinds that follow each other in turn: rounds find kinds that the head does not hold."""
+    rng = random.Random(3)
+    kinds = [[f"{k}{i}" for i in range(60)] for k in "xyz"]
+    texts = [(i, " ".join(rng.choice(kinds[j % 3]) for j in range(40))) for i in range(150)]
+    model, _ = C.fit(frame(spark, texts).select("text"), C.Settings(least=3, groups=4, classes=4, head=30))
+    word = {}
+    for k, own in enumerate(kinds):
+        for w in own:
+            hashes, tail, _ = C._tokens([w.encode()])
+            word[w] = int(model.of[model.words.look_up(hashes, tail)[0][0]])
+    for own in kinds:
+        top = Counter(word[w] for w in own).most_common(1)[0][1]
+        assert top >= 57
+
+
 def test_exchange_ends_where_no_move_helps():
     x = np.random.default_rng(0).integers(0, 9, (12, 12)).astype(float)
 

@@ -7,12 +7,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_hash
-from .common import bucket_of, pick, stored
+from .common import bucket_of, discard, pick, stored
 
 END = 0  #: item number of the end of a text, which also stands before its first word
 _END_HASH = np.uint64(0x656E64206F662074)
@@ -20,21 +21,29 @@ _END_HASH = np.uint64(0x656E64206F662074)
 
 @dataclass(frozen=True)
 class Settings:
-    """`frequent` words are items of their own; every other word belongs to one of `groups` items by its last letters.
-
-    `classes` are made of the items; `table` bounds the number of words whose counts are broadcast, the rest
-    of the vocabulary is joined. `backing` pseudo-counts of the class's overall share smooth a transition; `mixed` is
-    the weight of the class model against the unigram model of the same counts.
+    """Words counted `least` times or more are items of their own; rarer ones belong to one of `groups` items by their last
+    letters, as their own contexts say next to nothing.
+
+    All items get classes by exchange: first the `head` most frequent ones among each other, then all others in
+    `rounds` over the whole table of pairs. The number of classes grows with that of items (`class_number`) unless given.
+    `table` bounds the number of words that are broadcast (their hash, count and item: 20 bytes each); if more words
+    reach `least`, the count asked for is raised so far, and the rest of the vocabulary is joined. `backing` pseudo-counts of the class's
+    overall share smooth a transition; `mixed` is the weight of the class model against the unigram model of the same counts.
     """
 
-    frequent: int = 384
+    least: int = 5
     groups: int = 384
-    classes: int = 48
-    sweeps: int = 12
+    classes: int | None = None
+    head: int = 512
+    sweeps: int = 8
+    rounds: int = 6
     table: int = 400_000
     backing: float = 4.0
     mixed: float = 0.95
 
+    def class_number(self, items: int) -> int:
+        return max(2, min(items, self.classes or max(16, round(2 * items ** (1 / 3)))))
+
 
 def _documents(batch: pd.DataFrame) -> list[bytes]:
     return [t.encode() if isinstance(t, str) else b"" for t in batch["text"]]
@@ -88,14 +97,31 @@ def word_counts(rows: DataFrame, groups: int) -> DataFrame:
     return rows.mapInPandas(run, "word bigint, group int, n bigint").groupBy("word").agg(F.first("group").alias("group"), F.sum("n").alias("n"))
 
 
-def _items(word: np.ndarray, tail: np.ndarray, known: np.ndarray, settings: Settings) -> np.ndarray:
-    """Item numbers: 0 the end, then the frequent words in the order of `known` (sorted hashes), then the groups."""
-    out = 1 + len(known) + _group(tail, settings.groups)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, word), len(known) - 1)
-        hit = known[at] == word
-        out[hit] = 1 + at[hit]
-    return out
+@dataclass
+class Words:
+    """The broadcast part of the vocabulary: sorted hashes, counts, and item numbers (0 for words of an ending's group)."""
+
+    hashes: np.ndarray
+    counts: np.ndarray
+    items: np.ndarray
+    own: int
+    groups: int
+
+    @property
+    def total(self) -> int:
+        """Items: 0 the end, then words of their own by falling count, then the groups."""
+        return 1 + self.own + self.groups
+
+    def look_up(self, word: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, count) of each word; count 0 for words that are not here."""
+        out, n = np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, word), len(self.hashes) - 1)
+            hit = self.hashes[at] == word
+            out[hit], n[hit] = self.items[at[hit]], self.counts[at[hit]]
+        by_ending = out == 0
+        out[by_ending] = 1 + self.own + _group(tail[by_ending], self.groups)
+        return out, n
 
 
 def _sequence(items: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,24 +134,172 @@ def _sequence(items: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate([[END], out[:-1]]), out
 
 
-def pair_counts(rows: DataFrame, known: np.ndarray, settings: Settings) -> DataFrame:
-    """(pair, n): how often item `pair % I` follows item `pair // I`, over all tokens; at most I * I rows, whatever the input."""
-    total = 1 + len(known) + settings.groups
-    shared = rows.sparkSession.sparkContext.broadcast(known)
+def pair_counts(rows: DataFrame, words: Words) -> DataFrame:
+    """(before, item, n): how often an item follows another, over all tokens; each task adds up its own before the shuffle."""
+    shared, total = rows.sparkSession.sparkContext.broadcast(words), words.total
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(total * total, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            pair, n = (np.concatenate(x) for x in zip(*held))
+            own, back = np.unique(pair, return_inverse=True)
+            return own, np.bincount(back, n, len(own)).astype(np.int64)
+
+        size = 0
         for batch in batches:
             texts = _documents(batch)
             for first, last in text_hash.chunks(texts, 1 << 20):
                 word, tail, firsts = _tokens(texts[first:last])
-                before, item = _sequence(_items(word, tail, shared.value, settings), firsts)
-                own, n = np.unique(before * total + item, return_counts=True)
-                counts[own] += n
-        have = np.flatnonzero(counts)
-        yield pd.DataFrame({"pair": have, "n": counts[have]})
+                before, item = _sequence(shared.value.look_up(word, tail)[0], firsts)
+                held.append(np.unique(before * total + item, return_counts=True))
+                size += len(held[-1][0])
+                if size > 1_500_000:
+                    held[:] = [merged()]
+                    size = len(held[0][0])
+                    if size > 700_000:
+                        pair, n = held.pop()
+                        size = 0
+                        yield pd.DataFrame({"before": (pair // total).astype(np.int32), "item": (pair % total).astype(np.int32), "n": n})
+        if held:
+            pair, n = merged()
+            yield pd.DataFrame({"before": (pair // total).astype(np.int32), "item": (pair % total).astype(np.int32), "n": n})
+
+    return rows.mapInPandas(run, "before int, item int, n bigint").groupBy("before", "item").agg(F.sum("n").alias("n"))
+
+
+def neighbours(pairs: DataFrame) -> DataFrame:
+    """(item, near): for each item, all it stands next to as (other, n), where other is -1 - o for an o before it, o for one after it.
+
+    A row has at most twice as many entries as there are items, whatever the input.
+    """
+    after = pairs.select(F.col("before").alias("item"), F.col("item").alias("other"), "n")
+    return after.unionByName(pairs.select("item", (-1 - F.col("before")).alias("other"), "n")).groupBy("item").agg(F.collect_list(F.struct("other", "n")).alias("near"))
+
+
+def _contexts(batch: pa.RecordBatch, of: np.ndarray, classes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(items, counts) for some rows of `neighbours` at a time; counts[i] has the classes after item i, then those before it.
+    Neighbours without a class yet (-1) count for nothing."""
+    near = batch.column("near")
+    items = batch.column("item").to_numpy()
+    offsets = near.offsets.to_numpy()
+    other, n = (near.values.field(k).to_numpy() for k in (0, 1))
+    for first in range(0, len(items), 1024):
+        last = min(first + 1024, len(items))
+        lo, hi = offsets[first], offsets[last]
+        row = np.repeat(np.arange(last - first), np.diff(offsets[first : last + 1]))
+        o = other[lo:hi]
+        cls = of[np.where(o >= 0, o, -1 - o)]
+        ok = cls >= 0
+        cell = row * (2 * classes) + cls + np.where(o >= 0, 0, classes)
+        yield items[first:last], np.bincount(cell[ok], n[lo:hi][ok], (last - first) * 2 * classes).reshape(-1, 2 * classes)
+
+
+def class_table(near: DataFrame, of: np.ndarray, classes: int) -> np.ndarray:
+    """table[a, b]: tokens of class b after class a, over items that have a class. Tasks' tables are added up in Spark."""
+    shared = near.sparkSession.sparkContext.broadcast(of)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, table = shared.value, np.zeros((classes, classes))
+        for batch in batches:
+            for items, counts in _contexts(batch, own, classes):
+                have = own[items] >= 0
+                np.add.at(table, own[items[have]], counts[have, :classes])
+        cells = np.flatnonzero(table)
+        yield pa.RecordBatch.from_pydict({"cell": cells, "n": table.ravel()[cells]})
+
+    cells = near.mapInArrow(run, "cell bigint, n double").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # classes * classes
+    table = np.zeros(classes * classes)
+    table[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(np.float64)
+    return table.reshape(classes, classes)
+
+
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
+
 
-    return rows.mapInPandas(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+def likelihood(table: np.ndarray) -> float:
+    """Of the class bigrams, up to what no clustering changes."""
+    return float(_xlogx(table).sum() - _xlogx(table.sum(axis=0)).sum() - _xlogx(table.sum(axis=1)).sum())
+
+
+def _gains(counts: np.ndarray, table: np.ndarray, sign: int) -> np.ndarray:
+    """What adding (sign 1) each row of counts to class k brings, or what taking it out (sign -1) costs, shape (rows, classes).
+
+    Only cells that a row has change. Many rows have the same count of the same class, so each such case is
+    worked out once for all k.
+    """
+    classes = len(table)
+    out = np.zeros((len(counts), classes))
+    for part, cells in ((counts[:, :classes], table.T), (counts[:, classes:], table)):  # cells[j] are those of class j with every k
+        row, j = np.nonzero(part)
+        if len(row):
+            case, back = np.unique(np.stack([j, part[row, j]]), axis=1, return_inverse=True)
+            have = cells[case[0].astype(np.int64)]
+            change = sign * (_xlogx(np.maximum(have + sign * case[1][:, None], 0)) - _xlogx(have))
+            starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            out[row[starts]] += np.add.reduceat(change[back.ravel()], starts, axis=0)
+        by_class, size = (table.sum(axis=1), counts[:, :classes].sum(axis=1)) if cells is not table else (table.sum(axis=0), counts[:, classes:].sum(axis=1))
+        out -= sign * (_xlogx(np.maximum(by_class + sign * size[:, None], 0)) - _xlogx(by_class))
+    return out
+
+
+def exchange_round(near: DataFrame, of: np.ndarray, table: np.ndarray, turn: int) -> np.ndarray:
+    """The classes after one round: items without a class get their best one, and half of the others move to theirs.
+
+    All tasks judge by the same table; the halves take turns, so that neighbours seldom move past each other.
+    The end keeps class 0 for itself.
+    """
+    shared = near.sparkSession.sparkContext.broadcast((of, table))
+    classes = len(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, cells = shared.value
+        for batch in batches:
+            for items, counts in _contexts(batch, own, classes):
+                new = own[items] < 0
+                may = (items != END) & (new | (text_hash.mix(items.astype(np.uint64) + np.uint64(turn // 2)) % np.uint64(2) == turn % 2))
+                items, counts, new = items[may], counts[may], new[may]
+                gain = _gains(counts, cells, 1)
+                stay = np.flatnonzero(~new)
+                old = own[items[stay]]
+                gain[stay, old] = _gains(counts[stay], cells, -1)[np.arange(len(stay)), old]
+                gain[:, 0] = -np.inf
+                best = gain.argmax(axis=1)
+                best = np.where(counts.any(axis=1), best, np.where(new, 1 + items % max(1, classes - 1), own[items]))
+                went = best != own[items]
+                yield pa.RecordBatch.from_pydict({"item": pa.array(items[went], pa.int32()), "class": pa.array(best[went], pa.int32())})
+
+    moved = near.mapInArrow(run, "item int, class int").toPandas()  # at most one row for each item
+    out = of.copy()
+    out[moved["item"].to_numpy(np.int64)] = moved["class"].to_numpy(np.int64)
+    return out
+
+
+def cluster(pairs: DataFrame, items: int, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each item, table of class bigrams): exact exchange among the most frequent items, then rounds over all.
+
+    A round that lowers the likelihood of the whole table is undone and ends the search.
+    """
+    classes, head = settings.class_number(items), min(items, 1 + settings.head)
+    first = pairs.filter((F.col("before") < head) & (F.col("item") < head)).toPandas()  # head * head
+    follows = np.zeros((head, head))
+    follows[first["before"].to_numpy(np.int64), first["item"].to_numpy(np.int64)] = first["n"].to_numpy(np.float64)
+    of = np.full(items, -1, np.int64)
+    of[:head] = exchange(follows, min(classes, max(2, head // 4)), settings.sweeps)
+    near = stored(neighbours(pairs), "neighbours")
+    table = class_table(near, of, classes)
+    for turn in range(settings.rounds if classes > 2 else 1):
+        after = exchange_round(near, of, table, turn)
+        new = class_table(near, after, classes)
+        settled = bool((of >= 0).all())
+        if settled and likelihood(new) <= likelihood(table):
+            break
+        of, table = after, new
+    if (of < 0).any():  # items that no pair has
+        of[of < 0] = classes - 1
+    discard(near)
+    return of, table
 
 
 def exchange(follows: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
@@ -146,7 +320,7 @@ def exchange(follows: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
     one[np.arange(size), of] = 1
     right, left = follows @ one, follows.T @ one  # of each item: counts of the classes after and before it
     table = one.T @ right
-    ent = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
+    ent = _xlogx
     for _ in range(sweeps if classes > 2 else 0):
         moved = 0
         for w in rest:
@@ -187,19 +361,17 @@ def exchange(follows: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Everything of bounded size that scoring needs; counts of the other words are in a table of their own."""
+    """What scoring needs beside the table of all words' counts."""
 
     settings: Settings
-    known: np.ndarray  # sorted hashes of the frequent words
+    words: Words
     of: np.ndarray  # class of each item
     transition: np.ndarray  # probability of class b after class a
     emit: np.ndarray  # 1 / (count + vocabulary + 1) of each class
     tokens: int
     vocabulary: int
     ends: int
-    words: np.ndarray  # sorted hashes of the words whose counts are here
-    counts: np.ndarray
-    rarest: int  # their smallest count; every word counted less often is in the other table
+    rarest: int  # the smallest count of the broadcast words; every word counted less often is in the other table
 
     def contexts(self, before: np.ndarray, item: np.ndarray) -> np.ndarray:
         """What count + 1 is multiplied by to give the probability of a token."""
@@ -211,41 +383,36 @@ class Model:
 def fit(rows: DataFrame, settings: Settings = Settings()) -> tuple[Model, DataFrame]:
     """(model, table of all words' counts) from all rows of `rows` (text).
 
-    Word counts, pair counts, transitions and emissions are of the whole input. Only numbers of fixed bounds reach the
-    driver: the frequent words, I * I pair counts, and the broadcast part of the counts.
+    Word counts, pair counts, classes, transitions and emissions are of the whole input. The driver holds the broadcast
+    words (`table` at most), the class of each item and tables of classes; all else stays in tables.
     """
     counts = stored(word_counts(rows, settings.groups), "words")
     ends = rows.count()
     total = counts.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    top = counts.orderBy(F.col("n").desc(), "word").limit(settings.frequent).toPandas()
-    known = np.sort(top["word"].to_numpy(np.int64).view(np.uint64))
-    items = 1 + len(known) + settings.groups
-    pairs = pair_counts(rows, known, settings).toPandas()
-    follows = np.zeros(items * items)
-    follows[pairs["pair"].to_numpy(np.int64)] = pairs["n"].to_numpy(np.float64)
-    follows = follows.reshape(items, items)
-    of = exchange(follows, settings.classes, settings.sweeps)
-    one = np.zeros((items, int(of.max()) + 1))
-    one[np.arange(items), of] = 1
-    table = one.T @ follows @ one
-    overall = (table.sum(axis=0) + 1) / (table.sum() + table.shape[1])
-    transition = (table + settings.backing * overall) / (table.sum(axis=1, keepdims=True) + settings.backing)
-    # Distinct words of each class: its frequent words, and the others of its groups.
-    by_group = counts.groupBy("group").agg(F.count(F.lit(1)).alias("v")).toPandas()
-    distinct = np.zeros(one.shape[1])
-    np.add.at(distinct, of[1 + len(known) + by_group["group"].to_numpy(np.int64)], by_group["v"].to_numpy(np.float64))
-    np.add.at(distinct, of[1 + len(known) + top["group"].to_numpy(np.int64)], -1)
-    np.add.at(distinct, of[: 1 + len(known)], 1)
     # The cut of the broadcast table: the least count that keeps it within its bound.
     levels = counts.groupBy("n").agg(F.count(F.lit(1)).alias("v")).orderBy(F.col("n").desc()).filter("n > 1").limit(settings.table).toPandas()
     within = levels[levels["v"].cumsum() <= settings.table]
     rarest = int(within["n"].min()) if len(within) else np.iinfo(np.int64).max
+    least = max(rarest, settings.least)
     held = counts.filter(F.col("n") >= rarest).select("word", "n").toPandas()
-    words = held["word"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(words)
+    hashes, number = held["word"].to_numpy(np.int64).view(np.uint64), held["n"].to_numpy(np.int64)
+    ranked = np.lexsort((hashes, -number))
+    own = int((number >= least).sum())
+    item = np.zeros(len(hashes), np.int32)
+    item[ranked[:own]] = np.arange(1, own + 1)
+    order = np.argsort(hashes)
+    words = Words(hashes[order], number[order], item[order], own, settings.groups)
+    pairs = stored(pair_counts(rows, words), "pairs")
+    of, table = cluster(pairs, words.total, settings)
+    overall = (table.sum(axis=0) + 1) / (table.sum() + table.shape[1])
+    transition = (table + settings.backing * overall) / (table.sum(axis=1, keepdims=True) + settings.backing)
+    # Distinct words of each class: those of their own, and the rarer ones of its groups.
+    rare = counts.filter(F.col("n") < least).groupBy("group").agg(F.count(F.lit(1)).alias("v")).toPandas()
+    distinct = np.bincount(of[: 1 + own], minlength=len(table)).astype(np.float64)
+    np.add.at(distinct, of[1 + own + rare["group"].to_numpy(np.int64)], rare["v"].to_numpy(np.float64))
     emit = 1 / (table.sum(axis=0) + distinct + 1)
-    model = Model(settings, known, of, transition, emit, int(total["n"]) + ends, int(total["v"]) + (ends > 0), ends, words[order], held["n"].to_numpy(np.int64)[order], rarest)
-    return model, counts
+    discard(pairs)
+    return Model(settings, words, of, transition, emit, int(total["n"]) + ends, int(total["v"]) + (ends > 0), ends, rarest), counts
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -267,13 +434,10 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
             texts, out = _documents(batch), []
             for first, last in text_hash.chunks(texts, 1 << 20):
                 word, tail, firsts = _tokens(texts[first:last])
-                before, item = _sequence(_items(word, tail, own.known, own.settings), firsts)
+                items, n = own.words.look_up(word, tail)
+                before, item = _sequence(items, firsts)
                 starts = firsts[:-1] + np.arange(last - first)
                 context = np.add.reduceat(np.log10(own.contexts(before, item)), starts)
-                n = np.zeros(len(word), np.int64)
-                if len(own.words):
-                    at = np.minimum(np.searchsorted(own.words, word), len(own.words) - 1)
-                    n = np.where(own.words[at] == word, own.counts[at], 0)
                 logs = np.concatenate([[0.0], np.cumsum(np.log10(n + 1.0))])
                 known = np.concatenate([[0], np.cumsum(n > 0)])
                 rare = n == 0
