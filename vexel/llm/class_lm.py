@@ -36,7 +36,7 @@ class Settings:
     classes: int | None = None
     head: int = 512
     sweeps: int = 8
-    rounds: int = 6
+    rounds: int = 8
     table: int = 400_000
     backing: float = 4.0
     mixed: float = 0.95
