@@ -395,9 +395,10 @@ def phrases_by_hand(text, sample):
     return n
 
 
-@pytest.mark.parametrize("together", [1, 10, 48])
-def test_language_phrases_by_brute_force(together, monkeypatch):
-    monkeypatch.setattr(I, "TOGETHER", together)
+@pytest.mark.parametrize("lane", [2, 7, 64, 512])
+def test_language_phrases_by_brute_force(lane, monkeypatch):
+    """Lanes of any width, also such as phrases do not fit in, give the parse of the whole text."""
+    monkeypatch.setattr(I, "LANE", lane)
     rng = random.Random(1)
     sample = "".join(rng.choice("abc") for _ in range(200))
     alphabet = I.Alphabet(np.array([97, 98, 99], np.uint32), np.zeros(0, np.uint32))

@@ -48,6 +48,18 @@ def without_rows(rows: DataFrame, gone: DataFrame, label: str, max_broadcast_row
     return out
 
 
+_held: dict[tuple[str, str], object] = {}
+
+
+def held_by(operator: str, key: str, make: Callable[[], object]):
+    """What an operator keeps in a Python worker from task to task. A worker serves many operators in turn: what another one, or
+    the same one under another key, has kept is let go first."""
+    if (operator, key) not in _held:
+        _held.clear()
+        _held[operator, key] = make()
+    return _held[operator, key]
+
+
 class Recent:
     """Values remembered by key in two generations, each of at most half of `max_bytes`.
 

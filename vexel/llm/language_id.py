@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,10 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, bucket_of, numbered, pick, without_rows
+from .common import ROW, bucket_of, held_by, numbered, pick, without_rows
 
-#: So many texts at least step together as vectors; what is left of the longest ones is parsed symbol by symbol.
-TOGETHER = 48
+LANE = 512  #: symbols of a text that step together with those of other lanes
 BASE = 16  #: letters without a symbol of their own are written in digits of this base
 
 
@@ -102,45 +100,60 @@ class Model:
         """Phrases of each text under each language, shape (texts, languages).
 
         A phrase is the longest match in the language's sample from where the last one ended; a symbol that the sample
-        lacks is a phrase of its own. All texts step at once, the longest ones first, as long as `TOGETHER` of them are
-        left; the rest of each longer text goes on from the state it is in. No text is cut.
+        lacks is a phrase of its own. The count is that of the whole text, though lanes of it step at once: each lane
+        first goes from the start of a phrase, then again from the state in which the lane before it ended, until both
+        ways are in the same state at the same place; from there on they are one. A text with a lane where they never
+        meet, so that the next one began wrongly, is parsed symbol by symbol.
         """
         coded = [self.alphabet.coded(t) for t in texts]
         out = np.zeros((len(texts), len(self.languages)), np.int64)
-        sizes = np.array([len(c) for c in coded], np.int64)
-        order = np.argsort(-sizes, kind="stable")
-        order = order[sizes[order] > 0]
-        if not len(order):
+        lanes = [(i, s) for i, c in enumerate(coded) for s in range(0, len(c), LANE)]
+        if not lanes:
             return out
-        sizes = sizes[order]
-        together = int(sizes[TOGETHER - 1]) if len(order) >= TOGETHER else 0
-        live = np.searchsorted(-sizes, -np.arange(together), side="left")
-        data = np.concatenate([coded[i][:together] for i in order.tolist()])
-        starts = np.concatenate([[0], np.cumsum(np.minimum(sizes, together))[:-1]])
-        rests = [coded[i][together:].tolist() for i in order[: int(np.searchsorted(-sizes, -together, side="left"))].tolist()]
+        owner, start = (np.array(x) for x in zip(*lanes))
+        size = np.minimum(LANE, np.array([len(c) for c in coded])[owner] - start)
+        order = np.argsort(-size, kind="stable")
+        place = np.argsort(order)  # of each lane in falling size
+        owner, start, size = owner[order], start[order], size[order]
+        first = start == 0
+        before = np.where(first, 0, place[order - 1])  # the lane that ends where this one begins
+        last = np.ones(len(size), bool)
+        last[before[~first]] = False
+        steps = int(size[0])
+        grid = np.zeros((steps, len(size)), np.int32)  # a row for each step
+        for k, (i, s, n) in enumerate(zip(owner.tolist(), start.tolist(), size.tolist())):
+            grid[:n, k] = coded[i][s : s + n]
+        live = np.searchsorted(-size, -np.arange(steps), side="left")
         width = self.alphabet.size
+        states, counts = np.empty(grid.shape, np.int32), np.empty(grid.shape, np.int16)
         for j, table in enumerate(self.tables):
             flat = table.ravel()
-            state = np.zeros(len(order), np.int32)
-            count = np.zeros(len(order), np.int64)
-            for step in range(together):
+            state, count = np.zeros(len(size), np.int32), np.zeros(len(size), np.int32)
+            for step in range(steps):
                 n = live[step]
-                c = data[starts[:n] + step]
-                to = flat[state[:n] * width + c]
-                ended = np.flatnonzero(to < 0)
-                if len(ended):
-                    # The phrase ends before this symbol, which begins the next one, or is one if the sample lacks it.
-                    count[ended] += state[ended] > 0
-                    again = flat[c[ended]]
-                    count[ended[again < 0]] += 1
-                    to[ended] = np.maximum(again, 0)
-                state[:n] = to
-            if rests:
-                follow = array("q", np.where(flat < 0, -1, flat.astype(np.int64) * width).tobytes())
-                for i, rest in enumerate(rests):
-                    state[i], more = _go_on(rest, follow, int(state[i]) * width)
-                    count[i] += more
-            out[order, j] = count + (state > 0)  # the phrase that is open at the end
+                _advance(flat, width, state[:n], count[:n], grid[step, :n])
+                states[step, :n], counts[step, :n] = state[:n], count[:n]
+            whole, ends = count.copy(), state.copy()
+            act = np.flatnonzero(~first)
+            now = state[before[act]]
+            act, now = act[now > 0], now[now > 0]
+            seen = np.zeros(len(act), np.int32)
+            for step in range(steps):
+                over = size[act] <= step
+                if over.any():
+                    whole[act[over]], ends[act[over]] = seen[over], now[over]
+                    act, now, seen = act[~over], now[~over], seen[~over]
+                if not len(act):
+                    break
+                _advance(flat, width, now, seen, grid[step, act])
+                met = now == states[step, act]
+                if met.any():
+                    whole[act[met]] = seen[met] + count[act[met]] - counts[step, act[met]]
+                    act, now, seen = act[~met], now[~met], seen[~met]
+            whole[act], ends[act] = seen, now
+            np.add.at(out[:, j], owner, whole + (last & (ends > 0)))  # and the phrase that is open at the end
+            for i in set(owner[act[~last[act]]].tolist()):
+                out[i, j] = _one_by_one(coded[i], flat, width)
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -160,20 +173,31 @@ class Model:
         return out
 
 
-def _go_on(symbols: list[int], follow: array, at: int) -> tuple[int, int]:
-    """(whether a phrase is open at the end, phrases that ended) from the row `at` of the table on."""
-    count = 0
-    for c in symbols:
-        to = follow[at + c]
+def _advance(flat: np.ndarray, width: int, state: np.ndarray, count: np.ndarray, symbols: np.ndarray) -> None:
+    """One symbol for each lane, in place; `count` has the phrases that ended."""
+    to = flat[state * width + symbols]
+    ended = np.flatnonzero(to < 0)
+    if len(ended):
+        # The phrase ends before this symbol, which begins the next one, or is one if the sample lacks it.
+        count[ended] += state[ended] > 0
+        again = flat[symbols[ended]]
+        count[ended[again < 0]] += 1
+        to[ended] = np.maximum(again, 0)
+    state[:] = to
+
+
+def _one_by_one(symbols: np.ndarray, flat: np.ndarray, width: int) -> int:
+    at = count = 0
+    for c in symbols.tolist():
+        to = int(flat[at * width + c])
         if to < 0:
-            if at:
-                count += 1
-            to = follow[c]
+            count += at > 0
+            to = int(flat[c])
             if to < 0:
                 count += 1
                 to = 0
         at = to
-    return int(at > 0), count
+    return count + (at > 0)
 
 
 def _is_letter(points: np.ndarray) -> np.ndarray:
@@ -254,16 +278,17 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     rows = pick(docs, (id_col, "doc_id"), (text_col, "text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    model_key = str(shared._jbroadcast.id())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = shared.value
+        own = held_by("language_id", model_key, lambda: shared.value)
         for batch in batches:
             texts = list(batch["text"])
             found: list[tuple[str, float]] = []
             first = total = 0
             for i, text in enumerate([*texts, None]):
                 size = len(text) if isinstance(text, str) else 0
-                if i == len(texts) or i > first and total + size > 4_000_000:
+                if i == len(texts) or i > first and total + size > 1_000_000:
                     found += own.predict(texts[first:i])
                     first, total = i, 0
                 total += size

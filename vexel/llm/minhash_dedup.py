@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text_hash
-from .common import ROW, discard, numbered, pick, stored, without_rows
+from .common import ROW, discard, held_by, numbered, pick, stored, without_rows
 from .components import components
 
 WIDTH = 5  #: words in a shingle
@@ -68,6 +68,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held_by("minhash", "", lambda: None)
         for batch in batches:
             texts = [t.encode() if isinstance(t, str) else b"" for t in batch["text"]]
             size, fp, bands, odd = [], [], [], []

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, pick, stored
+from .common import Recent, held_by, pick, stored
 from .text_hash import chunks
 
 
@@ -36,7 +36,7 @@ class WordEncoder:
     _pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     _unsafe = re.compile("[A-Z](?=[^\x00-\u02ff])")
     _latin = re.compile("[\x20-\x3b\x3d-\x7e\xa1-\u017f]+")
-    def __init__(self, path: str, max_bytes: int = 96_000_000):
+    def __init__(self, path: str, max_bytes: int = 80_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -119,9 +119,6 @@ class WordEncoder:
         return [b"".join(found[a:b]) for a, b in zip([0, *ends], ends)]
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): each text's ids and `end_id`, cut into pieces of `size` if longer.
 
@@ -133,9 +130,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id:
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if tokenizer_path not in _encoders:
-            _encoders[tokenizer_path] = WordEncoder(tokenizer_path)
-        own = _encoders[tokenizer_path]
+        own = held_by("packing", tokenizer_path, lambda: WordEncoder(tokenizer_path))
         collecting = gc.isenabled()
         gc.disable()  # lists of words are long and hold no cycles
         try:

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import Recent, pick
+from .common import Recent, held_by, pick
 from .text_hash import chunks
 
 SPACE = "▁"
@@ -299,14 +299,9 @@ class Codec:
         return self.library.decode(ids)
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
-    """One codec per worker process and model."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    """One codec for each worker process, as long as it encodes or decodes with this model."""
+    return held_by("sentencepiece", path, lambda: Codec(path))
 
 
 #: From a document's ids, bounds and codec to the values of the columns wanted.
