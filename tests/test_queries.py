@@ -25,7 +25,7 @@ def test_other_queries_have_rows(spark, name):
 
 
 def test_entry_and_registry(spark):
-    assert entry.entry(spark).count() == 50
+    assert entry.entry(spark).count() == 25
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(catalog.QUERIES) <= set(entry.queries())
 

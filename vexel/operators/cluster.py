@@ -75,11 +75,19 @@ def one_pass(df: DataFrame, means: np.ndarray, before: np.ndarray | None = None)
                 utility += np.bincount(at, d.min(axis=1) - best, k)
             if old is not None:
                 moved += int((squared(data, old).argmin(axis=1) != at).sum())
-        yield pd.DataFrame({"counts": [counts.tolist()], "sums": [sums.ravel().tolist()], "error": [error.tolist()], "utility": [utility.tolist()], "moved": [moved]})
+        yield pd.DataFrame({"x": [np.concatenate([counts, error, utility, [moved], sums.ravel()]).tolist()]})
 
-    parts = df.select("v").mapInPandas(run, "counts array<bigint>, sums array<double>, error array<double>, utility array<double>, moved bigint").toPandas()
-    add = lambda c: np.sum(np.stack(parts[c].to_numpy()), axis=0)
-    return Sums(add("counts"), add("sums").reshape(k, n), add("error"), add("utility"), int(parts["moved"].sum()))
+    total = added(df.select("v").mapInPandas(run, "x array<double>"), k * (n + 3) + 1)
+    counts, error, utility, rest = np.split(total, [k, 2 * k, 3 * k])
+    return Sums(np.rint(counts).astype(np.int64), rest[1:].reshape(k, n), error, utility, int(round(rest[0])))
+
+
+def added(parts: DataFrame, size: int) -> np.ndarray:
+    """The sum of the tasks' arrays `x`, element by element: added up in Spark, so only `size` numbers reach the driver."""
+    cells = parts.select(F.posexplode("x").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).toPandas()
+    out = np.zeros(size)
+    out[cells["i"].to_numpy(np.int64)] = cells["x"].to_numpy(float)
+    return out
 
 
 def seed_plus_plus(df: DataFrame, k: int, seed: int = 11, tries: int | None = None) -> np.ndarray:
@@ -119,9 +127,9 @@ def _potentials(df: DataFrame, means: np.ndarray, candidates: list[np.ndarray])
             if len(batch):
                 data = _stack(batch["v"])
                 total += np.minimum(squared(data, have).min(axis=1)[:, None], squared(data, new)).sum(axis=0)
-        yield pd.DataFrame({"total": [total.tolist()]})
+        yield pd.DataFrame({"x": [total.tolist()]})
 
-    return np.sum(np.stack(df.select("v").mapInPandas(run, "total array<double>").toPandas()["total"].to_numpy()), axis=0)
+    return added(df.select("v").mapInPandas(run, "x array<double>"), len(candidates))
 
 
 def seed_farthest(df: DataFrame, k: int, seed: int = 11) -> np.ndarray:

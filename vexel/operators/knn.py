@@ -96,9 +96,9 @@ def knn_by(base: DataFrame, queries: DataFrame, k: int, distance: Callable[[Colu
     return pairs.withColumn("rank", place).filter(F.col("rank") <= k).select("qid", "rank", "m", "dist")
 
 
-def nearest(base: DataFrame, queries: DataFrame, distance: str = "euclidean2") -> DataFrame:
+def nearest(base: DataFrame, queries: DataFrame, distance: str = "euclidean2", exclude_self: bool = False) -> DataFrame:
     """(qid, m, dist): the nearest row of each query, the smallest m in a tie."""
-    return knn(base, queries, 1, distance).select("qid", "m", "dist")
+    return knn(base, queries, 1, distance, exclude_self).select("qid", "m", "dist")
 
 
 def vote(neighbours: DataFrame, labels: DataFrame) -> DataFrame:

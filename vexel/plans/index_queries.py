@@ -46,19 +46,19 @@ def map_column(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", index.map_find(m, F.lit("b")).alias("kept"), index.map_find(m, F.lit("a")).alias("added"), F.size(m).alias("size"), index.map_find(sized, F.lit("s"), "int").alias("number"), F.array_join(index.map_keys(m), ",").alias("keys"), F.size(index.map_remove(m, F.lit("a"))).alias("after"))
 
 
-@query("select l_partkey as y, l_suppkey as x, concat_ws('-', l_orderkey, l_linenumber) as data from lineitem where l_partkey between 100 and 299 and l_suppkey between 10 and 59")
+@query("select l_partkey as y, l_suppkey as x, concat_ws('-', l_orderkey, l_linenumber) as data from lineitem where l_partkey between 100 and 299 and l_suppkey between 1 and 50")
 def index_rect(spark, sf_dir):
-    return index.in_rectangle(points(spark, sf_dir), 100, 10, 200, 50)
+    return index.in_rectangle(points(spark, sf_dir), 100, 1, 200, 50)
 
 
-@query("select l_partkey as y, l_suppkey as x, concat_ws('-', l_orderkey, l_linenumber) as data from lineitem where l_partkey between 170 and 229 and l_suppkey between 20 and 79 and sqrt((l_partkey - 200) * (l_partkey - 200) + (l_suppkey - 50) * (l_suppkey - 50)) < 30")
+@query("select l_partkey as y, l_suppkey as x, concat_ws('-', l_orderkey, l_linenumber) as data from lineitem where l_partkey between 70 and 129 and l_suppkey between -25 and 34 and sqrt((l_partkey - 100) * (l_partkey - 100) + (l_suppkey - 5) * (l_suppkey - 5)) < 30")
 def index_circle(spark, sf_dir):
-    return index.in_circle(points(spark, sf_dir), 200, 50, 30)
+    return index.in_circle(points(spark, sf_dir), 100, 5, 30)
 
 
-@query("select c as id, count(*) as points from lineitem, range(20) t(c) where l_partkey - c * 90 between -25 and 24 and l_suppkey - 50 between -25 and 24 and sqrt((l_partkey - c * 90) * (l_partkey - c * 90) + (l_suppkey - 50) * (l_suppkey - 50)) < 25 group by c")
+@query("select c as id, count(*) as points from lineitem, range(20) t(c) where l_partkey - c * 90 between -25 and 24 and l_suppkey - 5 between -25 and 24 and sqrt((l_partkey - c * 90) * (l_partkey - c * 90) + (l_suppkey - 5) * (l_suppkey - 5)) < 25 group by c")
 def index_circle_join(spark, sf_dir):
-    centres = spark.range(20).select("id", (F.col("id") * 90).alias("cy"), F.lit(50).cast("bigint").alias("cx"))
+    centres = spark.range(20).select("id", (F.col("id") * 90).alias("cy"), F.lit(5).cast("bigint").alias("cx"))
     return index.circle_join(centres, points(spark, sf_dir), 25).groupBy("id").agg(F.count(F.lit(1)).alias("points"))
 
 

@@ -200,10 +200,11 @@ def purity(spark, sf_dir):
 
 
 # Linear algebra.
-@query(f"with {E}, c as (select m as i, unnest(range(64)) as j, unnest(v) as x from e) select a.i, b.i as j, round(sum(a.x * b.x), 6) + 0.0 as x from c a join c b using (j) where b.i < 32 group by a.i, b.i", name="matmul_coo")
+@query(f"with {E}, c as (select m as i, unnest(range(64)) as j, unnest(v) as x from e), g as (select a.j as i, b.j as j, sum(a.x * b.x) as x from c a join c b using (i) group by a.j, b.j) select c.i, g.j, round(sum(c.x * g.x), 5) + 0.0 as x from c join g on c.j = g.i group by c.i, g.j")
 def matmul_coo(spark, sf_dir):
+    """All vectors times their own 64 by 64 product."""
     a = linalg.cells(vectors(spark, sf_dir))
-    return linalg.multiply(a, a.filter("i < 32"), transpose_b=True).select("i", "j", F.round(F.col("x") + 0.0, 6).alias("x"))
+    return linalg.multiply(a, linalg.multiply(a, a, transpose_a=True)).select("i", "j", F.round(F.col("x") + 0.0, 5).alias("x"))
 
 
 @query(f"with {E}, c as (select m as i, unnest(range(64)) as j, unnest(v) as x from e) select a.j as i, b.j, round(sum(a.x * b.x), 5) + 0.0 as x from c a join c b using (i) group by a.j, b.j")
@@ -250,6 +251,21 @@ def eigen(spark, sf_dir):
     return spark.createDataFrame([(k, float(v), n, float(x)) for k, (v, row) in enumerate(zip(model.values, model.vectors)) for n, x in enumerate(row)], "k int, value double, n int, x double")
 
 
+@query(f"with {E}, c as (select m, unnest(range(64)) as n, unnest(v) as x from e), s as (select var_samp(x) as s from c group by n) select 64 as pairs, round(sum(s), 6) as total, 0.0 as residual, 1.0 as norm, true as falling from s")
+def eigen_proof(spark, sf_dir):
+    """What all eigenpairs of the covariance matrix must fulfil: C v = value * v, unit length, values that fall and add up to the trace."""
+    rows = vectors(spark, sf_dir)
+    model = linalg.principal_components(rows)
+    pairs = [(k, float(w), n, float(x)) for k, (w, row) in enumerate(zip(model.values, model.vectors)) for n, x in enumerate(row)]
+    v = spark.createDataFrame(pairs, "k int, value double, j int, x double")
+    moved = agg.covariance_cells(rows).join(v, "j").groupBy("k", F.col("i").alias("j")).agg(F.sum(F.col("cov") * F.col("x")).alias("y"))
+    told = moved.join(v, ["k", "j"]).groupBy("k", "value").agg(F.max(F.abs(F.col("y") - F.col("value") * F.col("x"))).alias("off"), F.sum(F.col("x") * F.col("x")).alias("norm"))
+    falling = F.array_sort(F.collect_list(F.struct("k", "value")))
+    told = told.agg(F.count(F.lit(1)).cast("int").alias("pairs"), F.sum("value").alias("total"), F.max("off").alias("residual"), F.max(F.abs(F.col("norm") - 1)).alias("norm"), falling.alias("f"))
+    ok = F.forall(F.sequence(F.lit(1), F.size("f") - 1), lambda i: F.get("f", i)["value"] <= F.get("f", i - 1)["value"])
+    return told.select("pairs", F.round("total", 6).alias("total"), F.round("residual", 6).alias("residual"), F.round(F.col("norm") + 1, 6).alias("norm"), ok.alias("falling"))
+
+
 @query("select * from (values (0, 0, 3, 20.0), (0, 1, 2, 20.0), (0, 2, 1, 20.0), (0, 3, 0, 20.0), (1, 0, 2, 10.0), (1, 1, 1, 10.0), (1, 2, 0, 10.0), (1, 3, -1, 10.0)) t(problem_id, task, worker, total)")
 def assignment(spark, sf_dir):
     """Two cost matrices of (task + 1) * (worker + 1): square, and with a task too many."""
@@ -259,7 +275,7 @@ def assignment(spark, sf_dir):
 
 # Neighbours.
 def _near(distance: str, k: int) -> str:
-    return f"with {E}, p as (select q.m as qid, b.m, {distance} as dist from e q, e b where q.m < 50 and b.m <> q.m), r as (select *, row_number() over (partition by qid order by round(dist, 12), m) as rank from p) select qid, rank::int as rank, m, round(dist, 6) + 0.0 as dist from r where rank <= {k}"
+    return f"with {E}, p as (select q.m as qid, b.m, {distance} as dist from e q, e b where q.m % 20 = 0 and b.m <> q.m), r as (select *, row_number() over (partition by qid order by round(dist, 12), m) as rank from p) select qid, rank::int as rank, m, round(dist, 6) + 0.0 as dist from r where rank <= {k}"
 
 
 _D2 = "list_sum(list_transform(range(1, 65), lambda i: (b.v[i] - q.v[i]) * (b.v[i] - q.v[i])))"
@@ -268,7 +284,8 @@ _HIST = "1 - list_sum(list_transform(range(1, 65), lambda i: least(b.v[i], q.v[i
 
 
 def _queries_of(rows: DataFrame) -> DataFrame:
-    return rows.filter("m < 50").select(F.col("m").alias("qid"), "v")
+    """Every twentieth vector is a query, against all of them."""
+    return rows.filter("m % 20 = 0").select(F.col("m").alias("qid"), "v")
 
 
 def _told(out: DataFrame) -> DataFrame:
@@ -300,13 +317,13 @@ def knn_custom(spark, sf_dir):
     return _told(knn.knn_by(rows, _queries_of(rows), 5, lambda a, b: F.array_max(vec.each(vec.sub(a, b), F.abs))))
 
 
-@query(f"with {E}, p as (select q.m as qid, b.m, {_D2} as dist from e q, e b where q.m < 50 and b.m >= 50) select qid, arg_min(m, (round(dist, 12), m)) as m, round(min(dist), 6) as dist from p group by qid")
+@query(f"with {E}, p as (select q.m as qid, b.m, {_D2} as dist from e q, e b where q.m % 20 = 0 and b.m <> q.m) select qid, arg_min(m, (round(dist, 12), m)) as m, round(min(dist), 6) as dist from p group by qid")
 def nn(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    return knn.nearest(rows.filter("m >= 50"), _queries_of(rows)).select("qid", "m", F.round("dist", 6).alias("dist"))
+    return knn.nearest(rows, _queries_of(rows), exclude_self=True).select("qid", "m", F.round("dist", 6).alias("dist"))
 
 
-_VOTE = f"with {E}, p as (select q.m as qid, q.label as actual, b.label, row_number() over (partition by q.m order by {_D2}, b.m) as rank from e q, e b where q.m < 50 and b.m <> q.m), c as (select qid, actual, label, count(*) as votes from p where rank <= 5 group by qid, actual, label) select qid, arg_min(label, (-votes, label)) as predicted, any_value(actual) as actual from c group by qid"
+_VOTE = f"with {E}, p as (select q.m as qid, q.label as actual, b.label, row_number() over (partition by q.m order by {_D2}, b.m) as rank from e q, e b where q.m % 20 = 0 and b.m <> q.m), c as (select qid, actual, label, count(*) as votes from p where rank <= 5 group by qid, actual, label) select qid, arg_min(label, (-votes, label)) as predicted, any_value(actual) as actual from c group by qid"
 
 
 @query(_VOTE)
