@@ -45,7 +45,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/vexel-{label}-{uuid.uuid4().hex}"
     with small_batches(spark):
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     _made.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
