@@ -36,11 +36,15 @@ class Settings:
     classes: int | None = None
     head: int = 512
     sweeps: int = 8
-    rounds: int = 4
+    rounds: int = 3
     table: int = 400_000
     backing: float = 4.0
     mixed: float = 0.95
 
+    def __post_init__(self):
+        if 1 + self.table + self.groups >= 1 << 20:
+            raise ValueError("more items than the packed pairs hold")
+
     def class_number(self, items: int) -> int:
         return max(2, min(items, self.classes or max(16, round(2 * items ** (1 / 3)))))
 
@@ -168,13 +172,18 @@ def pair_counts(rows: DataFrame, words: Words) -> DataFrame:
     return rows.mapInPandas(run, "before int, item int, n bigint").groupBy("before", "item").agg(F.sum("n").alias("n"))
 
 
+#: Low bits of a packed neighbour that hold its count; the others hold its item (under 2 ** 20 of them, see `Settings.table`).
+COUNT_BITS = 42
+
+
 def neighbours(pairs: DataFrame) -> DataFrame:
-    """(item, near): for each item, all it stands next to as (other, n), where other is -1 - o for an o before it, o for one after it.
+    """(item, near): for each item, all it stands next to, as other * 2 ** COUNT_BITS + n, where other is -1 - o for an o
+    before it and o for one after it.
 
     A row has at most twice as many entries as there are items, whatever the input.
     """
-    after = pairs.select(F.col("before").alias("item"), F.col("item").alias("other"), "n")
-    return after.unionByName(pairs.select("item", (-1 - F.col("before")).alias("other"), "n")).groupBy("item").agg(F.collect_list(F.struct("other", "n")).alias("near"))
+    packed = lambda item, other: pairs.select(F.col(item).alias("item"), (other.cast("bigint") * (1 << COUNT_BITS) + F.col("n")).alias("near"))
+    return packed("before", F.col("item")).unionByName(packed("item", -1 - F.col("before"))).groupBy("item").agg(F.collect_list("near").alias("near"))
 
 
 def _contexts(batch: pa.RecordBatch, of: np.ndarray, classes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -183,7 +192,8 @@ def _contexts(batch: pa.RecordBatch, of: np.ndarray, classes: int) -> Iterator[t
     near = batch.column("near")
     items = batch.column("item").to_numpy()
     offsets = near.offsets.to_numpy()
-    other, n = (near.values.field(k).to_numpy() for k in (0, 1))
+    near = near.values.to_numpy()
+    other, n = near >> COUNT_BITS, near & ((1 << COUNT_BITS) - 1)
     for first in range(0, len(items), 1024):
         last = min(first + 1024, len(items))
         lo, hi = offsets[first], offsets[last]
