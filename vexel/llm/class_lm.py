@@ -255,20 +255,22 @@ def _gains(counts: np.ndarray, table: np.ndarray, sign: int) -> np.ndarray:
 
 
 def exchange_round(near: DataFrame, of: np.ndarray, table: np.ndarray, turn: int) -> np.ndarray:
-    """The classes after one round: items without a class get their best one, and half of the others move to theirs.
+    """The classes after one round: items without a class get their best one; once all have one, half of them move to theirs.
 
     All tasks judge by the same table; the halves take turns, so that neighbours seldom move past each other.
     The end keeps class 0 for itself.
     """
     shared = near.sparkSession.sparkContext.broadcast((of, table))
     classes = len(table)
+    if (of >= 0).all():
+        near = near.filter(F.pmod(F.xxhash64("item"), F.lit(2)) == turn % 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, cells = shared.value
         for batch in batches:
             for items, counts in _contexts(batch, own, classes):
                 new = own[items] < 0
-                may = (items != END) & (new | (text_hash.mix(items.astype(np.uint64) + np.uint64(turn // 2)) % np.uint64(2) == turn % 2))
+                may = (items != END) & (new if (own < 0).any() else True)
                 items, counts, new = items[may], counts[may], new[may]
                 gain = _gains(counts, cells, 1)
                 stay = np.flatnonzero(~new)
