@@ -36,7 +36,7 @@ class WordEncoder:
     _pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     _unsafe = re.compile("[A-Z](?=[^\x00-\u02ff])")
     _latin = re.compile("[\x20-\x3b\x3d-\x7e\xa1-\u017f]+")
-    def __init__(self, path: str, max_bytes: int = 80_000_000):
+    def __init__(self, path: str, max_bytes: int = 160_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
