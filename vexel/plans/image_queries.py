@@ -78,9 +78,13 @@ _weights = "exp(-((o.row - c.row) * (o.row - c.row) + (o.col - c.col) * (o.col -
 _kernel("gauss5x5", lambda a: image.gaussian5x5(image.gray(a)[:, :, None]), f"select q.image_id, q.row, q.col, 0 as channel, coalesce(e.x, k) as x from q left join ({_around(f'sum({_weights} * o.k) / sum({_weights})', 2, _inner)}) e using (image_id, row, col)")
 _kernel("resize", lambda a: image.resize(a, 12, 16), f"select image_id, row / 2 as row, col / 2 as col, ch as channel, {_three} as x from p, range(3) t(ch) where row % 2 = 0 and col % 2 = 0".replace("row / 2", "row // 2").replace("col / 2", "col // 2"))
 _kernel("hist_eq", lambda a: image.equalize(a, 1), "select image_id, row, col, 0 as channel, least(greatest((share - low) * 255 / (1 - low), 0), 255) as x from (select *, count(*) over (partition by image_id order by floor(g))::double / count(*) over (partition by image_id) as share, first_value(n0) over (partition by image_id order by floor(g)) as low from (select *, count(*) over (partition by image_id, floor(g))::double / count(*) over (partition by image_id) as n0 from p))")
-_kernel("contrast_sigmoid", lambda a: image.contrast_sigmoid(a, 0.5, 2), None)
-_kernel("laplacian_binary", lambda a: image.laplacian(a, image.LAPLACIAN8, 0.0), None)
-_kernel("crop_resize", lambda a: image.crop_resize(a, 4, 4, 12, 12, 20, 20), None)
+_sigmoid = lambda t: f"(1 / (1 + exp(-5 * ({t} - 0.5))))"
+_kernel("contrast_sigmoid", lambda a: image.contrast_sigmoid(a, 0.5, 2), f"select image_id, row, col, 0 as channel, least(greatest(({_sigmoid('(r - lo) / (hi - lo)')} - {_sigmoid('0')}) / ({_sigmoid('1')} - {_sigmoid('0')}), 0), 1) * (hi - lo) + lo as x from (select *, min(r) over (partition by image_id) as lo, max(r) over (partition by image_id) as hi from p)")
+_edge8 = "greatest(sum((case when o.row = c.row and o.col = c.col then -8 else 1 end) * o.k), 0)"
+_kernel("laplacian_binary", lambda a: image.laplacian(a, image.LAPLACIAN8, 0.0), f"select image_id, row, col, 0 as channel, case when x > max(x) over (partition by image_id) / 8 then 255 else 0 end as x from (select q.image_id, q.row, q.col, coalesce(e.x, 0) as x from q left join ({_around(_edge8, 1, _edge)}) e using (image_id, row, col))")
+_corner = lambda dy, dx: f"(select image_id, row, col, ch, {_three} as x from p, range(3) t(ch)) c{dy}{dx} on c{dy}{dx}.image_id = i and c{dy}{dx}.ch = t.ch and c{dy}{dx}.row = 4 + least(y * 12 // 20 + {dy}, 11) and c{dy}{dx}.col = 4 + least(x_ * 12 // 20 + {dx}, 11)"
+_fy, _fx = "(y * 12 % 20 / 20.0)", "(x_ * 12 % 20 / 20.0)"
+_kernel("crop_resize", lambda a: image.crop_resize(a, 4, 4, 12, 12, 20, 20), f"select i as image_id, y as row, x_ as col, t.ch as channel, (c00.x * (1 - {_fy}) + c10.x * {_fy}) * (1 - {_fx}) + (c01.x * (1 - {_fy}) + c11.x * {_fy}) * {_fx} as x from range({IMAGES}) a(i) cross join range(20) b(y) cross join range(20) d(x_) cross join range(3) t(ch) join {_corner(0, 0)} join {_corner(0, 1)} join {_corner(1, 0)} join {_corner(1, 1)}")
 
 
 # Relational forms.
@@ -134,16 +138,27 @@ def patch_extract(spark, sf_dir):
     return image.patches(images(spark), 8).select("image_id", F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"), F.round(vec.total("v"), 6).alias("total"))
 
 
-@query()
+_NEAREST = "select image_id, row, col, arg_min(c, (d, c)) as c from (select image_id, row, col, c, (b - cb) * (b - cb) + (g - cg) * (g - cg) + (r - cr) * (r - cr) as d from p, (values (0, 0, 0, 0), (1, 255, 0, 0), (2, 0, 255, 0), (3, 0, 0, 255)) t(c, cb, cg, cr)) group by image_id, row, col"
+_AREAS = f"with recursive {P}, l as materialized ({_NEAREST}), link as materialized (select a.image_id, a.row * {COLS} + a.col as u, o.row * {COLS} + o.col as w from l a join l o on o.image_id = a.image_id and o.c = a.c and abs(o.row - a.row) <= 1 and abs(o.col - a.col) <= 1), reach as (select image_id, row * {COLS} + col as u, row * {COLS} + col as w from l union select r.image_id, r.u, k.w from reach r join link k on k.image_id = r.image_id and k.u = r.w)"
+
+
+@query(f"{_AREAS}, s as (select image_id, u, count(*) as size from reach group by image_id, u), h as (select l.image_id, l.c + case when s.size > {round(0.1 * np.sqrt(ROWS * COLS))} then 0 else 4 end as n, count(*)::double as x from l join s on s.image_id = l.image_id and s.u = l.row * {COLS} + l.col group by all) select i as image_id, n_ as n, coalesce(x, 0) as x from range({IMAGES}) a(i) cross join range(8) b(n_) left join h on h.image_id = i and h.n = n_")
 def ccv(spark, sf_dir):
-    """Colour coherence with four centroids."""
+    """Colour coherence with four centroids: pixels in large areas of each, then in small ones."""
     centroids = np.array([[0, 0, 0], [255, 0, 0], [0, 255, 0], [0, 0, 255]], float)
-    return image.vector_of(images(spark), lambda a: image.colour_coherence(a, centroids))
+    made = image.vector_of(images(spark), lambda a: image.colour_coherence(a, centroids))
+    return made.select("image_id", F.posexplode("v").alias("n", "x")).select("image_id", F.col("n").cast("bigint").alias("n"), "x")
 
 
-@query()
+_cut = lambda at, unit: f"cast(floor(({at}) * {unit}) as int)"
+_quarter = lambda dy, dx: f"coalesce(sum(k) filter (q.row >= {_cut(f'cy * 2 + {4 * dy}', ROWS / 32)} and q.row < {_cut(f'cy * 2 + {4 * dy + 4}', ROWS / 32)} and q.col >= {_cut(f'cx * 2 + {4 * dx}', COLS / 32)} and q.col < {_cut(f'cx * 2 + {4 * dx + 4}', COLS / 32)}), 0) as q{dy}{dx}"
+
+
+@query(f"with {P}, c as (select image_id, cy, cx, {_quarter(0, 0)}, {_quarter(0, 1)}, {_quarter(1, 0)}, {_quarter(1, 1)} from q, range(12) a(cy), range(12) b(cx) group by image_id, cy, cx), d as (select image_id, (cy * 12 + cx) * 8 as first, [q00 + q10 - q01 - q11, q00 + q01 - q10 - q11, q00 - q11, q01 - q10] as d from c) select image_id, first + j as n, round(greatest(case when j % 2 = 0 then 1 else -1 end * d[j // 2 + 1], 0), 6) + 0.0 as x from d, range(8) t(j)")
 def rectangle_feature(spark, sf_dir):
-    return image.vector_of(images(spark), image.rectangle_feature).select("image_id", F.size("v").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+    """(image_id, n, x): all 1152 responses of each image."""
+    made = image.vector_of(images(spark), image.rectangle_feature)
+    return made.select("image_id", F.posexplode("v").alias("n", "x")).select("image_id", F.col("n").cast("bigint").alias("n"), F.round(F.col("x") + 0.0, 6).alias("x"))
 
 
 def blob_images(spark: SparkSession, size: int = 96) -> DataFrame:
@@ -190,7 +205,11 @@ def bgseg_train(spark, sf_dir):
     return out.select("camera_id", F.round(F.col("mean")[0], 6).alias("mean"), F.round(F.col("amplitude")[0], 6).alias("amplitude"), "frames")
 
 
-@query()
+_FRAMES = "f as materialized (select user_id % 8 as camera_id, row_number() over (partition by user_id % 8 order by ts, event_id) - 1 as frame_no, value as x from events), m as (select camera_id, avg(x) as u from f group by camera_id), a as (select camera_id, any_value(u) as u, avg(sqrt((x - u) * (x - u) * 2.0)) as a from f join m using (camera_id) group by camera_id)"
+_IN = "(s.u - s.a - 10 <= f.x and f.x <= s.u + s.a + 10)"
+
+
+@query(f"with recursive {_FRAMES}, s as (select camera_id, -1::bigint as frame_no, u, a, 0 as mask from a union all select s.camera_id, f.frame_no, case when {_IN} then s.u + 0.05 * (f.x - s.u) else s.u end, s.a + case when {_IN} then 0.05 else 0.0125 end * (sqrt(2 * (f.x - s.u) * (f.x - s.u)) - s.a), case when {_IN} then 0 else 1 end from s join f on f.camera_id = s.camera_id and f.frame_no = s.frame_no + 1) select camera_id, count(*) as frames, sum(mask)::bigint as foreground from s where frame_no >= 0 group by camera_id")
 def bgseg_fold(spark, sf_dir):
     """The model run over every camera's frames in order: how often a pixel was foreground."""
     frames = background.frames_of_events(table(spark, sf_dir, "events"))
