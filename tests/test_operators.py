@@ -145,7 +145,10 @@ def test_gaussian_clusters_and_plsi(spark):
     assert agg.purity(labelled).first()[0] > 0.6
     counts = spark.range(200).select((F.col("id") / 10).cast("int").alias("d"), (F.col("id") % 10).cast("int").alias("w"))
     counts = counts.withColumn("n", F.when((F.col("d") < 10) == (F.col("w") < 5), 9.0).otherwise(0.1))
-    word = cluster.plsi(counts, 2, 20).w
+    got = cluster.plsi(counts, 2, 20)
+    word = np.array([r["p"] for r in got.w.orderBy("w").collect()])
+    none = cluster.plsi(counts.limit(0), 2, 5)
+    assert np.allclose(got.z, 0.5, atol=0.05) and none.z.tolist() == [0.5, 0.5] and none.w.count() == none.d.count() == 0
     assert np.allclose(word.sum(axis=0), 1) and len(set(word[:5].argmax(axis=1))) == 1 and word[0].argmax() != word[9].argmax()
 
 

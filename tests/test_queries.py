@@ -10,7 +10,7 @@ from vexel.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 #: Long loops of many small jobs, covered by the tests of their operators.
-SLOW = {"xmeans", "lbgu", "kmeans", "klr_tree", "klr", "knb", "pca_kmeans_tree", "kmeans_tree", "kmeans_tree_beam", "keypoints_rectangle", "kmeans_init_dist", "kmeans_init_rand", "som", "plsi"}
+SLOW = {"xmeans", "lbgu", "klr_tree", "klr", "knb", "pca_kmeans_tree", "kmeans_tree", "kmeans_tree_beam", "keypoints_rectangle", "som"}
 
 
 @pytest.mark.parametrize("name", sorted(catalog.SQL))

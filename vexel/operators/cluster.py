@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import stored
+from ..scratch import discard, stored
 from .agg import covariance_of, moments
 
 
@@ -308,39 +308,53 @@ def som(df: DataFrame, rows: int, cols: int, max_epoch: int = 20, seed: int = 11
 
 @dataclass(frozen=True)
 class Topics:
-    """PLSI: P(z), P(d | z) and P(w | z)."""
+    """PLSI: P(z) as numbers; P(d | z) and P(w | z) as tables (d, p) and (w, p) with an element of `p` for each topic."""
 
     z: np.ndarray
-    d: np.ndarray
-    w: np.ndarray
+    d: DataFrame
+    w: DataFrame
 
 
-def plsi(counts: DataFrame, k: int, steps: int = 30, seed: int = 11) -> Topics:
-    """Tempered EM (exponent 1000 / (1000 + step)) over (d, w, n); a step is one job, its tasks add up their own shares.
+def _drawn_shares(keys: DataFrame, key: str, k: int, seed: int) -> DataFrame:
+    """(key, p): shares between a half and one by a hash, the same in any partitioning."""
+    unit = lambda z: F.pmod(F.xxhash64(F.lit(seed), F.lit(key), key, z), F.lit(1 << 52)).cast("double") / float(1 << 52)
+    return keys.select(key).filter(F.col(key).isNotNull()).distinct().select(key, F.transform(F.sequence(F.lit(1), F.lit(k)), lambda z: unit(z) * 0.5 + 0.5).alias("p"))
 
-    The tables P(d | z) and P(w | z) are on the driver, so documents and words must number in the millions at most.
+
+def _summed(df: DataFrame, k: int) -> np.ndarray:
+    """The k sums over the rows of an array column `p`."""
+    got = df.agg(*(F.sum(F.get("p", F.lit(i))).alias(str(i)) for i in range(k))).first()
+    return np.array([x or 0.0 for x in got])
+
+
+def _scaled(df: DataFrame, key: str, by: np.ndarray) -> DataFrame:
+    return df.select(key, F.zip_with("p", F.array(*(F.lit(float(x)) for x in by)), lambda p, x: F.try_divide(p, x)).alias("p"))
+
+
+def plsi(counts: DataFrame, k: int, steps: int = 30, seed: int = 11, start: tuple[DataFrame, DataFrame] | None = None) -> Topics:
+    """Tempered EM (exponent 1000 / (1000 + step)) over (d, w, n), one row for each pair of a document and a word.
+
+    P(d | z) and P(w | z) are tables of the shared folder; a step joins the counts with both and sums the shares of the
+    topics by document and by word. Only P(z), k numbers, reaches the driver. `start` are unscaled tables (d, p) and (w, p)
+    to begin with. Rows whose d, w or n is null do not count; of an empty table both tables are empty and P(z) is even.
     """
-    size = counts.agg(F.max("d").alias("d"), F.max("w").alias("w")).first()
-    if size["d"] is None:
-        return Topics(np.full(k, 1 / k), np.zeros((0, k)), np.zeros((0, k)))
-    rng = np.random.default_rng(seed)
-    now = Topics(np.full(k, 1 / k), *(x / x.sum(axis=0) for x in (rng.uniform(0.5, 1, (size["d"] + 1, k)), rng.uniform(0.5, 1, (size["w"] + 1, k)))))
-    for step in range(steps):
-        beta, shared = 1000.0 / (1000.0 + step), counts.sparkSession.sparkContext.broadcast(now)
-
-        def run(batches: Iterator[pd.DataFrame], beta=beta, shared=shared) -> Iterator[pd.DataFrame]:
-            own = shared.value
-            d_sum, w_sum = np.zeros_like(own.d), np.zeros_like(own.w)
-            for batch in batches:
-                d, w, n = (batch[c].to_numpy() for c in ("d", "w", "n"))
-                p = own.z * (own.d[d] * own.w[w]) ** beta
-                p = n[:, None] * p / np.maximum(p.sum(axis=1, keepdims=True), 1e-300)
-                np.add.at(d_sum, d, p)
-                np.add.at(w_sum, w, p)
-            yield pd.DataFrame({"d": [d_sum.ravel().tolist()], "w": [w_sum.ravel().tolist()]})
-
-        parts = counts.select("d", "w", "n").mapInPandas(run, "d array<double>, w array<double>").toPandas()
-        d, w = (np.sum(np.stack(parts[c].to_numpy()), axis=0).reshape(-1, k) for c in "dw")
-        mass = d.sum(axis=0)
-        now = Topics(mass / mass.sum(), d / np.maximum(mass, 1e-300), w / np.maximum(w.sum(axis=0), 1e-300))
-    return now
+    counts = counts.select("d", "w", F.col("n").cast("double").alias("n")).filter(F.col("d").isNotNull() & F.col("w").isNotNull() & F.col("n").isNotNull())
+    tables = dict(zip("dw", start or (_drawn_shares(counts, "d", k, seed), _drawn_shares(counts, "w", k, seed))))
+    tables = {key: stored(df, f"plsi-{key}") for key, df in tables.items()}
+    mass = {key: _summed(df, k) for key, df in tables.items()}
+    z = np.full(k, 1 / k)
+    for step in range(steps if mass["d"].any() else 0):
+        beta = 1000.0 / (1000.0 + step)
+        own = {key: _scaled(tables[key], key, mass[key]).withColumnRenamed("p", f"p{key}") for key in "dw"}
+        prior = F.array(*(F.lit(float(x)) for x in z))
+        share = F.zip_with(prior, F.zip_with("pd", "pw", lambda a, b: F.pow(a * b, F.lit(beta))), lambda a, b: a * b)
+        new = {}
+        for last, other in (("d", "w"), ("w", "d")):
+            # The table of the key that is summed by is joined last, so its partitioning serves the sums too.
+            joined = counts.join(own[other], other).join(own[last], last).select(last, "n", share.alias("s"))
+            part = joined.withColumn("t", F.greatest(F.aggregate("s", F.lit(0.0), lambda a, b: a + b), F.lit(1e-300)))
+            new[last] = stored(part.groupBy(last).agg(F.array(*(F.sum(F.col("n") * F.get("s", F.lit(i)) / F.col("t")) for i in range(k))).alias("p")), f"plsi-{last}")
+        discard(*tables.values())
+        tables, mass = new, {key: _summed(df, k) for key, df in new.items()}
+        z = mass["d"] / max(mass["d"].sum(), 1e-300)
+    return Topics(z, *(_scaled(tables[key], key, mass[key]) for key in "dw"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vec
 from ..operators import cluster, learn, tree
-from .registry import query
+from ..scratch import stored
+from .registry import query, table
 from .vector_queries import E, vectors
 
 K = 8
@@ -56,20 +57,60 @@ def kmeans_purity(spark, sf_dir):
     return agg.purity(cluster.assign(rows, first_rows(rows))).select(F.round("purity", 6).alias("purity"))
 
 
-@query()
+def _fixpoint(rows: DataFrame, got: cluster.Clusters) -> DataFrame:
+    """What clusters that have settled must fulfil: every mean is that of its rows, and the error is their squared distances'."""
+    means = _means(rows.sparkSession, got)
+    placed = cluster.assign(rows, got.means)
+    own = placed.select("cluster", F.posexplode("v").alias("n", "x")).groupBy("cluster", "n").agg(F.avg("x").alias("x"))
+    off = own.join(means, ["cluster", "n"], "full").agg(F.max(F.abs(F.col("x") - F.col("mean"))).alias("off"))
+    told = placed.agg(F.count(F.lit(1)).alias("rows"), F.sum("d2").alias("d2"))
+    return told.join(off).select("rows", F.lit(len(got.means)).alias("clusters"), F.lit(int(got.counts.sum())).cast("bigint").alias("counted"), F.round("off", 6).alias("off"), F.round(F.abs(F.col("d2") - got.error), 6).alias("error_off"))
+
+
+def _means(spark: SparkSession, got: cluster.Clusters) -> DataFrame:
+    """(cluster, n, mean) of the clusters that have rows."""
+    return spark.createDataFrame([(i, n, float(x)) for i, (c, m) in enumerate(zip(got.counts, got.means)) if c for n, x in enumerate(m)], "cluster int, n int, mean double")
+
+
+_settled = lambda k: f"select count(*) as rows, {k} as clusters, count(*) as counted, 0.0 as off, 0.0 as error_off from embeddings"
+
+
+@query(_settled(10))
 def kmeans(spark, sf_dir):
-    return told(spark, cluster.kmeans(vectors(spark, sf_dir), 10, 20))
+    """K-means++ seeds, then passes until no row moves."""
+    rows = vectors(spark, sf_dir)
+    return _fixpoint(rows, cluster.kmeans(rows, 10))
 
 
-@query()
+@query(_settled(6))
 def kmeans_init_dist(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    return told(spark, cluster.lloyd(rows, cluster.seed_farthest(rows, 6), 10))
+    return _fixpoint(rows, cluster.lloyd(rows, cluster.seed_farthest(rows, 6)))
 
 
-@query()
+@query(_settled(6))
 def kmeans_init_rand(spark, sf_dir):
-    return told(spark, cluster.lloyd(vectors(spark, sf_dir), cluster.seed_random(6, 64), 10))
+    rows = vectors(spark, sf_dir)
+    return _fixpoint(rows, cluster.lloyd(rows, cluster.seed_random(6, 64)))
+
+
+def _lloyd_sql(steps: int) -> str:
+    """Means and counts of so many passes from the first eight vectors."""
+    out = f"with {E}, m0 as (select m as cluster, v from e where m < {K})"
+    for s in range(steps):
+        out += f", s{s} as (select m, arg_min(cluster, (d2, cluster)) as cluster from (select a.m, c.cluster, {_D2} as d2 from e a, m{s} c) group by m)"
+        out += f", u{s} as (select cluster, list(x order by n) as v from (select cluster, n, avg(e.v[n + 1]) as x from s{s} join e using (m), range(64) t(n) group by cluster, n) group by cluster)"
+        out += f", m{s + 1} as (select o.cluster, coalesce(u.v, o.v) as v from m{s} o left join u{s} u using (cluster))"
+    return out + f" select cluster::int as cluster, n::int as n, round(v[n + 1], 6) + 0.0 as mean from m{steps}, range(64) t(n)"
+
+
+@query(_lloyd_sql(3))
+def kmeans_steps(spark, sf_dir):
+    """Means after three whole passes from the first eight vectors; an empty cluster keeps its mean."""
+    rows = vectors(spark, sf_dir)
+    got = cluster.lloyd(rows, first_rows(rows), 4)  # the fourth pass counts with the means of the third
+    cells = [(i, n, float(x)) for i, m in enumerate(got.means) for n, x in enumerate(m)]
+    return spark.createDataFrame(cells, "cluster int, n int, mean double").select("cluster", "n", F.round(F.col("mean") + 0.0, 6).alias("mean"))
 
 
 @query()
@@ -103,13 +144,27 @@ def som(spark, sf_dir):
     return spark.createDataFrame([(i // 4, i % 4, u.tolist()) for i, u in enumerate(units)], "row int, col int, v array<double>")
 
 
-@query()
+_PLSI_STEPS = 3
+
+
+def _plsi_sql() -> str:
+    begun = lambda key, a, b, m: f"select {key}, z, p / sum(p) over (partition by z) as p from (select {key}, z, (1 + ({key} * {a} + z * {b}) % {m})::double as p from (select distinct {key} from c), range(2) t(z))"
+    out = f"with c as (select l_suppkey as d, l_partkey % 50 as w, sum(l_quantity)::double as n from lineitem group by d, w), z0 as (select z, 0.5::double as p from range(2) t(z)), d0 as ({begun('d', 7, 3, 5)}), w0 as ({begun('w', 5, 11, 7)})"
+    for s in range(_PLSI_STEPS):
+        out += f", j{s} as (select c.d, c.w, d.z, n, z.p * pow(d.p * w.p, {1000.0 / (1000 + s)}) as p from c join d{s} d on d.d = c.d join w{s} w on w.w = c.w and w.z = d.z join z{s} z on z.z = d.z)"
+        out += f", q{s} as (select d, w, z, n * p / sum(p) over (partition by d, w) as p from j{s})"
+        out += f", d{s + 1} as (select d, z, sum(p) / sum(sum(p)) over (partition by z) as p from q{s} group by d, z), w{s + 1} as (select w, z, sum(p) / sum(sum(p)) over (partition by z) as p from q{s} group by w, z), z{s + 1} as (select z, sum(p) / sum(sum(p)) over () as p from q{s} group by z)"
+    return out + f" select w, round(max(p) filter (z = 0), 6) as z0, round(max(p) filter (z = 1), 6) as z1 from w{_PLSI_STEPS} group by w"
+
+
+@query(_plsi_sql())
 def plsi(spark, sf_dir):
-    """Two planted topics: words of a document's own half come far more often."""
-    counts = spark.range(40 * 30).select((F.col("id") / 30).cast("int").alias("d"), (F.col("id") % 30).cast("int").alias("w"))
-    counts = counts.withColumn("n", F.when((F.col("d") < 20) == (F.col("w") < 15), 5.0).otherwise(0.2))
-    got = cluster.plsi(counts, 2)
-    return spark.createDataFrame([(w, *map(float, row)) for w, row in enumerate(got.w)], "w int, z0 double, z1 double")
+    """Two topics of suppliers and groups of parts, weighed by quantity, after three steps from a stated start."""
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("d"), (F.col("l_partkey") % 50).alias("w")).agg(F.sum(F.col("l_quantity").cast("double")).alias("n"))
+    counts = stored(rows, "counts")
+    begun = lambda key, a, b, m: counts.select(key).distinct().select(key, F.array(*((F.lit(1) + (F.col(key) * a + z * b) % m).cast("double") for z in range(2))).alias("p"))
+    got = cluster.plsi(counts, 2, _PLSI_STEPS, start=(begun("d", 7, 3, 5), begun("w", 5, 11, 7)))
+    return got.w.select("w", F.round(F.col("p")[0], 6).alias("z0"), F.round(F.col("p")[1], 6).alias("z1"))
 
 
 def _leaves(df: DataFrame, own: tree.Tree) -> DataFrame:

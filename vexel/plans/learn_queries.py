@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vec
 from ..operators import cluster, learn
-from .cluster_queries import blobs
+from .cluster_queries import blobs, first_rows
 from .registry import query
 from .vector_queries import E, vectors
 
@@ -18,6 +18,10 @@ def _scored(rows: DataFrame, model) -> DataFrame:
     return learn.predict(rows, model).groupBy("label", "predicted").agg(F.count(F.lit(1)).alias("rows"))
 
 
+#: The groups are far apart, so a learner that works tells every row's own.
+_PLANTED = "select i::int as label, i::int as predicted, 200::bigint as rows from range(4) t(i)"
+
+
 @query(f"with {E} select label, count(*) as rows, round(ln(count(*) / sum(count(*)) over ()), 6) as log_prior from e group by label")
 def nb_priors(spark, sf_dir):
     models = cluster.gaussians(vectors(spark, sf_dir), "label", 10)
@@ -33,45 +37,75 @@ def nb_class_stats(spark, sf_dir):
     return spark.createDataFrame(rows, "label int, n int, mean double, variance double").select("label", "n", F.round(F.col("mean") + 0.0, 6).alias("mean"), F.round("variance", 6).alias("variance"))
 
 
-@query()
+@query(_PLANTED)
 def nb(spark, sf_dir):
     rows = blobs(spark)
     return _scored(rows, learn.naive_bayes(rows, 4, npca=8))
 
 
-@query()
+@query(f"with {E} select label, count(*) as rows, round(((count(*) - 1) * least(count(*) - 1, 64))::double, 4) as total from e group by label having count(*) > 1")
 def gaussian_density(spark, sf_dir):
+    """Each label's own density: squared distances in units of its variance, which over its rows add up to (rows - 1) * rank."""
     rows = vectors(spark, sf_dir)
-    model = cluster.gaussians(rows, "label", 10)[0]
-    return learn.transform(rows, lambda data: model.log_density(data, 0, 16)[:, None], "log_density").select("m", F.round(F.col("log_density")[0], 6).alias("log_density"))
+    models = cluster.gaussians(rows, "label", 10)
+    far = lambda data: np.stack([-2 * (g.log_density(data) - g.log_density(g.mean[None])) if g else np.zeros(len(data)) for g in models], axis=1)
+    told = learn.transform(rows, far, "far").groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.get("far", F.col("label").cast("int"))).alias("total"))
+    return told.filter("rows > 1").select("label", "rows", F.round("total", 4).alias("total"))
 
 
-@query()
+@query(_PLANTED)
 def lr(spark, sf_dir):
     rows = blobs(spark)
     return _scored(rows, learn.softmax_regression(rows, 4))
 
 
-@query()
+@query("select i as m, (i % 4)::int as label, 1.0 as total, true as sure from range(800) t(i)")
 def lr_probability(spark, sf_dir):
+    """The likeliest class, whether it has more than a half, and that probabilities add up to one."""
     rows = blobs(spark)
     model = learn.softmax_regression(rows, 4, learn.SoftmaxParams(10, penalty="l2", strength=1e-4))
-    return learn.transform(rows, model.probabilities, "p").select("m", vec.argmax("p").alias("label"), F.round(vec.maximum("p"), 6).alias("p"))
+    return learn.transform(rows, model.probabilities, "p").select("m", vec.argmax("p").alias("label"), F.round(vec.total("p"), 6).alias("total"), (vec.maximum("p") > 0.5).alias("sure"))
 
 
-@query()
+@query(f"with {E}, w as (select m as c, v from e where m < 4), s as (select a.m, c, list_dot_product(a.v, w.v) as s from e a, w) select m, c::int as c, round(exp(s) / sum(exp(s)) over (partition by m), 6) as p from s")
+def softmax_scores(spark, sf_dir):
+    """Probabilities under stated weights: the first four vectors."""
+    rows = vectors(spark, sf_dir)
+    model = learn.Softmax(first_rows(rows, 4))
+    return learn.transform(rows, model.probabilities, "p").select("m", F.posexplode("p").alias("c", "p")).select("m", "c", F.round("p", 6).alias("p"))
+
+
+@query(f"with {E}, w as (select m as j, v from e where m < 6), h as (select a.m, j, 1 / (1 + exp(-(0.9 * list_dot_product(a.v, w.v) + 0.1 * j))) as h from e a, w), o as (select m, c, 0.8 * sum(h * ((j * 3 + c) % 5 - 2)) + c / 10.0 as o from h, range(3) t(c) group by m, c) select m, c::int as c, round(exp(o) / sum(exp(o)) over (partition by m), 6) as p from o")
+def mlp_forward(spark, sf_dir):
+    """A perceptron of stated weights, with the shares that dropout and noise leave."""
+    rows = vectors(spark, sf_dir)
+    j, c = np.mgrid[0:6, 0:3]
+    net = learn.Mlp(first_rows(rows, 6).T, np.arange(6) * 0.1 * learn.BATCH, ((j * 3 + c) % 5 - 2).astype(float), np.arange(3) / 10, 0.2, 0.1)
+    return learn.transform(rows, net.probabilities, "p").select("m", F.posexplode("p").alias("c", "p")).select("m", "c", F.round("p", 6).alias("p"))
+
+
+@query(f"with {E}, w as (select m as j, v from e where m < 5), h as (select a.m, j, 1 / (1 + exp(-(list_dot_product(a.v, w.v) + 0.2 * j))) as h from e a, w) select h.m, n::int as n, round(sum(h * w.v[n + 1]) + n / 100.0, 6) + 0.0 as x from h join w using (j), range(64) t(n) group by h.m, n")
+def dae_reconstruct(spark, sf_dir):
+    """Codes and reconstructions under stated tied weights."""
+    rows = vectors(spark, sf_dir)
+    net = learn.Dae(first_rows(rows, 5).T, np.arange(5) * 0.2, np.arange(64) / 100, linear=True)
+    made = learn.transform(rows, lambda data: net.decode(net.encode(data)), "y")
+    return made.select("m", F.posexplode("y").alias("n", "x")).select("m", "n", F.round(F.col("x") + 0.0, 6).alias("x"))
+
+
+@query(_PLANTED)
 def arow(spark, sf_dir):
     rows = blobs(spark)
     return _scored(rows, learn.arow(rows, 4))
 
 
-@query()
+@query(_PLANTED)
 def mlp(spark, sf_dir):
     rows = blobs(spark)
     return _scored(rows, learn.mlp(rows, 4, hidden=16, epochs=15, dropout=0.1, noise=0.1))
 
 
-@query()
+@query(_PLANTED)
 def mlp_bagging(spark, sf_dir):
     rows = blobs(spark)
     return _scored(rows, learn.Bagging([learn.mlp(rows, 4, hidden=8, epochs=8, seed=s) for s in (1, 2)]))
@@ -97,7 +131,7 @@ def dae(spark, sf_dir):
     return learn.transform(rows, lambda data: model.decode(model.encode(data)), "y").select("m", F.round(vec.euclidean("v", "y"), 6).alias("off"))
 
 
-@query()
+@query(_PLANTED)
 def dae_mlp(spark, sf_dir):
     """A perceptron whose input layer begins as an autoencoder's."""
     rows = blobs(spark)
