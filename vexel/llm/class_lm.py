@@ -31,12 +31,12 @@ class Settings:
     overall share smooth a transition; `mixed` is the weight of the class model against the unigram model of the same counts.
     """
 
-    least: int = 20
+    least: int = 5
     groups: int = 384
     classes: int | None = None
     head: int = 512
     sweeps: int = 8
-    rounds: int = 3
+    rounds: int = 8
     table: int = 400_000
     backing: float = 4.0
     mixed: float = 0.95
