@@ -205,18 +205,35 @@ def _contexts(batch: pa.RecordBatch, of: np.ndarray, classes: int) -> Iterator[t
         yield items[first:last], np.bincount(cell[ok], n[lo:hi][ok], (last - first) * 2 * classes).reshape(-1, 2 * classes)
 
 
-def class_table(near: DataFrame, of: np.ndarray, classes: int) -> np.ndarray:
-    """table[a, b]: tokens of class b after class a, over items that have a class. Tasks' tables are added up in Spark."""
-    shared = near.sparkSession.sparkContext.broadcast(of)
+def class_table(near: DataFrame, of: np.ndarray, classes: int, old: np.ndarray | None = None) -> np.ndarray:
+    """table[a, b]: tokens of class b after class a, over pairs of items that have a class; with `old`, what the table gains (or
+    loses) when items go from these classes to those of `of`, for which only the rows of items that move are read.
+
+    Tasks' tables are added up in Spark. The broadcast items are at most as many as `Settings.table` and the groups.
+    """
+    spark = near.sparkSession
+    shared = spark.sparkContext.broadcast((of, old))
+    if old is not None:
+        moved = spark.createDataFrame(pa.table({"item": pa.array(np.flatnonzero(of != old), pa.int32())}))
+        near = near.join(F.broadcast(moved), "item", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, table = shared.value, np.zeros((classes, classes))
+        (own, was), table = shared.value, np.zeros(classes * classes)
         for batch in batches:
-            for items, counts in _contexts(batch, own, classes):
-                have = own[items] >= 0
-                np.add.at(table, own[items[have]], counts[have, :classes])
+            near = batch.column("near")
+            item = np.repeat(batch.column("item").to_numpy(), np.diff(near.offsets.to_numpy()))
+            near = near.flatten().to_numpy()
+            other, n = near >> COUNT_BITS, near & ((1 << COUNT_BITS) - 1)
+            after, other = other >= 0, np.where(other >= 0, other, -1 - other)
+            # A pair stands in the rows of both its items: it counts in that of the first, or in the only one that moves.
+            ok = after if was is None else after | (own[other] == was[other])
+            ok &= (own[item] >= 0) & (own[other] >= 0)
+            first, second, n = np.where(after, item, other)[ok], np.where(after, other, item)[ok], n[ok]
+            table += np.bincount(own[first] * classes + own[second], n, len(table))
+            if was is not None:
+                table -= np.bincount(was[first] * classes + was[second], n, len(table))
         cells = np.flatnonzero(table)
-        yield pa.RecordBatch.from_pydict({"cell": cells, "n": table.ravel()[cells]})
+        yield pa.RecordBatch.from_pydict({"cell": cells, "n": table[cells]})
 
     cells = near.mapInArrow(run, "cell bigint, n double").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # classes * classes
     table = np.zeros(classes * classes)
@@ -233,24 +250,42 @@ def likelihood(table: np.ndarray) -> float:
     return float(_xlogx(table).sum() - _xlogx(table.sum(axis=0)).sum() - _xlogx(table.sum(axis=1)).sum())
 
 
-def _gains(counts: np.ndarray, table: np.ndarray, sign: int) -> np.ndarray:
-    """What adding (sign 1) each row of counts to class k brings, or what taking it out (sign -1) costs, shape (rows, classes).
+def _sides(counts: np.ndarray, table: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(counts of the classes on one side, cells[j, k] that such a count of class j changes if the item is of class k, tokens of k)."""
+    classes = len(table)
+    return [(counts[:, :classes], table.T, table.sum(axis=1)), (counts[:, classes:], table, table.sum(axis=0))]
+
+
+def _joining(counts: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """What the likelihood gains if the item of a row of counts is added to class k, shape (rows, classes).
 
     Only cells that a row has change. Many rows have the same count of the same class, so each such case is
     worked out once for all k.
     """
-    classes = len(table)
-    out = np.zeros((len(counts), classes))
-    for part, cells in ((counts[:, :classes], table.T), (counts[:, classes:], table)):  # cells[j] are those of class j with every k
+    out = np.zeros((len(counts), len(table)))
+    for part, cells, tokens in _sides(counts, table):
         row, j = np.nonzero(part)
         if len(row):
-            case, back = np.unique(np.stack([j, part[row, j]]), axis=1, return_inverse=True)
-            have = cells[case[0].astype(np.int64)]
-            change = sign * (_xlogx(np.maximum(have + sign * case[1][:, None], 0)) - _xlogx(have))
+            n = part[row, j]
+            span = int(n.max()) + 1
+            case, back = np.unique(j * span + n.astype(np.int64), return_inverse=True)
+            have = cells[case // span]
+            change = _xlogx(have + (case % span)[:, None]) - _xlogx(have)
             starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-            out[row[starts]] += np.add.reduceat(change[back.ravel()], starts, axis=0)
-        by_class, size = (table.sum(axis=1), counts[:, :classes].sum(axis=1)) if cells is not table else (table.sum(axis=0), counts[:, classes:].sum(axis=1))
-        out -= sign * (_xlogx(np.maximum(by_class + sign * size[:, None], 0)) - _xlogx(by_class))
+            out[row[starts]] += np.add.reduceat(change[back], starts, axis=0)
+        out -= _xlogx(tokens + part.sum(axis=1)[:, None]) - _xlogx(tokens)
+    return out
+
+
+def _leaving(counts: np.ndarray, table: np.ndarray, old: np.ndarray) -> np.ndarray:
+    """What the likelihood loses if the item of a row of counts is taken out of its class, one number a row."""
+    out = np.zeros(len(counts))
+    for part, cells, tokens in _sides(counts, table):
+        row, j = np.nonzero(part)
+        have = cells[j, old[row]]
+        out += np.bincount(row, _xlogx(have) - _xlogx(np.maximum(have - part[row, j], 0)), len(counts))
+        have = tokens[old]
+        out -= _xlogx(have) - _xlogx(np.maximum(have - part.sum(axis=1), 0))
     return out
 
 
@@ -272,10 +307,10 @@ def exchange_round(near: DataFrame, of: np.ndarray, table: np.ndarray, turn: int
                 new = own[items] < 0
                 may = (items != END) & (new if (own < 0).any() else True)
                 items, counts, new = items[may], counts[may], new[may]
-                gain = _gains(counts, cells, 1)
+                gain = _joining(counts, cells)
                 stay = np.flatnonzero(~new)
                 old = own[items[stay]]
-                gain[stay, old] = _gains(counts[stay], cells, -1)[np.arange(len(stay)), old]
+                gain[stay, old] = _leaving(counts[stay], cells, old)
                 gain[:, 0] = -np.inf
                 best = gain.argmax(axis=1)
                 best = np.where(counts.any(axis=1), best, np.where(new, 1 + items % max(1, classes - 1), own[items]))
@@ -300,11 +335,13 @@ def cluster(pairs: DataFrame, items: int, settings: Settings) -> tuple[np.ndarra
     of = np.full(items, -1, np.int64)
     of[:head] = exchange(follows, min(classes, max(2, head // 4)), settings.sweeps)
     near = stored(neighbours(pairs), "neighbours")
-    table = class_table(near, of, classes)
+    one = np.zeros((head, classes))
+    one[np.arange(head), of[:head]] = 1
+    table = one.T @ follows @ one  # no other item has a class yet
     for turn in range(settings.rounds if classes > 2 else 1):
-        after = exchange_round(near, of, table, turn)
-        new = class_table(near, after, classes)
         settled = bool((of >= 0).all())
+        after = exchange_round(near, of, table, turn)
+        new = table + class_table(near, after, classes, of) if settled else class_table(near, after, classes)
         if settled and likelihood(new) <= likelihood(table):
             break
         of, table = after, new
