@@ -178,22 +178,38 @@ COUNT_BITS = 42
 
 def neighbours(pairs: DataFrame) -> DataFrame:
     """(item, near): for each item, all it stands next to, as other * 2 ** COUNT_BITS + n, where other is -1 - o for an o
-    before it and o for one after it.
+    before it and o for one after it; near is the bytes of these numbers, which every round hands to its tasks as they are.
 
     A row has at most twice as many entries as there are items, whatever the input.
     """
     packed = lambda item, other: pairs.select(F.col(item).alias("item"), (other.cast("bigint") * (1 << COUNT_BITS) + F.col("n")).alias("near"))
-    return packed("before", F.col("item")).unionByName(packed("item", -1 - F.col("before"))).groupBy("item").agg(F.collect_list("near").alias("near"))
+    lists = packed("before", F.col("item")).unionByName(packed("item", -1 - F.col("before"))).groupBy("item").agg(F.collect_list("near").alias("near"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = batch.column("near")
+            ends, data = near.offsets.to_numpy() * 8, near.values.to_numpy().tobytes()
+            rows = [data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            yield pa.RecordBatch.from_pydict({"item": batch.column("item"), "near": pa.array(rows, pa.binary())})
+
+    return lists.mapInArrow(run, "item int, near binary")
+
+
+def _near(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets of the rows, others, counts) of a batch of `neighbours`."""
+    near = batch.column("near")
+    if not len(near):
+        return np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    offsets = np.frombuffer(near.buffers()[1], np.int32, len(near) + 1, near.offset * 4) // 8
+    values = np.frombuffer(near.buffers()[2], np.int64, offsets[-1])[offsets[0] :]
+    return offsets - offsets[0], values >> COUNT_BITS, values & ((1 << COUNT_BITS) - 1)
 
 
 def _contexts(batch: pa.RecordBatch, of: np.ndarray, classes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(items, counts) for some rows of `neighbours` at a time; counts[i] has the classes after item i, then those before it.
     Neighbours without a class yet (-1) count for nothing."""
-    near = batch.column("near")
     items = batch.column("item").to_numpy()
-    offsets = near.offsets.to_numpy()
-    near = near.values.to_numpy()
-    other, n = near >> COUNT_BITS, near & ((1 << COUNT_BITS) - 1)
+    offsets, other, n = _near(batch)
     for first in range(0, len(items), 1024):
         last = min(first + 1024, len(items))
         lo, hi = offsets[first], offsets[last]
@@ -220,10 +236,8 @@ def class_table(near: DataFrame, of: np.ndarray, classes: int, old: np.ndarray |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (own, was), table = shared.value, np.zeros(classes * classes)
         for batch in batches:
-            near = batch.column("near")
-            item = np.repeat(batch.column("item").to_numpy(), np.diff(near.offsets.to_numpy()))
-            near = near.flatten().to_numpy()
-            other, n = near >> COUNT_BITS, near & ((1 << COUNT_BITS) - 1)
+            offsets, other, n = _near(batch)
+            item = np.repeat(batch.column("item").to_numpy(), np.diff(offsets))
             after, other = other >= 0, np.where(other >= 0, other, -1 - other)
             # A pair stands in the rows of both its items: it counts in that of the first, or in the only one that moves.
             ok = after if was is None else after | (own[other] == was[other])
