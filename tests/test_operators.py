@@ -266,3 +266,17 @@ def test_row_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(r["v"] for r in spark.sql("select v from rows_in").collect()) == [[1, 2], [3, 4]]
+
+
+def test_ranked_numbers_all_ranges(spark):
+    rows = spark.range(5000).select(F.col("id").alias("m"), (F.col("id") * 7919 % 10).alias("k")).repartition(7)
+    got = [(r["m"], r["rank"]) for r in frame.ranked(rows, F.desc("k"), F.col("m")).orderBy("rank").collect()]
+    want = sorted(range(5000), key=lambda m: (-(m * 7919 % 10), m))
+    assert got == [(m, i + 1) for i, m in enumerate(want)]
+    assert frame.ranked(rows.filter("m < 0"), F.col("m")).count() == 0
+
+
+def test_strings_of_each_key(spark):
+    rows = spark.createDataFrame([(0, 4, [1.0, -2.5]), (0, 2, [3.0, 0.0]), (1, 9, [7.0])], "k int, m bigint, v array<double>")
+    back = matrix.deserialize(matrix.serialize(rows, "k"), keys=("k",)).orderBy("k", "m").collect()
+    assert [(r["k"], r["m"], r["v"]) for r in back] == [(0, 0, [3.0, 0.0]), (0, 1, [1.0, -2.5]), (1, 0, [7.0])]

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vec
+from ..scratch import stored
 
 
 def create(spark: SparkSession, rows: list[list[float]]) -> DataFrame:
@@ -54,11 +55,24 @@ def set_row(df: DataFrame, m: int, values: Column) -> DataFrame:
 
 
 def sort_rows(df: DataFrame, element: int, ascending: bool = True) -> DataFrame:
-    """Rows by one element, then by m, with their rank."""
+    """Rows by one element, then by m."""
     key = vec.element("v", element)
     return df.orderBy(key.asc() if ascending else key.desc(), F.col("m"))
 
 
+def ranked(df: DataFrame, *order: Column) -> DataFrame:
+    """Every row with `rank`, its place from 1 in this order over the whole table.
+
+    The table is sorted by ranges and written once, which fixes them. Ranges are numbered side by side, each from where the
+    counts of those before it end: one number for each range, so no task sees more than its own rows.
+    """
+    placed = stored(df.orderBy(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + F.col("_start")
+    return placed.join(F.broadcast(starts), "_range").withColumn("rank", place.cast("bigint")).drop("_range", "_start")
+
+
 def explode(df: DataFrame) -> DataFrame:
     """(m, n, x): one row for each element."""
     return df.select("m", F.posexplode("v").alias("n", "x"))

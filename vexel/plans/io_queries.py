@@ -38,11 +38,12 @@ def matrix_header(spark, sf_dir):
     return matrix.read_header(spark, path)
 
 
-@query(f"with {E} select m, n::int as n, printf('%e', v[n + 1])::double + 0.0 as x from e, range(64) t(n) where m < 11")
+@query(f"with {E} select (m // 11)::int as array_index, m % 11 as m, n::int as n, printf('%e', v[n + 1])::double + 0.0 as x from e, range(64) t(n)")
 def matrix_string(spark, sf_dir):
-    """Eleven vectors as one string and back."""
-    back = matrix.deserialize(matrix.serialize(vectors(spark, sf_dir).filter("m < 11")))
-    return back.select("m", F.posexplode("v").alias("n", "x")).select("m", "n", (F.col("x") + 0.0).alias("x"))
+    """All vectors, eleven to a string, and back."""
+    rows = vectors(spark, sf_dir).select((F.col("m") / 11).cast("int").alias("array_index"), "m", "v")
+    back = matrix.deserialize(matrix.serialize(rows, "array_index"), keys=("array_index",))
+    return back.select("array_index", "m", F.posexplode("v").alias("n", "x")).select("array_index", "m", "n", (F.col("x") + 0.0).alias("x"))
 
 
 @query(f"with {E} select (m // 100)::int as array_index, m % 100 as m, round(v[3], 5) + 0.0 as x from e")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vec
@@ -111,12 +111,11 @@ def frame_block(spark, sf_dir):
     return cells(frame.block(vectors(spark, sf_dir).select("m", "v"), 10, 20, 8, 16), F.col("v")).withColumn("n", F.col("n").cast("bigint"))
 
 
-@query(f"with {E} select m, rank, round(x, 6) + 0.0 as x from (select m, v[4] as x, row_number() over (order by v[4] desc, m) as rank from e) where rank <= 100")
+@query(f"with {E} select m, rank, round(x, 6) + 0.0 as x from (select m, v[4] as x, row_number() over (order by v[4] desc, m) as rank from e)")
 def sort_rows(spark, sf_dir):
-    """The 100 first rows in falling order of one element, with their rank: a top-k, not a global sort."""
-    top = frame.sort_rows(vectors(spark, sf_dir).select("m", "v"), 3, ascending=False).limit(100)
-    place = F.row_number().over(Window.orderBy(F.desc("x"), "m"))
-    return top.select("m", F.element_at("v", 4).alias("x")).withColumn("rank", place.cast("bigint")).select("m", "rank", F.round(F.col("x") + 0.0, 6).alias("x"))
+    """All rows in falling order of one element, with their rank."""
+    rows = vectors(spark, sf_dir).select("m", F.element_at("v", 4).alias("x"))
+    return frame.ranked(rows, F.desc("x"), F.col("m")).select("m", "rank", F.round(F.col("x") + 0.0, 6).alias("x"))
 
 
 @query(f"with {E} select count(*) as rows, sum(m)::bigint as ids, round(sum(list_sum(v)), 4) as total from (select m, v from e where m not between 5 and 14 union all select m - 100 + 5, v from e where m between 100 and 109)")
@@ -142,12 +141,11 @@ def split_train_test(spark, sf_dir):
     return frame.split(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("m")), "m", 11)
 
 
-@query("select o_orderkey as m, row_number() over (order by md5(o_orderkey::varchar || '-7'), o_orderkey) as rank from orders qualify rank <= 200")
+@query("select o_orderkey as m, row_number() over (order by md5(o_orderkey::varchar || '-7'), o_orderkey) as rank from orders")
 def shuffle_hash(spark, sf_dir):
-    """The first 200 rows of a seeded shuffle."""
+    """Every row's place in a seeded shuffle."""
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("m"))
-    place = F.row_number().over(Window.orderBy(frame.shuffle_key(F.col("m"), 7), "m")).cast("bigint")
-    return frame.shuffled(rows, "m", 7).limit(200).withColumn("rank", place)
+    return frame.ranked(rows, frame.shuffle_key(F.col("m"), 7), F.col("m"))
 
 
 @query("select i // 7 as row, i % 7 as col, (i // 7) * 7 + i % 7 as m from range(100) t(i)")
@@ -230,9 +228,11 @@ def matrix_add(spark, sf_dir):
     return linalg.combine(a, linalg.scaled(a, 2.0)).select("i", "j", F.round(F.col("x") + 0.0, 6).alias("x"))
 
 
-@query(f"with {E} select i, j, case when i = j then round(v[i + 1], 6) + 0.0 else 0.0 end as x from e, range(64) t(i), range(64) u(j) where m = 0")
+@query(f"with {E} select i, j, case when i = j then round(avg(v[i + 1]), 6) + 0.0 else 0.0 end as x from e, range(64) t(i), range(64) u(j) group by i, j")
 def diag(spark, sf_dir):
-    return linalg.diagonal(vectors(spark, sf_dir).filter("m = 0")).select("i", "j", F.round(F.col("x") + 0.0, 6).alias("x"))
+    """The mean of all vectors as the diagonal of a matrix."""
+    mean = frame.assemble(frame.explode(vectors(spark, sf_dir)).groupBy("n").agg(F.avg("x").alias("x")).withColumn("m", F.lit(0)))
+    return linalg.diagonal(mean).select("i", "j", F.round(F.col("x") + 0.0, 6).alias("x"))
 
 
 @query(f"with {E} select a.m, b.m as n, round(list_sum(list_transform(range(1, 65), lambda i: a.v[i] * b.v[i])), 6) + 0.0 as x from e a, e b where b.m < 8")

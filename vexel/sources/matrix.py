@@ -51,20 +51,20 @@ def read_header(spark: SparkSession, path: str) -> DataFrame:
 
 
 # Strings.
-def serialize(df: DataFrame) -> DataFrame:
-    """(s): the whole table as one string; for small tables."""
-    whole = df.agg(F.array_sort(F.collect_list(F.struct("m", "v"))).alias("p"))
+def serialize(df: DataFrame, *keys: str) -> DataFrame:
+    """(keys, s): the rows of each key as one string, in the order of m; without keys the whole table, which must be small."""
+    whole = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("m", "v"))).alias("p"))
     size = F.size("p")
     text = F.array_join(F.transform(F.flatten(F.transform("p", lambda p: p["v"])), lambda x: F.format_string("%E", x)), " ")
-    return whole.select(F.concat(F.format_string("< 1 %d %d 1 %d: ", size, F.coalesce(F.size(F.get("p", F.lit(0))["v"]), F.lit(0)), size), text, F.lit(" >")).alias("s"))
+    return whole.select(*keys, F.concat(F.format_string("< 1 %d %d 1 %d: ", size, F.coalesce(F.size(F.get("p", F.lit(0))["v"]), F.lit(0)), size), text, F.lit(" >")).alias("s"))
 
 
-def deserialize(df: DataFrame, s: str = "s") -> DataFrame:
-    """(m, v) of each such string; of a malformed one no row."""
+def deserialize(df: DataFrame, s: str = "s", keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, m, v) of each such string, m from 0; of a malformed one no row."""
     pattern = r"^\s*<\s*(\d+)\s+(\d+)\s+(\d+)\s+(\d+)\s+(\d+)\s*:\s*(.*?)\s*>\s*$"
-    parsed = df.select(F.col(s).alias("s")).filter(F.col("s").rlike(pattern)).select(*(F.regexp_extract("s", pattern, i).try_cast("int").alias(name) for i, name in ((2, "m_"), (3, "n_"))), F.split(F.regexp_extract("s", pattern, 6), r"\s+").alias("x"))
+    parsed = df.select(*keys, F.col(s).alias("s")).filter(F.col("s").rlike(pattern)).select(*keys, *(F.regexp_extract("s", pattern, i).try_cast("int").alias(name) for i, name in ((2, "m_"), (3, "n_"))), F.split(F.regexp_extract("s", pattern, 6), r"\s+").alias("x"))
     parsed = parsed.withColumn("x", F.transform("x", lambda x: x.try_cast("double"))).filter((F.size("x") == F.col("m_") * F.col("n_")) & ~F.exists("x", lambda x: x.isNull()))
-    return parsed.filter("m_ > 0").select(F.posexplode(F.transform(F.sequence(F.lit(0), F.col("m_") - 1), lambda i: F.slice("x", i * F.col("n_") + 1, F.col("n_")))).alias("m", "v")).select(F.col("m").cast("bigint").alias("m"), "v")
+    return parsed.filter("m_ > 0").select(*keys, F.posexplode(F.transform(F.sequence(F.lit(0), F.col("m_") - 1), lambda i: F.slice("x", i * F.col("n_") + 1, F.col("n_")))).alias("m", "v")).select(*keys, F.col("m").cast("bigint").alias("m"), "v")
 
 
 # Binary.
