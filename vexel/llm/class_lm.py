@@ -164,12 +164,13 @@ def pair_counts(rows: DataFrame, words: Words) -> DataFrame:
                     if size > 700_000:
                         pair, n = held.pop()
                         size = 0
-                        yield pd.DataFrame({"before": (pair // total).astype(np.int32), "item": (pair % total).astype(np.int32), "n": n})
+                        yield pd.DataFrame({"pair": pair, "n": n})
         if held:
             pair, n = merged()
-            yield pd.DataFrame({"before": (pair // total).astype(np.int32), "item": (pair % total).astype(np.int32), "n": n})
+            yield pd.DataFrame({"pair": pair, "n": n})
 
-    return rows.mapInPandas(run, "before int, item int, n bigint").groupBy("before", "item").agg(F.sum("n").alias("n"))
+    counted = rows.mapInPandas(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))  # a pair is one number on its way
+    return counted.select(F.expr(f"int(pair div {total})").alias("before"), F.expr(f"int(pair % {total})").alias("item"), "n")
 
 
 #: Low bits of a packed neighbour that hold its count; the others hold its item (under 2 ** 20 of them, see `Settings.table`).
