@@ -174,6 +174,31 @@ def test_class_model_beats_single_words(spark):
     assert C.class_lm(frame(spark, [(1, None), (None, "a")])).count() == 2
 
 
+def test_distinct_words_are_hashed_once(monkeypatch):
+    texts, seen, words = [b"Ab ab\x0bc", b"", b" \n", b"c ab \xc3\x89\xc3\xa9 " * 50], [], text_hash.words
+    expected = C._tokens(texts)
+    monkeypatch.setattr(text_hash, "words", lambda own: (seen.append(b" ".join(own).split()), words(own))[1])
+    hashes, tail, number, firsts = C._numbered_tokens(texts)
+    assert sorted(seen[0]) == [b"ab", b"c", b"\xc3\x89\xc3\xa9"]
+    assert all((x == y).all() for x, y in zip((hashes[number], tail[number], firsts), expected))
+    assert C._numbered_tokens([b"", b" "])[3].tolist() == [0, 0, 0]
+
+
+@pytest.mark.parametrize("classes,rows", [(5, 700), (40, 333)])
+def test_joining_by_every_cell(classes, rows, monkeypatch):
+    rng = np.random.default_rng(classes)
+    counts = (rng.geometric(0.4, (rows, 2 * classes)) - 1).astype(float)
+    table = rng.integers(0, 90, (classes, classes)).astype(float)
+    expected = np.zeros((rows, classes))
+    for part, cells in ((counts[:, :classes], table.T), (counts[:, classes:], table)):
+        tokens = cells.sum(axis=0)
+        expected += (C._xlogx(cells + part[:, :, None]) - C._xlogx(cells)).sum(axis=1) - C._xlogx(tokens + part.sum(axis=1)[:, None]) + C._xlogx(tokens)
+    gathered, nonzero = [], np.nonzero
+    monkeypatch.setattr(C.np, "nonzero", lambda x: gathered.append(nonzero(x)) or gathered[-1])
+    np.testing.assert_allclose(C._joining(counts, table), expected, rtol=0, atol=1e-9)
+    assert sum(len(x[0]) for x in gathered if len(x) == 2) == (counts > 3).sum()  # frequent counts need no row of changes for each cell
+
+
 def test_rounds_over_all_items_raise_the_likelihood(spark):
     """Items of two kinds that follow each other in turn: rounds find kinds that the head does not hold."""
     rng = random.Random(3)

@@ -17,6 +17,8 @@ from .common import bucket_of, discard, pick, stored
 
 END = 0  #: item number of the end of a text, which also stands before its first word
 _END_HASH = np.uint64(0x656E64206F662074)
+#: Bytes of the texts whose words are numbered together: a distinct word among them is hashed and looked up once.
+CHUNK = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -64,6 +66,17 @@ def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, tail, firsts
 
 
+def _numbered_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the distinct words, their groups' raw values, number of every word among them, first word of each text and the end)."""
+    own, ends, number, firsts = text_hash.distinct_words([t.lower() for t in texts])
+    data = np.full(len(own) + len(ends) - 1, 32, np.uint8)
+    inside = np.ones(len(data), bool)
+    inside[ends[1:] + np.arange(len(ends) - 1)] = False
+    data[inside] = own
+    hashes, tail, _ = _tokens([data.tobytes()])
+    return hashes, tail, number, firsts
+
+
 def _group(tail: np.ndarray, groups: int) -> np.ndarray:
     return (text_hash.mix(tail) % np.uint64(groups)).astype(np.int64)
 
@@ -82,10 +95,9 @@ def word_counts(rows: DataFrame, groups: int) -> DataFrame:
         size = 0
         for batch in batches:
             texts = _documents(batch)
-            for first, last in text_hash.chunks(texts, 1 << 20):
-                word, tail, _ = _tokens(texts[first:last])
-                own, at, n = np.unique(word, return_index=True, return_counts=True)
-                held.append((own, _group(tail[at], groups), n))
+            for first, last in text_hash.chunks(texts, CHUNK):
+                own, tail, number, _ = _numbered_tokens(texts[first:last])
+                held.append((own, _group(tail, groups), np.bincount(number, minlength=len(own))))
                 size += len(own)
                 if size > 2_000_000:
                     held[:] = [merged()]
@@ -153,9 +165,9 @@ def pair_counts(rows: DataFrame, words: Words) -> DataFrame:
         size = 0
         for batch in batches:
             texts = _documents(batch)
-            for first, last in text_hash.chunks(texts, 1 << 20):
-                word, tail, firsts = _tokens(texts[first:last])
-                before, item = _sequence(shared.value.look_up(word, tail)[0], firsts)
+            for first, last in text_hash.chunks(texts, CHUNK):
+                word, tail, number, firsts = _numbered_tokens(texts[first:last])
+                before, item = _sequence(shared.value.look_up(word, tail)[0][number], firsts)
                 held.append(np.unique(before * total + item, return_counts=True))
                 size += len(held[-1][0])
                 if size > 1_500_000:
@@ -271,15 +283,26 @@ def _sides(counts: np.ndarray, table: np.ndarray) -> list[tuple[np.ndarray, np.n
     return [(counts[:, :classes], table.T, table.sum(axis=1)), (counts[:, classes:], table, table.sum(axis=0))]
 
 
+#: Counts up to this one are told apart by `_joining`.
+_FEW = 3
+
+
 def _joining(counts: np.ndarray, table: np.ndarray) -> np.ndarray:
     """What the likelihood gains if the item of a row of counts is added to class k, shape (rows, classes).
 
     Only cells that a row has change. Many rows have the same count of the same class, so each such case is
-    worked out once for all k.
+    worked out once for all k. Most counts are at most `_FEW`: what these change is a product of matrices for each count, in
+    blocks of rows that are too small for the library to spread them over threads.
     """
-    out = np.zeros((len(counts), len(table)))
+    classes = len(table)
+    out = np.zeros((len(counts), classes))
+    block = max(1, (1 << 18) // classes**2)
     for part, cells, tokens in _sides(counts, table):
-        row, j = np.nonzero(part)
+        has = np.zeros((-(-len(part) // block) * block, classes))
+        for n in range(1, _FEW + 1):
+            has[: len(part)] = part == n
+            out += np.matmul(has.reshape(-1, block, classes), _xlogx(cells + n) - _xlogx(cells)).reshape(-1, classes)[: len(part)]
+        row, j = np.nonzero(part > _FEW)
         if len(row):
             n = part[row, j]
             span = int(n.max()) + 1
@@ -496,9 +519,10 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
         own, row = shared.value, TaskContext.get().partitionId() << 40
         for batch in batches:
             texts, out = _documents(batch), []
-            for first, last in text_hash.chunks(texts, 1 << 20):
-                word, tail, firsts = _tokens(texts[first:last])
+            for first, last in text_hash.chunks(texts, CHUNK):
+                word, tail, number, firsts = _numbered_tokens(texts[first:last])
                 items, n = own.words.look_up(word, tail)
+                word, items, n = word[number], items[number], n[number]
                 before, item = _sequence(items, firsts)
                 starts = firsts[:-1] + np.arange(last - first)
                 context = np.add.reduceat(np.log10(own.contexts(before, item)), starts)

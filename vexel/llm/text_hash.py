@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 #: A random 64-bit number for each of 64 places in a word and each byte there, an odd multiplier for places further on, and one
@@ -67,6 +68,28 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return mix(run[ends] - run[starts] + (ends - starts).astype(np.uint64)), firsts, starts, ends
 
 
+def numbered(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of the distinct strings one behind the other, their offsets, number of each string among them) of the strings
+    that lie in `data` from one offset to the next."""
+    buffers = [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
+    coded = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, buffers).dictionary_encode()
+    own = coded.dictionary
+    ends = np.frombuffer(own.buffers()[1], np.int64, len(own) + 1) if len(own) else np.zeros(1, np.int64)
+    return np.frombuffer(own.buffers()[2], np.uint8, ends[-1]) if len(own) else np.zeros(0, np.uint8), ends, coded.indices.to_numpy()
+
+
+def distinct_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of the distinct words, their offsets, number of every word among them, first words of the texts and the end); words
+    as in `words`, but no letter is lowered."""
+    data = np.frombuffer(b" ".join(texts), np.uint8)
+    inside = np.concatenate([[False], ~_IS_WHITE[data], [False]])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edge[::2], edge[1::2]
+    bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)])
+    own = numbered(data[inside[1:-1]], np.concatenate([[0], np.cumsum(ends - starts)]))
+    return *own, np.searchsorted(starts, bounds)
+
+
 def shingles(hashes: np.ndarray, firsts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, first shingles of the texts and the end) of all windows of `width` words; shorter texts are one shingle, if they have words."""
     counts = np.diff(firsts)
