@@ -377,6 +377,36 @@ def test_packing_ids_and_places(spark, words):
     assert B.pack_documents(frame(spark, []), VOCABULARY).count() == 0
 
 
+def test_words_are_encoded_once_and_as_the_library_does():
+    class Counted(B.Recent):
+        asked = 0
+
+        def many(self, keys, learn):
+            self.asked += len(keys)
+            return super().many(keys, learn)
+
+    rng, letters = random.Random(7), "abcxyzABZäßçÿŠſ\u00ad¡÷0129.,-'&*</|"
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randrange(1, 9))) for _ in range(30)) for _ in range(60)]
+    texts += ["", " \n", "it's we'll <|endoftext|> <| x", "日本 e\u0301 İx Ǆ κόσμος\x0b\x1cA\u0327", "the cat " * 500]
+    own, library = B.WordEncoder(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    own.recent = Counted(20_000)
+    for _ in range(2):
+        for text, ids in zip(texts, own.encode(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    own.recent.asked = 0
+    own.encode(["the cat the " * 100] * 3)
+    assert own.recent.asked == 2  # each distinct word is looked up once
+    assert own.encode([]) == []
+
+
+def test_memory_of_recent_values_is_bounded():
+    own = B.Recent(4000, entry=100)
+    size = lambda held: sum(100 + len(k) + len(v) for k, v in held.items())
+    for at in range(0, 1000, 10):
+        assert own.many([b"%03d" % k for k in range(at, at + 10)] * 2, lambda new: [k * 2 for k in new]) == [b"%03d" % k * 2 for k in range(at, at + 10)] * 2
+        assert size(own.young) <= 2000 and size(own.old) <= 2000 and own.size == size(own.young)
+
+
 def test_packing_of_more_long_pieces_than_open_bins(spark):
     rng = random.Random(8)
     lengths = [rng.randint(1025, 1500) for _ in range(6000)] + [rng.randint(100, 900) for _ in range(9000)]

@@ -8,7 +8,9 @@ import os
 import re
 import unicodedata
 import zlib
+from codecs import charmap_decode
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 import pandas as pd
@@ -17,16 +19,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Recent, held_by, pick, stored
-from .text_hash import chunks
+from .text_hash import chunks, distinct_words, strung
+
+
+_id = attrgetter("id")
 
 
 class WordEncoder:
     """Ids of the tokenizers library, put together from remembered words.
 
-    The vocabulary's pre-tokenizer never joins across white space, so text is cut at ASCII white space and a word that
-    was met lately needs no encoding (`Recent`; its bytes are bounded for each worker). New words are cut at the
-    pre-tokenizer's own pattern, and all new parts of a text are encoded at once: each ends with a token that closes a
-    word. A-Z are lowered before the lookup, as the normaliser does it anyway, except where that could change a result.
+    The vocabulary's pre-tokenizer never joins across white space, so text is cut at ASCII white space, a word is looked
+    up once for some MB of text, and one that was met lately needs no encoding (`Recent`; its bytes are bounded for each
+    worker). New words are cut at the pre-tokenizer's own pattern, and their parts go to the library's model alone, with
+    bytes written as signs as the pre-tokenizer does it. A-Z are lowered before the lookup, as the normaliser does it
+    anyway, except where that could change a result.
     Words of other scripts than Latin, and such that may hold a special token, go whole. All this holds for a
     vocabulary file whose normaliser, pre-tokenizer and model say so (`_cuts_at_white_space`); with any other file whole
     texts go through the library.
@@ -48,9 +54,11 @@ class WordEncoder:
         self.by_word = self._cuts_at_white_space(spec)
         specials = [t["content"] for t in spec.get("added_tokens") or []]
         self.by_word &= all(s.startswith("<|") for s in specials)
-        vocabulary = self.library.get_vocab()
-        self.closes = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
-        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.tokenize = self.library.model.tokenize
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        others = iter(range(256, 512))
+        #: Fixed value: the sign of each byte in the "ByteLevel" pre-tokenizer.
+        self.signs = "".join(chr(b if b in plain else next(others)) for b in range(256))
 
     @classmethod
     def _cuts_at_white_space(cls, spec: dict) -> bool:
@@ -74,49 +82,50 @@ class WordEncoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _encoded(self, names: list[str]) -> list[bytes]:
-        """The ids of parts that the pre-tokenizer leaves whole, all encoded as one text."""
-        if not names:
-            return []
-        ids = np.array(self.library.encode_batch_fast([" ".join(names)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(self.closes[ids]) + 1
-        if len(ends) != len(names):
-            return [self._whole(name) for name in names]
-        raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
-        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
-
     def _learn(self, words: list[bytes]) -> list[bytes]:
         """The ids of each of some words, parted by no white space."""
         if not words:
             return []
         forms = unicodedata.normalize("NFC", b" ".join(words).decode()).lower()
         latin = self._latin.fullmatch(forms) is not None and "<|" not in forms
-        out: list[bytes | list[str]] = []
-        names: dict[str, None] = {}
+        ids: list[int] = []
+        ends = [0]
+        signs: dict[str, list[int]] = {}  # the ids of parts that are no letters: few, and met again and again
         for word, form in zip(words, forms.split(" ")):
             if not latin and ("<|" in form or not self._latin.fullmatch(form)):
-                out.append(self._whole(word.decode()))
+                ids += self.library.encode(word.decode(), add_special_tokens=False).ids
+            elif form.isalpha():
+                ids += self._of_part(form)
             else:
-                own = [form] if form.isalpha() else self.parts.findall(form)
-                names.update(dict.fromkeys(own))
-                out.append(own)
-        ids_of = dict(zip(names, self._encoded(list(names))))
-        return [x if isinstance(x, bytes) else ids_of[x[0]] if len(x) == 1 else b"".join([ids_of[p] for p in x]) for x in out]
+                for part in self.parts.findall(form):
+                    if part.isalpha():
+                        ids += self._of_part(part)
+                    else:
+                        known = signs.get(part)
+                        if known is None:
+                            known = signs[part] = self._of_part(part)
+                        ids += known
+            ends.append(4 * len(ids))
+        raw = np.array(ids, "<u4").tobytes()
+        return [raw[a:b] for a, b in zip(ends, ends[1:])]
+
+    def _of_part(self, part: str) -> list[int]:
+        """The ids of what the normaliser and the pre-tokenizer leave whole."""
+        return list(map(_id, self.tokenize(part if part.isascii() else charmap_decode(part.encode(), "strict", self.signs)[0])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
         if not self.by_word:
             return [self._whole(t) for t in texts]
-        words: list[bytes] = []
-        ends = []
+        raws = []
         for text in texts:
             raw = text.encode()
-            if "<|" not in text and (raw.isascii() or not self._unsafe.search(text)):
-                raw = raw.lower()
-            words += raw.split()
-            ends.append(len(words))
-        found = self.recent.many(words, self._learn)
-        return [b"".join(found[a:b]) for a, b in zip([0, *ends], ends)]
+            raws.append(raw.lower() if "<|" not in text and (raw.isascii() or not self._unsafe.search(text)) else raw)
+        data, ends, number, firsts = distinct_words(raws)
+        raw, cuts = data.tobytes(), ends.tolist()
+        ids, offsets = strung(self.recent.many([raw[a:b] for a, b in zip(cuts, cuts[1:])], self._learn), number)
+        raw, cuts = ids.tobytes(), (4 * offsets[firsts]).tolist()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,7 +152,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id:
     def cut(batch: pd.DataFrame, own: WordEncoder) -> pd.DataFrame:
         at, out = [], []
         texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-        encoded = (ids for a, b in chunks(texts, 1 << 19) for ids in own.encode(texts[a:b]))
+        encoded = (ids for a, b in chunks(texts, 1 << 21) for ids in own.encode(texts[a:b]))
         for i, ids in enumerate(encoded):
             ids += end
             for k, start in enumerate(range(0, len(ids), 4 * size)):

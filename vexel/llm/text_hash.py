@@ -90,6 +90,15 @@ def distinct_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return *own, np.searchsorted(starts, bounds)
 
 
+def strung(values: list[bytes], number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the 32-bit numbers of values[k] for each k of `number`, one behind the other, their offsets)."""
+    sizes = np.fromiter(map(len, values), np.int64, len(values)) >> 2
+    begin = np.cumsum(sizes) - sizes
+    offsets = np.concatenate([[0], np.cumsum(sizes[number])])
+    at = np.repeat(begin[number] - offsets[:-1], sizes[number])
+    return np.frombuffer(b"".join(values), "<u4")[at + np.arange(len(at))], offsets
+
+
 def shingles(hashes: np.ndarray, firsts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, first shingles of the texts and the end) of all windows of `width` words; shorter texts are one shingle, if they have words."""
     counts = np.diff(firsts)
