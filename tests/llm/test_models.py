@@ -349,6 +349,25 @@ def test_own_merges_equal_the_library(words):
         assert small.encode(text or "")[0].tolist() == library.encode(text or "")
 
 
+@pytest.mark.parametrize("whole", [False, True])
+def test_distinct_segments_are_looked_up_once(whole, monkeypatch):
+    own, asked = S.Codec(MODEL), []
+    own.cut &= not whole
+    rng = random.Random(5)
+    texts = ["".join(rng.choices(" \n\r\tab▁éß日🙂.", k=rng.randrange(12))) for _ in range(400)] + ["", " ", "  a ", "▁ ▁", "\n\n a\t", "a b a b a b"]
+    forms = [S.normalise(t.encode(), own.charmap, own.dummy_prefix, own.squeeze)[0] for t in texts]
+    data, ends, number, firsts = own._cut(forms)
+    found = [data[a:b].tobytes().decode().replace(" ", S.SPACE) for a, b in zip(ends, ends[1:])]
+    for form, a, b in zip(forms, firsts, firsts[1:]):
+        assert [found[k] for k in number[a:b]] == ([form.decode()] if whole and form else own.segments.findall(form.decode()))
+    many = own.recent.many
+    monkeypatch.setattr(own.recent, "many", lambda keys, learn: (asked.append(keys), many(keys, learn))[1])
+    for text, (ids, _) in zip(texts, own.encode_all(texts)):
+        assert ids.tolist() == own.library.encode(text)
+        assert own.listed(ids).decode() == ",".join(map(str, ids.tolist()))
+    assert len(asked[0]) == len(set(asked[0])) == len(set(found))
+
+
 def test_character_map_equals_the_library():
     """The longest-prefix lookup in a compiled map, with a source for every byte."""
     library = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc")

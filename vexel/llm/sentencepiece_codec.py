@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 import struct
@@ -13,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from .common import Recent, held_by, pick
-from .text_hash import chunks
+from .text_hash import chunks, numbered, strung
 
 SPACE = "▁"
 # Piece types of the model format.
@@ -162,6 +163,7 @@ class Codec:
         inside = {c for p in self.known if len(p) > 1 for c in p}
         hard = "".join(re.escape(c) for c in "\n\r\t" if c not in inside)
         self.segments = re.compile(f"{SPACE}+[^{SPACE}{hard}]*|[^{SPACE}{hard}]+" + (f"|[{hard}]" if hard else ""))
+        self.is_hard = np.isin(np.arange(256), [ord(c) for c in "\n\r\t" if c not in inside])
         self.recent = Recent(self.max_bytes)
         # Tables of the merges: characters with a piece, and every pair of pieces that makes a piece.
         single = sorted((ord(p), i) for p, i in self.known.items() if len(p) == 1)
@@ -170,6 +172,8 @@ class Codec:
         self.pairs = np.array(sorted(pairs), np.int64)
         self.joined = np.array([pairs[k] for k in self.pairs.tolist()], np.int64)
         self.rank = np.array(self.scores, np.float32)
+        signs = np.array([b"%d," % i for i in range(len(self.pieces))])
+        self.decimals = signs.view(np.uint8).reshape(len(signs), -1)
 
     def _join(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(the piece that two neighbours make, its score); -1 and -inf where they make none or one is missing (-1)."""
@@ -224,9 +228,9 @@ class Codec:
                         row, place = live[ok], place[ok]
                         made[row, place], score[row, place] = self._join(grid[row, place], grid[row, place + 1])
                     live = live[(made[live] >= 0).any(axis=1)]
-                flat = grid.astype("<u4")
-                for k, n in zip(range(len(rows)), left.tolist()):
-                    out[rows[k]] = flat[k, :n].tobytes()
+                flat, width = grid.astype("<u4").tobytes(), 4 * high
+                for k, (row, n) in enumerate(zip(rows.tolist(), left.tolist())):
+                    out[row] = flat[k * width : k * width + 4 * n]
         return out
 
     def merge(self, segment: str) -> list[tuple[int, int]]:
@@ -265,21 +269,41 @@ class Codec:
                 out.append((self.unknown, len(raw)))
         return out
 
+    def _cut(self, forms: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes of the distinct segments, their offsets, number of every segment among them, first segments of the texts and the end).
+
+        U+2581 is written as a space, which no normal form has.
+        """
+        short = [form.replace(SPACE.encode(), b" ") for form in forms]
+        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, short), np.int64, len(short)))])
+        data = np.frombuffer(b"".join(short), np.uint8)
+        begins = np.zeros(len(data) + 1, bool)
+        if self.cut:
+            space, hard = data == 32, self.is_hard[data]
+            begins[:-1] = space | hard
+            begins[1:-1] &= ~(space[1:] & space[:-1])
+            begins[1:] |= hard
+        begins[bounds] = True
+        starts = np.flatnonzero(begins)
+        return *numbered(data, starts), np.searchsorted(starts, bounds)
+
     def encode_all(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """(ids, bounds) of each text: piece i spans the original bytes bounds[i] to bounds[i + 1]."""
         forms = [normalise(t.encode(), self.charmap, self.dummy_prefix, self.squeeze) for t in texts]
-        norms = [form.decode() for form, _ in forms]
-        cut = [self.segments.findall(n) if self.cut else [n] if n else [] for n in norms]
-        found = self.recent.many([x for own in cut for x in own], self.merge_all)
-        out, at = [], 0
-        for (form, source), norm, own in zip(forms, norms, cut):
-            ids = np.frombuffer(b"".join(found[at : at + len(own)]), "<u4").astype(np.int64)
-            at += len(own)
-            ends = np.cumsum(self.sizes[ids])
-            if len(ids) and (not self.byte_ids and (ids == self.unknown).any() or ends[-1] != len(form)):
-                whole = self._pieces(own)  # an unknown piece does not tell its size
-                ids, ends = np.array([i for i, _ in whole]), np.cumsum([n for _, n in whole])
-            out.append((ids, source[np.concatenate([[0], ends]).astype(np.int64)] if len(ids) else np.zeros(1, np.int64)))
+        data, ends, number, firsts = self._cut([form for form, _ in forms])
+        raw, cuts = data.tobytes(), ends.tolist()
+        learn = lambda keys: self.merge_all([k.decode().replace(" ", SPACE) for k in keys])
+        ids, offsets = strung(self.recent.many([raw[a:b] for a, b in zip(cuts, cuts[1:])], learn), number)
+        ids, cuts = ids.astype(np.int64), offsets[firsts].tolist()
+        sums = np.concatenate([[0], np.cumsum(self.sizes[ids])])
+        out = []
+        for (form, source), a, b in zip(forms, cuts, cuts[1:]):
+            own, at = ids[a:b], sums[a : b + 1] - sums[a]
+            if len(own) and (not self.byte_ids and (own == self.unknown).any() or at[-1] != len(form)):
+                norm = form.decode()
+                whole = self._pieces(self.segments.findall(norm) if self.cut else [norm])  # an unknown piece does not tell its size
+                own, at = np.array([i for i, _ in whole]), np.cumsum([0, *(n for _, n in whole)])
+            out.append((own, source[at] if len(own) else np.zeros(1, np.int64)))
         return out
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -295,6 +319,11 @@ class Codec:
                 out.append((i, n))
         return out
 
+    def listed(self, ids: np.ndarray) -> bytes:
+        """The ids in decimal, joined by commas."""
+        signs = self.decimals[ids].ravel()
+        return signs[signs > 0].tobytes()[:-1]
+
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
 
@@ -326,13 +355,18 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     names = ["doc_id", *(c.split()[0] for c in columns.split(", "))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = codec(model_path)
-        for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-            done = [derive(*x, own) for a, b in chunks(texts, 1 << 19) for x in own.encode_all(texts[a:b])]
-            out = pd.DataFrame({n: list(v) for n, v in zip(names[1:], zip(*done))} if done else {n: [] for n in names[1:]})
-            out.insert(0, "doc_id", batch["doc_id"].array)
-            yield out[names]
+        own, collecting = codec(model_path), gc.isenabled()
+        gc.disable()  # lists of segments are long and hold no cycles
+        try:
+            for batch in batches:
+                texts = [t if isinstance(t, str) else "" for t in batch["text"]]
+                done = [derive(*x, own) for a, b in chunks(texts, 1 << 21) for x in own.encode_all(texts[a:b])]
+                out = pd.DataFrame({n: list(v) for n, v in zip(names[1:], zip(*done))} if done else {n: [] for n in names[1:]})
+                out.insert(0, "doc_id", batch["doc_id"].array)
+                yield out[names]
+        finally:
+            if collecting:
+                gc.enable()
 
     return rows.mapInPandas(run, f"doc_id {kind}, {columns}")
 
