@@ -526,13 +526,13 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
                 before, item = _sequence(items, firsts)
                 starts = firsts[:-1] + np.arange(last - first)
                 context = np.add.reduceat(np.log10(own.contexts(before, item)), starts)
-                logs = np.concatenate([[0.0], np.cumsum(np.log10(n + 1.0))])
+                logs = np.log10(n + 1.0)  # added up text by text: a running sum over MBs loses digits
                 known = np.concatenate([[0], np.cumsum(n > 0)])
                 rare = n == 0
                 for i in range(last - first):
                     a, b = firsts[i], firsts[i + 1]
                     left, times = np.unique(word[a:b][rare[a:b]], return_counts=True)
-                    out.append((b - a + 1, known[b] - known[a] + (own.ends > 0), logs[b] - logs[a] + np.log10(own.ends + 1.0), context[i], left.view(np.int64), times.astype(np.int32)))
+                    out.append((b - a + 1, known[b] - known[a] + (own.ends > 0), logs[a:b].sum() + np.log10(own.ends + 1.0), context[i], left.view(np.int64), times.astype(np.int32)))
             frame = pd.DataFrame(out, columns=["n_tokens", "known", "logs", "contexts", "words", "times"])
             frame.insert(0, "doc_id", batch["doc_id"].array)
             frame.insert(0, "row", np.arange(row, row + len(frame)))
