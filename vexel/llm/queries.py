@@ -20,6 +20,7 @@ from .language_id import language_id
 from .license_scan import HEAD, SPELLINGS, known_digests, license_scan
 from .minhash_dedup import minhash_dedup
 from .packing import pack_documents
+from .turn_repair import conversation_repair
 from .url_filter import url_filter
 
 
@@ -83,6 +84,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_class_lm": op2_class_lm,
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_url_filter": op9_url_filter,
     "op10_license_scan": op10_license_scan,
+    "op11_turn_repair": op11_turn_repair,
 }
 
 
