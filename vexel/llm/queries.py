@@ -20,6 +20,8 @@ from .language_id import language_id
 from .license_scan import HEAD, SPELLINGS, known_digests, license_scan
 from .minhash_dedup import minhash_dedup
 from .packing import pack_documents
+from .secret_scan import ASSIGN, ASSIGN_LEAST, ACCESS, BLOB, BREAK, ENDPOINT, HEX, IDENT, REACH, WEAK, secret_scan
+from .sort_means import centroid_clusters
 from .turn_repair import conversation_repair
 from .url_filter import url_filter
 
@@ -88,6 +90,14 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair(table(spark, sf_dir, "conversations"))
 
 
+def op12_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_class_lm": op2_class_lm,
@@ -100,6 +110,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_license_scan": op10_license_scan,
     "op11_turn_repair": op11_turn_repair,
+    "op12_sort_means": op12_sort_means,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 
