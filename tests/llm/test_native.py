@@ -30,7 +30,7 @@ def python_plans(df) -> list[str]:
     return re.findall("Python|Pandas|Arrow", plan)
 
 
-@pytest.mark.parametrize("name", ["op3_exact_dedup", "op6_chat_format", "op9_url_filter", "op10_license_scan"])
+@pytest.mark.parametrize("name", ["op3_exact_dedup", "op6_chat_format", "op9_url_filter", "op10_license_scan", "op13_secret_scan"])
 def test_native_operators_run_no_python(spark, name):
     assert not python_plans(Q.QUERIES[name](spark, SF))
 

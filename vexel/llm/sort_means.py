@@ -29,7 +29,7 @@ def first_by_hash(vectors: DataFrame, k: int, seed: int) -> np.ndarray:
     """The vectors of the `k` smallest SHA-256 of `seed:vec_id`, in that order; equal ids by their vectors, null ids last."""
     key = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
     rows = vectors.select(key.alias("key"), "v").orderBy(F.col("key").asc_nulls_last(), "v").limit(k).collect()
-    return np.array([r["v"] for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r["v"] for r in rows], np.int64) if rows else np.zeros((0, 0), np.int64)
 
 
 def between(centroids: np.ndarray) -> np.ndarray:
