@@ -29,7 +29,8 @@ def column_variance(df: DataFrame, about: DataFrame | None = None) -> DataFrame:
 def moments(df: DataFrame, key: str | None = None) -> DataFrame:
     """(key, count, sums, products): the sums and the Gram matrix (row by row) of all vectors, or of each key's.
 
-    Every task makes one matrix for each key it sees; keys are labels or clusters, so few.
+    Every task makes one matrix for each key it sees (keys are labels or clusters, so few), and Spark adds up the tasks' matrices
+    cell by cell: a key of any number of tasks is spread over n * n cells.
     """
     rows = df.select(*([F.col(key).cast("bigint").alias("key")] if key else [F.lit(0).cast("bigint").alias("key")]), "v")
 
@@ -50,10 +51,10 @@ def moments(df: DataFrame, key: str | None = None) -> DataFrame:
         yield pd.DataFrame([(k, c, s.tolist(), g.ravel().tolist()) for k, (c, s, g) in held.items()], columns=["key", "count", "sums", "products"])
 
     parts = rows.mapInPandas(run, "key bigint, count bigint, sums array<double>, products array<double>")
-    zero = lambda a, b: F.zip_with(a, b, lambda x, y: F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0)))
-    merged = parts.groupBy("key").agg(F.sum("count").alias("count"), F.collect_list("sums").alias("s"), F.collect_list("products").alias("p"))
-    empty = F.array().cast("array<double>")
-    return merged.select("key", "count", F.aggregate("s", empty, zero).alias("sums"), F.aggregate("p", empty, zero).alias("products"))
+    cells = parts.select("key", F.posexplode(F.concat(F.array(F.col("count").cast("double")), "sums", "products")).alias("i", "x"), F.size("sums").alias("n"))
+    cells = cells.groupBy("key", "n", "i").agg(F.sum("x").alias("x"))
+    whole = cells.groupBy("key", "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda c: c["x"]).alias("x"))  # 1 + n + n * n numbers
+    return whole.select("key", F.col("x")[0].cast("bigint").alias("count"), F.slice("x", F.lit(2), F.col("n")).alias("sums"), F.slice("x", F.col("n") + 2, F.col("n") * F.col("n")).alias("products"))
 
 
 def covariance_of(count: int, sums: np.ndarray, products: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

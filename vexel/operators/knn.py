@@ -38,9 +38,11 @@ def knn(base: DataFrame, queries: DataFrame, k: int, distance: str = "euclidean2
     """(qid, rank, m, dist): of each query (qid, v) the `k` nearest rows of base (m, v), ties by m.
 
     Queries are few beside the rows: they are sent to the tasks in blocks of at most `BLOCK_BYTES`, every task
-    keeps its own best `k` of each query, and only these are shuffled. Rows are read once for each block.
+    keeps its own best `k` of each query, and only these are shuffled. Rows are read once for each block; for many queries
+    there is `vector_index`. Rows and queries whose vector is null are left out.
     """
-    rows = queries.select("qid", "v").orderBy("qid").toLocalIterator()  # in pieces; only one block is held
+    base = base.filter("v is not null")
+    rows = queries.select("qid", "v").filter("v is not null").orderBy("qid").toLocalIterator()  # in pieces; only one block is held
     out, block, held = None, [], 0
     for row in rows:
         block.append(row)

@@ -171,10 +171,26 @@ def _leaves(df: DataFrame, own: tree.Tree) -> DataFrame:
     return tree.label(df, own).groupBy("leaf").agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg("dist"), 6).alias("dist"))
 
 
-@query()
+def _tree_sql(shape: list[int], passes: int) -> str:
+    """Level by level: every node begins with its first rows, then assigns and averages; the last pass moves no mean."""
+    out = f"with {E}, r0 as (select m, v, 0 as node from e)"
+    d2 = "list_sum(list_transform(range(1, 65), lambda i: (a.v[i] - c.v[i]) * (a.v[i] - c.v[i])))"
+    for y, fan in enumerate(shape):
+        out += f", m{y}_0 as (select node, row_number() over (partition by node order by m) - 1 as child, v from r{y} qualify row_number() over (partition by node order by m) <= {fan})"
+        for s in range(passes):
+            out += f", s{y}_{s} as (select a.m, a.node, arg_min(child, (({d2}), child)) as child, min({d2}) as d2 from r{y} a join m{y}_{s} c using (node) group by a.m, a.node)"
+            if s < passes - 1:
+                out += f", u{y}_{s} as (select node, child, list(x order by n) as v from (select s.node, s.child, n, avg(r.v[n + 1]) as x from s{y}_{s} s join r{y} r using (m), range(64) t(n) group by s.node, s.child, n) group by node, child)"
+                out += f", m{y}_{s + 1} as (select o.node, o.child, coalesce(u.v, o.v) as v from m{y}_{s} o left join u{y}_{s} u using (node, child))"
+        out += f", r{y + 1} as (select m, r.v, s.node * {fan} + s.child as node, s.d2 from s{y}_{passes - 1} s join r{y} r using (m))"
+    return out + f" select node as leaf, count(*) as rows, round(avg(d2), 6) as dist from r{len(shape)} group by node"
+
+
+@query(_tree_sql([4, 2], 3))
 def kmeans_tree(spark, sf_dir):
+    """Leaves of a tree whose nodes begin with their first rows."""
     rows = vectors(spark, sf_dir)
-    return _leaves(rows, tree.kmeans_tree(rows, [4, 2], 5))
+    return _leaves(rows, tree.kmeans_tree(rows, [4, 2], 3, seeding="first"))
 
 
 @query()

@@ -61,13 +61,11 @@ def libsvm(spark, sf_dir):
     return matrix.read_libsvm(spark, path).groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum(vec.element("v", 0)) + 0.0, 3).alias("first"))
 
 
-@query("select 800::bigint as rows, 0::bigint as other")
+@query(f"with {E} select count(*) as rows, 0::bigint as other from e")
 def model_round_trip(spark, sf_dir):
     """A trained model saved, loaded and asked again: how many rows get another answer."""
-    from .cluster_queries import blobs
-
-    rows, path = blobs(spark), _place(spark, "model")
-    model = learn.softmax_regression(rows, 4)
+    rows, path = vectors(spark, sf_dir), _place(spark, "model")
+    model = learn.softmax_regression(rows, 10, learn.SoftmaxParams(5))
     matrix.save_model(spark, model, path)
     again = matrix.load_model(spark, learn.Softmax, path)
     both = learn.predict(learn.predict(rows, model, "a"), again, "b")

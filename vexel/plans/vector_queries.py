@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vec
-from ..operators import agg, frame, knn, linalg, scale
+from ..operators import agg, frame, knn, linalg, scale, vector_index
 from .registry import QUERIES, SQL, query, table
 
 E = "e as (select vec_id as m, list_transform(embedding, lambda x: x::double) as v, label from embeddings)"
@@ -298,6 +298,25 @@ def knn_euclid(spark, sf_dir):
     return _told(knn.knn(rows, _queries_of(rows), 5, "euclidean2", exclude_self=True))
 
 
+@query(_near(_D2, 5))
+def vector_index_exact(spark, sf_dir):
+    """The neighbours of `knn_euclid` by an index: lists of the nearest cells, then those that may hold a nearer row."""
+    rows = vectors(spark, sf_dir)
+    index = vector_index.build(rows, 16)
+    return _told(vector_index.search(index, _queries_of(rows), 5, 4, exact=True, exclude_self=True))
+
+
+@query(f"with {E} select count(*) filter (m % 20 = 0) as queries, 5 * count(*) filter (m % 20 = 0) as neighbours, true as enough from e")
+def vector_index_recall(spark, sf_dir):
+    """Whether nine in ten of the true neighbours are in the lists that other rows' neighbours needed."""
+    rows = vectors(spark, sf_dir)
+    index = vector_index.build(rows, 16)
+    found = vector_index.search(index, _queries_of(rows), 5, vector_index.probes_for(index, 5, 0.95), exclude_self=True)
+    truth = knn.knn(rows, _queries_of(rows), 5, exclude_self=True)
+    hits = truth.join(found.select("qid", "m", F.lit(1).alias("hit")), ["qid", "m"], "left")
+    return hits.agg(F.count_distinct("qid").alias("queries"), F.count(F.lit(1)).alias("neighbours"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("enough"))
+
+
 @query(_near(_COS, 5))
 def knn_cosine(spark, sf_dir):
     rows = vectors(spark, sf_dir)
