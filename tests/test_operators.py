@@ -196,25 +196,101 @@ def test_autoencoder_learns(spark):
 def test_image_kernels_by_brute_force():
     rng = np.random.default_rng(4)
     x = rng.integers(0, 255, (11, 13)).astype(float)
-    for r in (1, 2, 4):
-        got, reach = image.star_sum(x, r), int(r * np.sqrt(2))
+    assert [image.star_area(r) for r in range(1, 8)] == [6, 12, 34, 68, 114, 136, 198]
+    for r in (1, 2, 3, 5):
+        side = int(r / np.sqrt(2) + 0.5)
         want = np.zeros_like(x)
         for y, c in np.ndindex(x.shape):
             for v, u in np.ndindex(x.shape):
-                want[y, c] += x[v, u] * ((abs(v - y) <= r and abs(u - c) <= r) + (abs(v - y) + abs(u - c) <= reach))
-        assert np.allclose(got, want)
+                down = v - y if v >= y else y - 1 - v
+                want[y, c] += x[v, u] * ((-side <= v - y < side and -side <= u - c < side) + (-r + down <= u - c <= r - 2 - down))
+        assert np.allclose(image.star_sum(x, r), want)
+        assert np.allclose(image.Star(x, 7).sums(r, 2), want[::2, ::2])
+    big = rng.integers(0, 9, (40, 25)).astype(float)
+    tilted = image.integral_tilted(big[:, :, None])
+    for y, c in [(1, 0), (7, 3), (40, 25), (33, 0), (40, 12)]:
+        assert tilted[y, c] == sum(big[v, u] for v in range(y) for u in range(25) if abs(u - c + 1) <= y - 1 - v)
     assert image.resize(x[:, :, None], 11, 13)[:, :, 0].tolist() == x.tolist()
     assert image.components(np.array([[1, 1, 0], [0, 1, 0], [1, 0, 0]])).max() == 1
     assert len(image.rectangle_feature(x[:, :, None])) == 1152
     assert image.integral(x[:, :, None])[-1, -1] == x.sum()
 
 
+def spotted(seed, size=220, spots=40):
+    """Discs of many sizes and levels on soft noise."""
+    rng = np.random.default_rng(seed)
+    y, x = np.mgrid[0:size, 0:size]
+    out = 128 + 6 * rng.normal(size=(size, size))
+    for _ in range(spots):
+        cy, cx, r = rng.uniform(0, size), rng.uniform(0, size), rng.uniform(4, 16)
+        out[(y - cy) ** 2 + ((x - cx) * rng.uniform(0.7, 1.4)) ** 2 <= r * r] = rng.uniform(0, 255)
+    return out
+
+
 def test_keypoints_of_discs(spark):
     got = keypoint.keypoints(blob_images(spark)).filter("image_id = 0").collect()
     assert got and all(len(r["desc"]) == 72 for r in got)
-    assert min(math.hypot(r["y"] - 66, r["x"] - 62) for r in got) < 8
-    flat = np.full((40, 40, 1), 128.0)
-    assert keypoint.extract(flat, keypoint.Params()) == []
+    assert min(math.hypot(r["y"] - 60, r["x"] - 60) for r in got) < 8
+    flat = np.full((80, 80, 1), 128.0)
+    assert keypoint.extract(flat, keypoint.Params()) == [] and keypoint.extract(flat[:5, :5], keypoint.Params()) == []
+
+
+def test_radii_grow_by_the_factor():
+    got = keypoint.radii(keypoint.Params())
+    now, want = 6.16885, [6]
+    while len(want) < 17:
+        now *= 1.090508
+        if int(now + 0.5) > want[-1]:
+            want.append(int(now + 0.5))
+    assert got == want
+
+
+def test_detection_equals_a_search_pixel_by_pixel():
+    p = keypoint.Params(response=9.0, levels=9)
+    x = spotted(3, 150, 25)
+    size, star = keypoint.radii(p), image.Star(x, 200)
+    field = np.array([(star.sums(2 * r) - star.sums(r)) / (image.star_area(2 * r) - image.star_area(r)) - star.sums(r) / image.star_area(r) for r in size])
+    grid, begin = {}, 4 * size[0] + (4 * size[0]) % 2
+    for y in range(begin, 150 - begin, 2):
+        for c in range(begin, 150 - begin, 2):
+            levels = [s for s in range(0, len(size), 2) if all(0 <= q - 4 * size[s] and q + 4 * size[s] < 150 for q in (y, c))]
+            for s in levels:
+                if s + 4 in levels:
+                    a, b, d = (field[s + k, y, c] for k in (0, 2, 4))
+                    if (b > 0 and a < b > d) or (b < 0 and a > b < d):
+                        under, over = abs(field[s + 1, y, c]) * np.sign(b * field[s + 1, y, c]), abs(field[s + 3, y, c]) * np.sign(b * field[s + 3, y, c])
+                        to = (s + 1 if under > over else s + 3) if abs(b) < under else (s + 2 if abs(b) > over else s + 3)
+                        grid[to, y, c] = field[to, y, c]
+    want = set()
+    for (s, y, c), r in grid.items():
+        near = int(size[s] + 0.5)
+        if not 1 <= s < len(size) - 1 or abs(r) < 9 or min(y, c) < near or max(y, c) + near + 1 >= 150:
+            continue
+        around = [v for (t, yy, cc), v in grid.items() if t == s and (yy, cc) != (y, c) and abs(yy - y) <= near and (c - int(np.sqrt(max(near**2 - (yy - y) ** 2, 0)) + 0.5)) // 2 <= cc // 2 < (c + int(np.sqrt(max(near**2 - (yy - y) ** 2, 0)) + 0.5) + 1) // 2]
+        if not any(v * np.sign(r) > abs(r) for v in around):
+            soft = star.sums(keypoint.star_of(2 * size[s])) / image.star_area(keypoint.star_of(2 * size[s]))
+            at, reach = slice(y - 2 * size[s], y + 2 * size[s] + 1), slice(c - 2 * size[s], c + 2 * size[s] + 1)
+            dy, dx = (np.roll(soft, 1, 0) - np.roll(soft, -1, 0))[at, reach], (np.roll(soft, 1, 1) - np.roll(soft, -1, 1))[at, reach]
+            det = (dx**2).sum() * (dy**2).sum() - (dx * dy).sum() ** 2
+            if not ((dx**2).sum() + (dy**2).sum()) ** 2 / det >= p.edge:
+                want.add((s, y, c))
+    got = {(lv, y, c) for _, y, c, _, lv in keypoint.detect(x, p)}
+    assert want and got == want
+
+
+def match_rate(a, b):
+    p = keypoint.Params()
+    one, two = (np.array([k[6] for k in keypoint.extract(np.asarray(x)[:, :, None], p)]) for x in (a, b))
+    assert len(one) > 5 and len(two) > 5
+    near = 1 - (one @ two.T) / (np.linalg.norm(one, axis=1)[:, None] * np.linalg.norm(two, axis=1)[None, :])
+    return (near.min(axis=1) < 0.05).mean()
+
+
+def test_keypoints_match_when_turned_and_not_across_images():
+    x = spotted(5)
+    turned = [match_rate(x, np.rot90(x, k)) for k in (1, 2, 3)]
+    other = match_rate(x, spotted(6))
+    assert min(turned) > 0.5 > other, (turned, other)
 
 
 def test_text_binary_and_model_files(spark, tmp_path):

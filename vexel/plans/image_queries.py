@@ -161,12 +161,12 @@ def rectangle_feature(spark, sf_dir):
     return made.select("image_id", F.posexplode("v").alias("n", "x")).select("image_id", F.col("n").cast("bigint").alias("n"), F.round(F.col("x") + 0.0, 6).alias("x"))
 
 
-def blob_images(spark: SparkSession, size: int = 96) -> DataFrame:
+def blob_images(spark: SparkSession, size: int = 192) -> DataFrame:
     """Bright and dark discs on gray."""
     y, x = (F.col("id") % (size * size) / size).cast("int"), (F.col("id") % size).cast("int")
     i = (F.col("id") / (size * size)).cast("int")
     disc = lambda cy, cx, r: (y - cy) * (y - cy) + (x - cx) * (x - cx) <= r * r
-    level = F.when(disc(30, 30 + i * 6, 6), 255.0).when(disc(66, 62, 8), 0.0).when(disc(28, 70, 5), 230.0).otherwise(128.0)
+    level = F.when(disc(60, 60 + i * 12, 12), 255.0).when(disc(132, 124, 16), 0.0).when(disc(56, 140, 10), 230.0).otherwise(128.0)
     rows = spark.range(2 * size * size).select(i.alias("image_id"), y.alias("row"), x.alias("col"), level.alias("k"))
     return image.to_images(rows, ["k"])
 
