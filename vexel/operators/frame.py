@@ -18,6 +18,21 @@ def constant(spark: SparkSession, m: int, n: int, value: float = 0.0) -> DataFra
     return spark.range(m).select(F.col("id").alias("m"), F.array_repeat(F.lit(float(value)), n).alias("v"))
 
 
+def constant_lists(spark: SparkSession, lists: int, m: int, n: int, value: float = 0.0) -> DataFrame:
+    """(list, m, v): `lists` matrices of m rows each, one after the other."""
+    return spark.range(lists * m).select(F.expr(f"id div {m}").alias("list"), (F.col("id") % m).alias("m"), F.array_repeat(F.lit(float(value)), n).alias("v"))
+
+
+def list_of(df: DataFrame, number: int) -> DataFrame:
+    """(m, v) of one matrix of a list: a filter that reaches the scan, so a table partitioned by `list` reads no other."""
+    return df.filter(F.col("list") == number).select("m", "v")
+
+
+def list_value(number: Column, row: Column, element: Column, m: int, n: int) -> Column:
+    """The place of an element among all of a list of m x n matrices."""
+    return (number * m + row) * n + element
+
+
 def vectors(df: DataFrame, id_col: str, vector_col: str, *others: str) -> DataFrame:
     """(m, v, others) of any table with an id and a numeric array; only these columns are read."""
     return df.select(F.col(id_col).alias("m"), vec.as_vector(vector_col).alias("v"), *others)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import vec
-from ..operators import cluster, learn
+from ..operators import cluster, learn, tree
 from ..scratch import scratch_dir
 from ..sources import matrix
 from .registry import query
@@ -31,6 +31,27 @@ def matrix_text(spark, sf_dir):
     return matrix.read_text(spark, path).select("m", F.round(vec.element("v", 0) + 0.0, 5).alias("first"), F.round(vec.element("v", 63) + 0.0, 5).alias("last"))
 
 
+@query(f"with {E} select (m // 100)::int as array_index, m % 100 // 10 as list, m % 10 as m, printf('%e', v[3])::double + 0.0 as x from e where m < (select max(m) // 100 * 100 from e)")
+def matrix_arrays(spark, sf_dir):
+    """Arrays of ten matrices of ten vectors in one text, and back; the last vectors, which fill no array, are left out."""
+    path, rows = _place(spark, "arrays"), vectors(spark, sf_dir)
+    last = rows.agg(F.max("m")).first()[0] // 100 * 100
+    lists = rows.filter(F.col("m") < last).select((F.col("m") / 100).cast("int").alias("array_index"), F.expr("m % 100 div 10").alias("list"), (F.col("m") % 10).alias("m"), "v")
+    matrix.write_text_arrays(lists, path)
+    return matrix.read_text_arrays(spark, path).select("array_index", "list", "m", (vec.element("v", 2) + 0.0).alias("x"))
+
+
+@query(f"with {E} select count(*) as rows, 0::bigint as other from e")
+def tree_round_trip(spark, sf_dir):
+    """A tree saved, loaded and asked again: how many rows get another leaf or distance."""
+    rows, path = vectors(spark, sf_dir), _place(spark, "tree")
+    own = tree.kmeans_tree(rows, [3, 2], 2, seeding="first")
+    matrix.save_model(spark, own, path)
+    again = tree.label(rows, matrix.load_model(spark, tree.Tree, path)).select("m", F.col("leaf").alias("l"), F.col("dist").alias("d"))
+    both = tree.label(rows, own).join(again, "m")
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.sum(((F.col("leaf") != F.col("l")) | (F.col("dist") != F.col("d"))).cast("int")).alias("other"))
+
+
 @query("select 1::bigint as list, count(*) as m, 64::bigint as n, 1::bigint as rows, count(*) as cols from embeddings")
 def matrix_header(spark, sf_dir):
     path = _place(spark, "header")
