@@ -581,3 +581,21 @@ def test_pipeline_of_odd_tables(spark, tmp_path, rows):
 
 def test_registry_has_all_ten():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in Q.QUERIES) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("hot", [1, 20, 10_000])
+def test_near_dedup_with_keys_shuffled_split_and_broadcast(spark, words, monkeypatch, hot):
+    monkeypatch.setattr(M, "HOT", hot)
+    rng = random.Random(hot)
+    base = [f"w{i}" for i in range(60)]
+    rows = list(enumerate(words)) + [(500 + k, " ".join(base[:k % 3] + [f"x{k}"] + base[k % 3 + 1 :])) for k in range(40)]  # one bucket of many
+    rows += [(700, "long " + " ".join(f"v{i}" for i in range(150_000))), (701, "longer " + " ".join(f"v{i}" for i in range(150_000)))]
+    rng.shuffle(rows)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in M.minhash_dedup(frame(spark, rows)).collect()}
+    want = linked_by_hand(rows)
+    assert {i: (n, c) for i, (n, c) in got.items() if n} == {i: x for i, x in want.items() if x[0]}
+
+
+def test_near_dedup_refuses_thresholds_it_cannot_hold(spark):
+    with pytest.raises(ValueError, match="below the 0.8"):
+        M.minhash_dedup(frame(spark, [(1, "a b c d e f")]), 79, 100)

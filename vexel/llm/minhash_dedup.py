@@ -21,6 +21,9 @@ BITS = 512  #: of an odd sketch
 #: have one of 0.032 and the collisions of 512 bits add little to it.
 MARGIN = 0.18
 
+#: Band keys that more than one in so many rows have are not shuffled; there are fewer of them than this.
+HOT = 10_000
+
 _rng = np.random.Generator(np.random.PCG64(7))
 _TIMES = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _rng.integers(0, (1 << 64) - 1, BANDS * ROWS, np.uint64)
@@ -188,12 +191,23 @@ def _candidates(spokes: DataFrame, confirm: _Confirm) -> DataFrame:
     return out
 
 
+def _by_key(rows: DataFrame, table: DataFrame, total: int, how: str = "inner") -> DataFrame:
+    """`rows` joined by key with `table` (key, rows, ...), one row for each key, `rows` how many of `total` have it.
+
+    A key of more than one in HOT of `total` is met where its rows are: there are fewer than HOT such keys, so they are
+    broadcast. All other keys are shuffled, and none of them is many rows."""
+    often = F.col("rows") > total // HOT
+    hot, rest = F.broadcast(table.filter(often).drop("rows")), table.filter(~often).drop("rows")
+    return rows.join(hot, "key", how).unionByName(rows.join(hot.select("key"), "key", "left_anti").join(rest, "key", how))
+
+
 def minhash_dedup(docs: DataFrame, numerator: int = 85, denominator: int = 100, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, max_broadcast_ids: int = 1_000_000) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     A text's set has its distinct shingles of `width` words (A-Z lowered, words parted by white space); a text with
     fewer words is one shingle; one without words, or null, has none and is linked with nothing. Two documents are
-    linked if denominator * intersection >= numerator * union (a half at least); component_id is the smallest doc_id
+    linked if denominator * intersection >= numerator * union (four fifths at least: the bands are laid out for no less, and a
+    lower threshold is refused); component_id is the smallest doc_id
     that links reach, kept means doc_id = component_id.
 
     Texts of equal sets are one node from the start, so copies of any number cost one row each. Nodes that share a band
@@ -206,27 +220,33 @@ def minhash_dedup(docs: DataFrame, numerator: int = 85, denominator: int = 100,
     A doc_id that occurs with two texts counts as two documents of the same id. A null id has component null and is
     not kept. Repeated rows and ties need no rule; an empty table gives an empty one.
     """
+    if 5 * numerator < 4 * denominator:
+        raise ValueError(f"a similarity of {numerator / denominator} is below the 0.8 that the bands find")
     sigs = stored(signatures(docs, id_col, text_col, width), "signatures")
     first = F.min(F.struct(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bands", "odd")).alias("first")
     nodes = stored(sigs.filter("n_shingles > 0 and doc_id is not null").groupBy("fp").agg(first).select("fp", "first.*"), "nodes")
     confirm = _Confirm(docs, nodes.select("node", "fp", "n", "odd"), numerator, denominator, id_col, text_col, width, max_broadcast_ids)
     members = nodes.select("node", "n", F.explode("bands").alias("key"))
     pivots = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("p"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    members = stored(members.join(pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")), "key"), "members")
+    pivots = stored(pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), "rows"), "pivots")
+    total = pivots.agg(F.sum("rows")).first()[0] or 0
+    members = stored(_by_key(members, pivots, total), "members")
+    discard(pivots)
     rays = members.filter((F.col("node") != F.col("pivot")) & confirm.sizes_allow(F.col("n"), F.col("pivot_n")))
     confirm.pairs(rays.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
     linked = confirm.components()
     part = members if linked is None else members.join(linked, "node", "left")
     part = part.withColumn("component", F.col("node") if linked is None else F.coalesce("component", "node"))
-    mixed = part.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("rows")).filter("low <> high and rows > 2").select("key")
-    spokes = stored(part.join(mixed, "key", "left_semi").filter("node <> pivot").select("pivot", "node", "n", "component").distinct(), "spokes")
+    mixed = part.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("rows")).filter("low <> high and rows > 2").select("key", "rows")
+    mixed = stored(mixed, "mixed")
+    spokes = stored(_by_key(part, mixed, total, "left_semi").filter("node <> pivot").select("pivot", "node", "n", "component").distinct(), "spokes")
     if not spokes.isEmpty():
         found = _candidates(spokes, confirm)
         if not found.isEmpty():
             confirm.pairs(found)
             linked = confirm.components()
         discard(found)
-    discard(members, spokes)
+    discard(members, mixed, spokes)
     rows = sigs.select("doc_id", "n_shingles", "fp").join(nodes.select("fp", "node"), "fp", "left")
     if linked is None:
         rows = rows.withColumn("component", F.lit(None).cast(rows.schema["node"].dataType))
