@@ -32,11 +32,10 @@ def letters(spark, sf_dir) -> DataFrame:
 
 
 def _held_out(rows: DataFrame, train) -> DataFrame:
-    """(lang, rows, told): of the documents of every fifth id, which no training saw, whether seven in ten are told right in each language."""
+    """(lang, rows, told): the documents of every fifth id, which no training saw, and whether seven in ten of all of them are told right."""
     model = train(rows.filter("m % 5 <> 0"))
     out = learn.predict(rows.filter("m % 5 = 0"), model)
-    share = F.avg((F.col("label") == F.col("predicted")).cast("double"))
-    return out.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), (share >= 0.7).alias("told"))
+    return out.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).withColumn("told", F.lit(learn.accuracy(out) >= 0.7))
 
 
 #: A learner that reaches the floor of seven in ten.
