@@ -9,8 +9,8 @@ from tests.harness import compare
 from vexel.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-#: Long loops of many small jobs, covered by the tests of their operators.
-SLOW = {"xmeans", "lbgu", "klr_tree", "klr", "knb", "pca_kmeans_tree", "kmeans_tree", "kmeans_tree_beam", "keypoints_rectangle", "som"}
+#: Long loops of many small jobs, covered by the tests of their operators or the last test here.
+SLOW = {"xmeans", "lbgu", "klr_tree", "klr", "knb", "pca_kmeans_tree", "kmeans_tree", "kmeans_tree_beam", "keypoints_rectangle", "som", "lmca"}
 
 
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
