@@ -290,11 +290,16 @@ def gaussian_clusters(df: DataFrame, k: int, npca: int = 0, max_epoch: int = 20,
     return models
 
 
-def som(df: DataFrame, rows: int, cols: int, max_epoch: int = 20, seed: int = 11) -> np.ndarray:
-    """A batch self-organising map of rows x cols units: every epoch pulls units to the rows of units around them."""
+def som_start(df: DataFrame, units: int, seed: int = 11) -> np.ndarray:
+    """Units drawn evenly between the smallest and the largest value of each element."""
     ends = df.select(F.posexplode("v").alias("n", "x")).groupBy("n").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("n").collect()
     low, high = np.array([r["lo"] for r in ends]), np.array([r["hi"] for r in ends])
-    units = np.random.default_rng(seed).uniform(0, 1, (rows * cols, len(low))) * (high - low) + low
+    return np.random.default_rng(seed).uniform(0, 1, (units, len(low))) * (high - low) + low
+
+
+def som(df: DataFrame, rows: int, cols: int, max_epoch: int = 20, seed: int = 11) -> np.ndarray:
+    """A batch self-organising map of rows x cols units: every epoch pulls units to the rows of units around them."""
+    units = som_start(df, rows * cols, seed)
     y, x = np.divmod(np.arange(rows * cols), cols)
     d2 = (y[:, None] - y) ** 2 + (x[:, None] - x) ** 2
     for epoch in range(max_epoch):
@@ -306,6 +311,90 @@ def som(df: DataFrame, rows: int, cols: int, max_epoch: int = 20, seed: int = 11
     return units
 
 
+def _grid_pull(rows: int, cols: int, radius: int) -> np.ndarray:
+    """How much each unit of a rows x cols map is drawn to the rows of each other, within the radius."""
+    y, x = np.divmod(np.arange(rows * cols), cols)
+    d2 = (y[:, None] - y) ** 2 + (x[:, None] - x) ** 2
+    return np.where(d2 < radius * radius, np.exp(-d2 / (2.0 * radius * radius)), 0.0) if radius else np.zeros(d2.shape)
+
+
+def som_epochs(df: DataFrame, units: np.ndarray, cols: int, begin: int, end: int, max_epoch: int, passes: int = 5, progress: Callable[[int, float], None] | None = None) -> np.ndarray:
+    """A map's units (rows * cols, n) after epochs begin .. end - 1 of `max_epoch`, the rule of whole tables.
+
+    In a pass every row draws the units around its nearest one by 40 / (max_epoch * rows of the table); the radius falls
+    from 0.6 of the longer side to one. The epoch's number alone says how wide it is, so a run may stop and go on from its
+    units. Below about 40 epochs steps overshoot.
+    """
+    units = np.array(units, float)
+    rows = len(units) // cols
+    side = 0.6 * max(rows, cols)
+    for epoch in range(begin, end):
+        pull = _grid_pull(rows, cols, int(side * np.exp(-epoch * np.log(side) / max_epoch)))
+        for _ in range(passes):
+            got = one_pass(df, units)
+            total = int(got.counts.sum())
+            if not total:
+                return units
+            units = units + 40.0 / (max_epoch * total) * (pull @ got.sums - (pull @ got.counts)[:, None] * units)
+        if progress:
+            progress(epoch, float(got.error.sum() / total))
+    return units
+
+
+@dataclass(frozen=True)
+class SomStream:
+    """Rows dealt into `parts` micro-batches by a hash of (seed, m): files of the shared folder, a folder for each part."""
+
+    rows: DataFrame
+    parts: int
+    total: int
+    seed: int
+
+    def order(self, epoch: int, turn: int) -> list[int]:
+        """The order of the parts in a pass, drawn anew for each."""
+        return np.random.default_rng([self.seed, epoch, turn]).permutation(self.parts).tolist()
+
+    def close(self) -> None:
+        discard(self.rows)
+
+
+def som_stream(df: DataFrame, parts: int = 16, seed: int = 11) -> SomStream:
+    """Deals all rows of (m, v) for `som_online`. Parts are split over tasks by a million rows."""
+    total = df.count()
+    salts = max(1, -(-total // (parts * 1_000_000)))
+    part = F.pmod(F.xxhash64(F.lit(seed), "m"), F.lit(parts)).cast("int")
+    salt = F.pmod(F.xxhash64("m", F.lit(seed)), F.lit(salts))
+    dealt = df.select("v", part.alias("part"), salt.alias("salt")).repartition("part", "salt").drop("salt")
+    return SomStream(stored(dealt, "som", by="part"), parts, total, seed)
+
+
+def som_online(data: SomStream, units: np.ndarray, cols: int, begin: int, end: int, max_epoch: int, passes: int = 5, rate: float = 0.1, progress: Callable[[int, float], None] | None = None) -> np.ndarray:
+    """A map's units after epochs begin .. end - 1 of `max_epoch`, moved after every micro-batch.
+
+    All rows of a micro-batch find their nearest units in one job over its own files. A unit then goes to the weighted mean
+    of the rows around it by 1 - (1 - rate / rows of the table) ** (sum of their weights), which is where it comes to when
+    they draw it one after the other. The radius begins at the longer side. Order and radius follow from the epoch's number, so two
+    ranges of epochs give what one run gives.
+    """
+    units = np.array(units, float)
+    rows = len(units) // cols
+    fall = np.log(0.5 * cols) / max_epoch
+    for epoch in range(begin, end):
+        pull = _grid_pull(rows, cols, int(max(rows, cols) * np.exp(-epoch * fall)))
+        error = 0.0
+        for turn in range(passes if data.total else 0):
+            error = 0.0
+            for part in data.order(epoch, turn):
+                got = one_pass(data.rows.filter(F.col("part") == part), units)
+                mass = pull @ got.counts
+                share = 1 - (1 - min(rate / data.total, 1.0)) ** mass
+                units = units + share[:, None] * np.where(mass[:, None] > 0, (pull @ got.sums) / np.maximum(mass, 1e-300)[:, None] - units, 0.0)
+                error += got.error.sum()
+        if progress:
+            progress(epoch, float(error / max(data.total, 1)))
+    return units
+
+
 @dataclass(frozen=True)
 class Topics:
     """PLSI: P(z) as numbers; P(d | z) and P(w | z) as tables (d, p) and (w, p) with an element of `p` for each topic."""

@@ -88,6 +88,11 @@ def ranked(df: DataFrame, *order: Column) -> DataFrame:
     return placed.join(F.broadcast(starts), "_range").withColumn("rank", place.cast("bigint")).drop("_range", "_start")
 
 
+def transpose_grid(df: DataFrame, rows: int, cols: int) -> DataFrame:
+    """The vectors of a rows x cols grid, numbered row by row, as those of the cols x rows grid: keys change, vectors stay where they are."""
+    return df.withColumn("m", F.col("m") % cols * rows + F.expr(f"m div {cols}"))
+
+
 def explode(df: DataFrame) -> DataFrame:
     """(m, n, x): one row for each element."""
     return df.select("m", F.posexplode("v").alias("n", "x"))

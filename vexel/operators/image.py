@@ -244,18 +244,20 @@ def star_sum(x: np.ndarray, r: int) -> np.ndarray:
     return Star(x, r).sums(r)
 
 
-def _pooled(a: np.ndarray, size: int, stride: int, f: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+def _pooled(a: np.ndarray, size: int, stride: int, f: Callable[..., np.ndarray]) -> np.ndarray:
+    """f over the windows at every `stride`; a window that leaves the image is cut, which NaN padding stands for."""
     rows, cols = a.shape[0] // stride, a.shape[1] // stride
-    return np.array([[f(a[y * stride : y * stride + size, x * stride : x * stride + size]) for x in range(cols)] for y in range(rows)]).reshape(rows, cols, a.shape[2])
+    padded = np.pad(np.asarray(a, float), ((0, size), (0, size), (0, 0)), constant_values=np.nan)
+    return f(np.lib.stride_tricks.sliding_window_view(padded, (size, size), axis=(0, 1))[: rows * stride : stride, : cols * stride : stride], axis=(3, 4))
 
 
 def max_pooling(a: np.ndarray, size: int, stride: int) -> np.ndarray:
     """The largest value in each window, 0 at least."""
-    return _pooled(a, size, stride, lambda w: np.maximum(w.max(axis=(0, 1)), 0))
+    return np.maximum(_pooled(a, size, stride, np.nanmax), 0)
 
 
 def average_pooling(a: np.ndarray, size: int, stride: int) -> np.ndarray:
-    return _pooled(a, size, stride, lambda w: w.mean(axis=(0, 1)))
+    return _pooled(a, size, stride, np.nanmean)
 
 
 def resize(a: np.ndarray, rows: int, cols: int) -> np.ndarray:
@@ -279,40 +281,76 @@ def crop_resize(a: np.ndarray, y: int, x: int, rows: int, cols: int, to_rows: in
     return resize(crop(a, y, x, rows, cols), to_rows, to_cols)
 
 
+def patch_rows(a: np.ndarray, size: int, grid_rows: int | None = None, grid_cols: int | None = None) -> Iterator[np.ndarray]:
+    """The square patches on a grid, a row of them at a time as (patches, size * size * n); without a grid, at every place but the last."""
+    r, c, n = a.shape
+    gr, gc = grid_rows or r - size, grid_cols or c - size
+    if min(gr, gc, r - size + 1, c - size + 1) < 1:
+        return
+    windows = np.lib.stride_tricks.sliding_window_view(a, (size, size), axis=(0, 1))
+    px = ((c - size) / gc * np.arange(gc)).astype(int)
+    for y in ((r - size) / gr * np.arange(gr)).astype(int):
+        yield windows[y, px].transpose(0, 2, 3, 1).reshape(gc, size * size * n)
+
+
 def patches(images: DataFrame, size: int, grid_rows: int | None = None, grid_cols: int | None = None) -> DataFrame:
     """(image_id, row, col, v): the square patches on a grid; without one, at every place but the last."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
             for i, r, c, n, data in zip(batch["image_id"], batch["rows"], batch["cols"], batch["n"], batch["data"]):
-                a = np.asarray(data, float).reshape(r, c, n)
-                gr, gc = grid_rows or r - size, grid_cols or c - size
-                for y in range(gr):
-                    for x in range(gc):
-                        py, px = int((r - size) / gr * y), int((c - size) / gc * x)
-                        out.append((i, y, x, a[py : py + size, px : px + size].ravel()))
-            yield pd.DataFrame(out, columns=["image_id", "row", "col", "v"])
+                for y, found in enumerate(patch_rows(np.asarray(data, float).reshape(r, c, n), size, grid_rows, grid_cols)):
+                    yield pd.DataFrame({"image_id": i, "row": y, "col": np.arange(len(found)), "v": list(found)})
 
     return images.select("image_id", "rows", "cols", "n", "data").mapInPandas(run, "image_id bigint, row int, col int, v array<double>")
 
 
+def convolve(images: DataFrame, encode: Callable[[np.ndarray], np.ndarray], size: int, grid_rows: int | None = None, grid_cols: int | None = None) -> DataFrame:
+    """Feature maps: every patch of `patch_rows` is a pixel, and what `encode` makes of it (an autoencoder's code, say) its channels.
+
+    A row of patches goes through one matrix product, so an image costs the memory of one row of them beside its map. The
+    maps are images and can be pooled or convolved again; an image smaller than a patch has an empty map.
+    """
+
+    def kernel(a: np.ndarray) -> np.ndarray:
+        made = [encode(row) for row in patch_rows(a, size, grid_rows, grid_cols)]
+        return np.stack(made) if made else np.zeros((0, 0, 0))
+
+    return apply(images, kernel)
+
+
+def transposed(images: DataFrame) -> DataFrame:
+    """Rows and columns exchanged, pixels whole."""
+    return apply(images, lambda a: a.transpose(1, 0, 2))
+
+
+def images_of(df: DataFrame, rows: int, cols: int, n: int = 1) -> DataFrame:
+    """The vectors (m, v) of rows * cols * n elements as images."""
+    return df.select(F.col("m").cast("bigint").alias("image_id"), F.lit(rows).alias("rows"), F.lit(cols).alias("cols"), F.lit(n).alias("n"), F.col("v").alias("data"))
+
+
 def components(labels: np.ndarray) -> np.ndarray:
-    """Numbers of the 8-connected areas of equal labels, in the order of their first pixel."""
-    out = np.full(labels.shape, -1)
-    count = 0
-    for y, x in np.ndindex(labels.shape):
-        if out[y, x] < 0:
-            stack, out[y, x] = [(y, x)], count
-            while stack:
-                cy, cx = stack.pop()
-                for ny in range(max(0, cy - 1), min(labels.shape[0], cy + 2)):
-                    for nx in range(max(0, cx - 1), min(labels.shape[1], cx + 2)):
-                        if out[ny, nx] < 0 and labels[ny, nx] == labels[y, x]:
-                            out[ny, nx] = count
-                            stack.append((ny, nx))
-            count += 1
-    return out
+    """Numbers of the 8-connected areas of equal labels, in the order of their first pixel.
+
+    Roots of linked pixels are hooked to the lower one and paths halved until no link joins two roots.
+    """
+    rows, cols = labels.shape
+    flat, place = labels.ravel(), np.arange(labels.size).reshape(labels.shape)
+    links = []
+    for dy, dx in ((0, 1), (1, 0), (1, 1), (1, -1)):
+        a, b = place[: rows - dy, max(0, -dx) : cols - max(0, dx)].ravel(), place[dy:, max(0, dx) : cols + min(0, dx)].ravel()
+        same = flat[a] == flat[b]
+        links.append(np.stack([a[same], b[same]]))
+    u, w = np.concatenate(links, axis=1)
+    root = np.arange(labels.size)
+    while len(u):
+        low, high = np.minimum(root[u], root[w]), np.maximum(root[u], root[w])
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+        open_links = root[u] != root[w]
+        u, w = u[open_links], w[open_links]
+    return np.unique(root, return_inverse=True)[1].reshape(labels.shape)
 
 
 def colour_coherence(a: np.ndarray, centroids: np.ndarray, threshold: int | None = None) -> np.ndarray:

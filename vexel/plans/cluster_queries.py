@@ -144,6 +144,43 @@ def som(spark, sf_dir):
     return spark.createDataFrame([(i // 4, i % 4, u.tolist()) for i, u in enumerate(units)], "row int, col int, v array<double>")
 
 
+def _som_sql(epochs: int, max_epoch: int) -> str:
+    """Units of a 3 x 4 map after one pass in each epoch, from the first twelve vectors."""
+    out = f"with {E}, g as (select count(*) as rows from e), m0 as (select m as cluster, v from e where m < 12)"
+    for s in range(epochs):
+        radius = int(2.4 * np.exp(-s * np.log(2.4) / max_epoch))
+        out += f", p{s} as (select u, k, exp(-d2 / {2.0 * radius * radius}) as w from (select u, k, pow(u // 4 - k // 4, 2) + pow(u % 4 - k % 4, 2) as d2 from range(12) a(u), range(12) b(k)) where d2 < {radius * radius})"
+        out += f", s{s} as (select m, arg_min(cluster, (d2, cluster)) as k from (select a.m, c.cluster, {_D2} as d2 from e a, m{s} c) group by m)"
+        out += f", z{s} as (select k, n, count(*) as c, sum(e.v[n + 1]) as x from s{s} join e using (m), range(64) t(n) group by k, n)"
+        out += f", q{s} as (select u, n, sum(w * x) as x, sum(w * c) as mass from p{s} join z{s} using (k) group by u, n)"
+        out += f", m{s + 1} as (select cluster, list(x order by n) as v from (select cluster, t.n, o.v[t.n + 1] + {40.0 / max_epoch} / rows * (coalesce(q.x, 0) - coalesce(q.mass, 0) * o.v[t.n + 1]) as x from g, m{s} o cross join range(64) t(n) left join q{s} q on q.u = o.cluster and q.n = t.n) group by cluster)"
+    return out + f" select cluster::int as unit, n::int as n, round(v[n + 1], 6) + 0.0 as x from m{epochs}, range(64) t(n)"
+
+
+@query(_som_sql(3, 60))
+def som_epochs(spark, sf_dir):
+    """A map after three epochs over all vectors, in two ranges."""
+    rows = vectors(spark, sf_dir)
+    units = cluster.som_epochs(rows, first_rows(rows, 12), 4, 0, 1, 60, passes=1)
+    units = cluster.som_epochs(rows, units, 4, 1, 3, 60, passes=1)
+    cells = [(u, n, float(x)) for (u, n), x in np.ndenumerate(units)]
+    return spark.createDataFrame(cells, "unit int, n int, x double").select("unit", "n", F.round(F.col("x") + 0.0, 6).alias("x"))
+
+
+@query(f"with {E} select unit::int as unit, true as same, (select count(*) from e) as rows, true as nearer from range(12) t(unit)")
+def som_online(spark, sf_dir):
+    """Two ranges of epochs of micro-batches give the units of one run, from all vectors, and come nearer to them than the start."""
+    rows = vectors(spark, sf_dir)
+    data, start, rate = cluster.som_stream(rows, 4), first_rows(rows, 12), 20.0
+    once = cluster.som_online(data, start, 4, 0, 3, 3, 1, rate)
+    half = cluster.som_online(data, start, 4, 0, 2, 3, 1, rate)
+    twice = cluster.som_online(data, half, 4, 2, 3, 3, 1, rate)
+    nearer = bool(cluster.one_pass(data.rows, once).error.sum() < cluster.one_pass(data.rows, start).error.sum())
+    data.close()
+    told = [(u, bool(np.array_equal(a, b)), data.total, nearer) for u, (a, b) in enumerate(zip(once, twice))]
+    return spark.createDataFrame(told, "unit int, same boolean, rows bigint, nearer boolean")
+
+
 _PLSI_STEPS = 3
 
 

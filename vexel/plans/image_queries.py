@@ -8,9 +8,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import image, keypoint
+from ..functions import vec
+from ..operators import frame, image, keypoint, learn
 from ..streaming import background
 from .registry import QUERIES, SQL, query, table
+from .vector_queries import E, vectors
 
 ROWS, COLS, IMAGES = 24, 32, 4
 P = f"p as (select i as image_id, y as row, x as col, ((y * 7 + x * 13 + i * 5) % 256)::double as b, ((y * 3 + x * 29 + i * 11) % 256)::double as g, ((y * 17 + x * 5 + i * 3) % 256)::double as r from range({IMAGES}) a(i), range({ROWS}) b(y), range({COLS}) c(x)), q as (select *, b * 0.11 + g * 0.59 + r * 0.30 as k from p)"
@@ -133,8 +135,6 @@ def contrast(spark, sf_dir):
 
 @query(f"with {P}, w as (select image_id, y, x_, i, j, ch from (select distinct image_id from p), range({ROWS - 8}) a(y), range({COLS - 8}) b(x_), range(8) c(i), range(8) d(j), range(3) t(ch)) select w.image_id, y as row, x_ as col, round(sum({_three}), 6) as total from w join p on p.image_id = w.image_id and p.row = y + i and p.col = x_ + j group by w.image_id, y, x_")
 def patch_extract(spark, sf_dir):
-    from ..functions import vec
-
     return image.patches(images(spark), 8).select("image_id", F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"), F.round(vec.total("v"), 6).alias("total"))
 
 
@@ -197,6 +197,41 @@ def keypoint_matches(spark, sf_dir):
     return keypoint.matches(got.filter("image_id = 1").select(F.col("id").alias("qid"), F.col("desc").alias("v")), got.filter("image_id = 0").select(F.col("id").alias("m"), F.col("desc").alias("v")))
 
 
+# Vectors of eight by eight pixels.
+def vector_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return image.images_of(vectors(spark, sf_dir), 8, 8)
+
+
+_UNIT = "((y * 3 + x * 5 + j * 7) % 11 - 5) / 10.0"
+
+
+@query(f"with {E}, w as (select y, x, j, {_UNIT} as w from range(3) a(y), range(3) b(x), range(4) c(j)), f as (select m as image_id, py as row, px as col, j as channel, 1 / (1 + exp(-(sum(v[((py + y) * 8 + px + x + 1)::int] * w) + j * 0.1))) as x from e, range(5) p(py), range(5) q(px), w group by m, py, px, j) select image_id, row, col, channel, round(x, 6) + 0.0 as x from f")
+def dae_convolution(spark, sf_dir):
+    """Feature maps of all vectors as images: the codes of their 3 x 3 patches by an encoder of stated weights."""
+    y, x, j = np.mgrid[0:3, 0:3, 0:4]
+    encoder = learn.Dae((((y * 3 + x * 5 + j * 7) % 11 - 5) / 10).reshape(9, 4), np.arange(4) * 0.1, np.zeros(9))
+    return cells(image.convolve(vector_images(spark, sf_dir), encoder.encode, 3))
+
+
+@query(f"with {E}, f as (select m as image_id, r, c, greatest(max(v[((r * 2 + y) * 8 + c * 2 + x + 1)::int]) filter (r * 2 + y < 8 and c * 2 + x < 8), 0) as x from e, range(4) a(r), range(4) b(c), range(3) d(y), range(3) f(x) group by m, r, c) select image_id, r as row, c as col, 0::bigint as channel, round(x, 6) + 0.0 as x from f")
+def vector_pooling(spark, sf_dir):
+    """All vectors as images, pooled by windows of three at every second pixel."""
+    return cells(image.apply(vector_images(spark, sf_dir), lambda a: image.max_pooling(a, 3, 2)))
+
+
+@query(f"with {E} select m as image_id, n % 8 as row, n // 8 as col, 0::bigint as channel, round(v[n + 1], 6) + 0.0 as x from e, range(64) t(n)")
+def image_transpose(spark, sf_dir):
+    return cells(image.transposed(vector_images(spark, sf_dir)))
+
+
+@query(f"with {E} select m % 8 * (1 + (select max(m) from e) // 8) + m // 8 as m, round(list_sum(v), 6) as total from e")
+def grid_transpose(spark, sf_dir):
+    """All vectors as a grid of eight columns, its rows and columns exchanged."""
+    rows = vectors(spark, sf_dir)
+    last = rows.agg(F.max("m")).first()[0]
+    return frame.transpose_grid(rows, 1 + last // 8, 8).select("m", F.round(vec.total("v"), 6).alias("total"))
+
+
 # Background model.
 @query("with f as (select user_id % 8 as camera_id, row_number() over (partition by user_id % 8 order by ts, event_id) - 1 as frame_no, value from events) select camera_id, round(avg(value), 6) as mean, round(avg(sqrt(2) * abs(value - m)), 6) as amplitude, count(*) as frames from (select *, avg(value) over (partition by camera_id) as m from f) group by camera_id")
 def bgseg_train(spark, sf_dir):

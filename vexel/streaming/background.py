@@ -1,7 +1,8 @@
 """Background segmentation of frames (camera_id, frame_no, v): trained in batch, run in batch or as a stream.
 
 The model of a camera is the mean frame and its amplitude. Frames of a camera come in order; a stream drops frames that are
-not newer than its state.
+not newer than its state. Pixels are independent, so frames are cut into tiles and the state is that of a (camera, tile): a
+camera of large frames is spread over tasks, and a task reads its tiles in order, holding one state at a time.
 """
 
 from __future__ import annotations
@@ -77,40 +78,75 @@ def step(mean: np.ndarray, amplitude: np.ndarray, frame: np.ndarray, s: Settings
     return (~inside).astype(int), new, amplitude + np.where(inside, s.background, s.foreground) * (spread - amplitude)
 
 
-def segment(frames: DataFrame, models: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(camera_id, frame_no, mask): each camera's frames in order, its model kept up to date."""
+def cut(df: DataFrame, tile: int | None, *arrays: str) -> DataFrame:
+    """`df` with a row for every `tile` elements of its arrays, numbered by `tile`; None leaves them whole."""
+    if tile is None:
+        return df.withColumn("tile", F.lit(0))
+    last = F.greatest(F.ceil(F.size(arrays[0]) / tile).cast("int") - 1, F.lit(0))
+    rows = df.withColumn("tile", F.explode(F.sequence(F.lit(0), last)))
+    return rows.withColumns({c: F.slice(c, F.col("tile") * tile + 1, F.lit(tile)) for c in arrays})
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(right):
-            return pd.DataFrame({"camera_id": [], "frame_no": [], "mask": []})
-        mean, amplitude = (np.asarray(right[c].iloc[0], float) for c in ("mean", "amplitude"))
-        left, out = left.sort_values("frame_no"), []
-        for frame in left["v"]:
-            mask, mean, amplitude = step(mean, amplitude, np.asarray(frame, float), settings)
-            out.append(mask)
-        return pd.DataFrame({"camera_id": left["camera_id"].to_numpy(), "frame_no": left["frame_no"].to_numpy(), "mask": out})
 
-    own = models.select(F.col("camera_id").alias("id"), "mean", "amplitude")  # another name: both come of the same frames
-    grouped = frames.groupBy("camera_id").cogroup(own.groupBy("id"))
-    return grouped.applyInPandas(run, "camera_id bigint, frame_no bigint, mask array<int>")
+def segment_tiles(frames: DataFrame, models: DataFrame, settings: Settings = Settings(), tile: int = 1024) -> DataFrame:
+    """(camera_id, tile, frame_no, copy, mask): each tile's frames in order, its model kept up to date.
 
-
-def segment_stream(frames: DataFrame, models: dict[int, tuple[list[float], list[float]]], settings: Settings = Settings()) -> DataFrame:
+    Rows are sorted by (camera, tile, frame number) inside their partitions, the model's row first, and folded as they stream
+    by: the length of a history costs no memory. Frames of one number come in the order of a hash of the whole frame, the
+    same for all tiles, and `copy` counts them from 0. Frames without a camera, a number or a vector, and frames of a camera
+    without a model, give no row.
+    """
+    whole = frames.filter("camera_id is not null and frame_no is not null and v is not null")
+    whole = whole.select(F.col("camera_id").cast("bigint").alias("camera_id"), F.lit(1).alias("kind"), F.col("frame_no").cast("bigint").alias("frame_no"), F.xxhash64("v").alias("h"), "v", F.lit(None).cast("array<double>").alias("a"))
+    known = models.filter("camera_id is not null and mean is not null").select(F.col("camera_id").cast("bigint").alias("camera_id"), F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("frame_no"), F.lit(0).cast("bigint").alias("h"), F.col("mean").alias("v"), F.col("amplitude").alias("a"))
+    rows = cut(known, tile, "v", "a").unionByName(cut(whole, tile, "v"))
+    rows = rows.repartition("camera_id", "tile").sortWithinPartitions("camera_id", "tile", "kind", "frame_no", "h")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = mean = amplitude = last = None
+        copy = 0
+        for batch in batches:
+            out = []
+            for camera, part, kind, number, v, a in zip(batch["camera_id"], batch["tile"], batch["kind"], batch["frame_no"], batch["v"], batch["a"]):
+                v = np.asarray(v, float)
+                if kind == 0:
+                    key, mean, amplitude, last = (camera, part), v, np.asarray(a, float), None
+                elif key == (camera, part):
+                    copy, last = copy + 1 if number == last else 0, number
+                    mask, mean, amplitude = step(mean, amplitude, v, settings)
+                    out.append((camera, part, number, copy, mask))
+            yield pd.DataFrame(out, columns=["camera_id", "tile", "frame_no", "copy", "mask"])
+
+    own = rows.select("camera_id", "tile", "kind", "frame_no", "v", "a")
+    return own.mapInPandas(run, "camera_id bigint, tile int, frame_no bigint, copy int, mask array<int>")
+
+
+def segment(frames: DataFrame, models: DataFrame, settings: Settings = Settings(), tile: int = 1024) -> DataFrame:
+    """(camera_id, frame_no, mask): the masks of `segment_tiles`, put together frame by frame."""
+    parts = segment_tiles(frames, models, settings, tile)
+    whole = parts.groupBy("camera_id", "frame_no", "copy").agg(F.array_sort(F.collect_list(F.struct("tile", "mask"))).alias("p"))
+    return whole.select("camera_id", "frame_no", F.flatten(F.transform("p", lambda p: p["mask"])).alias("mask"))
+
+
+def segment_stream(frames: DataFrame, models: dict[int, tuple[list[float], list[float]]], settings: Settings = Settings(), tile: int | None = None) -> DataFrame:
     """`segment` for a stream of frames: the state of a camera is its last frame number, mean and amplitude.
 
-    `models` has the trained (mean, amplitude) of the cameras; one that is not there starts from its first frame.
+    `models` has the trained (mean, amplitude) of the cameras; one that is not there starts from its first frame. With `tile`
+    the state is that of a (camera, tile), and rows are (camera_id, tile, frame_no, mask). A task holds what one
+    micro-batch has of its camera or tile; the source's limits on a micro-batch bound it.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        camera, part = key
         if state.exists:
             last, mean, amplitude = state.get
             mean, amplitude = np.asarray(mean, float), np.asarray(amplitude, float)
         else:
             last, (mean, amplitude) = -1, (None, None)
-            if key[0] in models:
-                mean, amplitude = (np.asarray(x, float) for x in models[key[0]])
+            if camera in models:
+                own = slice(None) if tile is None else slice(part * tile, (part + 1) * tile)
+                mean, amplitude = (np.asarray(x, float)[own] for x in models[camera])
         out = []
-        whole = pd.concat(list(batches)).sort_values("frame_no")
+        whole = pd.concat(list(batches)).sort_values("frame_no", kind="stable")
         for number, frame in zip(whole["frame_no"], whole["v"]):
             frame = np.asarray(frame, float)
             if number <= last:
@@ -119,12 +155,14 @@ def segment_stream(frames: DataFrame, models: dict[int, tuple[list[float], list[
                 mean, amplitude = frame, np.zeros_like(frame)
             mask, mean, amplitude = step(mean, amplitude, frame, settings)
             last = int(number)
-            out.append((key[0], last, mask.tolist()))
+            out.append((camera, part, last, mask.tolist()))
         if mean is not None:
             state.update((last, mean.tolist(), amplitude.tolist()))
-        yield pd.DataFrame(out, columns=["camera_id", "frame_no", "mask"])
+        yield pd.DataFrame(out, columns=["camera_id", "tile", "frame_no", "mask"])
 
-    return frames.groupBy("camera_id").applyInPandasWithState(run, "camera_id bigint, frame_no bigint, mask array<int>", "last bigint, mean array<double>, amplitude array<double>", "append", "NoTimeout")
+    rows = cut(frames.select("camera_id", "frame_no", "v"), tile, "v")
+    out = rows.groupBy("camera_id", "tile").applyInPandasWithState(run, "camera_id bigint, tile int, frame_no bigint, mask array<int>", "last bigint, mean array<double>, amplitude array<double>", "append", "NoTimeout")
+    return out.drop("tile") if tile is None else out
 
 
 def row_stream(spark, path: str) -> DataFrame:
