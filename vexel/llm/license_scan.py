@@ -115,7 +115,7 @@ def _whole() -> list[tuple[str, str, str]]:
     return [(i, c, t) for i, c, text in texts for t in _variants(text)]
 
 
-#: Licence id, category, and a text that states it (whole licence, file header or the usual notice).
+#: Fixed values (with `_whole`, `_GPL_HEADER`, the other texts above and `license_texts/`): licence id, category, and a text that states it (whole licence, file header or the usual notice).
 KNOWN: tuple[tuple[str, str, str], ...] = (
     ("MIT", "permissive", "MIT License\n\n" + _MIT),
     ("MIT", "permissive", _MIT),
@@ -162,11 +162,12 @@ SPELLINGS: tuple[tuple[str, str], ...] = (
     (r"\bfavour", "favor"),
     (r"\bwhilst\b", "while"),
 )
-#: The notice at the head of a text: an optional title line, kept, then up to eight lines that state a copyright or reserve rights; such a
-#: line goes with up to three that follow it where a blank line ends them, as a long notice may be wrapped.
+#: The notice at the head of a text: an optional title line, kept, then all lines that state a copyright or reserve rights; such a
+#: line goes with up to three of usual width that follow it where a blank line ends them, as a long notice may be wrapped. Possessive
+#: repetitions mean the same here as greedy ones and keep the work linear; Java reads any number of lines in a loop.
 HEAD = (
-    r"\A([^\p{L}\p{N}]*[^\n]{0,50}licen[sc]e(?: \(mit\))?[^\p{L}\p{N}\n]*\n)?[^\p{L}\p{N}©(]*"
-    r"(?:(?:copyright\b|\(c\) ?[0-9]|©|all rights reserved)(?:[^\n]*(?:\n[^\n]{1,120}(?:\n[^\n]{1,120}(?:\n[^\n]{1,120})?)?)?\n[^\p{L}\p{N}\n]*\n|[^\n]*(?:\n|$))[^\p{L}\p{N}©(]*){1,8}"
+    r"\A([^\p{L}\p{N}]*+[^\n]*licen[sc]e(?: \(mit\))?[^\p{L}\p{N}\n]*\n)?[^\p{L}\p{N}©(]*"
+    r"(?:(?:copyright\b|\(c\) ?[0-9]|©|all rights reserved)(?:[^\n]*(?:\n[^\n]{1,120}(?:\n[^\n]{1,120}(?:\n[^\n]{1,120})?)?)?\n[^\p{L}\p{N}\n]*\n|[^\n]*(?:\n|$))[^\p{L}\p{N}©(]*)++"
 )
 
 

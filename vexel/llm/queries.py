@@ -157,7 +157,7 @@ from j left join s on j.host = s.host"""
 
 
 def _op10_sql() -> str:
-    low = f"regexp_replace(lower(coalesce(text, '')), {_quoted(HEAD)}, '{chr(92)}1')"
+    low = f"regexp_replace(lower(coalesce(text, '')), {_quoted(HEAD.replace('*+', '*').replace('++', '+'))}, '{chr(92)}1')"
     form = rf"regexp_replace({low}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
     for pattern, kept in SPELLINGS:
         form = f"regexp_replace({form}, {_quoted(pattern)}, {_quoted(kept.replace('$', chr(92)))}, 'g')"
