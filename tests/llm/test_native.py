@@ -299,3 +299,48 @@ def test_licences_in_other_dress(spark):
     assert got[1][0] == "MIT" and got[2] == (None, "Apache-2.0", 1) and got[3] == ("MIT", "MIT", 1)
     assert got[4] == got[5] == got[6] == got[8] == (None, "", 0) and got[7] == (None, "CC-BY-NC-4.0,MIT", 3)
     assert L.license_scan(frame(spark, [])).count() == 0
+
+
+def test_any_number_of_copyright_lines(spark):
+    mit = next(t for n, _, t in L.KNOWN if n == "MIT" and t.startswith("MIT License"))
+    title, body = mit.split("\n", 1)
+    heads = [*range(1, 41), 5000]
+    rows = [(n, title + "\n\n" + "".join(f"Copyright (c) {1980 + k % 40} Person {k}\n" for k in range(n)) + body) for n in heads]
+    wrapped = [(10_000 + n, "".join(f"(c) {2000 + k} A Person of a long name,\nand of a longer one\n\n" for k in range(n)) + body) for n in (1, 12, 300)]
+    odd = [(20_000, "!" * 300_000 + "\nx"), (20_001, "license " * 50_000), (20_002, "a" * 100_000 + " license\nCopyright 2020 X\n" + body)]
+    got = {r["doc_id"]: r["license_id"] for r in L.license_scan(frame(spark, rows + wrapped + odd)).select("doc_id", "license_id").collect()}
+    assert all(got[i] == "MIT" for i, _ in rows + wrapped)
+    assert got[20_000] is None and got[20_001] is None and got[20_002] is None
+
+
+def test_running_sums_of_any_length(spark):
+    from pyspark.sql import functions as F
+
+    from vexel.llm import chat_format as C
+
+    sizes = [[], [3], list(range(128)), list(range(129)), [(k * 37) % 11 for k in range(40_001)]]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "i int, s array<int>")
+    for r in rows.select("i", C.running(F.col("s"), 4).alias("few"), C.running(F.col("s")).alias("many")).collect():
+        want, total = [], 0
+        for x in sizes[r["i"]]:
+            want.append(total)
+            total += x
+        assert r["few"] == want and r["many"] == want
+
+
+def test_chat_of_many_turns_takes_time_in_proportion(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from vexel.llm import chat_format as C
+
+    spent = {}
+    for count in (1_000, 20_000, 80_000):
+        turns = spark.range(count).select(F.lit(1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("says "), F.col("id").cast("string")).alias("text"))
+        began = time.time()
+        out = C.chat_format(turns).select(C.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"), F.size(C.read_turns(F.col("formatted"))).alias("n")).first()
+        spent[count] = time.time() - began
+        assert out["n"] == count and out["loss"] == "".join(f"says {k}" for k in range(1, count, 2))
+    print(spent)
+    assert spent[80_000] < 8 * max(spent[20_000], 1.0)

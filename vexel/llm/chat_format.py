@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -43,6 +44,35 @@ def unescape(col: Column, template: Template) -> Column:
     return F.regexp_replace(col, rf"([<\[])~(~*)({template.rests})", "$1$2$3")
 
 
+def _running(sizes: Column) -> Column:
+    """What all earlier elements come to, for each element. Every step copies the array, so it is for short ones."""
+    zero = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("before"))
+    step = lambda acc, n: F.struct((acc["sum"] + n).alias("sum"), F.concat(acc["before"], F.array(acc["sum"])).alias("before"))
+    return F.aggregate(sizes, zero, step, lambda acc: acc["before"])
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with `value` worked out once, however often a lambda in `use` refers to it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(sizes: Column, step: int = 128) -> Column:
+    """`_running` of an array of any length: inside pieces of `step` elements, and over the sums of pieces and of `step` pieces."""
+
+    def level(deeper: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        def sums(all_sizes: Column) -> Column:
+            cuts = F.sequence(F.lit(0), F.floor((F.greatest(F.size(all_sizes), F.lit(1)) - 1) / step).cast("int"))
+            return bound(F.transform(cuts, lambda k: F.slice(all_sizes, k * step + 1, F.lit(step))), joined)
+
+        def joined(pieces: Column) -> Column:
+            before = deeper(F.transform(pieces, lambda p: F.aggregate(p, F.lit(0), lambda x, y: x + y)))
+            return F.flatten(F.zip_with(pieces, before, lambda p, first: F.transform(_running(p), lambda x: x + first)))
+
+        return lambda x: bound(x, sums)
+
+    return level(level(_running))(sizes)
+
+
 def chat_format(turns: DataFrame, template: Template = Template(), conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per conversation: conv_id, formatted, loss_spans (array of start, length in code points, from 0).
 
@@ -79,12 +109,6 @@ def chat_format(turns: DataFrame, template: Template = Template(), conv_col: str
 
     whole = F.transform("blocks", lambda b: F.concat(opened(b["role"]), F.array_join(b["parts"], template.more), mark(b["role"], 1, F.lit(template.other_close))))
 
-    def running(sizes: Column) -> Column:
-        """What all earlier elements come to, for each element."""
-        zero = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("before"))
-        step = lambda acc, n: F.struct((acc["sum"] + n).alias("sum"), F.concat(acc["before"], F.array(acc["sum"])).alias("before"))
-        return F.aggregate(sizes, zero, step, lambda acc: acc["before"])
-
     def spans_of(b: Column, at: Column) -> Column:
         first = at + F.length(opened(b["role"]))
         places = running(F.transform(b["parts"], lambda p: F.length(p) + len(template.more)))
@@ -125,12 +149,10 @@ def read_loss(formatted: Column, spans: Column, template: Template = Template(),
     from the cuts that it touches.
     """
     cuts = F.transform(F.sequence(F.lit(0), F.floor(F.length(formatted) / step).cast("int")), lambda k: F.substr(formatted, k * step + 1, F.lit(step)))
-    zero = F.struct(cuts.alias("cuts"), F.array().cast("array<string>").alias("out"))
 
-    def read(acc: Column, s: Column) -> Column:
+    def read(cuts: Column, s: Column) -> Column:
         first, last = F.floor(s["start"] / step).cast("int"), F.floor((s["start"] + s["length"]) / step).cast("int")
-        near = F.array_join(F.slice(acc["cuts"], first + 1, last - first + 1), "")
-        text = F.substr(near, (s["start"] % step + 1).cast("int"), s["length"].cast("int"))
-        return F.struct(acc["cuts"].alias("cuts"), F.concat(acc["out"], F.array(unescape(text, template))).alias("out"))
+        near = F.array_join(F.slice(cuts, first + 1, last - first + 1), "")
+        return unescape(F.substr(near, (s["start"] % step + 1).cast("int"), s["length"].cast("int")), template)
 
-    return F.aggregate(spans, zero, read, lambda acc: F.array_join(acc["out"], ""))
+    return bound(cuts, lambda held: F.array_join(F.transform(spans, lambda s: read(held, s)), ""))
