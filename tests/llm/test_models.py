@@ -396,6 +396,25 @@ def test_packing_ids_and_places(spark, words):
     assert B.pack_documents(frame(spark, []), VOCABULARY).count() == 0
 
 
+def test_packed_sequences_hold_every_id(spark, words):
+    texts = [*words[:40], *ODD, "word " * 700]
+    library = Tokenizer.from_file(VOCABULARY)
+    docs = frame(spark, [*enumerate(texts), (3, texts[3]), (None, "no number")], "ids offset length")
+    got = B.packed_sequences(docs, VOCABULARY, 64).collect()
+    want = sorted(str([*library.encode(t or "", add_special_tokens=False).ids, 0]) for t in [*texts, texts[3], "no number"])
+    parts: dict = {}
+    for r in got:
+        assert len(r["ids"]) <= 64 and sum(p["length"] for p in r["pieces"]) == len(r["ids"])
+        assert [p["offset"] for p in r["pieces"]] == [sum(q["length"] for q in r["pieces"][:k]) for k in range(len(r["pieces"]))]
+        for p in r["pieces"]:
+            parts.setdefault((p["doc_id"], p["piece"]), []).append(r["ids"][p["offset"] : p["offset"] + p["length"]])
+    assert len(parts[3, 0]) == 2 and parts[3, 0][0] == parts[3, 0][1]
+    made = [sum((parts[i, k][copy] for k in range(99) if (i, k) in parts), []) for i in [*range(len(texts)), None] for copy in range(2 if i == 3 else 1)]
+    assert sorted(map(str, made)) == want
+    assert len({r["sequence_id"] for r in got}) == len(got)
+    assert B.packed_sequences(frame(spark, []), VOCABULARY).count() == 0
+
+
 def test_words_are_encoded_once_and_as_the_library_does():
     class Counted(B.Recent):
         asked = 0

@@ -245,3 +245,21 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 2048, id_co
     out = pack(pieces, size)
     out.scratch = [pieces]
     return out
+
+
+def packed_sequences(docs: DataFrame, tokenizer_path: str, size: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The training rows themselves: sequence_id, ids (array of at most `size` token ids), pieces (array of doc_id, piece, offset, length).
+
+    The places are those of `pack_documents`. Only lengths and digests go through best-fit; token ids stay in the stored
+    pieces and meet their places by the number of their row, each once, and a sequence's pieces are gathered by sequence_id,
+    which `size` bounds. `scratch` of the result has the tables that it reads.
+    """
+    pieces = token_pieces(docs, tokenizer_path, size, with_ids=True, id_col=id_col, text_col=text_col)
+    pieces = stored(pieces.withColumn("_number", F.monotonically_increasing_id()), "pieces-ids")
+    places = pack(pieces.drop("ids"), size).select("_number", "sequence_id", "offset")
+    there = pieces.select("_number", "doc_id", "piece", "length", "ids").join(places, "_number")
+    whole = there.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "_number", "doc_id", "piece", "length", "ids"))).alias("p"))
+    pieces_of = F.transform("p", lambda p: F.struct(p["doc_id"].alias("doc_id"), p["piece"].alias("piece"), p["offset"].alias("offset"), p["length"].alias("length")))
+    out = whole.select("sequence_id", F.flatten(F.transform("p", lambda p: p["ids"])).alias("ids"), pieces_of.alias("pieces"))
+    out.scratch = [pieces]
+    return out
