@@ -153,39 +153,60 @@ class _Confirm:
         return stored(components(found), "components")
 
 
+def _references(rows: DataFrame, mixed: DataFrame) -> DataFrame:
+    """(key, rows, ref): the node whose set the nodes of a bucket are described by, for each bucket in `mixed` (key, rows).
+
+    A node's home is the pivot that most of its buckets have, the smallest of several; a bucket takes the home that most of its
+    nodes have. So the nodes of a family meet at one reference, where each of their many buckets has a pivot of its own.
+    """
+    votes = rows.groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("votes"))
+    home = votes.groupBy("node").agg(F.min_by("pivot", F.struct(-F.col("votes"), "pivot")).alias("home"))
+    votes = rows.select("key", "node").join(home, "node").groupBy("key", "home").agg(F.count(F.lit(1)).alias("votes"))
+    return mixed.join(votes.groupBy("key").agg(F.min_by("home", F.struct(-F.col("votes"), "home")).alias("ref")), "key")
+
+
 def _candidates(spokes: DataFrame, confirm: _Confirm) -> DataFrame:
-    """Pairs (a, b) of nodes of one pivot and different components that can be linked, as their gaps tell.
-
-    The gap of a node is the symmetric difference of its set and its pivot's; that of two nodes is the one of their
-    gaps. Linked sets differ in at most T = n * (1 - t) / t elements, so of a gap of more than T elements any T + 1
-    hold one that the other's gap has too: its T + 1 rarest do, and are compared with the other's T + 1 rarest. Nodes with
-    smaller gaps have all of their gap and one mark in common. Elements that no other gap of the pivot has lead nowhere.
-    Gaps of g and h elements must share (g + h - most that linked sets of these sizes differ in) / 2; from the first
-    shared one on, at places i and j, they can share 1 + min(g - i, h - j). Pairs that can't reach it are not made, and
-    pairs without a shared element only where the gaps together are small enough.
+    """Pairs (a, b) of nodes of one reference and different components that can be linked, as their gaps tell.
+
+    The gap of a node is the symmetric difference of its set and its reference's; that of two nodes is the one of their
+    gaps. A node is linked with its reference if its gap is small enough: this is known at once, and goes to `confirm.links`.
+    Linked sets differ in at most T = n * (1 - t) / t elements, so of a gap of more than T elements any T + 1
+    hold one that the other's gap has too: its T + 1 rarest do, and are compared with the other's T + 1 rarest. Gaps of g
+    and h elements must share (g + h - D) / 2, if linked sets of these sizes differ in at most D; from the first
+    shared one on, at places i and j, they can share 1 + min(g - i, h - j). Pairs that can't reach it are not made.
+
+    Linked nodes whose gaps share nothing need no pair: with k = (1 - t) / (1 + t), sizes n and m and the reference's r, they have
+    g + h <= (n + m) * k; if h > (m + r) * k then (n - r) * k > g, but n - r <= g. So both are linked with the
+    reference. Elements that one gap alone has come first in the order of rarity and lead nowhere, so only their number counts.
     """
+    numerator, denominator = confirm.numerator, confirm.denominator
     number = 2 * spokes.count()
     nodes = spokes.select("node").unionByName(spokes.select(F.col("pivot").alias("node")))
     sets = confirm.sets(nodes, number)
     fps = confirm.marks.select("node", "fp")
-    own = fps.join(sets.select(F.col("doc_id").alias("node"), "fp", "shingles"), ["node", "fp"]).select("node", "shingles")
-    wide = spokes.join(own, "node").join(own.select(F.col("node").alias("pivot"), F.col("shingles").alias("base")), "pivot")
+    own = fps.join(sets.select(F.col("doc_id").alias("node"), "fp", "shingles"), ["node", "fp"])
+    bases = own.join(spokes.select(F.col("pivot").alias("node")).distinct(), "node", "left_semi").groupBy(F.col("node").alias("pivot")).agg(F.min_by("shingles", "fp").alias("base"))
+    wide = spokes.select("pivot", "node", "component").distinct().join(own.select("node", "shingles"), "node").join(bases, "pivot")
     gap = F.concat(F.array_except("shingles", "base"), F.array_except("base", "shingles"))
-    most = F.floor(F.col("n") * (confirm.denominator - confirm.numerator) / confirm.numerator)
-    gaps = stored(wide.select("pivot", "node", "n", "component", most.alias("most"), gap.alias("gap")), "gaps")
+    wide = wide.select("pivot", "node", "component", F.size("shingles").cast("long").alias("n"), F.size("base").cast("long").alias("base_n"), gap.alias("gap"))
+    most = F.floor(F.col("n") * (denominator - numerator) / numerator)
+    size = F.size("gap").cast("long")
+    near = size * (denominator + numerator) <= (F.col("n") + F.col("base_n")) * (denominator - numerator)
+    gaps = stored(wide.withColumn("size", size).withColumn("near", near).withColumn("most", most).withColumn("gap_no", F.monotonically_increasing_id()), "gaps")
     discard(sets)
-    cells = gaps.select("pivot", "node", "n", "component", "most", F.size("gap").cast("long").alias("size"), F.explode("gap").alias("token"))
-    counts = cells.groupBy("pivot", "token").agg(F.count(F.lit(1)).alias("found"))
-    place = F.row_number().over(Window.partitionBy("pivot", "node").orderBy("found", "token"))
-    rare = cells.join(counts, ["pivot", "token"]).withColumn("place", place).filter((F.col("place") <= F.col("most") + 1) & (F.col("found") > 1))
-    near = gaps.filter(F.size("gap") <= F.col("most")).select("pivot", F.lit(None).cast("bigint").alias("token"), "node", "n", "component", F.size("gap").cast("long").alias("size"), F.lit(None).cast("int").alias("place"))
-    kept = stored(rare.select("pivot", "token", "node", "n", "component", "size", "place").unionByName(near), "rarest")
-    x, y = (kept.select("pivot", "token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "component", "size", "place"))) for s in "ab")
-    shared = F.coalesce(F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) + 1, F.lit(0))
-    differ = (F.col("size_a") + F.col("size_b") - shared * 2) * (confirm.denominator + confirm.numerator)
-    enough = differ <= (F.col("n_a") + F.col("n_b")) * (confirm.denominator - confirm.numerator)
-    allowed = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & enough
-    met = x.alias("x").join(y.alias("y"), (F.col("x.pivot") == F.col("y.pivot")) & F.col("x.token").eqNullSafe(F.col("y.token")) & allowed)
+    confirm.links.append(stored(gaps.filter(F.col("near") & (F.col("pivot") != F.col("node"))).select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")), "links"))
+    cells = gaps.select("pivot", "node", "n", "component", "most", "size", "near", "gap_no", F.explode("gap").alias("token"))
+    shared = cells.groupBy("pivot", "token").agg(F.count(F.lit(1)).alias("found")).filter("found > 1")
+    of_node = Window.partitionBy("gap_no")
+    place = F.col("size") - F.count(F.lit(1)).over(of_node) + F.row_number().over(of_node.orderBy("found", "token"))
+    rare = cells.join(shared, ["pivot", "token"]).withColumn("place", place).filter(F.col("place") <= F.col("most") + 1)
+    kept = stored(rare.select("pivot", "token", "node", "n", "component", "size", "near", "place"), "rarest")
+    x, y = (kept.select("pivot", "token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "component", "size", "near", "place"))) for s in "ab")
+    most_shared = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) + 1
+    differ = (F.col("size_a") + F.col("size_b") - most_shared * 2) * (denominator + numerator)
+    enough = differ <= (F.col("n_a") + F.col("n_b")) * (denominator - numerator)
+    apart = (F.col("component_a") != F.col("component_b")) & ~(F.col("near_a") & F.col("near_b"))
+    met = x.join(y, ["pivot", "token"]).filter((F.col("node_a") < F.col("node_b")) & apart & enough)
     out = stored(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "candidates")
     discard(gaps, kept)
     return out
@@ -213,9 +234,9 @@ def minhash_dedup(docs: DataFrame, numerator: int = 85, denominator: int = 100,
     Texts of equal sets are one node from the start, so copies of any number cost one row each. Nodes that share a band
     of MinHash samples form a bucket. First all nodes of a bucket are held against its pivot, the smallest one: as many
     pairs as rows. Buckets whose nodes are then of one component are done. In the others, nodes of different
-    components are paired where the rarest elements of their gaps to the pivot agree (`_candidates`), which loses no
-    link and makes few pairs even of thousands of texts that all resemble the pivot but not each other. Sizes and odd
-    sketches thin out pairs, full sets decide. Nothing is capped and no bucket is gathered in one task.
+    components are paired where the rarest elements of their gaps to a common reference agree (`_references`, `_candidates`),
+    which loses no link and makes few pairs even of thousands of texts that all resemble the reference but not each other.
+    Sizes and odd sketches thin out pairs, full sets decide. Nothing is capped and no bucket is gathered in one task.
 
     A doc_id that occurs with two texts counts as two documents of the same id. A null id has component null and is
     not kept. Repeated rows and ties need no rule; an empty table gives an empty one.
@@ -239,14 +260,16 @@ def minhash_dedup(docs: DataFrame, numerator: int = 85, denominator: int = 100,
     part = part.withColumn("component", F.col("node") if linked is None else F.coalesce("component", "node"))
     mixed = part.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("rows")).filter("low <> high and rows > 2").select("key", "rows")
     mixed = stored(mixed, "mixed")
-    spokes = stored(_by_key(part, mixed, total, "left_semi").filter("node <> pivot").select("pivot", "node", "n", "component").distinct(), "spokes")
+    inside = stored(_by_key(part, mixed, total, "left_semi"), "inside")
+    refs = stored(_references(inside, mixed), "references")
+    spokes = _by_key(inside.filter("node <> pivot").drop("pivot"), refs, total).select(F.col("ref").alias("pivot"), "node", "n", "component")
+    spokes = stored(spokes.distinct(), "spokes")
     if not spokes.isEmpty():
         found = _candidates(spokes, confirm)
-        if not found.isEmpty():
-            confirm.pairs(found)
-            linked = confirm.components()
+        confirm.pairs(found)
+        linked = confirm.components()
         discard(found)
-    discard(members, mixed, spokes)
+    discard(members, mixed, inside, refs, spokes)
     rows = sigs.select("doc_id", "n_shingles", "fp").join(nodes.select("fp", "node"), "fp", "left")
     if linked is None:
         rows = rows.withColumn("component", F.lit(None).cast(rows.schema["node"].dataType))
