@@ -23,6 +23,8 @@ MARGIN = 0.18
 
 #: Band keys that more than one in so many rows have are not shuffled; there are fewer of them than this.
 HOT = 10_000
+#: Nodes of one reference beyond so many are dealt over parts, each of which meets its own copy of the reference's set.
+SHARE = 256
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _TIMES = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -165,6 +167,19 @@ def _references(rows: DataFrame, mixed: DataFrame) -> DataFrame:
     return mixed.join(votes.groupBy("key").agg(F.min_by("home", F.struct(-F.col("votes"), "home")).alias("ref")), "key")
 
 
+def _with_bases(spokes: DataFrame, bases: DataFrame) -> DataFrame:
+    """`spokes` joined by pivot with `bases` (pivot, base), where one pivot may have any share of all rows.
+
+    Pivots of many nodes are fewer than HOT, so their numbers of parts are broadcast; a base has as many rows as its pivot has parts."""
+    counts = spokes.groupBy("pivot").agg(F.count(F.lit(1)).alias("rows"))
+    share = max(SHARE, spokes.count() // HOT)
+    parts = F.broadcast(counts.filter(F.col("rows") > share).select("pivot", F.ceil(F.col("rows") / share).alias("parts")))
+    whole = F.coalesce("parts", F.lit(1).cast("bigint"))
+    left = spokes.join(parts, "pivot", "left").withColumn("part", F.pmod(F.xxhash64("node"), whole)).drop("parts")
+    right = bases.join(parts, "pivot", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), whole - 1))).drop("parts")
+    return left.join(right, ["pivot", "part"]).drop("part")
+
+
 def _candidates(spokes: DataFrame, confirm: _Confirm) -> DataFrame:
     """Pairs (a, b) of nodes of one reference and different components that can be linked, as their gaps tell.
 
@@ -186,7 +201,7 @@ def _candidates(spokes: DataFrame, confirm: _Confirm) -> DataFrame:
     fps = confirm.marks.select("node", "fp")
     own = fps.join(sets.select(F.col("doc_id").alias("node"), "fp", "shingles"), ["node", "fp"])
     bases = own.join(spokes.select(F.col("pivot").alias("node")).distinct(), "node", "left_semi").groupBy(F.col("node").alias("pivot")).agg(F.min_by("shingles", "fp").alias("base"))
-    wide = spokes.select("pivot", "node", "component").distinct().join(own.select("node", "shingles"), "node").join(bases, "pivot")
+    wide = _with_bases(spokes.select("pivot", "node", "component").distinct(), bases).join(own.select("node", "shingles"), "node")
     gap = F.concat(F.array_except("shingles", "base"), F.array_except("base", "shingles"))
     wide = wide.select("pivot", "node", "component", F.size("shingles").cast("long").alias("n"), F.size("base").cast("long").alias("base_n"), gap.alias("gap"))
     most = F.floor(F.col("n") * (denominator - numerator) / numerator)
