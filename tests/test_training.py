@@ -8,7 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.harness import compare
 from vexel.operators import agg, cluster, gradient, knn, learn, tree, vector_index
+from vexel.plans import catalog, learn_queries
 from vexel.plans.cluster_queries import blobs
 
 
@@ -232,3 +234,18 @@ def test_scans_do_not_follow_queries(spark):
     few = jobs_of(spark, "few", lambda: vector_index.search(index, df.limit(3).select(F.col("m").alias("qid"), "v"), 3, 2).collect())
     many = jobs_of(spark, "many", lambda: vector_index.search(index, df.select(F.col("m").alias("qid"), "v"), 3, 2).collect())
     assert abs(few - many) <= 1  # `limit` may take one job of its own
+
+
+def test_probabilities_of_every_document_with_its_class(spark, tmp_path):
+    told = [(i, "der hund" if i % 2 else "the cat sat", "de" if i % 2 else "en") for i in range(40)]
+    odd = [(40, None, "en"), (41, "", "de"), (42, "THE CAT SAT", None), (43, "Ж€ \U0001f600", None)]
+    spark.createDataFrame(told + odd, "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows, bad = compare(spark, "lr_probability", catalog.QUERIES["lr_probability"], catalog.SQL["lr_probability"], str(tmp_path))
+    assert rows == 44 and not bad, bad[:3]
+    got = {r["m"]: r for r in catalog.QUERIES["lr_probability"](spark, str(tmp_path)).collect()}
+    assert got[42]["label"] == 1 and got[42]["p"] == got[0]["p"] > got[40]["p"] == 0.25
+
+
+def test_shares_of_letters_are_those_of_single_counts():
+    for text in ("", "aab çßß", "Ж?\U0001f600zz", "x" * 300):
+        assert learn_queries.shares(text).tolist() == [np.sqrt(100.0 * text.count(c) / max(len(text), 1)) for c in learn_queries.LETTERS]

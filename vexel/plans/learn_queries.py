@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vec
@@ -21,14 +21,33 @@ LETTERS = "abcdefghijklmnopqrstuvwxyzàçèéêíñóöüäß"
 _LANGS = "l as (select doc_id as m, lang, dense_rank() over (order by lang) - 1 as label from documents where lang is not null and text is not null and text <> '')"
 
 
-def letters(spark, sf_dir) -> DataFrame:
-    """(m, v, label, lang): ten times the root of each letter's share of a document's text, and the number of its language by name."""
-    docs = table(spark, sf_dir, "documents").filter("lang is not null and text is not null and text <> ''")
-    text = F.lower("text")
-    share = [F.sqrt(F.lit(100.0) * (F.length("t") - F.length(F.translate("t", c, ""))) / F.length("t")) for c in LETTERS]
-    langs = docs.select("lang").distinct().select("lang", (F.row_number().over(W.orderBy("lang")) - 1).alias("label"))  # a row for each language
-    rows = docs.select(F.col("doc_id").alias("m"), "lang", text.alias("t")).join(F.broadcast(langs), "lang")
-    return stored(rows.select("m", F.array(*share).alias("v"), "label", "lang"), "letters")
+#: Where a letter is in a count of the 256 characters of Latin-1.
+_CODES = np.frombuffer(LETTERS.encode("latin-1"), np.uint8)
+
+
+def shares(text: str) -> np.ndarray:
+    """Ten times the root of each letter's share of a text, from one count of its characters; zeros for an empty text."""
+    codes = np.frombuffer(text.encode("latin-1", "replace"), np.uint8)  # other characters count as "?", which is no letter
+    return np.sqrt(100.0 * np.bincount(codes, minlength=256)[_CODES] / max(len(codes), 1))
+
+
+def letters(spark, sf_dir, every: bool = False) -> DataFrame:
+    """(m, v, label, lang): ten times the root of each letter's share of a document's text, and the number of its language by name.
+
+    Documents with a language and a text; with `every` also the others, whose label and lang are null (a null text counts as empty).
+    """
+    docs = table(spark, sf_dir, "documents")
+    taught = F.expr("lang is not null and text is not null and text <> ''")
+
+    @F.pandas_udf("array<double>")
+    def counted(text: pd.Series) -> pd.Series:
+        return pd.Series([shares(t) for t in text], dtype=object)
+
+    rows = (docs if every else docs.filter(taught)).select(F.col("doc_id").alias("m"), F.when(taught, F.col("lang")).alias("lang"), F.lower(F.coalesce("text", F.lit(""))).alias("t"))
+    rows = stored(rows.select("m", counted("t").alias("v"), "lang"), "letters")
+    langs = [r["lang"] for r in rows.filter("lang is not null").select("lang").distinct().orderBy("lang").collect()]  # a row for each language
+    label = F.when(F.col("lang").isNotNull(), F.array_position(F.array(*(F.lit(x) for x in langs)), F.col("lang")) - 1) if langs else F.lit(None)
+    return rows.select("m", "v", label.cast("int").alias("label"), "lang")
 
 
 def _held_out(rows: DataFrame, train) -> DataFrame:
@@ -78,12 +97,33 @@ def lr(spark, sf_dir):
     return _held_out(letters(spark, sf_dir), lambda rows: learn.softmax_regression(rows, _K))
 
 
-@query(f"with {_LANGS} select m, 1.0 as total, true as likeliest from l")
+def _probability_sql(epochs: int) -> str:
+    """The regression itself: passes over all documents of a language from zero weights, then the likeliest class of every document."""
+    out = f"""with {_LANGS}, d as (select doc_id as m, lower(coalesce(text, '')) as t from documents),
+x as materialized (select m, c.n, case when length(t) = 0 then 0 else sqrt(100.0 * (length(t) - length(replace(t, c.x, ''))) / length(t)) end as x
+  from d, (select unnest(range({len(LETTERS)})) as n, unnest(string_split('{LETTERS}', '')) as x) c),
+f as materialized (select count(distinct m) as m, sum(x * x) as s from x join l using (m)), b as materialized (
+  select label, pow(ln(3 + max(n) over ()) / ln(3 + n), 2) as bal from (select label, count(*) as n from l group by label)),
+w0 as (select c, n, 0.0::double as w, 0.0::double as u from range({_K}) t(c), range({len(LETTERS)}) s(n)), r0 as (select 'inf'::double as error, 1 as slow, false as worse)"""
+    for i in range(epochs):
+        out += f""",
+p{i} as materialized (select m, c, exp(s) / sum(exp(s)) over (partition by m) as p from (select m, c, sum(x * w) as s from x join w{i} using (n) group by m, c)),
+o{i} as materialized (select m, label, p as own from p{i} join l using (m) where c = label),
+r{i + 1} as materialized (select error, slow + (error > old)::int as slow, error > old as worse from (select sum(-ln(greatest(own, 1e-12))) / count(*) as error from o{i}), (select error as old, slow from r{i})),
+g{i} as (select c, n, sum((p - (c = label)::int) * bal * x) as g from p{i} join o{i} using (m) join b using (label) join x using (m) where own < 0.99 group by c, n),
+w{i + 1} as materialized (select c, n, (w + v) * (1 - 0.5 * 1e-4) as w, v as u from (
+  select c, n, w, 0.9 * case when worse then 0 else u end - 0.5 / (f.s / f.m) / slow * coalesce(g, 0) / f.m as v from w{i} left join g{i} using (c, n), f, r{i + 1}))"""
+    return out + f""", p as (select m, c, exp(s) / sum(exp(s)) over (partition by m) as p from (select m, c, sum(x * w) as s from x join w{epochs} using (n) group by m, c))
+select m, arg_min(c, (-p, c))::int as label, round(max(p), 6) as p, max(p) > 0.5 as sure, round(sum(p), 6) as total, max(p) >= 1.0 / {_K} as likeliest from p group by m"""
+
+
+@query(_probability_sql(10))
 def lr_probability(spark, sf_dir):
-    """Probabilities add up to one, and the likeliest class has at least an equal share."""
-    rows = letters(spark, sf_dir)
-    model = learn.softmax_regression(rows, _K, learn.SoftmaxParams(10, penalty="l2", strength=1e-4))
-    return learn.transform(rows, model.probabilities, "p").select("m", F.round(vec.total("p"), 6).alias("total"), (vec.maximum("p") >= 1 / _K).alias("likeliest"))
+    """Of every document the likeliest class, its probability, and whether that is more than a half; probabilities add up to one, and the likeliest class has at least an equal share."""
+    rows = letters(spark, sf_dir, every=True)
+    model = learn.softmax_regression(rows.filter("label is not null"), _K, learn.SoftmaxParams(10, penalty="l2", strength=1e-4))
+    told = learn.transform(rows, model.probabilities, "p").select("m", "p", vec.maximum("p").alias("most"))
+    return told.select("m", vec.argmax("p").alias("label"), F.round("most", 6).alias("p"), (F.col("most") > 0.5).alias("sure"), F.round(vec.total("p"), 6).alias("total"), (F.col("most") >= 1 / _K).alias("likeliest"))
 
 
 def _softmax_sql(epochs: int) -> str:
