@@ -356,3 +356,43 @@ def test_strings_of_each_key(spark):
     rows = spark.createDataFrame([(0, 4, [1.0, -2.5]), (0, 2, [3.0, 0.0]), (1, 9, [7.0])], "k int, m bigint, v array<double>")
     back = matrix.deserialize(matrix.serialize(rows, "k"), keys=("k",)).orderBy("k", "m").collect()
     assert [(r["k"], r["m"], r["v"]) for r in back] == [(0, 0, [3.0, 0.0]), (0, 1, [1.0, -2.5]), (1, 0, [7.0])]
+
+
+def _largest_difference(rows, q):
+    assert len(rows) <= knn.TILE_ROWS
+    return np.abs(rows - q).max(axis=1)
+
+
+@pytest.mark.parametrize("kind", ["euclidean2", "euclidean", "cosine", "histogram_intersection", _largest_difference])
+def test_knn_in_tiles_is_the_brute_force(spark, kind):
+    rng = np.random.default_rng(4)
+    data = rng.integers(0, 5, (2500, 4)).astype(float)  # with many ties
+    data[::50] += rng.random((50, 4))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(data)], "m bigint, v array<double>").repartition(2)
+    got = {(r["qid"], r["rank"]): r["m"] for r in knn.knn(df, df.filter("m % 7 = 0").select(F.col("m").alias("qid"), "v"), 4, kind if callable(kind) else str(kind), exclude_self=True).collect()}
+    for i in range(0, 2500, 7):
+        if callable(kind):
+            d = np.abs(data - data[i]).max(axis=1)
+        else:
+            one = np.repeat(data[i : i + 1], len(data), axis=0)
+            d = knn._distances(kind, data, data[i : i + 1])[0] if kind == "histogram_intersection" else knn._paired(kind, data, one)
+            assert np.allclose(d, knn._distances(kind, data, data[i : i + 1])[0])
+        d[i] = np.inf
+        assert [got[i, r] for r in (1, 2, 3, 4)] == np.argsort(d, kind="stable")[:4].tolist()
+
+
+def test_knn_memory_of_a_task_does_not_grow_with_the_queries():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    rows, queries = rng.random((knn.TILE_ROWS, 16)), rng.random((8 * knn.TILE_QUERIES, 16))
+    best_m, best_d = np.full((len(queries), 5), knn._NONE), np.full((len(queries), 5), np.nan)
+    peaks = []
+    for count in (1, 8):
+        tracemalloc.start()
+        for at in range(0, count * knn.TILE_QUERIES, knn.TILE_QUERIES):
+            own = slice(at, at + knn.TILE_QUERIES)
+            knn._nearer("euclidean2", 5, np.arange(len(rows)), rows, queries[own], None, best_m[own], best_d[own])
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.2 * peaks[0] and (best_m != knn._NONE).all()
