@@ -249,3 +249,21 @@ def test_probabilities_of_every_document_with_its_class(spark, tmp_path):
 def test_shares_of_letters_are_those_of_single_counts():
     for text in ("", "aab çßß", "Ж?\U0001f600zz", "x" * 300):
         assert learn_queries.shares(text).tolist() == [np.sqrt(100.0 * text.count(c) / max(len(text), 1)) for c in learn_queries.LETTERS]
+
+
+def test_rounds_between_clusters_are_those_over_all_rows(spark, monkeypatch):
+    x = np.random.default_rng(3).normal(size=(1500, 6))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "m bigint, v array<double>").coalesce(2)
+    passes, real = [], cluster.one_pass
+    monkeypatch.setattr(cluster, "one_pass", lambda *a: passes.append(1) or real(*a))
+    got = cluster.lloyd(df, x[:5])
+    means, own, epochs = x[:5], None, 0
+    while True:
+        at = cluster.squared(x, means).argmin(axis=1)
+        epochs += 1
+        if own is not None and (at == own).all():
+            break
+        own, means = at, np.array([x[at == j].mean(axis=0) for j in range(5)])
+    assert got.epochs == epochs > 1.5 * len(passes) and got.counts.tolist() == np.bincount(at).tolist() and np.abs(got.means - means).max() < 1e-9
+    part = cluster.lloyd(df, x[:5], epochs - 3)
+    assert part.epochs == epochs - 3 and part.counts.sum() == 1500

@@ -50,6 +50,13 @@ class Sums:
     error: np.ndarray
     utility: np.ndarray
     moved: int
+    gaps: np.ndarray  # rows by how much farther their second-best mean is than their best: place i is from 2 ** ((i - 160) / 4) on
+
+
+def _gap(d: np.ndarray) -> np.ndarray:
+    """How much farther the second-best mean is than the best, of squared distances (rows, means >= 2)."""
+    two = np.sqrt(np.partition(d, 1, axis=1)[:, :2])
+    return two[:, 1] - two[:, 0]
 
 
 def one_pass(df: DataFrame, means: np.ndarray, before: np.ndarray | None = None) -> Sums:
@@ -59,7 +66,7 @@ def one_pass(df: DataFrame, means: np.ndarray, before: np.ndarray | None = None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, old = shared.value
-        counts, sums, error, utility, moved = np.zeros(k, np.int64), np.zeros((k, n)), np.zeros(k), np.zeros(k), 0
+        counts, sums, error, utility, moved, gaps = np.zeros(k, np.int64), np.zeros((k, n)), np.zeros(k), np.zeros(k), 0, np.zeros(240)
         for batch in batches:
             if not len(batch):
                 continue
@@ -71,15 +78,16 @@ def one_pass(df: DataFrame, means: np.ndarray, before: np.ndarray | None = None)
             np.add.at(sums, at, data)
             error += np.bincount(at, best, k)
             if k > 1:
+                gaps += np.bincount(np.clip(np.floor(4 * np.log2(np.maximum(_gap(d), 1e-300))) + 160, 0, 239).astype(int), minlength=240)
                 d[np.arange(len(at)), at] = np.inf
                 utility += np.bincount(at, d.min(axis=1) - best, k)
             if old is not None:
                 moved += int((squared(data, old).argmin(axis=1) != at).sum())
-        yield pd.DataFrame({"x": [np.concatenate([counts, error, utility, [moved], sums.ravel()]).tolist()]})
+        yield pd.DataFrame({"x": [np.concatenate([counts, error, utility, [moved], gaps, sums.ravel()]).tolist()]})
 
-    total = added(df.select("v").mapInPandas(run, "x array<double>"), k * (n + 3) + 1)
+    total = added(df.select("v").mapInPandas(run, "x array<double>"), k * (n + 3) + 241)
     counts, error, utility, rest = np.split(total, [k, 2 * k, 3 * k])
-    return Sums(np.rint(counts).astype(np.int64), rest[1:].reshape(k, n), error, utility, int(round(rest[0])))
+    return Sums(np.rint(counts).astype(np.int64), rest[241:].reshape(k, n), error, utility, int(round(rest[0])), np.rint(rest[1:241]).astype(np.int64))
 
 
 def added(parts: DataFrame, size: int) -> np.ndarray:
@@ -153,16 +161,73 @@ class Clusters:
     epochs: int
 
 
+#: So many rows that lie between clusters are on the driver at most (64 MB at 64 elements), and of a smaller table one in four.
+BETWEEN_ROWS = 1 << 17
+
+
 def lloyd(df: DataFrame, means: np.ndarray, max_epoch: int = 0) -> Clusters:
-    """Assign and average until no row moves or for `max_epoch` rounds (0: no bound); an empty cluster keeps its mean."""
+    """Assign and average until no row moves or for `max_epoch` rounds (0: no bound); an empty cluster keeps its mean.
+
+    The rounds grow with the table, and late ones move few rows. A row cannot move while the means have gone less than half
+    of its gap, the difference of its distances from the two nearest. So rows of large gaps stay in the sums of the last pass, and rounds
+    go over the few others until a row that was left out could move; then a pass over all rows follows, as it does at the end.
+    """
     means, before, epoch = np.asarray(means, float), None, 0
     while True:
         got = one_pass(df, means, before)
         epoch += 1
         if before is not None and got.moved == 0 or max_epoch and epoch >= max_epoch:
             return Clusters(means, got.counts, float(got.error.sum()), epoch)
-        before = means
-        means = np.where(got.counts[:, None] > 0, got.sums / np.maximum(got.counts, 1)[:, None], means)
+        before, means = means, _averages(got.counts, got.sums, means)
+        reach = 2.0 ** ((int(np.searchsorted(np.cumsum(got.gaps), min(BETWEEN_ROWS, got.counts.sum() // 4), "right")) - 160) / 4)
+        if len(means) > 1 and 4 * _gone(before, means) < reach:
+            before, means, epoch = _rounds_between(df, got, before, means, epoch, max_epoch, reach)
+
+
+def _averages(counts: np.ndarray, sums: np.ndarray, means: np.ndarray) -> np.ndarray:
+    return np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], means)
+
+
+def _gone(before: np.ndarray, means: np.ndarray) -> float:
+    """The farthest way of a mean."""
+    return float(np.linalg.norm(means - before, axis=1).max())
+
+
+def _between(df: DataFrame, means: np.ndarray, reach: float) -> np.ndarray:
+    """The rows whose gap is under `reach`."""
+    shared = df.sparkSession.sparkContext.broadcast(means)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield batch[_gap(squared(_stack(batch["v"]), shared.value)) < reach]
+
+    rows = df.select(F.col("v").cast("array<double>").alias("v")).mapInPandas(run, "v array<double>").toPandas()
+    return _stack(rows["v"]) if len(rows) else np.zeros((0, means.shape[1]))
+
+
+def _rounds_between(df: DataFrame, got: Sums, anchor: np.ndarray, means: np.ndarray, epoch: int, max_epoch: int, reach: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """(means before, means, epoch) after the rounds that only rows with a gap under `reach` at `anchor` take part in. The round of the last
+    means is left to a pass over all rows: a row may move in it, or none does."""
+    rows = _between(df, anchor, reach)
+    d = squared(rows, anchor)
+    order = np.argsort(_gap(d), kind="stable")
+    rows, d = rows[order], d[order]
+    gaps, first, before = _gap(d), d.argmin(axis=1), anchor
+    own = first.copy()
+    while 2 * (way := _gone(anchor, means)) < reach * (1 - 1e-9) - 1e-12 and not (max_epoch and epoch + 1 >= max_epoch):
+        some = int(np.searchsorted(gaps, 2 * way * (1 + 1e-9) + 1e-12, "right"))  # rows of larger gaps are still where they were
+        at = first.copy()
+        at[:some] = squared(rows[:some], means).argmin(axis=1)
+        if (at == own).all():
+            break
+        own, epoch = at, epoch + 1
+        counts, sums, moved = got.counts.copy(), got.sums.copy(), np.flatnonzero(at != first)
+        for to, sign in ((at, 1), (first, -1)):
+            np.add.at(counts, to[moved], sign)
+            np.add.at(sums, to[moved], sign * rows[moved])
+        before, means = means, _averages(counts, sums, means)
+    return before, means, epoch
 
 
 def kmeans(df: DataFrame, k: int, max_epoch: int = 0, seed: int = 11) -> Clusters:
