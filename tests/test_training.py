@@ -187,6 +187,14 @@ def test_metric_rounds_equal_brute_force(spark):
     assert np.allclose(got.matrix, metric_by_hand(np.eye(3, 4), data, labels, 2, 7, 0.5, 0.5, 0.1, 2))
 
 
+def test_metric_rounds_with_many_cells_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    data, labels = rng.normal(size=(60, 4)), rng.integers(0, 2, 60)
+    df = spark.createDataFrame([(i, v.tolist(), int(y)) for i, (v, y) in enumerate(zip(data, labels))], "m bigint, v array<double>, label int").repartition(3)
+    got = learn.lmca(df, 2, k=2, k_near=7, rounds=1, start="identity", cells=2, cell_rows=6)
+    assert np.allclose(got.matrix, metric_by_hand(np.eye(2, 4), data, labels, 2, 7, 0.5, 0.5, 0.1, 1))
+
+
 def nearest_by_hand(data, ids, queries, k, allowed=lambda q, i: True):
     out = []
     for q, v in queries:
@@ -215,6 +223,20 @@ def test_index_is_exact_with_hot_cells_and_ties(spark, part_rows, block):
     assert 1 <= vector_index.probes_for(index, 4, 0.9) <= 6
 
 
+def test_further_lists_return_rows_within_the_bound_only(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    data = rng.normal(size=(200, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "m bigint, v array<double>").repartition(3)
+    index, met, real = vector_index.build(df, 5), [], vector_index._met
+    monkeypatch.setattr(vector_index, "_met", lambda *args: met.append(real(*args)) or met[-1])
+    queries = df.filter("m % 4 = 0").select(F.col("m").alias("qid"), "v")
+    got = told(vector_index.search(index, queries, 4, 2, exact=True, exclude_self=True))
+    assert got == nearest_by_hand(data, range(200), [(i, data[i]) for i in range(0, 200, 4)], 4)
+    first, further = (x.collect() for x in met)
+    bound = {r["qid"]: r["dist"] for r in first if r["rank"] == 4}
+    assert further and all(r["dist"] <= bound[r["qid"]] for r in further)
+
+
 def test_index_of_groups_and_empty_index(spark):
     rng = np.random.default_rng(8)
     data = rng.normal(size=(60, 2))

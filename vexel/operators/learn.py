@@ -455,12 +455,13 @@ def _neighbours(found: DataFrame, rows: DataFrame, name: str) -> DataFrame:
     return found.join(there, "m").groupBy("qid").agg(F.collect_list(F.struct("nv", "nl")).alias(name)).withColumnRenamed("qid", "m")
 
 
-def lmca(df: DataFrame, dims: int, k: int = 3, k_near: int = 10, margin: float = 0.5, push: float = 0.5, rate: float = 0.1, rounds: int = 10, start: str = "pca", diagonal: bool = False, seed: int = 11, cells: int = 16, progress: Progress | None = None) -> Metric:
+def lmca(df: DataFrame, dims: int, k: int = 3, k_near: int = 10, margin: float = 0.5, push: float = 0.5, rate: float = 0.1, rounds: int = 10, start: str = "pca", diagonal: bool = False, seed: int = 11, cells: int = 16, cell_rows: int = 1_000, progress: Progress | None = None) -> Metric:
     """A linear map into `dims` dimensions that keeps each row's `k` nearest of its own label near and others out of the margin; all rows train.
 
     Target neighbours come from an index (`vector_index`) whose lists are kept apart by label; in a round the `k_near` nearest of
-    every row in the mapped space come from an index of that space. Both are exact joins. Each row, with what it found,
-    adds to one scatter matrix: tasks sum their rows, Spark the tasks. Rows whose label is null do not train.
+    every row in the mapped space come from an index of that space. Both are exact joins. A space of up to four dimensions has a cell
+    for `cell_rows` rows (at most 1,024), as a query needs few of its cells; with more dimensions it would need most of them, and there are `cells`.
+    Each row, with what it found, adds to one scatter matrix: tasks sum their rows, Spark the tasks. Rows whose label is null do not train.
     """
     rows = stored(df.select("m", "v", F.col("label").cast("int").alias("label")).filter("v is not null and label is not null"), "metric")
     n, _ = _shape_of(rows)
@@ -481,6 +482,7 @@ def lmca(df: DataFrame, dims: int, k: int = 3, k_near: int = 10, margin: float =
     targets = stored(_neighbours(found, rows, "targets"), "targets")
     own.close()
     old = np.zeros_like(matrix)
+    fine = max(cells, min(rows.count() // cell_rows, 1024)) if dims <= 4 else cells
 
     def kernel(batch: pd.DataFrame, L: np.ndarray) -> np.ndarray:
         out = np.zeros((n, n))
@@ -491,8 +493,8 @@ def lmca(df: DataFrame, dims: int, k: int = 3, k_near: int = 10, margin: float =
 
     for step in range(rounds):
         mapped = stored(transform(rows, Metric(matrix).project), "mapped")
-        space = vector_index.build(mapped, cells, max_epoch=3, seed=seed)
-        near = vector_index.search(space, mapped.select(F.col("m").alias("qid"), "v"), k_near, max(1, cells // 4), exact=True, exclude_self=True)
+        space = vector_index.build(mapped, fine, max_epoch=3, seed=seed)
+        near = vector_index.search(space, mapped.select(F.col("m").alias("qid"), "v"), k_near, max(1, cells // 4) if fine == cells else 2, exact=True, exclude_self=True)
         met = rows.join(targets, "m").join(_neighbours(near, rows, "near"), "m")
         scatter = totals(met.select("v", "label", "targets", "near"), kernel, matrix, n * n).reshape(n, n)
         space.close()

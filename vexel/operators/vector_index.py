@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..scratch import discard, stored
 from . import cluster
 from .gradient import matrix_of
-from .knn import _distances
+from .knn import _NONE, TILE_ROWS, nearer_in_tiles
 
 
 @dataclass
@@ -70,26 +70,38 @@ def build(df: DataFrame, cells: int, group: str | None = None, sample_rows: int
 
 
 def _visits(index: VectorIndex, queries: DataFrame, probes: int, beyond: bool) -> DataFrame:
-    """`queries` (qid, v, g, reach) once for each list to visit: those of the `probes` nearest cells, or those further ones that are
-    nearer than `reach` (the distance of the k-th row found) to the query."""
-    shared = queries.sparkSession.sparkContext.broadcast((index.centroids, index.radius))
-    cells = index.cells
+    """`queries` (qid, v, g, bound) once for each list to visit: those of the `probes` nearest cells, or those further ones that may hold
+    a row whose squared distance from the query is within `bound` (that of the k-th row found)."""
+    groups = sorted({i // index.cells for i in index.radius})
+    radius = np.full((len(groups) + 1, index.cells), np.nan)  # the last is of groups without rows
+    for i, far in index.radius.items():
+        radius[groups.index(i // index.cells), i % index.cells] = far
+    shared = queries.sparkSession.sparkContext.broadcast((index.centroids, np.array(groups, np.int64), radius))
 
     @F.pandas_udf("array<bigint>")
-    def lists(v: pd.Series, g: pd.Series, reach: pd.Series) -> pd.Series:
-        centroids, radius = shared.value
+    def lists(v: pd.Series, g: pd.Series, bound: pd.Series) -> pd.Series:
+        centroids, groups, radius = shared.value
         out = []
-        for d, own, far in zip(np.sqrt(cluster.squared(matrix_of(v), centroids)) if len(v) else (), g, reach):
-            order = [int(c) for c in np.argsort(d, kind="stable") if own * cells + c in radius]
-            # The bound of a list gives way to the rounding of distances.
-            out.append([own * cells + c for c in (order[probes:] if beyond else order[:probes]) if not beyond or d[c] - radius[own * cells + c] <= far * (1 + 1e-9) + 1e-12])
+        for at in range(0, len(v), TILE_ROWS):
+            part = slice(at, at + TILE_ROWS)
+            d, own, reach = np.sqrt(cluster.squared(matrix_of(v.iloc[part]), centroids)), g.iloc[part].to_numpy(np.int64), np.sqrt(bound.iloc[part].to_numpy(float))
+            place = np.minimum(np.searchsorted(groups, own), len(groups) - 1)
+            around = radius[np.where(groups[place] == own, place, len(groups))]
+            order = np.argsort(np.where(np.isnan(around), np.inf, d), axis=1, kind="stable")
+            visit = np.zeros(d.shape, bool)
+            np.put_along_axis(visit, order[:, :probes], True, axis=1)
+            if beyond:  # the bound of a list gives way to the rounding of distances
+                visit = ~visit & (d - around <= reach[:, None] * (1 + 1e-9) + 1e-12)
+            visit &= ~np.isnan(around)
+            out += [i * len(centroids) + np.flatnonzero(one) for i, one in zip(own, visit)]
         return pd.Series(out, dtype=object)
 
-    return queries.select("qid", "v", F.explode(lists("v", "g", "reach")).alias("list"))
+    return queries.select("qid", "v", "bound", F.explode(lists("v", "g", "bound")).alias("list"))
 
 
 def _met(index: VectorIndex, visits: DataFrame, k: int, exclude_self: bool, block_queries: int) -> DataFrame:
-    """(qid, m, dist): the best `k` rows of each (query, part of a list), by one cogrouped join. Many queries of one list are dealt over blocks."""
+    """(qid, m, dist): the best `k` rows within the bound of each (query, part of a list), by one cogrouped join. Many queries of one
+    list are dealt over blocks. Rows beyond a query's bound are not returned, so lists in which nothing is near add no rows."""
     visits = stored(visits, "visits")
     counts = {r["list"]: -(-r["n"] // block_queries) for r in visits.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
     spark = visits.sparkSession
@@ -101,27 +113,20 @@ def _met(index: VectorIndex, visits: DataFrame, k: int, exclude_self: bool, bloc
     def best(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(held):
             return pd.DataFrame({"qid": np.zeros(0, np.int64), "m": np.zeros(0, np.int64), "dist": np.zeros(0)})
-        qid, m, rows = asked["qid"].to_numpy(np.int64), held["m"].to_numpy(np.int64), matrix_of(held["v"])
-        order = np.argsort(m, kind="stable")
-        m, rows, out = m[order], rows[order], []
-        for i, q in zip(qid, matrix_of(asked["v"])):
-            d = _distances("euclidean2", rows, q[None])[0]
-            if exclude_self:
-                d[m == i] = np.inf
-            near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
-            near = near[np.argsort(d[near], kind="stable")][:k]  # of equal distances the smaller m
-            near = near[d[near] < np.inf]
-            out.append(pd.DataFrame({"qid": i, "m": m[near], "dist": d[near]}))
-        return pd.concat(out)
-
-    found = asked.select(*key, "qid", "v").groupBy(*key).cogroup(held.select(*key, "m", "v").groupBy(*key)).applyInPandas(best, "qid bigint, m bigint, dist double")
+        qid, bound = asked["qid"].to_numpy(np.int64), asked["bound"].to_numpy(float)
+        best_m, best_d = np.full((len(qid), k), _NONE), np.repeat(np.where(np.isinf(bound), np.nan, bound)[:, None], k, axis=1)
+        nearer_in_tiles("euclidean2", k, held["m"].to_numpy(np.int64), matrix_of(held["v"]), matrix_of(asked["v"]), qid if exclude_self else None, best_m, best_d)
+        have = (best_m != _NONE) & ~np.isinf(best_d)
+        return pd.DataFrame({"qid": np.repeat(qid, have.sum(axis=1)), "m": best_m[have], "dist": best_d[have]})
+
+    found = asked.select(*key, "qid", "v", "bound").groupBy(*key).cogroup(held.select(*key, "m", "v").groupBy(*key)).applyInPandas(best, "qid bigint, m bigint, dist double")
     found = stored(_first(found, k), "found")
     discard(visits)
     return found
 
 
 def _first(found: DataFrame, k: int) -> DataFrame:
-    """The best `k` of each query's finds, which are at most k for each list part it visited."""
+    """The best `k` of each query's finds, which are at most k for each list part it visited (and within its bound)."""
     place = F.row_number().over(W.partitionBy("qid").orderBy("dist", "m"))
     return found.select("qid", "m", "dist").withColumn("rank", place).filter(F.col("rank") <= k)
 
@@ -130,17 +135,17 @@ def search(index: VectorIndex, queries: DataFrame, k: int, probes: int, exact: b
     """(qid, rank, m, dist): of each query (qid, v[, g]) the `k` nearest rows by squared distance, ties by m.
 
     Rows of the `probes` nearest lists are looked at: all queries in one join, whatever their number. With `exact`, a second
-    join visits every further list whose bound (distance of its centroid less its radius) is within the k-th distance
-    found, and no row is missed; a query that found fewer than `k` rows visits all. Without it rows in lists not visited
+    join visits every further list that may hold a row (by the distance of its centroid less its radius) within the k-th distance
+    found, returns the rows within it only, and no row is missed; a query that found fewer than `k` rows visits all. Without it rows in lists not visited
     are missed, and `recall` tells how many. A query whose vector is null has no rows.
     """
     own = queries.select("qid", "v", (F.col("g") if index.grouped else F.lit(0)).cast("bigint").alias("g")).filter("v is not null")
     if not index.cells:
         return own.select("qid", F.lit(1).alias("rank"), F.col("qid").alias("m"), F.lit(0.0).alias("dist")).limit(0)
-    found = _met(index, _visits(index, own.withColumn("reach", F.lit(0.0)), probes, False), k, exclude_self, block_queries)
+    found = _met(index, _visits(index, own.withColumn("bound", F.lit(float("inf"))), probes, False), k, exclude_self, block_queries)
     if exact:
-        reach = found.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.sqrt(F.max("dist"))).alias("reach"))
-        further = own.join(reach, "qid", "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
+        bound = found.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.max("dist")).alias("bound"))
+        further = own.join(bound, "qid", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
         found = _first(found.unionByName(_met(index, _visits(index, further, probes, True), k, exclude_self, block_queries)), k)
     return found.select("qid", "rank", "m", "dist")
 
