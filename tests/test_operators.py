@@ -396,3 +396,20 @@ def test_knn_memory_of_a_task_does_not_grow_with_the_queries():
         peaks.append(tracemalloc.get_traced_memory()[1])
         tracemalloc.stop()
     assert peaks[1] < 1.2 * peaks[0] and (best_m != knn._NONE).all()
+
+
+@pytest.mark.parametrize("kind", ["euclidean2", "euclidean", "cosine", "histogram_intersection", _largest_difference])
+def test_knn_memory_is_that_of_a_tile_for_every_distance(kind):
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    rows, queries = rng.random((4 * knn.TILE_ROWS, 16)), rng.random((6 * knn.TILE_QUERIES, 16))
+    peaks = []
+    for some, own in ((rows[: knn.TILE_ROWS], queries[: knn.TILE_QUERIES]), (rows, queries)):
+        best_m, best_d = np.full((len(own), 5), knn._NONE), np.full((len(own), 5), np.nan)
+        tracemalloc.start()
+        knn.nearer_in_tiles(kind, 5, np.arange(len(some)), some, own, None, best_m, best_d)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert (best_m != knn._NONE).all()
+    assert peaks[1] < 1.2 * peaks[0]  # 24 times the pairs
